@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import langid, pii, tokens
+from rowloom.llm import langid, media, pii, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +43,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out())
     model = langid.train(docs.where(~F.col("held_out")))
     return langid.predict(docs, model, keep=("held_out",))
+
+
+def media_digest(features: DataFrame) -> DataFrame:
+    """The contract's columns from stored media and its features."""
+    shape = F.concat_ws("x", "width", "height", "channels")
+    return features.select(
+        F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", shape, "dhash", F.sha2("tile", 256)).alias("feature"),
+    )
+
+
+@_query("op3_media")
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(media.media_features(media.text_to_media(_table(spark, sf_dir, "documents"))))
