@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import langid, media, pii, tokens
+from rowloom.llm import decontaminate, langid, media, pii, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,9 @@ def media_digest(features: DataFrame) -> DataFrame:
 @_query("op3_media")
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(media.media_features(media.text_to_media(_table(spark, sf_dir, "documents"))))
+
+
+@_query("op5_decontamination", decontaminate.ORACLE)
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.decontamination_digest(decontaminate.find_benchmark(docs, _table(spark, sf_dir, "benchmark")))
