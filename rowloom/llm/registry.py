@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import decontaminate, langid, media, mixing, pii, sharding, tokens
+from rowloom.llm import decontaminate, jaccard, langid, media, mixing, pii, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_sharding", sharding.ORACLE)
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@_query("op4_jaccard_join", jaccard.ORACLE)
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
