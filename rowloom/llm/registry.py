@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import decontaminate, jaccard, langid, media, mixing, pii, sharding, tokens
+from rowloom.llm import decontaminate, jaccard, langid, media, mincut, mixing, pii, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_jaccard_join", jaccard.ORACLE)
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@_query("op7_html_extraction")
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut.main_text(_table(spark, sf_dir, "pages"), keep=("page_id", "url")).select("page_id", "url", "text", "n_chars")
