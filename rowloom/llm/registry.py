@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import decontaminate, jaccard, langid, media, mincut, mixing, pii, sharding, tokens
+from rowloom.llm import decontaminate, jaccard, langid, media, mincut, mixing, pii, sharding, tokens, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,8 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_html_extraction")
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mincut.main_text(_table(spark, sf_dir, "pages"), keep=("page_id", "url")).select("page_id", "url", "text", "n_chars")
+
+
+@_query("op8_url_filter", urlfilter.ORACLE)
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
