@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,8 +135,6 @@ def node_table(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 def flatten_json(c: Column) -> Column:
     """MAP<STRING, STRING> of a JSON text's dotted keys; null where it is not JSON."""
-    import pandas as pd
-
     def one(text):
         try:
             return {k: read._js_text(v) for k, v in read.flatten(json.loads(text)).items()} if text is not None else None
@@ -147,3 +146,17 @@ def flatten_json(c: Column) -> Column:
         return texts.map(one)
 
     return run(c)
+
+
+def detect_tables(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """A row for each candidate record set of a page, best first: rank, selector, count, matched, score and fields (JSON text)."""
+    from rowloom.html.detect import detect
+
+    def build(document, _):
+        found = detect(document)["candidates"]
+        return [{"rank": i + 1, "selector": c["selector"], "count": c["count"], "matched": c["matched"], "score": c["score"], "fields": json.dumps(c["fields"], ensure_ascii=False)} for i, c in enumerate(found)]
+
+    arrow = pa.list_(pa.struct([("rank", pa.int32()), ("selector", pa.string()), ("count", pa.int32()), ("matched", pa.int32()), ("score", pa.int32()), ("fields", pa.string())]))
+    found = _per_page(pages, build, "__sets", arrow, "array<struct<rank:int,selector:string,count:int,matched:int,score:int,fields:string>>", url, html)
+    kept = [c for c in found.columns if c != "__sets"]
+    return found.select(*kept, F.explode("__sets").alias("s")).select(*kept, "s.*")
