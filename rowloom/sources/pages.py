@@ -160,3 +160,78 @@ def detect_tables(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
     found = _per_page(pages, build, "__sets", arrow, "array<struct<rank:int,selector:string,count:int,matched:int,score:int,fields:string>>", url, html)
     kept = [c for c in found.columns if c != "__sets"]
     return found.select(*kept, F.explode("__sets").alias("s")).select(*kept, "s.*")
+
+
+def auto_extract(pages: DataFrame, fields: list[str] | None = None, threshold: int = 70, model_col: str | None = None, url: str = "url", html: str = "html") -> DataFrame:
+    """One row a page: the fields, then _confidence, _extractionMethod, _provenance, _needs_model and _warnings.
+
+    Without fields, the default product fields; with fields, the page's JSON-LD answers first, then its meta tags, then
+    product heuristics. model_col names a column with a model's JSON answers: a value of it that the page's text bears
+    out fills empty fields and replaces less certain ones; others are dropped.
+    """
+    from rowloom.functions import grounding as G
+    from rowloom.functions import text_schema as TS
+    from rowloom.functions.similarity import DEFAULT_FIELDS, PRODUCT_WEIGHTS
+    from rowloom.html import autoextract as A
+
+    names = list(fields or DEFAULT_FIELDS)
+
+    def build(document, base):
+        record = A.merged(A.structured(document), A.heuristics(document, base))
+        result, sure, source = record["result"], record["confidence"], record["from"]
+        if fields:
+            node, node_keys = TS.map_node(A.richest_node(document), names)
+            tags, tag_keys = TS.map_node(A.meta_node(document), names)
+            picked = {}
+            for f in names:
+                if f in node:
+                    picked[f] = (node[f], 95, f"json-ld:{node_keys[f]}")
+                elif f in tags:
+                    picked[f] = (tags[f], 85, f"meta:{tag_keys[f]}")
+                elif result.get(f) not in (None, "", []):
+                    picked[f] = (result[f], sure.get(f, 50), "heuristic")
+                else:
+                    picked[f] = (None, 0, "none")
+            result, sure, source = ({f: p[k] for f, p in picked.items()} for k in range(3))
+        text = lambda v: None if v in (None, "", []) else ", ".join(map(str, v)) if isinstance(v, list) else str(v)
+        return {
+            "cells": [{"value": text(result[f]), "confidence": int(sure[f]), "source": source[f]} for f in names],
+            "method": ("structured+heuristic" if any(result[f] is not None for f in names) else "none") if fields else record["method"],
+            "warnings": record["warnings"], "text": A.simplified_text(document),
+        }
+
+    cell = pa.struct([("value", pa.string()), ("confidence", pa.int32()), ("source", pa.string())])
+    arrow = pa.struct([("cells", pa.list_(cell)), ("method", pa.string()), ("warnings", pa.list_(pa.string())), ("text", pa.string())])
+    found = _per_page(pages, build, "__auto", arrow, "struct<cells:array<struct<value:string,confidence:int,source:string>>,method:string,warnings:array<string>,text:string>", url, html)
+    kept = [c for c in found.columns if c not in ("__auto", model_col, *names, "_confidence", "_extractionMethod", "_provenance", "_needs_model", "_warnings")]
+    auto = F.col("__auto")
+    cells = {f: auto["cells"][i] for i, f in enumerate(names)}
+    weights = dict.fromkeys(names, 1) if fields else PRODUCT_WEIGHTS
+    how: dict[str, Column] = {f: F.lit(None).cast("string") for f in names}
+    value = {f: c["value"] for f, c in cells.items()}
+    sure = {f: c["confidence"] for f, c in cells.items()}
+    source = {f: c["source"] for f, c in cells.items()}
+    method = auto["method"]
+    if model_col:
+        # Each step is a projection of its own, as these expressions are large and used several times.
+        answer = F.from_json(F.regexp_replace(F.col(model_col), r"(?i)^\s*```[a-z]*\s*|\s*```\s*$", ""), "map<string,string>")
+        found = found.withColumn("__answer", answer).withColumn("__corpus", G.corpus(auto["text"]))
+        found = found.withColumns({f"__said{i}": F.nullif(F.trim(F.col("__answer")[f]), F.lit("")) for i, f in enumerate(names)})
+        found = found.withColumns({f"__how{i}": F.when(F.col(f"__said{i}").isNotNull(), G.ground(F.col(f"__said{i}"), F.col("__corpus"))) for i in range(len(names))})
+        better = lambda i, f: F.coalesce(F.col(f"__said{i}").isNotNull() & (F.col(f"__how{i}") != "missing") & (cells[f]["value"].isNull() | (cells[f]["confidence"] < 80)), F.lit(False))
+        found = found.withColumns({f"__use{i}": better(i, f) for i, f in enumerate(names)})
+        used = F.lit(False)
+        for i, f in enumerate(names):
+            use = F.col(f"__use{i}")
+            how[f] = F.col(f"__how{i}")
+            value[f] = F.when(use, F.col(f"__said{i}")).otherwise(cells[f]["value"])
+            sure[f] = F.when(use, 80).otherwise(cells[f]["confidence"])
+            source[f] = F.when(use, "llm").otherwise(cells[f]["source"])
+            used = used | use
+        method = F.when(used, "llm").otherwise(method)
+    records = F.array(*(G.provenance(f, value[f], sure[f], source[f], how[f]) for f in names))
+    confidence = G.weighted_confidence({f: sure[f] for f in names if f in weights}, weights)
+    empty = F.lit(False)
+    for f in names if fields else []:
+        empty = empty | value[f].isNull()
+    return found.select(*kept, *(value[f].alias(f) for f in names), confidence.alias("_confidence"), method.alias("_extractionMethod"), G.provenance_column(records).alias("_provenance"), ((confidence < threshold) | empty).alias("_needs_model"), auto["warnings"].alias("_warnings"))
