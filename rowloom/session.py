@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -65,3 +66,9 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/rowloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Ask for garbage collection, so that Spark deletes the shuffle files of plans that cut_lineage has replaced."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

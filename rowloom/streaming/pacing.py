@@ -23,13 +23,15 @@ def grants(df: DataFrame, key: str = "host", ts: str = "ts", burst: int = BURST,
     grant_k = max over j <= k of ts_j + (k - j + 1 - burst) / rate, at least ts_k: a running maximum of ts_j - j / rate.
     """
     w = W.partitionBy(key).orderBy(ts, *([order] if order else []))
-    micros = F.unix_micros(F.col(ts))
+    epoch = "TIMESTAMP_NTZ'1970-01-01 00:00:00'" if dict(df.dtypes)[ts] == "timestamp_ntz" else "TIMESTAMP'1970-01-01 00:00:00Z'"
+    micros = F.expr(f"timestampdiff(MICROSECOND, {epoch}, `{ts}`)")
     step = int(1_000_000 / per_second)
     n = F.row_number().over(w)
     ahead = df.withColumn("__n", n).withColumn("__base", micros - n * step)
     peak = F.max("__base").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
     granted = F.greatest(micros, peak + (F.col("__n") + 1 - burst) * step)
-    return ahead.withColumn("grant_time", F.timestamp_micros(granted.cast("long"))).drop("__n", "__base")
+    waits = ahead.withColumn("__wait", (granted - micros).cast("long"))
+    return waits.withColumn("grant_time", F.expr(f"timestampadd(MICROSECOND, __wait, `{ts}`)")).drop("__n", "__base", "__wait")
 
 
 def backoff_ms(attempt: int, base_ms: int = 1000, max_ms: int = 60_000, jitter: float = 0.0) -> int:
