@@ -50,10 +50,14 @@ def text_of(c: Column, data_type: str) -> Column:
     return c.cast("string")
 
 
+def finite(d: Column) -> Column:
+    """A double, or null where it is infinite."""
+    return F.when(d.between(-1.7976931348623157e308, 1.7976931348623157e308), d)
+
+
 def double_or_null(c: Column) -> Column:
     """try_cast to a finite double."""
-    d = c.try_cast("double")
-    return F.when(d.isNotNull() & ~F.isnan(d) & (F.abs(d) != float("inf")), d)
+    return finite(c.try_cast("double"))
 
 
 def coerced_number(value: object) -> float | None:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions.js import WORD_EDGE, WS, WS_CHARS, collapse, double_or_null, trim
+from rowloom.functions.js import WORD_EDGE, WS, WS_CHARS, collapse, double_or_null, finite, trim
 
 #: Texts longer than this are not searched by patterns.
 MAX_REGEX_INPUT = 20_000
@@ -22,25 +22,27 @@ FLAGS = "ims"
 MAX_GROUP = 20
 
 
+_EXPONENT = r"-?[0-9]+(?:[.,][0-9]+)?[eE][+-]?[0-9]+"
+_NUMERIC_RUN = rf"-?[0-9][0-9.,{WS}]*[0-9]|-?[0-9]"
+#: One decimal mark, after thousands marks of the other kind, or alone before one or two digits.
+_DECIMAL_COMMA = r"^-?(?:[0-9.]*\.[0-9.]*,[0-9]+|[0-9]+,[0-9]{1,2})\z"
+_DECIMAL_POINT = r"^-?(?:[0-9,]*,[0-9,]*\.[0-9]+|[0-9]+\.[0-9]{1,2})\z"
+
+
 def number(c: Column) -> Column:
     """The number in a text: exponents first; the last of comma and point is the decimal mark; a lone mark is one only before one or two digits."""
-    sci = F.regexp_extract(c, r"-?[0-9]+(?:[.,][0-9]+)?[eE][+-]?[0-9]+", 0)
-    from_sci = double_or_null(F.replace(F.when(sci != "", sci), F.lit(","), F.lit(".")))
-    found = F.regexp_extract(c, rf"-?[0-9][0-9.,{WS}]*[0-9]|-?[0-9]", 0)
-    body = F.regexp_replace(F.when(found != "", found), f"[{WS}]", "")
-    commas, dots = F.length(body) - F.length(F.replace(body, F.lit(","))), F.length(body) - F.length(F.replace(body, F.lit(".")))
-    tail = F.length(F.regexp_extract(body, "[.,]([0-9]*)$", 1))
-    bare = F.replace(F.replace(body, F.lit(",")), F.lit("."))
-    with_point = F.concat(F.replace(F.replace(F.substr(body, F.lit(1), F.length(body) - tail), F.lit(",")), F.lit(".")), F.lit("."), F.substr(body, F.length(body) - tail + 1, tail))
-    decimal_is_comma = F.regexp_extract(body, "([.,])[0-9]*$", 1) == ","
-    decimals = F.when(decimal_is_comma, commas).otherwise(dots)
-    general = (
-        F.when((commas > 0) & (dots > 0), F.when(decimals == 1, with_point))  # more than one decimal mark is no number
-        .when(commas + dots == 0, body)
-        .when((commas + dots == 1) & (tail >= 1) & (tail <= 2), with_point)
-        .otherwise(bare)
-    )
-    return F.coalesce(from_sci, double_or_null(general))
+
+    def read(found: Column) -> Column:
+        run = found["run"]
+        plain = (
+            F.when(F.rlike(run, F.lit(_DECIMAL_COMMA)), F.translate(run, ",.", ".")).when(F.rlike(run, F.lit(_DECIMAL_POINT)), F.translate(run, ",", ""))
+            .when(F.contains(run, F.lit(",")) & F.contains(run, F.lit(".")), None).otherwise(F.translate(run, ",.", ""))
+        )
+        return F.coalesce(finite(F.translate(found["exponent"], ",", ".").try_cast("double")), finite(plain.try_cast("double")))
+
+    # The lambda's variable names what both extractions gave, so that neither is made more than once.
+    found = F.struct(F.regexp_extract(c, _EXPONENT, 0).alias("exponent"), F.regexp_replace(F.regexp_extract(c, _NUMERIC_RUN, 0), f"[{WS}]", "").alias("run"))
+    return F.transform(F.array(found), read)[0]
 
 
 def normalize_flags(flags: object) -> str:
