@@ -173,7 +173,7 @@ for _mode, _ids in (("cursor", [1, 2, 3, 4]), ("page", [1, 2, 3, 4, 5]), ("link"
 _RETRIES = [(1, 503, 1, 0, None), (2, 503, 3, 3000, None), (3, 429, 1, 0, 90), (4, 404, 1, 0, None), (5, 500, 4, 7000, None), (6, 500, 2, 59500, 2), (7, 200, 1, 0, None)]
 
 
-@query("retry_schedule", f"SELECT i, wait_ms FROM {sql_values([(1, 1000), (2, 4000), (3, 60000), (4, None), (5, None), (6, 500), (7, None)], 'i, wait_ms')}")
+@query("retry_schedule", f"SELECT i, CAST(wait_ms AS BIGINT) AS wait_ms FROM {sql_values([(1, 1000), (2, 4000), (3, 60000), (4, None), (5, None), (6, 500), (7, None)], 'i, wait_ms')}")
 def retry_schedule(spark, sf_dir):
     return api.retry_schedule(literals(spark, _RETRIES, "i int, status int, attempt int, waited_ms int, retry_after_s int")).select("i", "wait_ms")
 

@@ -54,7 +54,7 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
     "flagship_clean_dedupe_jsonl",
     f"""WITH k AS (SELECT min(doc_id) AS doc_id FROM documents WHERE {sql_collapse("text")} <> '' GROUP BY lower({sql_collapse("text")}))
     SELECT d.doc_id, d.lang, nullif(regexp_extract(text, '{EMAIL}'), '') AS email, {sql_number("text")} AS first_number,
-      to_json({{'doc_id': d.doc_id, 'lang': d.lang, 'source': d.source, 'email': nullif(regexp_extract(text, '{EMAIL}'), '')}}) AS line
+      CAST(to_json({{'doc_id': d.doc_id, 'lang': d.lang, 'source': d.source, 'email': nullif(regexp_extract(text, '{EMAIL}'), '')}}) AS VARCHAR) AS line
     FROM documents d JOIN k USING (doc_id)""",
 )
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,7 +317,7 @@ _SINK_SQL = {
     "tsv": "SELECT -1 AS seq, 'doc_id' || chr(9) || 'text' || chr(9) || 'lang' AS line UNION ALL SELECT doc_id, doc_id || chr(9) || translate(text, chr(9) || chr(13) || chr(10), '   ') || chr(9) || lang FROM documents",
     "markdown": "SELECT -2 AS seq, '| doc_id | text | lang |' AS line UNION ALL SELECT -1, '| --- | --- | --- |' UNION ALL SELECT doc_id, '| ' || doc_id || ' | ' || regexp_replace(replace(text, '|', '\\|'), '\\r?\\n', ' ', 'g') || ' | ' || lang || ' |' FROM documents",
     "xml": "SELECT -2 AS seq, '<?xml version=\"1.0\" encoding=\"UTF-8\"?>' AS line UNION ALL SELECT -1, '<rows>' UNION ALL SELECT doc_id, '  <row>' || chr(10) || '    <doc_id>' || doc_id || '</doc_id>' || chr(10) || '    <text>' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') || '</text>' || chr(10) || '    <lang>' || lang || '</lang>' || chr(10) || '  </row>' FROM documents",
-    "jsonl": "SELECT c_custkey AS seq, to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey}) AS line FROM customer",
+    "jsonl": "SELECT c_custkey AS seq, CAST(to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey}) AS VARCHAR) AS line FROM customer",
 }
 
 
