@@ -29,7 +29,7 @@ SKIPPED = frozenset("script style noscript template svg math iframe object embed
 FURNITURE_TAGS = frozenset("nav footer aside menu".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist status".split())
 FURNITURE_WORDS = frozenset(
-    "ad ads adbox advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist disqus consent cookie cookies copyright disclaimer footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pagination pager popup promo promos promotion recommended related replies reply share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
+    "ad adbox adcontainer ads adsbygoogle adsense adslot adunit advert advertisement advertising adverts affiliate alert announcement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup privacy promo promos promoted promotion recommended related replies reply respond share sharing sidebar sidebars signup skiplink social sponsor sponsored subscribe subscription taboola teaser toast toolbar topbar widget widgets".split()
 )
 CONTENT_WORDS = frozenset("article body content entry main post prose story text".split())
 #: Elements whose own class may well name parts that they contain.
@@ -39,8 +39,8 @@ INLINE = frozenset(
 )
 
 #: Classifier weights, fixed by hand.
-FURNITURE, IN_ARTICLE, CONTENT_CLASS, LINKED, LENGTH, PARAGRAPH, HEADING, ITEM, BIAS = -9.0, 3.5, 1.5, -4.0, 2.0, 1.0, 0.5, -1.0, -1.0
-#: Costs of cutting between neighbours and between children of one parent.
+FURNITURE, IN_ARTICLE, CONTENT_CLASS, LINKED, LENGTH, PARAGRAPH, HEADING, ITEM, BIAS = -16.0, 6.5, 1.5, -4.0, 2.0, 1.0, 0.5, -1.0, -1.0
+#: Costs of cutting between neighbours and between children of one parent; nothing ties furniture to what is none.
 ADJACENT, SAME_PARENT = 0.25, 0.5
 
 _WORD = re.compile(r"[a-z]+")
@@ -95,7 +95,8 @@ def blocks(root: Node) -> list[Block]:
         elif item.tag == "br":
             text.append(" ")
         elif item.tag not in SKIPPED and not _hidden(item.attrs):
-            inline = item.tag in INLINE
+            loose = not article and item.parent is not None and item.parent.tag in ("body", "div", "section") and _furniture(item, article)
+            inline = item.tag in INLINE and not loose
             inside = (furniture or _furniture(item, article), article or item.tag in ("article", "main"), content or (bool(item.attrs) and not CONTENT_WORDS.isdisjoint(_WORD.findall(item.attrs.get("class", "").lower()))), link or item.tag == "a")
             if not inline:
                 close(holder, furniture, article, content)
@@ -116,12 +117,12 @@ def score(b: Block) -> float:
 def edges(found: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for i, b in enumerate(found):
-        if i:
+        if i and found[i - 1].furniture == b.furniture:
             out.append((i - 1, i, ADJACENT))
-        k = last.get(id(b.parent))
+        k = last.get((id(b.parent), b.furniture))
         if k is not None:
             out.append((k, i, SAME_PARENT))
-        last[id(b.parent)] = i
+        last[id(b.parent), b.furniture] = i
     return out
 
 

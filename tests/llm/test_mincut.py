@@ -55,6 +55,19 @@ def test_furniture_goes_and_content_stays():
     assert mincut.main_blocks(plain)[0] == ["Some text that is long enough to be taken for content on its own merits.", "Tiny."]
 
 
+def test_other_layouts():
+    page = """<body><a class="skiplink" href="#m">Skip to content</a><div id="page-header"><span>Site</span></div><div class="left-sidebar"><p>A sidebar paragraph that goes on for quite a while about other things.</p></div>
+    <div id="m" class="post-body"><h2>Heading</h2>Loose text of the article, not in any paragraph at all, but long enough.<p>One.</p><div class="cookieConsent notice">We value your privacy more than anything else in the world, so please agree.</div>
+    <blockquote>Quoted.</blockquote><table><tr><td>cell a</td><td>cell b</td></tr></table><p>See <a href="/x">this link</a> and <span class="ad">an inline mark</span>.</p><ul><li><a href="/r">A reference</a></li></ul></div>
+    <section class="related-posts"><h3>Related</h3><p>Another story entirely, with a long teaser text that would look like content.</p></section><div id="disqus_thread"><p>I think this article is great and I have much to say about it, said a reader.</p></div>
+    <div role="contentinfo">Imprint</div></body>"""
+    got = mincut.main_blocks(page)[0]
+    assert got[:3] == ["Heading", "Loose text of the article, not in any paragraph at all, but long enough.", "One."]
+    assert "Quoted." in got and "See this link and an inline mark." in got and not any(w in " ".join(got) for w in ("sidebar", "privacy", "Related", "story", "reader", "Imprint", "Skip", "Site"))
+    listed = "<article><h1>T</h1><p>Text.</p><ul><li><a href=1>First link</a></li><li><a href=2>Second link</a></li></ul><p>End.</p></article>"
+    assert mincut.main_blocks(listed)[0] == ["T", "Text.", "First link", "Second link", "End."]
+
+
 def test_edge_rows(spark):
     long = "<article>" + "<p>word word</p>" * 20_000 + "</article>"
     rows = [(1, "u", None, 1), (2, None, "", 1), (None, "u", "<nav>only</nav>", 1), (4, "u", long, 1), (4, "u", long, 1)]
