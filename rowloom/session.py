@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -69,6 +70,13 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Ask for garbage collection, so that Spark deletes the shuffle files of plans that cut_lineage has replaced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Ask for garbage collection, so that Spark deletes the shuffle files of plans that cut_lineage has replaced.
+
+    Listeners still to be told of a query hold its plan, so they are waited for, and a second round takes what the first
+    has set free.
+    """
+    for _ in range(2):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
