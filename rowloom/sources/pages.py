@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from rowloom.html import read
 from rowloom.html.select import scoped, select
 from rowloom.html.tree import parse
+from rowloom.session import ship_package
 
 BATCH_ROWS = 1000
 
 
 def _per_page(df: DataFrame, build, column: str, kind: pa.DataType, spark_type: str, url: str, html: str) -> DataFrame:
     """df's columns but for the html, with build(document, url) as a new column."""
+    ship_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     kept = [c for c in df.columns if c not in (html, column)]
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
