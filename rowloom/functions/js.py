@@ -1,4 +1,4 @@
-"""Building blocks with the reference's scripting semantics, as Catalyst expressions."""
+"""Building blocks with a browser script's semantics, as Catalyst expressions."""
 
 from __future__ import annotations
 

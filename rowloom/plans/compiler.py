@@ -6,6 +6,8 @@ the plan is made, never skipped.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -21,7 +23,7 @@ from rowloom.html import read
 from rowloom.html.select import scoped
 from rowloom.operators import dedupe as D
 from rowloom.plans import templates
-from rowloom.plans.recipe import Recipe, Step, read_recipe, unrunnable
+from rowloom.plans.recipe import Recipe, Step, read_recipe, unrunnable, walk
 from rowloom.plans.steps import LOOP_CAP, default_config
 from rowloom.sinks import render as sink
 from rowloom.sources import api, pages, pdf
@@ -179,6 +181,13 @@ class _Compiler:
                 self.page = self.sources.pages.join(F.broadcast(wanted), "url") if self.sources.pages is not None else None
                 self.run(step.children or [])
                 items = []
+            path = _only_navigates(step)
+            if path and items and self.sources.pages is not None:
+                urls = [(i, str(templates.render(path, {"item": x}))) for i, x in enumerate(items)]
+                wanted = self.spark.createDataFrame(urls, "_item long, url string")
+                self.page = self.sources.pages.join(F.broadcast(wanted), "url")
+                self.run((step.children or [])[1:])
+                items = []
             context = self.sources.context
             for i, item in enumerate(items):
                 loop = {"index": i + 1, "index0": i, "first": i == 0, "last": i + 1 == len(items), "count": len(items)}
@@ -243,6 +252,15 @@ class _Compiler:
         return out.drop("_seq", "_batch")
 
 
+def _only_navigates(step: Step) -> str | None:
+    """The address template of a loop whose items serve only to open pages: such a loop is a join, whatever its length."""
+    first, *rest = step.children or [None]
+    if first is None or first.type not in ("WEBSITE", "NAVIGATE") or any("{{" in json.dumps(s.config) for r in rest for s in walk([r])):
+        return None
+    url = str(first.config.get("url") or "")
+    return url if re.fullmatch(r"[^{}]*(\{\{\s*item\.[\w.]+\s*\}\}[^{}]*)+", url) and not first.children else None
+
+
 def _order(df: DataFrame) -> list[Column]:
     """What rows of a step are ordered by: the page, then the record and row numbers, padded so that they sort as text."""
     pad = lambda c: F.lpad(F.coalesce(F.col(c).cast("string"), F.lit("")), 12, "0").alias(c)

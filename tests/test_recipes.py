@@ -51,6 +51,8 @@ def test_other_sources(spark):
     assert "s.test/1-1" in {r.path for r in rows.where("path IS NOT NULL").collect()}
     looped = {"steps": [{"type": "LOOP", "config": {"type": "list", "list": "https://s.test/list?p=1\n\nhttps://s.test/list?p=3"}, "children": [{"type": "NAVIGATE", "config": {"url": "{{item.value}}"}}, {"type": "EXTRACT", "config": {"fields": [{"name": "t", "selector": ".note"}]}}]}]}
     assert compile_recipe(spark, looped, Sources(pages=shop(spark))).rows.count() == 2
+    looped["steps"][0]["children"][1]["config"]["fields"][0]["selector"] = "li:nth-child({{loop.index}})"
+    assert sorted(r.t or "" for r in compile_recipe(spark, looped, Sources(pages=shop(spark))).rows.collect()) == ["", "Item 1$1,299.00"]
 
 
 @pytest.mark.parametrize("step", [{"type": "CLICK"}, {"type": "NOPE"}, {}, {"type": "LOOP", "config": {"type": "count", "count": 0}}, {"type": "LOOP", "config": {"type": "paginate"}}, {"type": "EXPORT", "config": {"format": "xls"}}, {"type": "API"}, {"type": "LOOP"}])
