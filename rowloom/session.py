@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import tempfile
@@ -9,6 +10,7 @@ import time
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
@@ -72,11 +74,12 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
 def release_shuffles(spark: SparkSession) -> None:
     """Ask for garbage collection, so that Spark deletes the shuffle files of plans that cut_lineage has replaced.
 
-    Listeners still to be told of a query hold its plan, so they are waited for, and a second round takes what the first
-    has set free.
+    Listeners still to be told of a query hold its plan, so they are waited for (but not for long: on a busy cluster the
+    files go a little later), and a second round takes what the first has set free.
     """
     for _ in range(2):
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        with contextlib.suppress(Py4JJavaError):
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5_000)
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)
