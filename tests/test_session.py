@@ -8,15 +8,18 @@ from rowloom import session as S
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
-def test_tables_go_to_the_folder_that_the_session_names(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        df = S.cut_lineage(spark.range(5).withColumn("x", F.array(F.col("id"))), "numbers")
-        assert df.count() == 5 and df.columns == ["id", "x"] and os.listdir(tmp_path / "rowloom")[0].startswith("numbers-")
-        assert S.shared_dir(spark) == f"file://{tmp_path}"
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-    assert S.shared_dir(spark) == S.shared_dir(spark) != f"file://{tmp_path}"
+def test_tables_go_to_the_folder_that_the_session_names(spark, tmp_path, monkeypatch):
+    class Named:
+        """A session whose spark.checkpoint.dir is set, which a running one's cannot be."""
+
+        conf = {"spark.checkpoint.dir": f"file://{tmp_path}/"}
+
+    assert S.shared_dir(Named) == f"file://{tmp_path}"
+    own = S.shared_dir(spark)
+    assert own == S.shared_dir(spark) and own.startswith("file:///")
+    monkeypatch.setattr(S, "shared_dir", lambda _: f"file://{tmp_path}")
+    df = S.cut_lineage(spark.range(5).withColumn("x", F.array(F.col("id"))), "numbers")
+    assert df.count() == 5 and df.columns == ["id", "x"] and os.listdir(tmp_path / "rowloom")[0].startswith("numbers-")
 
 
 def test_nothing_outside_imports_the_training_operators():
