@@ -7,12 +7,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rowloom.session import ship_package
+
 #: Rows in one Arrow batch; long texts make batches large, so this stays well below Spark's default.
 BATCH_ROWS = 1000
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """df.mapInArrow with small batches; function takes and yields pyarrow RecordBatches."""
+    """df.mapInArrow with small batches; function takes and yields pyarrow RecordBatches. The executors get this package."""
+    ship_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(function, schema)
 
