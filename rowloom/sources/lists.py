@@ -12,8 +12,9 @@ from rowloom.functions.js import trim
 
 MOST_ITEMS = 10_000
 
-#: Header names that a request must not set (fixed values).
-REFUSED_HEADERS = ("host", "content-length", "connection", "cookie", "origin", "referer", "transfer-encoding", "upgrade")
+#: Header names that a request must not set, and ports that speak SOCKS (fixed values).
+REFUSED_HEADERS = ("host", "content-length", "connection", "transfer-encoding", "upgrade", "keep-alive", "proxy-authorization", "proxy-connection", "trailer", "te")
+SOCKS_PORTS = (1080, 1081, 9050, 9150)
 
 
 def split_cells(line: Column, delimiter: str = ",") -> Column:
@@ -71,32 +72,48 @@ def output_rows(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataF
     return lines.where(json_line), lines.where(~json_line)
 
 
-def parse_headers(text: str) -> tuple[dict[str, str], list[str]]:
-    """Name: value lines; the last of a name wins; names that must not be set, and lines that are none, are reported."""
-    out: dict[str, tuple[str, str]] = {}
+def parse_headers(text: str) -> tuple[dict[str, str | None], list[str]]:
+    """Headers of Name: value lines, by lower-cased name: the last of a name wins, an empty value (None) removes the header.
+    Names that must not be set are reported; comments and blank lines are skipped."""
+    out: dict[str, str | None] = {}
     refused = []
-    for line in filter(None, (x.strip() for x in re.split(r"\r?\n", text or ""))):
-        name, colon, value = line.partition(":")
-        name = name.strip()
-        if not colon or not re.fullmatch(r"[A-Za-z0-9!#$%&'*+.^_`|~-]+", name) or name.lower() in REFUSED_HEADERS:
-            refused.append(name if colon else line)
+    for line in (x.strip() for x in re.split(r"\r?\n", text or "")):
+        if not line or line.startswith("#"):
             continue
-        out.pop(name.lower(), None)
-        out[name.lower()] = (name, value.strip())
-    return dict(out.values()), refused
+        name, _, value = line.partition(":")
+        name = name.strip().lower()
+        if name in REFUSED_HEADERS or name.startswith(("proxy-", "sec-")) or (name and not re.fullmatch(r"[A-Za-z0-9!#$%&'*+.^_`|~-]+", name)):
+            refused.append(name)
+        elif name:
+            out.pop(name, None)
+            out[name] = value.strip() or None
+    return out, refused
 
 
 def parse_proxies(lines: DataFrame, line: str = "value") -> DataFrame:
-    """host, port, protocol and user of each line that is a proxy (host:port, host:port:user:password, user:password@host:port, with a scheme or without), once each."""
+    """host, port, protocol and user of each line that is a proxy, once for each host and port: an address with a scheme
+    (and user), host:port, host:port:user:password, or a JSON object. Without a scheme, the port tells the protocol."""
     text = trim(F.col(line))
-    scheme = F.lower(F.regexp_extract(text, r"^([A-Za-z0-9]+)://", 1))
-    bare = F.regexp_replace(text, r"^[A-Za-z0-9]+://", "")
-    with_user = F.regexp_extract(bare, r"^([^:@]+):([^@]*)@(.+)$", 1)
-    rest = F.when(with_user != "", F.regexp_extract(bare, r"^[^@]*@(.+)$", 1)).otherwise(bare)
-    pattern = r"^([A-Za-z0-9.-]+):([0-9]{1,5})(?::([^:]*):(.*))?$"
-    user = F.when(with_user != "", with_user).otherwise(F.regexp_extract(rest, pattern, 3))
-    found = lines.select(
-        F.lower(F.regexp_extract(rest, pattern, 1)).alias("host"), F.regexp_extract(rest, pattern, 2).try_cast("int").alias("port"),
-        F.when(scheme == "", "http").when(scheme == "socks", "socks5").otherwise(scheme).alias("protocol"), F.nullif(user, F.lit("")).alias("user"),
-    )
-    return found.where((F.col("host") != "") & F.col("port").between(1, 65535)).dropDuplicates(["host", "port"])
+    as_json = F.when(F.startswith(text, F.lit("{")), text)
+    field = lambda *names: F.coalesce(*(F.get_json_object(as_json, f"$.{n}") for n in names))
+    with_scheme = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^:@/]*)(?::[^@/]*)?@)?([^:/@?#]+)(?::([0-9]+))?"
+    plain = r"^([^:#{][^:]*):([0-9]+)(?::([^:]*):([^:]*))?$"
+    part = lambda pattern, k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+    named = F.lower(F.coalesce(part(with_scheme, 1), field("type")))
+    known = F.when(named == "socks4", "socks4").when(named.isin("socks5", "socks"), "socks5").when(named == "https", "https").when(named.isNotNull(), "http")
+    given = F.coalesce(part(with_scheme, 4), field("port"), F.when(~F.contains(text, F.lit("://")), part(plain, 2))).try_cast("int")
+    port = F.coalesce(given, F.when(part(with_scheme, 3).isNotNull(), F.when(known == "socks5", 1080).otherwise(3128)))
+    host = F.coalesce(part(with_scheme, 3), field("host"), F.when(~F.contains(text, F.lit("://")), part(plain, 1)))
+    user = F.coalesce(part(with_scheme, 2), field("user", "username"), F.when(~F.contains(text, F.lit("://")), part(plain, 3)))
+    found = lines.select(F.trim(host).alias("host"), port.alias("port"), known.alias("known"), user.alias("user"))
+    kept = found.where(F.coalesce(F.col("host"), F.lit("")) != "").where(F.col("port").between(1, 65535))
+    protocol = F.coalesce("known", F.when(F.col("port").isin(*SOCKS_PORTS), "socks5").otherwise("http"))
+    return kept.select("host", "port", protocol.alias("protocol"), "user").dropDuplicates(["host", "port"])
+
+
+def round_robin(requests: DataFrame, proxies: DataFrame, order: str) -> DataFrame:
+    """Each request with the next proxy of the list in turn; proxies, a short list, are numbered by host and port."""
+    listed = proxies.withColumn("__slot", F.row_number().over(W.orderBy("host", "port")) - 1)
+    n = max(1, listed.count())
+    numbered = requests.withColumn("__slot", F.pmod(F.row_number().over(W.orderBy(order)) - 1, F.lit(n)))
+    return numbered.join(listed, "__slot", "left").drop("__slot")

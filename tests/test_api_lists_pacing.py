@@ -89,9 +89,12 @@ def test_pasted_lists(spark):
     assert few.count() == 2 and cut == 2 and sorted(few.first().cols) == ["col1", "col2"]
     rows, noise = lists.output_rows(spark.createDataFrame([('{"a":1}',), ("log",), ("[1]",), ("{bad",)], "value string"))
     assert rows.count() == 2 and noise.count() == 2
-    assert lists.parse_headers("A: 1\nHost: x\na: 2\nnope") == ({"a": "2"}, ["Host", "nope"])
-    proxies = spark.createDataFrame([("1.2.3.4:80",), ("socks5://u:p@h.test:1080",), ("h:99999",), ("1.2.3.4:80:u:p",), ("x",)], "value string")
-    assert sorted((r.host, r.port, r.protocol) for r in lists.parse_proxies(proxies).collect()) == [("1.2.3.4", 80, "http"), ("h.test", 1080, "socks5")]
+    assert lists.parse_headers("A: 1\n# c\nHost: x\na: 2\nnope\nSec-X: 1") == ({"a": "2", "nope": None}, ["host", "sec-x"])
+    given = ["1.2.3.4:80", "socks5://u:p@h.test:1080", "h:99999", "1.2.3.4:80:u:p", "x", "a.test:9050:me:pw", "https://b.test", '{"host":"c.test","port":8080,"username":"z"}', "# c:1"]
+    proxies = lists.parse_proxies(spark.createDataFrame([(g,) for g in given], "value string"))
+    assert sorted((r.host, r.port, r.protocol) for r in proxies.collect()) == [("1.2.3.4", 80, "http"), ("a.test", 9050, "socks5"), ("b.test", 3128, "https"), ("c.test", 8080, "http"), ("h.test", 1080, "socks5")]
+    dealt = lists.round_robin(spark.range(7).withColumnRenamed("id", "n"), proxies, "n")
+    assert [r.host for r in dealt.orderBy("n").collect()][:6] == ["1.2.3.4", "a.test", "b.test", "c.test", "h.test", "1.2.3.4"]
 
 
 def simulate(times, burst, rate):
