@@ -40,17 +40,23 @@ def map_row_key(row: Column, fields: list[str]) -> Column:
 
 
 def keep_first(df: DataFrame, order: str, fields: list[str] | None = None, after: Column | None = None) -> DataFrame:
-    """The first row by order of each key; rows for which `after` is false pass the gate untouched.
+    """The first row by order, which no two rows share, of each key; rows for which `after` is false pass the gate untouched.
 
     The first place of each key is an aggregate with map-side combine, so a key that a third of all rows have is
-    cheap; rows join it on key and place.
+    cheap. Rows join the places alone: keys are made once, and only for the aggregate.
     """
     key = F.sha2(row_key(df.drop(order), fields), 256)
     if after is not None:
         key = F.when(after, key).otherwise(F.concat(F.lit("pass-"), F.col(order).cast("string")))
-    keyed = df.withColumn("__key", key)
-    first = keyed.groupBy("__key").agg(F.min(order).alias(order))
-    return keyed.join(first, ["__key", order], "left_semi").drop("__key").select(*df.columns)
+    first = df.withColumn("__key", key).groupBy("__key").agg(F.min(order).alias(order)).select(order)
+    return df.join(first, order, "left_semi").select(*df.columns)
+
+
+def first_rows(df: DataFrame, order: str, fields: list[str] | None = None) -> DataFrame:
+    """The same where rows may share their place: one row of each key, in one aggregate of whole rows."""
+    keyed = df.withColumn("__key", F.sha2(row_key(df.drop(order), fields), 256))
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    return keyed.groupBy("__key").agg(F.min_by(row, order).alias("__row")).select("__row.*")
 
 
 def keep_unseen(df: DataFrame, order: str, seen: DataFrame, fields: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

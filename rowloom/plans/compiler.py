@@ -248,7 +248,9 @@ class _Compiler:
         for start, config in self.gates:
             fields = D.parse_fields(config.get("fields") or "")
             names = fields or [x for x in out.columns if not x.startswith("_")]
-            out = D.keep_first(out.withColumn("__order", F.concat(F.lpad(F.col("_batch").cast("string"), 6, "0"), F.col("_seq"))), "__order", names, after=F.col("_batch") >= start).drop("__order")
+            placed = out.withColumn("__order", F.concat(F.lpad(F.col("_batch").cast("string"), 6, "0"), F.col("_seq")))
+            gated = D.first_rows(placed.where(F.col("_batch") >= start), "__order", names)
+            out = placed.where(F.col("_batch") < start).unionByName(gated).drop("__order")
         return out.drop("_seq", "_batch")
 
 

@@ -61,6 +61,12 @@ def test_refusals(spark, step):
         compile_recipe(spark, {"steps": [step]}, Sources(pages=shop(spark)))
 
 
+def test_a_gate_drops_rows_alike_in_every_way(spark):
+    captures = spark.createDataFrame([("https://s.test/a", "GET", "json")] * 3 + [("https://s.test/b", "GET", "json")], "url string, method string, type string")
+    recipe = {"steps": [{"type": "API_SNIFFER"}, {"type": "DEDUPE"}, {"type": "API_SNIFFER"}]}
+    assert compile_recipe(spark, recipe, Sources(captures=captures)).rows.count() == 6
+
+
 def test_file_manifest(spark):
     df = spark.createDataFrame([("https://h.test/a/b%20c.jpg?x", 1), ("https://h.test/", 2), ("data:image/svg+xml,x", 3), ("https://h.test/%2e%2e%2fpasswd", 4)], "url string, index int")
     assert [r.path for r in file_manifest(df, "pics/{{file.name}}").orderBy("index").collect()] == ["pics/b c.jpg", "pics/file-2", "pics/file-3.svg", "pics/passwd"]
