@@ -5,6 +5,10 @@ cost of calling it content and that of calling it boilerplate; these are its cap
 between neighbouring blocks, and between blocks of one parent, cost something to cut, so lone misfits follow their
 surroundings. Maximum flow finds the labelling of least total cost; blocks on the content side are the text.
 
+Furniture by tag or role, and by a word of the class or id outside articles and main, is as good as excluded. Within
+an article or main, such a word is a cost among others, which length, few links and neighbours can outvote; ids of
+headings and sections name their subject there and say nothing.
+
 Scripts, styles, form controls and other things that are not text never become blocks. Character references are
 decoded; white space within a block becomes one space; blocks are joined in page order by blank lines.
 
@@ -24,7 +28,7 @@ from rowloom.html.tree import Node, parse
 from rowloom.llm._arrow import map_arrow, one_pass
 
 #: Never text, whatever the surroundings.
-SKIPPED = frozenset("script style noscript template svg math iframe object embed canvas audio video select option datalist button input textarea head title link meta form dialog map progress meter".split())
+SKIPPED = frozenset("script style noscript template svg iframe object embed canvas audio video select option datalist button input textarea head title link meta form dialog map progress meter annotation annotation-xml".split())
 #: Boilerplate by tag, by role, or by a word of the class or id.
 FURNITURE_TAGS = frozenset("nav footer aside menu".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist status".split())
@@ -32,15 +36,18 @@ FURNITURE_WORDS = frozenset(
     "ad adbox adcontainer ads adsbygoogle adsense adslot adunit advert advertisement advertising adverts affiliate alert announcement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup privacy promo promos promoted promotion recommended related replies reply respond share sharing sidebar sidebars signup skiplink social sponsor sponsored subscribe subscription taboola teaser toast toolbar topbar widget widgets".split()
 )
 CONTENT_WORDS = frozenset("article body content entry main post prose story text".split())
-#: Elements whose own class may well name parts that they contain.
+#: Elements whose own class may well name parts that they contain; for an article within an article, a comment as a rule, it does not.
 FRAMES = frozenset("html body main article".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 
 #: Classifier weights, fixed by hand.
 FURNITURE, IN_ARTICLE, CONTENT_CLASS, LINKED, LENGTH, PARAGRAPH, HEADING, ITEM, BIAS = -16.0, 6.5, 1.5, -4.0, 2.0, 1.0, 0.5, -1.0, -1.0
-#: Costs of cutting between neighbours and between children of one parent; nothing ties furniture to what is none.
+#: A furniture word within an article or main; the content class of what surrounds it does not count then.
+NAMED = -8.5
+#: Costs of cutting between neighbours and between children of one parent; nothing ties furniture to what is none, but named blocks have ties like any.
 ADJACENT, SAME_PARENT = 0.25, 0.5
 
 _WORD = re.compile(r"[a-z]+")
@@ -48,19 +55,25 @@ _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 class Block:
-    __slots__ = ("text", "linked", "furniture", "article", "content", "parent", "tag")
+    __slots__ = ("text", "linked", "furniture", "named", "article", "content", "parent", "tag")
+
+
+#: How deep in content an element is.
+OUTSIDE, IN_MAIN, WITHIN = 0, 1, 2
+
+
+def _furniture(node: Node, place: int) -> bool:
+    return node.tag in FURNITURE_TAGS or (node.tag == "header" and not place) or (bool(node.attrs) and node.tag not in FRAMES and node.attrs.get("role", "").lower() in FURNITURE_ROLES)
 
 
-def _furniture(node: Node, in_article: bool) -> bool:
-    if node.tag in FURNITURE_TAGS or (node.tag == "header" and not in_article):
-        return True
+def _named(node: Node, place: int) -> bool:
     attrs = node.attrs
-    if not attrs or node.tag in FRAMES:
+    if not attrs or (node.tag in FRAMES and not (node.tag == "article" and place == WITHIN)):
         return False
-    if attrs.get("role", "").lower() in FURNITURE_ROLES:
-        return True
-    names = attrs.get("class", "") + " " + attrs.get("id", "")
-    return names != " " and any(w in FURNITURE_WORDS and not (in_article and w == "header") for w in _WORD.findall(names.lower()))
+    names = attrs.get("class", "")
+    if not place or not (node.tag == "section" or node.tag in _HEADINGS):
+        names += " " + attrs.get("id", "")
+    return bool(names.strip()) and any(w in FURNITURE_WORDS and not (place and w == "header") for w in _WORD.findall(names.lower()))
 
 
 def _hidden(attrs: dict[str, str]) -> bool:
@@ -73,21 +86,21 @@ def blocks(root: Node) -> list[Block]:
     text: list[str] = []
     linked = [0]
 
-    def close(node: Node, furniture: bool, article: bool, content: bool) -> None:
+    def close(node: Node, furniture: bool, named: bool, place: int, content: bool) -> None:
         joined = " ".join("".join(text).split())
         text.clear()
         if joined:
             b = Block()
-            b.text, b.linked, b.furniture, b.article, b.content, b.parent, b.tag = joined, min(1.0, linked[0] / len(joined)), furniture, article, content, node.parent, node.tag
+            b.text, b.linked, b.furniture, b.named, b.article, b.content, b.parent, b.tag = joined, min(1.0, linked[0] / len(joined)), furniture, named, place > OUTSIDE, content, node.parent, node.tag
             out.append(b)
         linked[0] = 0
 
     # Entries: a node to enter, a string to take, or None to leave the block element that follows it.
-    stack: list = [(root, root, False, False, False, False)]
+    stack: list = [(root, root, False, False, OUTSIDE, False, False)]
     while stack:
-        item, holder, furniture, article, content, link = stack.pop()
+        item, holder, furniture, named, place, content, link = stack.pop()
         if item is None:
-            close(holder, furniture, article, content)
+            close(holder, furniture, named, place, content)
         elif isinstance(item, str):
             text.append(item)
             if link:
@@ -95,22 +108,24 @@ def blocks(root: Node) -> list[Block]:
         elif item.tag == "br":
             text.append(" ")
         elif item.tag not in SKIPPED and not _hidden(item.attrs):
-            loose = not article and item.parent is not None and item.parent.tag in ("body", "div", "section") and _furniture(item, article)
+            own, word = _furniture(item, place), _named(item, place)
+            loose = not place and item.parent is not None and item.parent.tag in ("body", "div", "section") and (own or word)
             inline = item.tag in INLINE and not loose
-            inside = (furniture or _furniture(item, article), article or item.tag in ("article", "main"), content or (bool(item.attrs) and not CONTENT_WORDS.isdisjoint(_WORD.findall(item.attrs.get("class", "").lower()))), link or item.tag == "a")
+            below_place = WITHIN if item.tag == "article" else place or (IN_MAIN if item.tag == "main" else OUTSIDE)
+            inside = (furniture or own or (word and not place), named or (word and bool(place)), below_place, content or (bool(item.attrs) and not CONTENT_WORDS.isdisjoint(_WORD.findall(item.attrs.get("class", "").lower()))), link or item.tag == "a")
             if not inline:
-                close(holder, furniture, article, content)
+                close(holder, furniture, named, place, content)
                 stack.append((None, item, *inside))
             below = holder if inline else item
             stack.extend((c, below, *inside) for c in reversed(item.children))
-    close(root, False, False, False)
+    close(root, False, False, OUTSIDE, False)
     return out
 
 
 def score(b: Block) -> float:
     """Log odds that a block is content."""
     z = BIAS + LENGTH * min(1.0, len(b.text) / 120) + LINKED * b.linked
-    z += FURNITURE * b.furniture + IN_ARTICLE * b.article + CONTENT_CLASS * b.content
+    z += (FURNITURE if b.furniture else NAMED * b.named) + IN_ARTICLE * b.article + CONTENT_CLASS * (b.content and not b.named)
     return z + (PARAGRAPH if b.tag in ("p", "blockquote", "pre") else HEADING if b.tag in _HEADINGS else ITEM if b.tag in ("li", "td") else 0.0)
 
 

@@ -75,3 +75,24 @@ def test_edge_rows(spark):
     got = {(r.page_id, r.n_chars) for r in mincut.main_text(df).collect()}
     assert got == {(1, 0), (2, 0), (None, 0), (4, 20_000 * 11 - 2)}
     assert mincut.main_text(df.limit(0)).count() == 0
+
+
+def test_furniture_words_in_articles_are_costs():
+    long = "The parts of this text say a good deal about the matter that they are named for, and they go on saying it well past a line or two of it."
+    page = f"""<article><h1>T</h1><p>{long}</p><h2 id="related-work">Related work</h2><p>{long}</p><section id="discussion"><h2>Discussion</h2><p>{long}</p><p>Short end.</p></section>
+    <div class="notice"><p>{long}</p></div><div class="disclaimer">{long}</div><p>{long}</p><ul class="related"><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul>
+    <div class="share"><a href=3>Share this</a></div><div class="ad">Buy now.</div><p>End.</p></article>"""
+    assert mincut.main_blocks(page)[0] == ["T", long, "Related work", long, "Discussion", long, "Short end.", long, long, long, "End."]
+    # The same words outside of an article or main, and furniture by tag or role inside, stay out at any length.
+    assert mincut.main_blocks(f'<article><p>{long}</p><aside>{long}</aside><div role="search">{long}</div></article><div class="notice">{long}</div>')[0] == [long]
+
+
+def test_neighbours_outvote_a_furniture_word():
+    text = "x" * 100
+    assert mincut.main_blocks(f'<article><p class="notice">{text}</p></article>')[0] == []
+    assert mincut.main_blocks(f'<article><p>{text}</p><p class="notice">{text}</p><p>{text}</p></article>')[0] == [text] * 3
+
+
+def test_mathematics_is_text():
+    page = "<article><p>Where <math><mrow><mi>a</mi><mo>=</mo><msup><mi>b</mi><mn>2</mn></msup></mrow><annotation>a=b^2</annotation></math> holds.</p></article>"
+    assert mincut.main_blocks(page)[0] == ["Where a=b2 holds."]
