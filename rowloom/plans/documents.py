@@ -131,6 +131,13 @@ def tf_url(spark, sf_dir):
     return plain.select("page_id", "href", T.url(F.col("href"), F.col("base")).alias("link"))
 
 
+@query("tf_url_every_href")
+def tf_url_every_href(spark, sf_dir):
+    """Every address of every page, with whatever it holds; SQL cannot encode them, so tests compare with urllib."""
+    rows = pages.extract(table(spark, sf_dir, "pages").withColumn("base", F.col("url")), [{"name": "href", "selector": "[href]", "type": "attribute", "attribute": "href"}])
+    return rows.where("href IS NOT NULL").select("page_id", "href", T.url(F.col("href"), F.col("base")).alias("link"))
+
+
 # ---- JSON and APIs --------------------------------------------------------------------------------------------------
 
 
