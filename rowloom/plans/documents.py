@@ -103,6 +103,18 @@ def detect_table(spark, sf_dir):
     return found.where("rank = 1").select("o_orderpriority", F.col("count").alias("n"), (F.contains("fields", F.lit('"order"')) & F.contains("fields", F.lit('"customer"'))).alias("named"))
 
 
+@query("detect_table_customers", "SELECT o_custkey, CASE WHEN count(*) >= 3 THEN count(*) ELSE 0 END AS n, count(*) >= 3 AS named FROM orders GROUP BY 1")
+def detect_table_customers(spark, sf_dir):
+    """A table of all orders of each customer, found again; fewer than three rows are no set of records to the detector."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("o"))
+    body = F.array_join(F.transform("o", lambda x: F.concat(F.lit("<tr><td>"), x.cast("string"), F.lit("</td><td>c"), (x + F.col("o_custkey")).cast("string"), F.lit("</td></tr>"))), "")
+    html = F.concat(F.lit("<table><thead><tr><th>Order</th><th>Code</th></tr></thead><tbody>"), body, F.lit("</tbody></table>"))
+    made = orders.select("o_custkey", F.lit("u").alias("url"), html.alias("html"))
+    found = pages.detect_tables(made).where("rank = 1").select("o_custkey", F.col("count").cast("long").alias("found"), (F.contains("fields", F.lit('"order"')) & F.contains("fields", F.lit('"code"'))).alias("both"))
+    each = made.select("o_custkey").join(found, "o_custkey", "left")
+    return each.select("o_custkey", F.coalesce("found", F.lit(0)).cast("long").alias("n"), F.coalesce("both", F.lit(False)).alias("named"))
+
+
 @query("detect_table_pages")
 def detect_table_pages(spark, sf_dir):
     return pages.detect_tables(table(spark, sf_dir, "pages")).select("page_id", "rank", "selector", "count", "score")

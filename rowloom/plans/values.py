@@ -366,6 +366,14 @@ def merge_stores(spark, sf_dir):
     return datasets.merge_stores(orders.where("o_orderkey % 3 = 0"), stored, "o_custkey")
 
 
+@query("export_merge_all_orders", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT min(o_orderkey), o_custkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0) GROUP BY o_custkey")
+def merge_all_orders(spark, sf_dir):
+    """The same with every order in one of the two stores."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    stored = orders.where("o_orderkey % 3 <> 0").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey")).select("o_orderkey", "o_custkey")
+    return datasets.merge_stores(orders.where("o_orderkey % 3 = 0"), stored, "o_custkey")
+
+
 # ---- grounding and provenance ---------------------------------------------------------------------------------------
 
 _CORPUS = "Acme Ltd v Bloggs. The price was £1,299.00 in total, on /p/9 of the file. Contract law; property"

@@ -6,9 +6,9 @@ from html.parser import HTMLParser
 from urllib.parse import quote, urljoin, urlsplit
 
 sys.path[:0] = [os.path.dirname(__file__), os.path.dirname(os.path.dirname(os.path.abspath(__file__)))]
-from helpers import SF  # noqa: E402
+from helpers import SF, compare  # noqa: E402
 
-from rowloom.plans.catalogue import QUERIES  # noqa: E402
+from rowloom.plans.catalogue import ORACLES, QUERIES  # noqa: E402
 
 
 class Hrefs(HTMLParser):
@@ -34,3 +34,16 @@ def test_every_href_is_resolved(spark, tmp_path):
         want = sorted((p.page_id, h, resolved(p.url, h)) for p in pages for h in Hrefs(p.html).found)
         got = sorted(map(tuple, QUERIES["tf_url_every_href"](spark, folder).collect()))
         assert got == want
+
+
+def test_stores_and_tables_take_every_order(spark):
+    orders = {r.o_orderkey: r.o_custkey for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
+    merged = QUERIES["export_merge_all_orders"](spark, SF).collect()
+    assert {r.o_custkey for r in merged} == set(orders.values()) and {r.o_orderkey for r in merged} >= {k for k in orders if k % 3 == 0}
+    sizes = {}
+    for c in orders.values():
+        sizes[c] = sizes.get(c, 0) + 1
+    found = {r.o_custkey: r.n for r in QUERIES["detect_table_customers"](spark, SF).collect()}
+    assert found == {c: n if n >= 3 else 0 for c, n in sizes.items()}
+    for name in ("export_merge_all_orders", "detect_table_customers"):
+        compare(QUERIES[name](spark, SF), ORACLES[name])
