@@ -48,6 +48,8 @@ def sql_values(rows: list[tuple], names: str) -> str:
 # ---- flagship -------------------------------------------------------------------------------------------------------
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+#: The same matches, but a long run of such characters without an @ is read once, not from each of its places; so texts of any length can be searched.
+EMAIL_LINEAR = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
 @query(
@@ -61,7 +63,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tidy, filter, deduplicate on the text, extract, render as JSON lines: the shape of most runs."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     kept = D.keep_first(docs.where(P.condition("not-empty", P.observed(F.col("text")))), "doc_id", ["text"])
-    rows = kept.withColumn("email", T.apply_transforms(F.col("text"), ["regex"], pattern=EMAIL)).withColumn("first_number", T.number(F.col("text")))
+    rows = kept.withColumn("email", F.nullif(F.regexp_extract("text", EMAIL_LINEAR, 0), F.lit(""))).withColumn("first_number", T.number(F.col("text")))
     out = rows.select("doc_id", "lang", "source", "email", "first_number")
     return out.withColumn("line", render.line(out.select("doc_id", "lang", "source", "email"), "jsonl")).drop("source")
 

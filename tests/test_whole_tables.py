@@ -47,3 +47,11 @@ def test_stores_and_tables_take_every_order(spark):
     assert found == {c: n if n >= 3 else 0 for c, n in sizes.items()}
     for name in ("export_merge_all_orders", "detect_table_customers"):
         compare(QUERIES[name](spark, SF), ORACLES[name])
+
+
+def test_flagship_finds_addresses_in_long_texts(spark, tmp_path):
+    texts = ["word " * 5_000 + "jo@mail.test end", "x" * 300_000 + " a@b.test", "@x.test ..a.b@c-d.e.org, z@z", "none" + "@" * 50, "a@b a%b@c.de@f.gh", "short me@here.test 5"]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.email for r in QUERIES["flagship_clean_dedupe_jsonl"](spark, str(tmp_path)).collect()}
+    assert got == {0: "jo@mail.test", 1: "a@b.test", 2: "..a.b@c-d.e.org", 3: None, 4: "a%b@c.de", 5: "me@here.test"}
