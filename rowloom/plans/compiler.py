@@ -35,19 +35,23 @@ class RecipeError(ValueError):
 
 @dataclass
 class Sources:
-    """The tables a run reads: pages(url, html), responses(run, seq, body, status, link), captures(url, method, type), files(path, content)."""
+    """The tables a run reads: pages(url, html), responses(run, seq, body, status, link), captures(url, method, type), files(path, content), and seen(key): the keys that earlier runs of the recipe on this site gave back."""
 
     pages: DataFrame | None = None
     responses: DataFrame | None = None
     captures: DataFrame | None = None
     files: DataFrame | None = None
+    seen: DataFrame | None = None
     context: dict = field(default_factory=dict)
 
 
 @dataclass
 class Result:
+    """seen: where a DEDUPE remembers for ever, the keys to give to the next run."""
+
     rows: DataFrame | None
     exports: list[dict]
+    seen: DataFrame | None = None
 
 
 class _Compiler:
@@ -57,6 +61,9 @@ class _Compiler:
         self.collected: list[DataFrame] = []
         self.gates: list[tuple[int, dict]] = []
         self.exports: list[dict] = []
+        self.stops: list[tuple[int, int, int]] = []
+        self.seen: DataFrame | None = None
+        self.stored = {"extracted"}
         self.loop: str | None = None
 
     # -- pieces --
@@ -67,6 +74,9 @@ class _Compiler:
         return self.page
 
     def config(self, step: Step) -> dict:
+        for m in re.finditer(r"\{\{\s*([^}.\[]+)[^}]*\}\}", json.dumps(step.config, ensure_ascii=False)):
+            if m[1].strip() in self.stored and m[1].strip() not in self.sources.context:
+                raise RecipeError(f"{step.type} ({step.id}): {m[0]} is a result of an earlier step, which no plan knows before it runs.")
         return templates.render({**default_config(step.type), **step.config}, self.sources.context)
 
     def collect(self, rows: DataFrame, step: Step) -> None:
@@ -77,7 +87,18 @@ class _Compiler:
             handler: Callable[[Step, dict], None] | None = getattr(self, f"do_{step.type.lower()}", None)
             if handler is None:
                 raise RecipeError(f"{step.type} ({step.id}) has no plan.")
-            handler(step, self.config(step))
+            config = self.config(step)
+            before = self.page, self.loop, self.sources.context, len(self.collected), len(self.gates), len(self.exports), len(self.stops)
+            try:
+                handler(step, config)
+            except RecipeError:
+                if not config.get("optional"):
+                    raise
+                self.page, self.loop, self.sources.context = before[:3]
+                for made, n in zip((self.collected, self.gates, self.exports, self.stops), before[3:], strict=True):
+                    del made[n:]
+            if config.get("storeAs") or step.type == "API":
+                self.stored |= {str(config.get("storeAs") or "api").strip(), "api"} if step.type == "API" else {str(config["storeAs"]).strip()}
 
     # -- navigation --
 
@@ -179,7 +200,12 @@ class _Compiler:
                 items = [{"value": first + k * by, "url": str(c.get("url") or "").replace("{page}", str(first + k * by))} for k in range(n)]
                 wanted = self.spark.createDataFrame([(i, x["url"]) for i, x in enumerate(items)], "_page long, url string")
                 self.page = self.sources.pages.join(F.broadcast(wanted), "url") if self.sources.pages is not None else None
+                start = len(self.collected)
                 self.run(step.children or [])
+                if c.get("stopWhenEmpty") is not False and len(self.collected) > start:
+                    if any("_page" not in df.columns for df in self.collected[start:]):
+                        raise RecipeError(f"LOOP ({step.id}): rows that do not tell their page cannot stop it; set stopWhenEmpty to false.")
+                    self.stops.append((start, len(self.collected), n))
                 items = []
             path = _only_navigates(step)
             if path and items and self.sources.pages is not None:
@@ -209,7 +235,9 @@ class _Compiler:
         self.page = outer
 
     def do_assert(self, step: Step, c: dict) -> None:
-        """A page on which the assertion fails stops the run with its message."""
+        """A page on which the assertion fails stops the run with its message; an optional one only warns."""
+        if c.get("optional"):
+            return
         seen = self._observed(step, c)
         message = P.assertion(c["assertion"], F.col("__seen.count"), F.col("__seen.text"), c.get("selector") or "", c.get("count", ""), c.get("value", ""))
         checked = F.when(message.isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
@@ -245,13 +273,32 @@ class _Compiler:
         ordered = [df.withColumn("_seq", F.struct(F.lit(i).alias("batch"), *_order(df))) for i, df in enumerate(self.collected)]
         ordered = [df.withColumn("_seq", F.to_json("_seq")).withColumn("_batch", F.lit(i)) for i, df in enumerate(ordered)]
         out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ordered)
+        for start, end, n in self.stops:
+            kept = self._gated(out.where(F.col("_batch") < end)).where(F.col("_batch") >= start).groupBy("_page").agg(F.count(F.lit(1)).alias("kept"))
+            # What the run had before the loop stands before its first page.
+            had = self._gated(out.where(F.col("_batch") < start)).agg(F.count(F.lit(1)).alias("kept")).select(F.lit(-1).cast("long").alias("_page"), "kept")
+            counts = self.spark.range(n).withColumnRenamed("id", "_page").join(kept, "_page", "left").select("_page", F.coalesce("kept", F.lit(0)).alias("kept"))
+            open_pages = paginate_until_empty(counts.unionByName(had), "_page", "kept").select("_page")
+            inside = F.col("_batch").between(start, end - 1)
+            out = out.where(~inside).unionByName(out.where(inside).join(F.broadcast(open_pages), "_page", "left_semi"))
+        return self._gated(out, remember=True).drop("_seq", "_batch")
+
+    def _gated(self, out: DataFrame, remember: bool = False) -> DataFrame:
         for start, config in self.gates:
             fields = D.parse_fields(config.get("fields") or "")
             names = fields or [x for x in out.columns if not x.startswith("_")]
             placed = out.withColumn("__order", F.concat(F.lpad(F.col("_batch").cast("string"), 6, "0"), F.col("_seq")))
             gated = D.first_rows(placed.where(F.col("_batch") >= start), "__order", names)
+            if config.get("scope") == "forever":
+                gated = gated.withColumn("__key", F.sha2(D.row_key(gated.drop("__order"), names), 256))
+                if self.sources.seen is not None:
+                    gated = gated.join(self.sources.seen.select(F.col("key").alias("__key")), "__key", "left_anti")
+                if remember:
+                    known = [x for x in (self.sources.seen, self.seen) if x is not None]
+                    self.seen = reduce(DataFrame.unionByName, [x.select("key") for x in known], gated.select(F.col("__key").alias("key"))).distinct()
+                gated = gated.drop("__key")
             out = placed.where(F.col("_batch") < start).unionByName(gated).drop("__order")
-        return out.drop("_seq", "_batch")
+        return out
 
 
 def _only_navigates(step: Step) -> str | None:
@@ -266,7 +313,7 @@ def _only_navigates(step: Step) -> str | None:
 def _order(df: DataFrame) -> list[Column]:
     """What rows of a step are ordered by: the page, then the record and row numbers, padded so that they sort as text."""
     pad = lambda c: F.lpad(F.coalesce(F.col(c).cast("string"), F.lit("")), 12, "0").alias(c)
-    return [F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url")] * ("url" in df.columns) + [pad(c) for c in ("page_id", "_record", "_row", "seq", "row_no", "page", "index") if c in df.columns]
+    return [pad("_page")] * ("_page" in df.columns) + [F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url")] * ("url" in df.columns) + [pad(c) for c in ("page_id", "_record", "_row", "seq", "row_no", "page", "index") if c in df.columns]
 
 
 def file_manifest(files: DataFrame, template: str = "{{file.name}}") -> DataFrame:
@@ -298,7 +345,7 @@ def compile_recipe(spark: SparkSession, recipe: object, sources: Sources) -> Res
         raise RecipeError("; ".join(f"{kind} ({i}): {why}" for i, kind, why in refused))
     c = _Compiler(spark, sources)
     c.run(r.steps)
-    return Result(c.rows(), c.exports)
+    return Result(c.rows(), c.exports, c.seen)
 
 
 def paginate_until_empty(rows: DataFrame, page: str, kept: str, first_rows: bool = False) -> DataFrame:
