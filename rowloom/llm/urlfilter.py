@@ -2,22 +2,26 @@
 
 Rules name a host (with all its subdomains) and the start of a path; the longest that fits decides. Where none does,
 the tree decides: per host, path segments are its levels. Runs of digits become wildcards first; then, from the top
-down, a node with many children of little support each gets one wildcard child instead. Branches that differ only in
+down, a node with many children of little support each gets one wildcard child instead. The first DEPTH segments are
+columns; below them the tree goes on, a level at a time, to the end of the longest path, but for nodes that have too
+few path shapes to get a wildcard anywhere below: those are finished at once. Branches that differ only in
 their first segment merge when their labelled rates of blocking are statistically alike (within two standard errors
 of their pooled rate, with evidence in each); a template is rejected when its smoothed share of blocked labels is
-high. Labels are the rules' own verdicts unless a label column is given.
+high. A template deeper than DEPTH without labels is judged at its deepest node that has some. Labels are the rules' own verdicts unless a label column is given.
 
 All statistics are aggregates of the whole table, pre-aggregated by template, so a host with a third of all URLs is
 no group of its own anywhere.
 
 Edge cases: a null URL, or one without `://`, has the empty host and path, fits no rule and shares the template of
 other such rows; ties between rules of equal length go to the first by text; repeated rows count each; an empty table
-gives an empty one; long paths are read whole, levels below DEPTH as one wildcard; columns named like the results are
+gives an empty one; long paths are read whole; columns named like the results are
 replaced.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,10 +71,38 @@ def _pick(index: Column, values: list[str]) -> Column:
 
 
 def segments(path: Column) -> list[Column]:
-    """The first DEPTH segments with digits as wildcards (null past the end), then a mark for what is deeper."""
+    """The first DEPTH segments with digits as wildcards (empty past the end), then all that is deeper, with a slash before each."""
     parts = F.split(F.regexp_replace(path, "[0-9]+", "*"), "/")
     level = [F.try_element_at(parts, F.lit(k + 2)) for k in range(DEPTH)]
-    return [F.coalesce(x, F.lit("")) for x in level] + [F.when(F.size(parts) > DEPTH + 1, "**").otherwise("")]
+    return [F.coalesce(x, F.lit("")) for x in level] + [F.when(F.size(parts) > DEPTH + 1, F.concat(F.lit("/"), F.array_join(F.slice(parts, DEPTH + 2, F.size(parts)), "/"))).otherwise("")]
+
+
+def _grow(deep: DataFrame, above: list[str]) -> DataFrame:
+    """t3, the template below DEPTH, for shapes that are longer: a level of the tree a round, while any node has enough shapes."""
+    node, first = ["host", *above, f"t{DEPTH}"], F.element_at("__left", 1)
+    deep = deep.withColumn(f"t{DEPTH}", F.lit("")).withColumn("__left", F.split(F.substr(F.col(f"s{DEPTH}"), F.lit(2)), "/"))
+    done: list[DataFrame] = []
+    while not done or not deep.isEmpty():
+        children = deep.groupBy(*node, first.alias("__first")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("shapes"))
+        wild = (F.count(F.lit(1)) > CHILDREN) & (F.count(F.lit(1)) * SUPPORT > F.sum("n"))
+        nodes = children.groupBy(*node).agg(wild.alias("__wild"), (F.sum("shapes") > CHILDREN).alias("__many"))
+        step = F.when(~F.col("__many"), F.array_join("__left", "/")).when(F.col("__wild"), "*").otherwise(first)
+        left = F.when(F.col("__many"), F.slice("__left", 2, F.size("__left"))).otherwise(F.slice("__left", 1, 0))
+        deep = deep.join(nodes, node).withColumns({f"t{DEPTH}": F.concat(f"t{DEPTH}", F.lit("/"), step), "__left": left}).drop("__wild", "__many")
+        deep = cut_lineage(deep, "url-levels")
+        done.append(deep.where(F.size("__left") == 0).drop("__left"))
+        deep = deep.where(F.size("__left") > 0)
+    return reduce(DataFrame.unionByName, done)
+
+
+def _from_above(counts: DataFrame, judged: DataFrame, template: list[str]) -> DataFrame:
+    """u_labelled and u_blocked of the deepest node with labels, for templates deeper than DEPTH that have none."""
+    last, above = template[-1], template[:-1]
+    nodes = lambda df: df.withColumn("__i", F.explode(F.sequence(F.lit(1), F.size(F.split(last, "/")) - 1))).withColumn("__node", F.sha2(F.expr(f"substring_index({last}, '/', __i)"), 256))
+    known = nodes(counts.where(f"{last} <> '' AND labelled > 0")).groupBy(*above, "__node").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    found = nodes(judged.where(f"{last} <> '' AND labelled = 0").select(*template)).join(known, [*above, "__node"])
+    found = found.groupBy(*template).agg(F.max_by("l", "__i").alias("u_labelled"), F.max_by("b", "__i").alias("u_blocked"))
+    return judged.join(found, template, "left")
 
 
 def template_verdicts(urls: DataFrame) -> DataFrame:
@@ -85,7 +117,13 @@ def template_verdicts(urls: DataFrame) -> DataFrame:
         shapes = shapes.join(nodes, ["host", *above]).withColumn(f"t{k}", F.when(F.col("__wild"), "*").otherwise(F.col(f"s{k}"))).drop("__wild")
         above.append(f"t{k}")
     shapes = cut_lineage(shapes, "url-templates")
-    template = ["host", *above, f"s{DEPTH}"]
+    deep = shapes.where(f"s{DEPTH} <> ''")
+    any_deep = not deep.isEmpty()
+    if any_deep:
+        shapes = shapes.where(f"s{DEPTH} = ''").withColumn(f"t{DEPTH}", F.lit("")).unionByName(_grow(deep, above))
+    else:
+        shapes = shapes.withColumn(f"t{DEPTH}", F.lit(""))
+    template = ["host", *above, f"t{DEPTH}"]
     counts = shapes.groupBy(*template).agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     rest = [c for c in template if c != "t0"]
     pooled = counts.where("labelled > 0").groupBy(*rest).agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
@@ -96,6 +134,9 @@ def template_verdicts(urls: DataFrame) -> DataFrame:
     judged = judged.join(merged, rest, "left")
     labelled = F.when(F.col("alike"), F.col("m_labelled")).otherwise(F.col("labelled"))
     blocked = F.when(F.col("alike"), F.col("m_blocked")).otherwise(F.col("blocked"))
+    if any_deep:
+        judged = _from_above(counts, judged, template)
+        labelled, blocked = F.coalesce("u_labelled", labelled), F.coalesce("u_blocked", blocked)
     rejected = judged.select(*template, ((labelled > 0) & (10 * (blocked + 1) >= PURITY * (labelled + 2))).alias("rejected"))
     return shapes.join(rejected, template).select("host", *names, "rejected")
 

@@ -51,3 +51,17 @@ def test_templates_learn_from_labels(spark):
     got = {r.url: r.verdict for r in urlfilter.filter_urls(df, rules=(), label_col="bad").collect()}
     assert got["http://h.x/tag/903/list"] == "block" and got["http://h.x/user/someone/spam"] == "block"
     assert got["http://h.x/post/9999"] == "allow" and got["http://h.x/new/1"] == "allow"
+
+
+def test_paths_are_told_apart_below_the_third_segment(spark):
+    rows = []
+    for i in range(40):
+        word = chr(97 + i % 26) + "q" * (i // 26 + 1)
+        rows += [(f"http://h.x/a/b/c/spam/{i}", True), (f"http://h.x/a/b/c/news/{i}", False), (f"http://h.x/a/b/c/d/e/user-{word}/x/y/bad", True), (f"http://h.x/a/b/c/d/e/user-{word}/x/y/good", False)]
+    rows += [(f"http://h.x/{'/'.join('abc')}/" + "z/" * 900, False), ("http://h.x/a/b/c/spam/7/page/other", None), ("http://h.x/a/b/c/news/7/page/other", None)]
+    rows += [("http://h.x/a/b/c/d/e/user-new/x/y/bad", None), ("http://h.x/a/b/c/d/e/user-new/x/y/good", None), ("http://h.x/a/b/c/spam/999", None), ("http://h.x/a/b/c/news/999", None)]
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    got = urlfilter.filter_urls(df, rules=(), label_col="bad").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.verdict == ("block" if "spam" in r.url or r.url.endswith("bad") else "allow"), r.url
