@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,6 +38,30 @@ def test_cards_and_added_spans():
     assert "4012" not in pii.redact_text(text, spans) and "a@b.co" not in pii.redact_text(text, spans)
 
 
+def accounts(text):
+    return [text[a:b] for a, k, b in pii.find_spans(text) if k == "account"]
+
+
+def test_cues_and_their_values():
+    assert accounts("my account number is 12345678.") == ["12345678"]
+    assert accounts("IBAN: DE89 3704 0044 0532 0130 00 is mine, IBAN DE88 3704 0044 0532 0130 00 is wrong") == ["DE89 3704 0044 0532 0130 00"]
+    assert accounts("PassWord: hunter2hunter, ACCESS_TOKEN='abc.DEF-123=='") == ["hunter2hunter", "abc.DEF-123=="]
+    assert accounts("accountability2024 tokenizer_v2024 secretary12345678 mytoken 12345678a") == []
+    assert accounts("SSN 123-45-6789 ssn 000-45-6789 ssn 900-45-6789 social security number: 123 45 6789") == ["123-45-6789", "123 45 6789"]
+    assert accounts("passport no. C01X00T47 and account 1234 5678 9012 only") == ["C01X00T47", "1234 5678 9012"]
+    assert accounts("account") == accounts("account ") == accounts("account: ") == accounts("iban DE") == []
+    kinds = lambda t: [(t[a:b], k) for a, k, b in pii.find_spans(t) if k == "contact_uri"]
+    assert kinds("MAILTO:a@b.co, mailto:nobody tel:+1-234-567-890 tel:none sip:x@host sip:host") == [("MAILTO:a@b.co", "contact_uri"), ("tel:+1-234-567-890", "contact_uri"), ("sip:x@host", "contact_uri")]
+
+
+def test_dense_cues_take_linear_time():
+    for piece in ("token", "token ", "token-", "token=", "account-", "account 1-", "iban DE89 ", "ssn 1", "mailto:", "mailto:a", "sip:a@", "+1", "1.", "1 ", "a@", "secret.key/"):
+        text = piece * (1_000_000 // len(piece))
+        began = time.process_time()
+        pii.find_spans(text)
+        assert time.process_time() - began < 12, piece
+
+
 def test_query_on_nulls_long_texts_repeats_and_clashing_columns(spark):
     long = "x" * 200_000 + " a@b.cd " + "1.2.3.4 " * 3
     rows = [(1, None, 5), (2, "", 6), (3, "me@x.org", 7), (3, "me@x.org", 7), (None, long, 8)]
