@@ -9,9 +9,10 @@ Training reads every labelled text; each task adds up integer bundles, and the c
 coordinate, so what reaches the driver is one row for each language, however large the corpus.
 
 Edge cases: a text that is null or holds no letter gets `und` and score 0; rows with a null language teach nothing;
-with no training text at all every prediction is `und`; ties go to the first language by code point; repeated rows
-get equal results; an empty table gives an empty one; texts of any length are read whole; only the named columns are
-read, so extra columns may have any name. More than MAX_LANGUAGES distinct languages raise an error, as prototypes
+with no training text at all every prediction is `und`, and has_letters tells which texts could have had one (no
+document with letters is rejected then); a learned language may itself be named `und`; ties go to the first language
+by code point; repeated rows get equal results; an empty table gives an empty one; texts of any length are read whole;
+kept columns named like the results are replaced, others may have any name. More than MAX_LANGUAGES distinct languages raise an error, as prototypes
 are sent to every executor.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm._arrow import map_arrow, one_pass, texts
+from rowloom.llm._arrow import col, map_arrow, one_pass, set_aside, texts, without
 
 DIMENSIONS, N, MAX_LANGUAGES = 1024, 3, 4096
 UNKNOWN = "und"
@@ -120,7 +121,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int
         for lang, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([v.tolist()], pa.list_(pa.int64()))], names=["lang", "v"])
 
-    source = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    source = df.where(col(lang_col).isNotNull() & col(text_col).isNotNull()).select(col(lang_col).alias("lang"), col(text_col).alias("text"))
     parts = map_arrow(source, partial, "lang string, v array<bigint>")
     summed = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     rows = summed.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v")).limit(MAX_LANGUAGES + 1).collect()
@@ -129,18 +130,23 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int
     return {r.lang: np.array(r.v, np.float64) for r in rows}
 
 
+RESULT = ("lang_pred", "score", "has_letters")
+
+
 def predict(df: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), n: int = N, dimensions: int = DIMENSIONS) -> DataFrame:
-    """The kept columns (by default the id alone), then lang_pred and score (the cosine, at least 0)."""
+    """The kept columns (by default the id alone), then lang_pred, score (the cosine, at least 0) and has_letters."""
     names = sorted(prototypes)
     unit = np.array([prototypes[k] / (np.linalg.norm(prototypes[k]) or 1) for k in names])
-    kept = [id_col, *(c for c in keep if c not in (id_col, "lang_pred", "score"))]
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-    reads = "__text"
+    kept = without([id_col, *(c for c in keep if c != id_col)], RESULT)
+    own = [f"k{i}" for i in range(len(kept))]
+    fields = "".join(f"{k} {df.schema[c].dataType.simpleString()}, " for k, c in zip(own, kept, strict=True))
 
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, scores = [], []
-        for text in texts(batch, reads):
-            v = bundle_text(text, n, dimensions) if names else None
+        langs, scores, lettered = [], [], []
+        for text in texts(batch, "text"):
+            has = any(map(str.isalpha, text))
+            v = bundle_text(text, n, dimensions) if names and has else None
+            lettered.append(has)
             if v is None:
                 langs.append(UNKNOWN)
                 scores.append(0.0)
@@ -150,10 +156,22 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc
                 k = int(np.argmax(cosines))
                 langs.append(names[k])
                 scores.append(min(1.0, max(0.0, float(cosines[k]))))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
-
-    source = df.select(*kept, F.col(text_col).alias(reads))
-    return map_arrow(source, lambda batches: one_pass(batches, build), f"{fields}, lang_pred string, score double")
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in own), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(lettered, pa.bool_())], names=[*own, *RESULT])
+
+    source = df.select(*(col(c).alias(k) for c, k in zip(kept, own, strict=True)), col(text_col).alias("text"))
+    done = map_arrow(source, lambda batches: one_pass(batches, build), f"{fields}lang_pred string, score double, has_letters boolean")
+    return done.toDF(*kept, *RESULT)
+
+
+def with_languages(df: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """df's columns without the rows that are in no language (null texts, and those without a letter); a null language
+    becomes the predicted one, where any language can be learned from df."""
+    aside, names = set_aside(df, RESULT)
+    lang, text = (names[df.columns.index(c)] for c in (lang_col, text_col))
+    model = train(aside, text, lang, **options)
+    kept = predict(aside, model, names[0], text, keep=tuple(names), **options).where("has_letters")
+    found = F.coalesce(col(lang), F.col("lang_pred")) if model else col(lang)
+    return kept.select(*(found.alias(c) if c == lang else col(c) for c in names)).toDF(*df.columns)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -42,7 +42,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out())
     model = langid.train(docs.where(~F.col("held_out")))
-    return langid.predict(docs, model, keep=("held_out",))
+    return langid.predict(docs, model, keep=("held_out",)).drop("has_letters")
 
 
 def media_digest(features: DataFrame) -> DataFrame:
