@@ -1,21 +1,25 @@
 """URL filters: host and path rules, and a path-template tree for the URLs that no rule fits.
 
 Rules name a host (with all its subdomains) and the start of a path; the longest that fits decides. Where none does,
-the tree decides: per host, path segments are its levels. Runs of digits become wildcards first; then, from the top
-down, a node with many children of little support each gets one wildcard child instead. The first DEPTH segments are
-columns; below them the tree goes on, a level at a time, to the end of the longest path, but for nodes that have too
-few path shapes to get a wildcard anywhere below: those are finished at once. Branches that differ only in
-their first segment merge when their labelled rates of blocking are statistically alike (within two standard errors
-of their pooled rate, with evidence in each); a template is rejected when its smoothed share of blocked labels is
-high. A template deeper than DEPTH without labels is judged at its deepest node that has some. Labels are the rules' own verdicts unless a label column is given.
-
-All statistics are aggregates of the whole table, pre-aggregated by template, so a host with a third of all URLs is
-no group of its own anywhere.
+the tree decides. A host is a root, and its paths grow it, segment by segment, to the end of the longest one:
+
+* Runs of digits are wildcards from the start. A node with many children of little support each gets one wildcard
+  child instead.
+* Children that are statistically alike merge in one branch. Their segments below must be distributed as those of the
+  node as a whole are (a total variation distance of at most 1 / 4, or 1 / 2 where so few URLs could differ by chance),
+  and their labels, if they have any, must be blocked as often (within two standard errors).
+* A template's purity is the blocked share of its labels, smoothed towards its parent's by SMOOTHING labels; a host's
+  own is smoothed towards one half. So a template without labels has the purity of what it is merged with, or else of
+  the node above it, and one of a host without labels is allowed. A template is rejected when its purity is at least
+  PURITY / 10. A child with all URLs of its node has its node's purity.
+
+Labels are the rules' own verdicts unless a label column is given. All statistics are aggregates of the distinct path
+shapes, so a host with a third of all URLs is no group of its own anywhere. A round settles one branching level of
+all hosts; what a node's paths have in common is passed over at once.
 
 Edge cases: a null URL, or one without `://`, has the empty host and path, fits no rule and shares the template of
 other such rows; ties between rules of equal length go to the first by text; repeated rows count each; an empty table
-gives an empty one; long paths are read whole; columns named like the results are
-replaced.
+gives an empty one; long paths are read whole; columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -31,11 +35,12 @@ from rowloom.session import cut_lineage
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 MOST_RULES = 1000
 
-DEPTH = 3
 #: A node gets a wildcard child when it has more children than this, with fewer URLs to each than SUPPORT.
 CHILDREN, SUPPORT = 16, 4
-#: A template is rejected when (blocked + 1) / (labelled + 2) is at least 8 / 10.
-PURITY = 8
+#: Labels' worth of the purity above; the purity, in tenths, from which a template is rejected.
+SMOOTHING, PURITY = 2, 8
+#: Stands for the end of a path, and for the branch of merged children.
+END, MERGED = "$", "~"
 
 RESULT = ("host", "path", "rule", "verdict")
 
@@ -70,75 +75,62 @@ def _pick(index: Column, values: list[str]) -> Column:
     return out
 
 
-def segments(path: Column) -> list[Column]:
-    """The first DEPTH segments with digits as wildcards (empty past the end), then all that is deeper, with a slash before each."""
-    parts = F.split(F.regexp_replace(path, "[0-9]+", "*"), "/")
-    level = [F.try_element_at(parts, F.lit(k + 2)) for k in range(DEPTH)]
-    return [F.coalesce(x, F.lit("")) for x in level] + [F.when(F.size(parts) > DEPTH + 1, F.concat(F.lit("/"), F.array_join(F.slice(parts, DEPTH + 2, F.size(parts)), "/"))).otherwise("")]
-
-
-def _grow(deep: DataFrame, above: list[str]) -> DataFrame:
-    """t3, the template below DEPTH, for shapes that are longer: a level of the tree a round, while any node has enough shapes."""
-    node, first = ["host", *above, f"t{DEPTH}"], F.element_at("__left", 1)
-    deep = deep.withColumn(f"t{DEPTH}", F.lit("")).withColumn("__left", F.split(F.substr(F.col(f"s{DEPTH}"), F.lit(2)), "/"))
-    done: list[DataFrame] = []
-    while not done or not deep.isEmpty():
-        children = deep.groupBy(*node, first.alias("__first")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("shapes"))
-        wild = (F.count(F.lit(1)) > CHILDREN) & (F.count(F.lit(1)) * SUPPORT > F.sum("n"))
-        nodes = children.groupBy(*node).agg(wild.alias("__wild"), (F.sum("shapes") > CHILDREN).alias("__many"))
-        step = F.when(~F.col("__many"), F.array_join("__left", "/")).when(F.col("__wild"), "*").otherwise(first)
-        left = F.when(F.col("__many"), F.slice("__left", 2, F.size("__left"))).otherwise(F.slice("__left", 1, 0))
-        deep = deep.join(nodes, node).withColumns({f"t{DEPTH}": F.concat(f"t{DEPTH}", F.lit("/"), step), "__left": left}).drop("__wild", "__many")
-        deep = cut_lineage(deep, "url-levels")
-        done.append(deep.where(F.size("__left") == 0).drop("__left"))
-        deep = deep.where(F.size("__left") > 0)
-    return reduce(DataFrame.unionByName, done)
-
-
-def _from_above(counts: DataFrame, judged: DataFrame, template: list[str]) -> DataFrame:
-    """u_labelled and u_blocked of the deepest node with labels, for templates deeper than DEPTH that have none."""
-    last, above = template[-1], template[:-1]
-    nodes = lambda df: df.withColumn("__i", F.explode(F.sequence(F.lit(1), F.size(F.split(last, "/")) - 1))).withColumn("__node", F.sha2(F.expr(f"substring_index({last}, '/', __i)"), 256))
-    known = nodes(counts.where(f"{last} <> '' AND labelled > 0")).groupBy(*above, "__node").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    found = nodes(judged.where(f"{last} <> '' AND labelled = 0").select(*template)).join(known, [*above, "__node"])
-    found = found.groupBy(*template).agg(F.max_by("l", "__i").alias("u_labelled"), F.max_by("b", "__i").alias("u_blocked"))
-    return judged.join(found, template, "left")
-
-
-def template_verdicts(urls: DataFrame) -> DataFrame:
-    """From host, s0..s3 (segments) and blocks (true, false or null for no label): (host, s0..s3, rejected), a row for each distinct path shape."""
-    names = [f"s{k}" for k in range(DEPTH + 1)]
-    shapes = urls.groupBy("host", *names).agg(F.count(F.lit(1)).alias("n"), F.count("blocks").alias("labelled"), F.count_if("blocks").alias("blocked"))
+def shape(path: Column) -> Column:
+    """The path with its runs of digits as wildcards."""
+    return F.regexp_replace(path, "[0-9]+", "*")
+
+
+def purity(labelled: Column, blocked: Column, above: Column) -> Column:
+    return (blocked + SMOOTHING * above) / (labelled + SMOOTHING)
+
+
+def _branches(level: DataFrame) -> DataFrame:
+    """From (host, node, purity, first, second, n, labelled, blocked), the next two segments of all shapes that are not
+    settled: the step (segment, wildcard or merged branch) for each first, and the purity below it."""
+    node, child = ["host", "node"], ["host", "node", "first"]
+    counts = (F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    children = level.groupBy(*child).agg(*counts, F.first("purity").alias("purity"))
+    nodes = children.groupBy(*node).agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("all"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
+    below = level.groupBy(*child, "second").agg(F.sum("n").alias("n_here"))
+    pooled = below.groupBy(*node, "second").agg(F.sum("n_here").alias("n_pooled"))
+    shares = below.join(pooled, [*node, "second"]).join(children.select(*child, "n"), child).join(nodes.select(*node, "all"), node)
+    whole = lambda c: F.col(c).cast("double")
+    common = shares.groupBy(*child).agg(F.sum(F.least(whole("n_here") * whole("all"), whole("n_pooled") * whole("n"))).alias("common"))
+    judged = children.join(nodes, node).join(common, child)
+    n, every, lab, blk, all_lab, all_blk = map(whole, ("n", "all", "labelled", "blocked", "all_labelled", "all_blocked"))
+    apart = every * n - F.col("common")  # the total variation distance, times all URLs of the node and of the child
+    near = (4 * apart <= every * n) | ((2 * apart <= every * n) & (apart * apart <= every * every * n))
+    rates = blk * all_lab - all_blk * lab
+    alike = near & ((lab == 0) | (rates * rates <= 4 * lab * all_blk * (all_lab - all_blk)))
+    wild = (F.col("children") > CHILDREN) & (F.col("children") * SUPPORT > F.col("all"))
+    judged = judged.withColumn("step", F.when(wild, "*").when(alike, MERGED).otherwise(F.concat(F.lit("/"), "first")))
+    steps = judged.groupBy(*node, "step").agg(*counts, F.first("purity").alias("above"), F.first("all").alias("all"))
+    passed = F.when(F.col("n") == F.col("all"), F.col("above")).otherwise(purity(F.col("labelled"), F.col("blocked"), F.col("above")))
+    return judged.select(*child, "step").join(steps.select(*node, "step", passed.alias("purity")), [*node, "step"])
+
+
+def template_purity(urls: DataFrame) -> DataFrame:
+    """From host, shape and blocks (true, false or null for no label): (host, shape, purity of its template), a row for each host and shape."""
+    shapes = urls.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("blocks").alias("labelled"), F.count_if("blocks").alias("blocked"))
     shapes = cut_lineage(shapes, "url-shapes")
-    above: list[str] = []
-    for k in range(DEPTH):
-        children = shapes.groupBy("host", *above, f"s{k}").agg(F.sum("n").alias("n"))
-        nodes = children.groupBy("host", *above).agg(((F.count(F.lit(1)) > CHILDREN) & (F.count(F.lit(1)) * SUPPORT > F.sum("n"))).alias("__wild"))
-        shapes = shapes.join(nodes, ["host", *above]).withColumn(f"t{k}", F.when(F.col("__wild"), "*").otherwise(F.col(f"s{k}"))).drop("__wild")
-        above.append(f"t{k}")
-    shapes = cut_lineage(shapes, "url-templates")
-    deep = shapes.where(f"s{DEPTH} <> ''")
-    any_deep = not deep.isEmpty()
-    if any_deep:
-        shapes = shapes.where(f"s{DEPTH} = ''").withColumn(f"t{DEPTH}", F.lit("")).unionByName(_grow(deep, above))
-    else:
-        shapes = shapes.withColumn(f"t{DEPTH}", F.lit(""))
-    template = ["host", *above, f"t{DEPTH}"]
-    counts = shapes.groupBy(*template).agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    rest = [c for c in template if c != "t0"]
-    pooled = counts.where("labelled > 0").groupBy(*rest).agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
-    b, n, all_b, all_n = (F.col(c).cast("double") for c in ("blocked", "labelled", "all_blocked", "all_labelled"))
-    alike = (F.col("labelled") > 0) & ((b * all_n - all_b * n) * (b * all_n - all_b * n) <= 4 * n * all_b * (all_n - all_b))
-    judged = counts.join(pooled, rest, "left").withColumn("alike", F.coalesce(alike, F.lit(False)))
-    merged = judged.where("alike").groupBy(*rest).agg(F.sum("labelled").alias("m_labelled"), F.sum("blocked").alias("m_blocked"))
-    judged = judged.join(merged, rest, "left")
-    labelled = F.when(F.col("alike"), F.col("m_labelled")).otherwise(F.col("labelled"))
-    blocked = F.when(F.col("alike"), F.col("m_blocked")).otherwise(F.col("blocked"))
-    if any_deep:
-        judged = _from_above(counts, judged, template)
-        labelled, blocked = F.coalesce("u_labelled", labelled), F.coalesce("u_blocked", blocked)
-    rejected = judged.select(*template, ((labelled > 0) & (10 * (blocked + 1) >= PURITY * (labelled + 2))).alias("rejected"))
-    return shapes.join(rejected, template).select("host", *names, "rejected")
+    hosts = shapes.groupBy("host").agg(purity(F.sum("labelled"), F.sum("blocked"), F.lit(0.5)).alias("purity"))
+    parts = F.split("shape", "/")
+    growing = shapes.join(hosts, "host").withColumns({"node": F.lit(""), "left": F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))})
+    done: list[DataFrame] = []
+    while True:
+        ends = growing.groupBy("host", "node").agg(F.min("left").alias("low"), F.max("left").alias("high"))
+        same = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), F.lit(False)) - 1
+        ends = ends.select("host", "node", (F.col("low") == F.col("high")).alias("settled"), F.when(same < 0, F.least(F.size("low"), F.size("high"))).otherwise(same).cast("int").alias("skip"))
+        growing = cut_lineage(growing.join(ends, ["host", "node"]).withColumn("left", F.slice("left", F.col("skip") + 1, F.size("left"))).drop("skip"), "url-levels")
+        done.append(growing.where("settled").select("host", "shape", "purity"))
+        growing = growing.where("NOT settled").drop("settled")
+        if growing.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        at = lambda k: F.coalesce(F.try_element_at("left", F.lit(k)), F.lit(END))
+        growing = growing.withColumns({"first": at(1), "second": at(2)})
+        steps = cut_lineage(_branches(growing), "url-branches")
+        growing = growing.drop("purity").join(steps, ["host", "node", "first"])
+        growing = growing.withColumns({"node": F.sha2(F.concat_ws(" ", "node", F.col("step")), 256), "left": F.slice("left", 2, F.size("left"))}).drop("first", "second", "step")
 
 
 def filter_urls(df: DataFrame, url_col: str = "url", rules=RULES, label_col: str | None = None) -> DataFrame:
@@ -152,46 +144,46 @@ def filter_urls(df: DataFrame, url_col: str = "url", rules=RULES, label_col: str
     urls = df.select(*kept, host.alias("host"), path.alias("path"), *([F.col(label_col).alias("__label")] if label_col else []))
     urls = urls.withColumn("__rule", rule_index(F.col("host"), F.col("path"), rules))
     by_rule = _pick(F.col("__rule"), [v for v, _, _ in ordered])
-    names = [f"__s{k}" for k in range(DEPTH + 1)]
-    urls = urls.withColumns(dict(zip(names, segments(F.col("path")), strict=True)))
+    urls = urls.withColumn("__shape", shape(F.col("path")))
     labels = F.col("__label") if label_col else (by_rule == "block")
-    judged = template_verdicts(urls.select("host", *(F.col(n).alias(n[2:]) for n in names), labels.alias("blocks")))
-    judged = judged.select(F.col("host").alias("__host"), *(F.col(n[2:]).alias(f"_{n}") for n in names), "rejected")
-    on = F.col("host") == F.col("__host")
-    for n in names:
-        on = on & (F.col(n) == F.col(f"_{n}"))
-    verdict = F.coalesce(by_rule, F.when(F.col("rejected"), "block").otherwise("allow"))
-    return urls.join(judged, on, "left").select(*kept, "host", "path", _pick(F.col("__rule"), [h + p for _, h, p in ordered]).alias("rule"), verdict.alias("verdict"))
+    judged = template_purity(urls.select("host", F.col("__shape").alias("shape"), labels.alias("blocks")))
+    judged = judged.select(F.col("host").alias("__host"), F.col("shape").alias("__of"), (10 * F.col("purity") >= PURITY).alias("__rejected"))
+    verdict = F.coalesce(by_rule, F.when(F.col("__rejected"), "block").otherwise("allow"))
+    joined = urls.join(judged, (F.col("host") == F.col("__host")) & (F.col("__shape") == F.col("__of")), "left")
+    return joined.select(*kept, "host", "path", _pick(F.col("__rule"), [h + p for _, h, p in ordered]).alias("rule"), verdict.alias("verdict"))
+
+
+#: Segments of the paths in the driver's pages, which the registered SQL reaches; longer paths are tested by brute force.
+ORACLE_LEVELS = 4
 
 
 def _oracle() -> str:
     ordered = _ordered(RULES)
     case = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {i}" for i, (_, h, p) in enumerate(ordered)) + " END"
     pick = lambda values: "CASE r " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
-    names = ", ".join(f"s{k}" for k in range(DEPTH + 1))
-    steps = [f"q0 AS (SELECT host, {names}, count(*) AS n, count(r) AS labelled, count_if(r IS NOT NULL AND {pick([v for v, _, _ in ordered])} = 'block') AS blocked FROM u GROUP BY ALL)"]
-    above = "host"
-    for k in range(DEPTH):
-        steps.append(f"c{k} AS (SELECT {above}, s{k}, sum(n) AS n FROM q{k} GROUP BY ALL)")
-        steps.append(f"w{k} AS (SELECT {above}, count(*) > {CHILDREN} AND count(*) * {SUPPORT} > sum(n) AS wild FROM c{k} GROUP BY ALL)")
-        steps.append(f"q{k + 1} AS (SELECT q{k}.*, CASE WHEN wild THEN '*' ELSE s{k} END AS t{k} FROM q{k} JOIN w{k} USING ({above}))")
-        above += f", t{k}"
-    template, rest = f"{above}, s{DEPTH}", f"{above}, s{DEPTH}".replace(" t0,", "")
+    steps = ["h0 AS (SELECT host, (sum(b) + 2 * 0.5::DOUBLE) / (sum(l) + 2) AS purity FROM q GROUP BY host)", "g0 AS (SELECT host, shape, '' AS node, string_split(shape, '/')[2:] AS s, n, l, b, purity FROM q JOIN h0 USING (host))"]
+    for k in range(ORACLE_LEVELS):
+        steps.append(f"""
+f{k} AS (SELECT *, coalesce(s[{k + 1}], '{END}') AS f, coalesce(s[{k + 2}], '{END}') AS g FROM g{k}),
+c{k} AS (SELECT host, node, f, sum(n)::DOUBLE AS cn, sum(l)::DOUBLE AS cl, sum(b)::DOUBLE AS cb, any_value(purity) AS above FROM f{k} GROUP BY ALL),
+d{k} AS (SELECT host, node, count(*) AS kids, sum(cn) AS an, sum(cl) AS al, sum(cb) AS ab FROM c{k} GROUP BY ALL),
+e{k} AS (SELECT host, node, f, g, sum(n)::DOUBLE AS here FROM f{k} GROUP BY ALL),
+p{k} AS (SELECT host, node, g, sum(here) AS pooled FROM e{k} GROUP BY ALL),
+o{k} AS (SELECT host, node, f, sum(least(here * an, pooled * cn)) AS common FROM e{k} JOIN p{k} USING (host, node, g) JOIN c{k} USING (host, node, f) JOIN d{k} USING (host, node) GROUP BY ALL),
+j{k} AS (SELECT *, an * cn - common AS apart, cb * al - ab * cl AS rates FROM c{k} JOIN d{k} USING (host, node) JOIN o{k} USING (host, node, f)),
+t{k} AS (SELECT host, node, f, cn, cl, cb, an, above, CASE WHEN kids > {CHILDREN} AND kids * {SUPPORT} > an THEN '*'
+  WHEN (4 * apart <= an * cn OR (2 * apart <= an * cn AND apart * apart <= an * an * cn)) AND (cl = 0 OR rates * rates <= 4 * cl * ab * (al - ab)) THEN '{MERGED}' ELSE '/' || f END AS step FROM j{k}),
+u{k} AS (SELECT host, node, step, CASE WHEN sum(cn) = any_value(an) THEN any_value(above) ELSE (sum(cb) + {SMOOTHING} * any_value(above)) / (sum(cl) + {SMOOTHING}) END AS purity FROM t{k} GROUP BY ALL),
+g{k + 1} AS (SELECT host, shape, f{k}.node || ' ' || step AS node, s, n, l, b, u{k}.purity FROM f{k} JOIN t{k} USING (host, node, f) JOIN u{k} USING (host, node, step))""")
     return f"""
 WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS x FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(x, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(x, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
-g AS (SELECT *, {case} AS r, string_split(regexp_replace(path, '[0-9]+', '*', 'g'), '/') AS p FROM h),
-u AS (SELECT *, {", ".join(f"coalesce(p[{k + 2}], '') AS s{k}" for k in range(DEPTH))}, CASE WHEN len(p) > {DEPTH + 1} THEN '**' ELSE '' END AS s{DEPTH} FROM g),
-{", ".join(steps)},
-k AS (SELECT {template}, sum(labelled) AS l, sum(blocked) AS b FROM q{DEPTH} GROUP BY ALL),
-o AS (SELECT {rest}, sum(l) AS al, sum(b) AS ab FROM k WHERE l > 0 GROUP BY ALL),
-j AS (SELECT k.*, coalesce(l > 0 AND (b * al - ab * l) * (b * al - ab * l) <= 4 * l * ab * (al - ab), false) AS alike FROM k LEFT JOIN o USING ({rest})),
-m AS (SELECT {rest}, sum(l) AS ml, sum(b) AS mb FROM j WHERE alike GROUP BY ALL),
-v AS (SELECT {template}, CASE WHEN alike THEN ml ELSE l END AS fl, CASE WHEN alike THEN mb ELSE b END AS fb FROM j LEFT JOIN m USING ({rest})),
-z AS (SELECT host, {names}, fl > 0 AND 10 * (fb + 1) >= {PURITY} * (fl + 2) AS rejected FROM q{DEPTH} JOIN v USING ({template}))
-SELECT page_id, host, path, {pick([h + p for _, h, p in ordered])} AS rule,
-  coalesce({pick([v for v, _, _ in ordered])}, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict
-FROM u LEFT JOIN z USING (host, {names})
+u AS (SELECT *, {case} AS r, regexp_replace(path, '[0-9]+', '*', 'g') AS shape FROM h),
+q AS (SELECT host, shape, count(*) AS n, count(r) AS l, count_if(r IS NOT NULL AND {pick([v for v, _, _ in ordered])} = 'block') AS b FROM u GROUP BY ALL),
+{", ".join(steps)}
+SELECT page_id, u.host, path, {pick([h + p for _, h, p in ordered])} AS rule,
+  coalesce({pick([v for v, _, _ in ordered])}, CASE WHEN 10 * purity >= {PURITY} THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN g{ORACLE_LEVELS} z USING (host, shape)
 """
 
 

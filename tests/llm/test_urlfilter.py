@@ -1,5 +1,10 @@
 import os
+import random
+import re
 import sys
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 from oracle import assert_same  # noqa: E402
@@ -24,6 +29,77 @@ def brute_rule(url):
     return host, path, rule, verdict
 
 
+def brute_tree(rows, split=lambda shape: shape.split("/")[1:]):
+    """Purity of each (host, shape), by recursion; rows: (host, shape, blocked or None)."""
+    counts = defaultdict(lambda: [0, 0, 0])
+    for host, shape, bad in rows:
+        c = counts[host, shape]
+        c[0], c[1], c[2] = c[0] + 1, c[1] + (bad is not None), c[2] + bool(bad)
+    out = {}
+
+    def total(part):
+        return [sum(counts[k][i] for k, _ in part) for i in range(3)]
+
+    def grow(part, purity):
+        if all(left == part[0][1] for _, left in part):
+            out.update((k, purity) for k, _ in part)
+            return
+        head = lambda left, i: left[i] if i < len(left) else "$"
+        children = defaultdict(list)
+        for x in part:
+            children[head(x[1], 0)].append(x)
+        pooled, n = Counter(), total(part)
+        for k, left in part:
+            pooled[head(left, 1)] += counts[k][0]
+        steps = defaultdict(list)
+        for first, kids in children.items():
+            m, own = total(kids), Counter()
+            for k, left in kids:
+                own[head(left, 1)] += counts[k][0]
+            apart = n[0] * m[0] - sum(min(own[g] * n[0], pooled[g] * m[0]) for g in own)
+            near = 4 * apart <= n[0] * m[0] or (2 * apart <= n[0] * m[0] and apart**2 <= n[0] ** 2 * m[0])
+            rates = m[2] * n[1] - n[2] * m[1]
+            alike = near and (not m[1] or rates**2 <= 4 * m[1] * n[2] * (n[1] - n[2]))
+            wild = len(children) > 16 and len(children) * 4 > n[0]
+            steps["*" if wild else "~" if alike else "/" + first] += kids
+        for kids in steps.values():
+            m = total(kids)
+            grow([(k, left[1:]) for k, left in kids], purity if m[0] == n[0] else (m[2] + 2 * purity) / (m[1] + 2))
+
+    for host in {h for h, _ in counts}:
+        part = [((h, s), split(s)) for h, s in counts if h == host]
+        n = total(part)
+        grow(part, (n[2] + 1) / (n[1] + 2))
+    return out
+
+
+def test_tree_against_brute_force(spark):
+    r = random.Random(4)
+    rows = []
+    for _ in range(1500):
+        host = r.choice(("a", "a", "b", "c", "d"))
+        depth = r.choice((0, 1, 2, 3, 5, 8))
+        path = "".join("/" + r.choice(("x", "y", "", "p%d" % r.randrange(30), "q" + chr(97 + r.randrange(26)) * r.randrange(1, 3))) for _ in range(depth)) + r.choice(("", "/end", "/10", "/10.html"))
+        rows.append((f"{host}.test", path, r.choice((None, None, len(path) % 3 == 0, len(path) % 2 == 0))))
+    df = spark.createDataFrame([(f"http://{h}{p}", bad) for h, p, bad in rows], "url string, bad boolean")
+    got = {(x.host, x.shape): x.purity for x in urlfilter.template_purity(df.select(*(c.alias(n) for c, n in zip(urlfilter.host_and_path(df.url), ("host", "shape"), strict=True)), df.bad.alias("blocks")).withColumn("shape", urlfilter.shape(F.col("shape")))).collect()}
+    want = brute_tree([(h, re.sub("[0-9]+", "*", p), bad) for h, p, bad in rows])
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert len({round(p, 6) for p in want.values()}) > 20
+
+
+def test_tree_decides_rows_of_pages(spark):
+    urls = [(x.page_id, *brute_rule(x.url)) for x in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    shape_of = lambda p: re.sub("[0-9]+", "*", p)
+    want = brute_tree([(host, shape_of(path), None if rule is None else verdict == "block") for _, host, path, rule, verdict in urls])
+    got = {x.page_id: x.verdict for x in registry.QUERIES["op8_url_filter"](spark, "/root/testdata/sf0.01").collect()}
+    free = [(i, host, path) for i, host, path, rule, _ in urls if rule is None]
+    decided = Counter(got[i] for i, _, _ in free)
+    assert decided["block"] > 5 and decided["allow"] > 5
+    assert all(got[i] == ("block" if 10 * want[host, shape_of(path)] >= 8 else "allow") for i, host, path in free)
+
+
 def test_rules_against_brute_force(spark):
     urls = [
         None, "", "no scheme", "http://", "HTTP://EXAMPLE.com/en/7", "https://a.example.com/en/71?x=/en/", "https://example.com/en/8#/en/7", "http://com/en/", "http://xcom/en/1",
