@@ -2,12 +2,14 @@
 
 A page's text blocks are nodes of a graph. A logistic classifier on each block's ancestry, words and links gives the
 cost of calling it content and that of calling it boilerplate; these are its capacities to the two terminals. Edges
-between neighbouring blocks, and between blocks of one parent, cost something to cut, so lone misfits follow their
-surroundings. Maximum flow finds the labelling of least total cost; blocks on the content side are the text.
+between neighbouring blocks, the stronger the nearer they are in the tree, and between blocks of one parent, cost
+something to cut, so lone misfits follow their surroundings: a short line of an article its paragraphs, a long notice
+its page's furniture. Maximum flow finds the labelling of least total cost; blocks on the content side are the text.
 
-Furniture by tag or role, and by a word of the class or id outside articles and main, is as good as excluded. Within
-an article or main, such a word is a cost among others, which length, few links and neighbours can outvote; ids of
-headings and sections name their subject there and say nothing.
+The classifier is trained on labelled layouts (layouts.py): TRAINED_ON pages, a bounded sample made from seeds, by
+logistic regression with PRIOR as the mean of a Gaussian prior. Names of furniture (tags, roles, words of classes and
+ids) are evidence like length, links and punctuation, and weigh what the layouts show them to be worth. Ids of
+headings and sections within articles name their subject and say nothing.
 
 Scripts, styles, form controls and other things that are not text never become blocks. Character references are
 decoded; white space within a block becomes one space; blocks are joined in page order by blank lines.
@@ -20,12 +22,15 @@ gives an empty one; columns named like the results are replaced.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rowloom.html.tree import Node, parse
 from rowloom.llm._arrow import map_arrow, one_pass
+from rowloom.llm.layouts import layout
 
 #: Never text, whatever the surroundings.
 SKIPPED = frozenset("script style noscript template svg iframe object embed canvas audio video select option datalist button input textarea head title link meta form dialog map progress meter annotation annotation-xml".split())
@@ -43,19 +48,22 @@ INLINE = frozenset(
     " math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 
-#: Classifier weights, fixed by hand.
-FURNITURE, IN_ARTICLE, CONTENT_CLASS, LINKED, LENGTH, PARAGRAPH, HEADING, ITEM, BIAS = -16.0, 6.5, 1.5, -4.0, 2.0, 1.0, 0.5, -1.0, -1.0
-#: A furniture word within an article or main; the content class of what surrounds it does not count then.
-NAMED = -8.5
-#: Costs of cutting between neighbours and between children of one parent; nothing ties furniture to what is none, but named blocks have ties like any.
-ADJACENT, SAME_PARENT = 0.25, 0.5
+#: What the classifier looks at, and its weights before training.
+FEATURES = ("bias", "furniture_tag", "furniture_word", "word_in_article", "in_article", "content_class", "linked", "linked_in_article", "length", "paragraph", "heading", "item")
+PRIOR = (-1.5, -9.0, -8.0, -7.0, 1.5, 1.5, -4.0, 3.0, 3.0, 1.0, -0.5, -1.0)
+#: Training pages, and the precision of the prior.
+TRAINED_ON, PRECISION = 300, 200.0
+
+#: Cost of cutting between neighbours one step of the tree apart; its part across a boundary of furniture; the cost for
+#: blocks of one parent with others between; and the number of steps up the tree after which blocks count as far apart.
+TIE, ACROSS, SAME_PARENT, CLIMB = 3.0, 0.25, 0.5, 8
 
 _WORD = re.compile(r"[a-z]+")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 class Block:
-    __slots__ = ("text", "linked", "furniture", "named", "article", "content", "parent", "tag")
+    __slots__ = ("text", "linked", "furniture", "worded", "named", "article", "content", "holder", "tag")
 
 
 #: How deep in content an element is.
@@ -86,21 +94,21 @@ def blocks(root: Node) -> list[Block]:
     text: list[str] = []
     linked = [0]
 
-    def close(node: Node, furniture: bool, named: bool, place: int, content: bool) -> None:
+    def close(node: Node, furniture: bool, worded: bool, named: bool, place: int, content: bool) -> None:
         joined = " ".join("".join(text).split())
         text.clear()
         if joined:
             b = Block()
-            b.text, b.linked, b.furniture, b.named, b.article, b.content, b.parent, b.tag = joined, min(1.0, linked[0] / len(joined)), furniture, named, place > OUTSIDE, content, node.parent, node.tag
+            b.text, b.linked, b.furniture, b.worded, b.named, b.article, b.content, b.holder, b.tag = joined, min(1.0, linked[0] / len(joined)), furniture, worded, named, place > OUTSIDE, content, node, node.tag
             out.append(b)
         linked[0] = 0
 
     # Entries: a node to enter, a string to take, or None to leave the block element that follows it.
-    stack: list = [(root, root, False, False, OUTSIDE, False, False)]
+    stack: list = [(root, root, False, False, False, OUTSIDE, False, False)]
     while stack:
-        item, holder, furniture, named, place, content, link = stack.pop()
+        item, holder, furniture, worded, named, place, content, link = stack.pop()
         if item is None:
-            close(holder, furniture, named, place, content)
+            close(holder, furniture, worded, named, place, content)
         elif isinstance(item, str):
             text.append(item)
             if link:
@@ -112,32 +120,80 @@ def blocks(root: Node) -> list[Block]:
             loose = not place and item.parent is not None and item.parent.tag in ("body", "div", "section") and (own or word)
             inline = item.tag in INLINE and not loose
             below_place = WITHIN if item.tag == "article" else place or (IN_MAIN if item.tag == "main" else OUTSIDE)
-            inside = (furniture or own or (word and not place), named or (word and bool(place)), below_place, content or (bool(item.attrs) and not CONTENT_WORDS.isdisjoint(_WORD.findall(item.attrs.get("class", "").lower()))), link or item.tag == "a")
+            inside = (furniture or own, worded or (word and not place), named or (word and bool(place)), below_place, content or (bool(item.attrs) and not CONTENT_WORDS.isdisjoint(_WORD.findall(item.attrs.get("class", "").lower()))), link or item.tag == "a")
             if not inline:
-                close(holder, furniture, named, place, content)
+                close(holder, furniture, worded, named, place, content)
                 stack.append((None, item, *inside))
             below = holder if inline else item
             stack.extend((c, below, *inside) for c in reversed(item.children))
-    close(root, False, False, OUTSIDE, False)
+    close(root, False, False, False, OUTSIDE, False)
     return out
 
 
-def score(b: Block) -> float:
+def features(b: Block) -> list[float]:
+    heading, item = b.tag in _HEADINGS, b.tag in ("li", "td")
+    return [
+        1.0, float(b.furniture), float(b.worded), float(b.named), float(b.article), float(b.content and not b.named), b.linked, b.linked * (b.article and not (b.furniture or b.named)), min(1.0, len(b.text) / 120),
+        float(b.tag in ("p", "blockquote", "pre")), float(heading), float(item),
+    ]
+
+
+@lru_cache(maxsize=1)
+def weights() -> tuple[float, ...]:
+    """The weights of the features, most likely for the training layouts and the prior (Newton's method)."""
+    x, y = [], []
+    for seed in range(TRAINED_ON):
+        html, content = layout(seed)
+        known = set(content)
+        for b in blocks(parse(html)):
+            x.append(features(b))
+            y.append(b.text in known)
+    x, y, prior = np.array(x), np.array(y, float), np.array(PRIOR)
+    w = prior.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (y - p) - PRECISION * (w - prior)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + PRECISION * np.eye(len(w)), slope)
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return tuple(float(round(v, 6)) for v in w)
+
+
+def score(b: Block, weight: tuple[float, ...]) -> float:
     """Log odds that a block is content."""
-    z = BIAS + LENGTH * min(1.0, len(b.text) / 120) + LINKED * b.linked
-    z += (FURNITURE if b.furniture else NAMED * b.named) + IN_ARTICLE * b.article + CONTENT_CLASS * (b.content and not b.named)
-    return z + (PARAGRAPH if b.tag in ("p", "blockquote", "pre") else HEADING if b.tag in _HEADINGS else ITEM if b.tag in ("li", "td") else 0.0)
+    return sum(w * f for w, f in zip(weight, features(b), strict=True))
+
+
+def distance(a: Node, b: Node) -> int:
+    """Steps of the tree between two elements, at least 1; 2 CLIMB if they don't meet within CLIMB steps up."""
+    up: dict[int, int] = {}
+    for k in range(CLIMB):
+        up[id(a)] = k
+        if a.parent is None:
+            break
+        a = a.parent
+    for k in range(CLIMB):
+        if id(b) in up:
+            return max(1, up[id(b)] + k)
+        if b.parent is None:
+            break
+        b = b.parent
+    return 2 * CLIMB
 
 
 def edges(found: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for i, b in enumerate(found):
-        if i and found[i - 1].furniture == b.furniture:
-            out.append((i - 1, i, ADJACENT))
-        k = last.get((id(b.parent), b.furniture))
-        if k is not None:
-            out.append((k, i, SAME_PARENT))
-        last[id(b.parent), b.furniture] = i
+        side = b.furniture or b.worded
+        if i:
+            before = found[i - 1]
+            out.append((i - 1, i, TIE / distance(before.holder, b.holder) * (1.0 if side == (before.furniture or before.worded) else ACROSS)))
+        parent = id(b.holder.parent)
+        k, other = last.get(parent, (i - 1, side))
+        if k < i - 1:
+            out.append((k, i, SAME_PARENT * (1.0 if side == other else ACROSS)))
+        last[parent] = i, side
     return out
 
 
@@ -207,10 +263,10 @@ def minimum_cut(gain: list[float], links: list[tuple[int, int, float]]) -> list[
                 break
 
 
-def main_blocks(html: str | None) -> tuple[list[str], int]:
+def main_blocks(html: str | None, weight: tuple[float, ...] | None = None) -> tuple[list[str], int]:
     """The content blocks of a page, and how many blocks it has."""
-    found = blocks(parse(html))
-    keep = minimum_cut([score(b) for b in found], edges(found)) if found else []
+    found, weight = blocks(parse(html)), weight or weights()
+    keep = minimum_cut([score(b, weight) for b in found], edges(found)) if found else []
     return [b.text for b, k in zip(found, keep, strict=True) if k], len(found)
 
 
@@ -222,8 +278,10 @@ def main_text(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] | Non
     kept = [c for c in (keep if keep is not None else df.columns) if c not in RESULT and c != html_col]
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
 
+    weight = weights()
+
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
-        done = [main_blocks(h) for h in batch.column(html_col).to_pylist()]
+        done = [main_blocks(h, weight) for h in batch.column(html_col).to_pylist()]
         out = ["\n\n".join(b) for b, _ in done]
         columns = [*(batch.column(c) for c in kept), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64()), pa.array([n for _, n in done], pa.int32()), pa.array([len(b) for b, _ in done], pa.int32())]
         return pa.RecordBatch.from_arrays(columns, names=[*kept, *RESULT])

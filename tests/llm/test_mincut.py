@@ -2,9 +2,12 @@ import itertools
 import math
 import random
 import re
+import time
 from html import unescape
 
+from rowloom.html.tree import parse
 from rowloom.llm import mincut, registry
+from rowloom.llm.layouts import layout
 
 
 def test_minimum_cut_equals_brute_force():
@@ -93,6 +96,39 @@ def test_neighbours_outvote_a_furniture_word():
     assert mincut.main_blocks(f'<article><p>{text}</p><p class="notice">{text}</p><p>{text}</p></article>')[0] == [text] * 3
 
 
+def test_cut_mends_the_classifier_on_held_out_layouts():
+    weight = mincut.weights()
+    wrong_alone = wrong = changed = whole_alone = whole = n = 0
+    for seed in range(50_000, 50_250):
+        html, content = layout(seed)
+        found = mincut.blocks(parse(html))
+        gain = [mincut.score(b, weight) for b in found]
+        cut = mincut.minimum_cut(gain, mincut.edges(found))
+        truth = [b.text in set(content) for b in found]
+        wrong_alone += sum((g >= 0) != t for g, t in zip(gain, truth, strict=True))
+        wrong += sum(c != t for c, t in zip(cut, truth, strict=True))
+        changed += sum((g >= 0) != c for g, c in zip(gain, cut, strict=True))
+        whole_alone += [g >= 0 for g in gain] == truth
+        whole += cut == truth
+        n += len(found)
+    assert changed > n / 100 and wrong < 0.7 * wrong_alone and wrong < 0.05 * n and whole > 1.3 * whole_alone
+
+
+def test_short_lines_follow_their_article_and_long_notices_their_page():
+    weight, long = mincut.weights(), "This line goes on for as long as a paragraph does, and says things in whole sentences, as one would. " * 2
+    lone = mincut.blocks(parse("<div><li><a href=1>One</a></li></div>"))
+    assert mincut.score(lone[0], weight) < 0
+    page = f"<div><p>{long}</p><ul><li>a</li></ul><h2>b</h2><p>{long}</p></div>"
+    assert mincut.main_blocks(page)[0] == [long.strip(), "a", "b", long.strip()]
+
+
+def test_long_mixed_pages_take_little_time():
+    page = "<div>" + "<p>A paragraph of the text that is long enough to count as one, surely.</p><ul><li><a href=1>x</a></li></ul>" * 4000 + "</div>"
+    began = time.process_time()
+    assert mincut.main_blocks(page)[1] == 8000
+    assert time.process_time() - began < 20
+
+
 def test_mathematics_is_text():
     page = "<article><p>Where <math><mrow><mi>a</mi><mo>=</mo><msup><mi>b</mi><mn>2</mn></msup></mrow><annotation>a=b^2</annotation></math> holds.</p></article>"
     assert mincut.main_blocks(page)[0] == ["Where a=b2 holds."]
