@@ -1,35 +1,43 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment, in DataFrame operations only.
 
 Targets: sources in code-point order (null last) weigh 3, 1, 2, repeating, and share a multiple of all words; a
-target stops at `most` times its source's words and the excess is shared again by weight among the others. Filling
-stops at one level, so the sources that stop are those with the least room for their weight; one ordered pass over
-the table of sources (a row each) finds it.
+target stops at `most` times its source's words and the excess is shared again by weight among the others, until none
+is above; each round is one aggregate over the table of sources.
 
-Blocks: the mix is dealt out in blocks of `block_words` words. Source s gets block j where its quotient
-target / (2j - 1) is at least block_words / 2, which grants the highest quotients of all sources until none that
-deserves a block is left; so its seats are floor(target / block_words + 1/2). A seat's place in the order of
-quotients also gives its shard, so every shard's integer quota keeps the proportions.
+Quotas: the mix is dealt out in blocks of `block_words` words to shards of about `shard_blocks` blocks. Source s gets
+block j where its quotient target / (2j - 1) is at least block_words / 2, which grants the highest quotients of all
+sources until none that deserves a block is left; up to shard k of n that is floor(target k / (n block_words) + 1/2)
+blocks. So every shard has an integer quota of each source, and every run of shards keeps the proportions.
 
-Selection: a source's documents stand in a seeded order (MD5 of seed and id), and its seats take the blocks of that
-word stream from the start, again from the start when the stream is used up. A document's start in the stream is the
-sum of the words before it, from the sums of hash buckets (pre-aggregated) and a running sum inside its own bucket,
-so no task holds a whole source.
+Selection: a source's documents stand in a seeded order (MD5 of seed and id), and the blocks of that word stream go to
+the shards in turn, each up to its quota, and again from the start when the stream is used up. What the mix takes of a
+document is what the shards' quotas select of it. A document's start in the stream is the sum of the words before it,
+from the sums of hash buckets (pre-aggregated, as many as the number of documents asks for) and a running sum inside
+its own bucket, so no task holds a whole source. Buckets of more than HOT_ROWS rows (of one id, or without one) are
+split by size, by text and at last by input partition.
 
 Edge cases: a null text counts 0 words and is never taken; null is a source of its own; repeated rows are documents
 of their own (rows of equal id and size may swap their shares); with no words at all every target is 0; an empty
-table gives an empty one; columns named like the results are replaced.
+table gives an empty one; columns named like the results are replaced. The input must be a repeatable scan.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rowloom.llm._arrow import col, set_aside, without
+from rowloom.session import cut_lineage
+
 WEIGHTS = (3, 1, 2)
-SHARE, MOST, BLOCK_WORDS, SEED, BUCKET_DIGITS = 1.5, 2, 16, "mix-1", 3
+SHARE, MOST, BLOCK_WORDS, SEED = 1.5, 2, 16, "mix-1"
+#: Blocks of a shard; documents that a bucket should have, and from which it is split.
+SHARD_BLOCKS, BUCKET_ROWS, HOT_ROWS = 65_536, 2000, 50_000
 
-RESULT = ("size", "source_size", "target", "taken")
+RESULT = ("size", "source_size", "target", "taken", "shards")
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -40,61 +48,124 @@ def word_count(text: Column) -> Column:
     return F.when(F.coalesce(F.length(trimmed), F.lit(0)) == 0, 0).otherwise(F.size(F.split(trimmed, _SPACE))).cast("long")
 
 
+def _places(totals: DataFrame) -> DataFrame:
+    """totals with place, the number of sources before it in code-point order (null last)."""
+    order = F.col("source").asc_nulls_last()
+    spread = cut_lineage(totals.repartitionByRange(order).withColumn("__part", F.spark_partition_id()), "sources")
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, W.currentRow)
+    parts = spread.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).withColumn("__from", F.sum("n").over(before) - F.col("n")).drop("n")
+    number = F.row_number().over(W.partitionBy("__part").orderBy(order)) - 1
+    return spread.withColumn("__number", number).join(parts, "__part").withColumn("place", F.col("__from") + F.col("__number")).drop("__part", "__from", "__number")
+
+
 def targets(totals: DataFrame, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """From (source, source_size), one row a source: weight, target and seat_words, the words of its seats."""
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    everything = W.partitionBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    place = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(WEIGHTS)))
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (place + 1).cast("int"))
-    t = totals.withColumn("weight", weight.cast("long")).withColumn("cap", most * F.col("source_size"))
-    before = W.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    t = t.withColumns({
-        "rank": F.row_number().over(before),
-        "room": share * F.sum("source_size").over(everything) - (F.sum("cap").over(before.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("cap")),
-        "rest": F.sum("weight").over(everything) - (F.sum("weight").over(before.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("weight")),
-    })
-    holds = F.col("room") * F.col("weight") <= F.col("cap") * F.col("rest")
-    level = F.min(F.when(holds, F.struct("rank", (F.col("room") / F.col("rest")).alias("level")))).over(everything)
-    t = t.withColumn("found", level)
-    target = F.when(F.col("rank") < F.col("found.rank"), F.col("cap").cast("double")).otherwise(F.col("found.level") * F.col("weight"))
-    t = t.withColumn("target", target)
+    """From (source, source_size), one row a source: weight, target and seat_words, the words of its blocks."""
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS) + 1).cast("int")).cast("long")
+    t = cut_lineage(_places(totals).select("source", "source_size", weight.alias("weight"), (most * F.col("source_size")).alias("cap")), "weights")
+    every, weights = t.agg(F.sum("source_size"), F.sum("weight")).first()
+    room = whole = share * (every or 0)
+    rest, stopped = weights or 1, 0
+    while True:
+        above = room * F.col("weight") > F.col("cap") * rest
+        n, words, theirs = t.where(above).agg(F.count(F.lit(1)), F.sum("cap"), F.sum("weight")).first()
+        if n == stopped or theirs == weights:
+            break
+        room, rest, stopped = whole - words, weights - theirs, n
+    target = F.when(above, F.col("cap").cast("double")).otherwise(F.lit(room / rest) * F.col("weight"))
     seats = F.floor(F.col("target") / block_words + 0.5)
-    return t.select("source", "source_size", "weight", "target", F.least(seats * block_words, F.col("cap")).cast("long").alias("seat_words"))
+    return t.withColumn("target", target).select("source", "source_size", "weight", "target", F.least(seats * block_words, F.col("cap")).cast("long").alias("seat_words"))
 
 
-def shard_quotas(sources: DataFrame, shards: int, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Blocks of each source in each shard (shard, source, blocks): the seats whose place in the order of quotients falls in the shard."""
-    upto = lambda k: F.floor(F.col("target") * k / (shards * block_words) + 0.5)
-    dealt = sources.select("source", "target", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    return dealt.select("shard", "source", (upto(F.col("shard") + 1) - upto(F.col("shard"))).cast("long").alias("blocks"))
+def blocks_before(shard: Column, shards: Column, target: Column, block_words: int = BLOCK_WORDS) -> Column:
+    """Blocks of a source in the shards before this one."""
+    return F.floor(target * shard / (shards * block_words) + 0.5).cast("long")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, seed: str = SEED, bucket_digits: int = BUCKET_DIGITS) -> DataFrame:
-    """All columns of df and size, source_size, target (both of the document's source) and taken, the words the mix takes."""
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    kept = [c for c in df.columns if c not in RESULT]
-    docs = df.select(*kept, word_count(F.col(text_col)).alias("size"), F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null")).alias("__source"), order.alias("__order"))
-    docs = docs.withColumn("__bucket", F.substring("__order", 1, bucket_digits))
-    buckets = docs.groupBy("__source", "__bucket").agg(F.sum("size").alias("words"))
-    totals = buckets.groupBy("__source").agg(F.sum("words").alias("source_size"))
+def shard_quotas(sources: DataFrame, shards: int, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Blocks of each source in each shard (shard, source, blocks)."""
+    upto = lambda k: blocks_before(k, F.lit(shards), F.col("target"), block_words)
+    dealt = sources.select("source", "target", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    return dealt.select("shard", "source", (upto(F.col("shard") + 1) - upto(F.col("shard"))).alias("blocks"))
+
+
+def _selected(start: Column, words: Column, shards: int, block_words: int) -> Column:
+    """(shard, words) of each shard whose quota takes some of the words from start of a source's stream."""
+    target, seats = F.col("target"), F.col("seat_words")
+    stop = F.least(start + words, seats)
+    shard_of = lambda block: F.floor((block + 0.5) * (shards * block_words) / target).cast("long")
+    first, last = F.floor(start / block_words), F.floor((stop - 1) / block_words)
+    inside = lambda k: F.greatest(F.lit(0).cast("long"), F.least(k, F.lit(shards - 1).cast("long")))
+    by_shard = F.sequence(inside(shard_of(first) - 1), inside(shard_of(last) + 1))
+    by_block = F.array_distinct(F.flatten(F.transform(F.sequence(first, last), lambda j: F.sequence(inside(shard_of(j) - 1), inside(shard_of(j) + 1)))))
+    candidates = F.when(target >= shards * block_words, by_shard).otherwise(by_block)
+    edge = lambda k: blocks_before(k, F.lit(shards), target, block_words) * block_words
+    share = lambda k: F.struct(k.alias("shard"), (F.least(stop, edge(k + 1)) - F.greatest(start, edge(k))).alias("words"))
+    found = F.filter(F.transform(candidates, share), lambda x: x["words"] > 0)
+    return F.when((stop > start) & (target > 0), found).otherwise(F.array().cast("array<struct<shard:bigint,words:bigint>>"))
+
+
+def _starts(docs: DataFrame, levels: list[list[str]]) -> DataFrame:
+    """The words of a source before each group of the last level; a level's columns order the groups within one of the level before."""
+    keys = [c for level in levels for c in level]
+    sums = cut_lineage(docs.groupBy(*keys).agg(F.sum("size").alias("words")), "mix-groups")
+    out = sums.select(*keys)
+    for k in range(1, len(levels)):
+        above, here = [c for level in levels[:k] for c in level], levels[k]
+        ahead = W.partitionBy(*above).orderBy(*here).rowsBetween(W.unboundedPreceding, W.currentRow)
+        level = sums.groupBy(*above, *here).agg(F.sum("words").alias("words")).withColumn(f"__from{k}", F.sum("words").over(ahead) - F.col("words")).drop("words")
+        out = out.join(level, [*above, *here])
+    return out.withColumn("__start", sum((F.col(f"__from{k}") for k in range(2, len(levels))), F.col("__from1"))).drop(*(f"__from{k}" for k in range(1, len(levels))))
+
+
+def mix(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, seed: str = SEED,
+    shard_blocks: int = SHARD_BLOCKS, bucket_rows: int = BUCKET_ROWS, hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """All columns of df and size, source_size, target (both of the document's source), taken, the words the mix takes,
+    and shards, an array of (shard, words) that take them."""
+    kept = without(df.columns, RESULT)
+    own = [f"k{i}" for i in range(len(kept))]
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    source = F.coalesce(F.concat(F.lit("="), col(source_col)), F.lit("null"))
+    docs = df.select(*(col(c).alias(k) for c, k in zip(kept, own, strict=True)), word_count(col(text_col)).alias("size"), source.alias("__source"), order.alias("__order"), F.md5(F.coalesce(col(text_col), F.lit("")).cast("binary")).alias("__text"))
+    digits = max(1, math.ceil(math.log(max(1, df.count() / bucket_rows), 16)))
+    docs = docs.withColumn("__bucket", F.substring("__order", 1, digits))
+    buckets = cut_lineage(docs.groupBy("__source", "__bucket").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")), "mix-buckets")
+    totals = buckets.groupBy("__source").agg(F.sum("size").alias("source_size"))
     totals = totals.select(F.when(F.col("__source") != "null", F.substr("__source", F.lit(2))).alias("source"), "source_size")
-    sources = targets(totals, share, most, block_words).withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))).drop("source", "weight")
-    ahead = W.partitionBy("__source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    starts = buckets.withColumn("__start", F.sum("words").over(ahead) - F.col("words")).drop("words").join(sources, "__source")
-    within = W.partitionBy("__source", "__bucket").orderBy("__order", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = docs.join(starts, ["__source", "__bucket"]).withColumn("__at", F.col("__start") + F.sum("size").over(within) - F.col("size"))
-    part = lambda stop: F.greatest(F.lit(0), F.least(F.col("__at") + F.col("size"), stop) - F.col("__at"))
-    taken = part(F.col("seat_words")) + part(F.col("seat_words") - F.col("source_size"))
-    return placed.select(*kept, "size", "source_size", "target", taken.cast("long").alias("taken"))
-
-
-def mixed_documents(df: DataFrame, **options) -> DataFrame:
+    sources = cut_lineage(targets(totals, share, most, block_words).withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))).drop("source", "weight"), "mix-sources")
+    blocks = sources.agg(F.sum(F.col("target"))).first()[0] or 0
+    shards = max(1, math.ceil(blocks / block_words / shard_blocks))
+
+    def placed(rows: DataFrame, starts: DataFrame, group: list[str]) -> DataFrame:
+        within = W.partitionBy(*group).orderBy("__order", "size", "__text").rowsBetween(W.unboundedPreceding, W.currentRow)
+        return rows.join(starts, group).withColumn("__at", F.col("__start") + F.sum("size").over(within) - F.col("size")).select(*own, "size", "source_size", "target", "seat_words", "__at")
+
+    plain = ["__source", "__bucket"]
+    starts = _starts(buckets, [["__source"], ["__bucket"]]).join(sources, "__source")
+    hot = buckets.where(F.col("rows") > hot_rows).select(*plain)
+    if hot.isEmpty():
+        out = placed(docs, starts, plain)
+    else:
+        levels = [["__source", "__bucket"], ["__order", "size"], ["__text"], ["__part"]]
+        # Written once, as partitions must be the same wherever they are read.
+        many = cut_lineage(docs.withColumn("__part", F.spark_partition_id()).join(hot, plain, "left_semi"), "mix-hot")
+        finer = _starts(many, levels).withColumnRenamed("__start", "__inner").join(starts, plain).withColumn("__start", F.col("__start") + F.col("__inner")).drop("__inner")
+        out = placed(docs.join(hot, plain, "left_anti"), starts, plain).unionByName(placed(many, finer, [c for level in levels for c in level]))
+    selected = F.concat(_selected(F.col("__at"), F.col("size"), shards, block_words), _selected(F.col("__at") + F.col("source_size"), F.col("size"), shards, block_words))
+    out = out.withColumn("shards", selected)
+    taken = F.aggregate("shards", F.lit(0).cast("long"), lambda total, x: total + x["words"])
+    return out.select(*own, "size", "source_size", "target", taken.alias("taken"), "shards").toDF(*kept, *RESULT)
+
+
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: df's columns, each document as often as the mix takes it, to the nearest whole copy."""
-    aside = {c: f"__own_{c}" for c in df.columns if c in RESULT}
-    mixed = mix(df.withColumnsRenamed(aside), **options)
+    aside, names = set_aside(df, RESULT)
+    place = dict(zip(df.columns, names, strict=True))
+    mixed = mix(aside, place[id_col], place[text_col], place[source_col], **options)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
-    repeated = mixed.withColumn("__copies", copies.cast("int")).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return repeated.select(*(aside.get(c, c) for c in df.columns)).withColumnsRenamed({v: k for k, v in aside.items()})
+    copy = F.explode(F.sequence(F.lit(1), copies.cast("int")))
+    return mixed.where(copies > 0).select(*map(col, names), copy.alias("__copy")).drop("__copy").toDF(*df.columns)
 
 
 ORACLE = r"""

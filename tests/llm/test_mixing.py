@@ -1,5 +1,7 @@
+import math
 import os
 import sys
+from collections import Counter
 from fractions import Fraction
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -45,7 +47,22 @@ def test_edge_rows_against_brute_force(spark):
         assert 0 <= r.taken <= 2 * r.size
         taken[r.source] = taken.get(r.source, 0) + r.taken
     assert all(abs(taken[s] - want[s]) <= mixing.BLOCK_WORDS / 2 for s in want)
-    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7)).collect()))
+    plain = lambda rows: sorted(str((r.doc_id, r.source, r.size, r.taken)) for r in rows)
+    assert plain(got) == plain(mixing.mix(df.repartition(7)).collect())
+    for shard_blocks, bucket_rows, hot_rows in ((50, 3, 2), (1, 1000, 10), (3, 1, 1)):
+        split = mixing.mix(df, shard_blocks=shard_blocks, bucket_rows=bucket_rows, hot_rows=hot_rows).collect()
+        assert plain(split) == plain(got)
+        # Every shard's words of a source are its quota of blocks, but for the last block of a source that is used up.
+        shards = max(1, math.ceil(sum(want.values()) / 16 / shard_blocks))
+        words = Counter()
+        for r in split:
+            for x in r.shards:
+                words[x.shard, r.source] += x.words
+        for s, t in want.items():
+            upto = lambda k: math.floor(float(t) * k / (shards * 16) + 0.5)  # noqa: B023, E731
+            for k in range(shards):
+                quota = 16 * (upto(k + 1) - upto(k))
+                assert words[k, s] == quota or (k == shards - 1 or upto(k + 1) == upto(shards)) and quota - 16 < words[k, s] < quota
     assert mixing.mix(df.limit(0)).count() == 0
     assert {r.taken for r in mixing.mix(df.where("text IS NULL")).collect()} == {0}
     copies = mixing.mixed_documents(df)
@@ -60,3 +77,17 @@ def test_quotas_are_the_highest_quotients(spark):
     best = sorted(((t / (2 * j - 1), s) for s, t in (("a", 1000.0), ("b", 330.0), ("c", 90.0)) for j in range(1, 200)), reverse=True)[:house]
     assert seats == {s: sum(x == s for _, x in best) for s in "abc"}
     assert all(abs(q.blocks - seats[q.source] / 4) <= 1 for q in quotas)
+
+
+def test_one_id_of_many_rows_and_clashing_names(spark):
+    rows = [(None, "same words here", "a", 1, 2)] * 30 + [(None, "w " * (i % 9), "a", 1, 2) for i in range(40)] + [(5, "x y z", "b", 1, 2)] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, Taken int, `k0.x` int").repartition(5)
+    few, many = (mixing.mixed_documents(df, hot_rows=n) for n in (10**6, 4))
+    assert few.columns == many.columns == df.columns
+    sizes = {"a": 90 + sum(i % 9 for i in range(40)), "b": 60}
+    want = brute_targets(sizes)
+    for out in (few, many):
+        words = Counter()
+        for r in out.collect():
+            words[r.source] += len(r.text.split())
+        assert all(abs(words[s] - want[s]) <= 8 + 8 for s in sizes)
