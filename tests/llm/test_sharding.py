@@ -35,10 +35,11 @@ def brute(rows, limit):
     return sorted(out, key=repr)
 
 
-def test_small_shards_against_brute_force(spark):
+def test_small_shards_against_brute_force(spark, monkeypatch):
     rows = [(i, "é" * (i * 7 % 90)) for i in range(300)] + [(500, "x" * 5000), (501, None), (None, ""), (None, "null id")]
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, shard string")
-    for limit in (400, 3000, 10**9):
+    for limit, sent in ((400, 200_000), (400, 0), (3000, 200_000), (10**9, 200_000), (1, 5)):
+        monkeypatch.setattr(sharding, "LEAVES_SENT", sent)
         got = sorted(((r.doc_id, r.n_bytes, r.shard) for r in sharding.shard(df, limit).collect()), key=repr)
         assert got == brute(rows, limit)
 
@@ -51,3 +52,21 @@ def test_alike_rows_over_the_limit(spark):
         size[r.shard] += r.n_bytes
     assert len(got) == 52 and max(size.values()) <= 40 and all(r.shard_bytes == size[r.shard] for r in got)
     assert sharding.shard(df.limit(0)).count() == 0
+
+
+def test_write_shards_keeps_all_rows_in_their_shards(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x" * (i % 40), "c") for i in range(200)] + [(None, None, "d")], "doc_id long, text string, `a.b` string")
+    sharding.write_shards(df, f"{tmp_path}/out", limit=300)
+    back = spark.read.option("recursiveFileLookup", "false").schema("doc_id long, text string, `a.b` string, n_bytes long, depth int, shard_bytes long, shard string").parquet(f"{tmp_path}/out").collect()
+    want = {(r.doc_id, r.shard) for r in sharding.shard(df, 300).collect()}
+    assert len(back) == 201 and {(r.doc_id, None if r.shard == "__HIVE_DEFAULT_PARTITION__" else r.shard) for r in back} == want
+    size = defaultdict(int)
+    for r in back:
+        size[r.shard] += r.n_bytes
+    assert max(size.values()) <= 300
+
+
+def test_few_large_rows_settle_above_the_grid(spark):
+    rows = [(i, "y" * 1000) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.n_bytes, r.shard) for r in sharding.shard(df, 1).collect()), key=repr) == brute(rows, 1)
