@@ -8,23 +8,32 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rowloom.functions.js import WS_CHARS, coerced_number, collapse, trim
+from rowloom.functions.js import WS_CHARS, coerced_number, collapse, finite, text_of, trim
 from rowloom.functions.transforms import is_valid_pattern, java_pattern, number
 
 
 @dataclass(frozen=True)
 class Observed:
-    """What is seen of an element: whether it exists, its text and the value of the attribute asked for."""
+    """What is seen of an element: whether it exists, its text, the value of the attribute asked for, and its number where that is known."""
 
     exists: Column
     text: Column
     attr: Column
+    number: Column | None = None
+
+    def as_number(self) -> Column:
+        return number(self.text) if self.number is None else self.number
 
 
 def observed(text: Column, exists: Column | None = None, attr: Column | None = None) -> Observed:
     return Observed(exists if exists is not None else text.isNotNull(), text, attr if attr is not None else F.lit(None).cast("string"))
 
 
+def observed_number(value: Column, data_type: str = "double") -> Observed:
+    """A numeric column: comparisons take its value as it is, and need not read it out of a text."""
+    return Observed(value.isNotNull(), text_of(value, data_type), F.lit(None).cast("string"), finite(value.cast("double")))
+
+
 CONDITIONS = {
     "exists": "none", "not-exists": "none", "is-empty": "none", "not-empty": "none", "text-equals": "value", "text-contains": "value", "text-matches": "value",
     "attr-equals": "attr+value", "attr-contains": "attr+value", "attr-exists": "attr", "number-equals": "value", "number-gt": "value", "number-lt": "value",
@@ -40,7 +49,7 @@ def _squeezed(value: object) -> str:
 def _comparand(value: object, name: str) -> float:
     n = coerced_number(value)
     if n is None:
-        raise ValueError(f'Condition "{name}" needs a number to compare against (got "{value}").')
+        raise ValueError(f'"{value}" is no number, and condition "{name}" compares numbers.')
     return n
 
 
@@ -64,7 +73,7 @@ def _test(name: str, o: Observed, value: Column | None, number_value: Column | N
         return o.exists & F.contains(F.coalesce(o.attr, F.lit("")), value)
     if name == "attr-exists":
         return o.exists & o.attr.isNotNull()
-    read = number(o.text)
+    read = o.as_number()
     compared = {"number-equals": read == number_value, "number-gt": read > number_value, "number-lt": read < number_value}[name]
     return o.exists & F.coalesce(compared, F.lit(False))
 
@@ -78,7 +87,7 @@ def condition(name: str, o: Observed, value: object = "", other: Observed | None
         if name == "text-matches":
             raise ValueError('Condition "text-matches" needs a pattern that is known when the plan is made, not a second element.')
         if name.startswith("number-"):
-            result = _test(name, o, None, number(raw))
+            result = _test(name, o, None, number(raw) if compare_attr or other.number is None else other.number)
         else:
             side = collapse(raw) if name.startswith("text-") else trim(raw) if name == "attr-equals" else raw
             result = _test(name, o, side, None)

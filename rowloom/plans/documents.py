@@ -11,6 +11,7 @@ from rowloom.plans import templates
 from rowloom.plans.catalogue import query, table
 from rowloom.plans.compiler import Sources, compile_recipe, file_manifest, paginate_until_empty
 from rowloom.plans.values import literals, sql_values
+from rowloom.sinks import runs
 from rowloom.sources import api, lists, pages, pdf
 from rowloom.streaming import pacing
 
@@ -287,9 +288,7 @@ def fingerprint(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(F.concat_ws("|", "url", F.length("html").cast("string")), 256).alias("fingerprint"))
 
 
-@query("cache_evict", "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (ORDER BY ts DESC, event_id DESC) <= 500")
+@query("cache_evict", "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (ORDER BY ts DESC, event_id DESC) <= count(*) OVER () - CAST(ceil((count(*) OVER () - 500) / 50.0) AS BIGINT) * 50")
 def cache_evict(spark, sf_dir):
-    """The answer cache keeps its 500 newest entries."""
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(500).drop("ts")
-
-
+    """A cache of more than 500 entries loses its oldest ones, 50 at a time."""
+    return runs.evict(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "ts", key="event_id").drop("ts")

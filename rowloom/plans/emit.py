@@ -27,7 +27,7 @@ def emit_script(recipe: Recipe) -> tuple[str, list[str]]:
         f"RECIPE = json.loads({body!r})", "", f"SECRETS = {[s['env'] for s in secrets]!r}", "", "",
         "def main(pages: str, out: str) -> None:", "    text = json.dumps(RECIPE)", "    for name in SECRETS:", '        text = text.replace(f"__ENV__{name}__", json.dumps(os.environ[name])[1:-1])',
         "    spark = local_session()", "    ship_package(spark)", "    done = compile_recipe(spark, text, Sources(pages=spark.read.parquet(pages)))",
-        '    formats = [e["format"] for e in done.exports] or ["jsonl"]', "    for fmt in formats:", '        write_lines(done.rows, fmt if fmt != "json" else "jsonl", f"{out}/{fmt}", "overwrite")', "", "",
+        '    formats = [e["format"] for e in done.exports] or ["jsonl"]', "    for fmt in formats:", '        write_lines(done.rows, fmt, f"{out}/{fmt}", "overwrite")', "", "",
         'if __name__ == "__main__":', "    main(*sys.argv[1:3])", "",
     ]
     return "\n".join(lines), warnings

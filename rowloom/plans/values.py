@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from rowloom.functions.js import WS
 from rowloom.operators import dedupe as D
 from rowloom.operators import pii_scan, robots
 from rowloom.plans.catalogue import query, table
+from rowloom.session import shared_dir
 from rowloom.sinks import datasets, render
 
 # ---- pieces of oracle SQL -------------------------------------------------------------------------------------------
@@ -160,7 +163,7 @@ for _name in P.CONDITIONS:
 @query("cond_compare_columns", "SELECT l_orderkey, l_linenumber, l_discount < l_tax AS holds, l_returnflag = l_linestatus AS same FROM lineitem")
 def cond_compare_columns(spark, sf_dir):
     seen = lambda c: P.observed(F.col(c).cast("string"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", P.condition("number-lt", seen("l_discount"), other=seen("l_tax")).alias("holds"), P.condition("text-equals", seen("l_returnflag"), other=seen("l_linestatus")).alias("same"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", P.condition("number-lt", P.observed_number(F.col("l_discount")), other=P.observed_number(F.col("l_tax"))).alias("holds"), P.condition("text-equals", seen("l_returnflag"), other=seen("l_linestatus")).alias("same"))
 
 
 @query(
@@ -337,6 +340,32 @@ for _fmt in _SINK_SQL:
     _sink_query(_fmt)
 
 
+_PAIR = "n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN ' ,\"' ELSE '  <&>' END || n_name || '  '"
+_FILE_SQL = {
+    "csv": f"SELECT 'k,v' AS value UNION ALL SELECT n_nationkey || ',' || {_CSV('v')} FROM n",
+    "tsv": "SELECT 'k' || chr(9) || 'v' AS value UNION ALL SELECT n_nationkey || chr(9) || v FROM n",
+    "jsonl": "SELECT CAST(to_json({'k': n_nationkey, 'v': v}) AS VARCHAR) AS value FROM n",
+    "json": "SELECT '[' AS value UNION ALL SELECT ']' UNION ALL SELECT '  {' FROM n UNION ALL SELECT '    \"k\": ' || n_nationkey || ',' FROM n UNION ALL SELECT '    \"v\": ' || CAST(to_json(v) AS VARCHAR) FROM n UNION ALL SELECT CASE WHEN n_nationkey < (SELECT max(n_nationkey) FROM nation) THEN '  },' ELSE '  }' END FROM n",
+    "xml": "SELECT '<?xml version=\"1.0\" encoding=\"UTF-8\"?>' AS value UNION ALL SELECT unnest(['<rows>', '</rows>']) UNION ALL SELECT unnest(['  <row>', '    <k>' || n_nationkey || '</k>', '    <v>' || replace(replace(replace(replace(v, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</v>', '  </row>']) FROM n",
+    "markdown": "SELECT '| k | v |' AS value UNION ALL SELECT '| --- | --- |' UNION ALL SELECT '| ' || n_nationkey || ' | ' || v || ' |' FROM n",
+}
+
+
+def _file_query(fmt: str) -> None:
+    @query(f"export_{fmt}_file", f"WITH n AS (SELECT n_nationkey, {_PAIR} AS v FROM nation) {_FILE_SQL[fmt]}")
+    def run(spark, sf_dir):
+        """A whole file as it was written, line by line; cells have quotes, marks and white space at their ends."""
+        between = F.when(F.col("n_nationkey") % 2 == 0, ' ,"').otherwise("  <&>")
+        rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("seq"), F.col("n_nationkey").alias("k"), F.concat(F.col("n_nationkey").cast("string"), between, "n_name", F.lit("  ")).alias("v"))
+        path = f"{shared_dir(spark)}/rowloom/export-{uuid.uuid4().hex}"
+        render.write_lines(rows, fmt, path, order="seq", files=1)
+        return spark.read.option("lineSep", "\r\n" if fmt == "csv" else "\n").text(path)
+
+
+for _fmt in _FILE_SQL:
+    _file_query(_fmt)
+
+
 @query("header_union", "SELECT n_nationkey, n_name, n_regionkey, CAST(NULL AS INTEGER) AS r_regionkey, CAST(NULL AS VARCHAR) AS r_name FROM nation UNION ALL SELECT NULL, NULL, NULL, r_regionkey, r_name FROM region")
 def header_union(spark, sf_dir):
     return render.union_rows(table(spark, sf_dir, "nation"), table(spark, sf_dir, "region"))
@@ -356,6 +385,15 @@ def dataset_list(spark, sf_dir):
     return datasets.listing(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("dataset")))
 
 
+@query("dataset_append", "SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey % 2, o_orderkey) <= 10000")
+def dataset_append(spark, sf_dir):
+    """Two appends to one dataset, of which the second overflows its cap."""
+    orders, root = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), f"{shared_dir(spark)}/rowloom/sets-{uuid.uuid4().hex}"
+    for part in (0, 1):
+        datasets.append(orders.where(F.col("o_orderkey") % 2 == part), root, "orders", cap=10_000, order="o_orderkey")
+    return datasets.read(spark, root, "orders")
+
+
 @query("dataset_append_cap", "SELECT o_orderpriority AS dataset, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) <= 500")
 def dataset_cap(spark, sf_dir):
     return datasets.capped(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("dataset"), "o_orderkey"), "dataset", "o_orderkey", 500)

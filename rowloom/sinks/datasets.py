@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rowloom.session import cut_lineage, discard
 from rowloom.sinks.render import APPENDABLE, write_lines
 
 MOST_ROWS = 200_000
@@ -27,17 +28,25 @@ def safe_segment(c: Column) -> Column:
     return F.substr(F.regexp_replace(F.regexp_replace(clean, r"^[.\s]+", ""), r"[.\s]+\z", ""), F.lit(1), F.lit(100))
 
 
-def append(df: DataFrame, root: str, name: str, cap: int = MOST_ROWS) -> dict[str, int]:
-    """Add rows to a dataset up to its cap; returns rows added, dropped and in all."""
+def append(df: DataFrame, root: str, name: str, cap: int = MOST_ROWS, order: str | None = None) -> dict[str, int]:
+    """Add rows to a dataset up to its cap, the first by order where one is given; returns rows added, dropped and in all."""
     spark, path = df.sparkSession, f"{root}/{dataset_name(name)}"
-    here = count(spark, root, name)
-    given = df.count()
+    staged = cut_lineage(df, "append")
+    here, given = count(spark, root, name), staged.count()
     added = max(0, min(given, cap - here))
     if added:
-        (df if added == given else df.limit(added)).write.mode("append").parquet(path)
+        kept = staged if added == given else (staged.orderBy(order) if order else staged).limit(added)
+        kept.write.mode("append").parquet(path)
+    discard(staged)
     return {"added": added, "dropped": given - added, "total": here + added}
 
 
+def clear(spark: SparkSession, root: str, name: str) -> None:
+    """Forget a dataset's rows."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{dataset_name(name)}")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(f"{root}/{dataset_name(name)}")
 
@@ -54,11 +63,11 @@ def count(spark: SparkSession, root: str, name: str) -> int:
 
 
 def export_appended(df: DataFrame, root: str, name: str, fmt: str, path: str) -> dict[str, int]:
-    """Append, then write the whole dataset over the one file set at path."""
+    """Append, then write the whole dataset over the one file at path."""
     if fmt not in APPENDABLE:
         raise ValueError(f"{fmt} cannot be appended to; use one of {', '.join(APPENDABLE)}")
     done = append(df, root, name)
-    write_lines(read(df.sparkSession, root, name), fmt, path, "overwrite")
+    write_lines(read(df.sparkSession, root, name), fmt, path, "overwrite", files=1)
     return done
 
 

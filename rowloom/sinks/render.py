@@ -1,7 +1,7 @@
 """Rows as text: CSV, TSV, JSON, JSONL, XML and Markdown, one `line` per output line, built from Catalyst expressions.
 
 render_lines keeps everything distributed; render_text joins the lines on the driver, for results small enough to be
-one string; write_lines writes the lines as text files.
+one string; write_lines writes files, each a whole document.
 """
 
 from __future__ import annotations
@@ -111,15 +111,43 @@ def render_text(df: DataFrame, fmt: str, order: str, most_rows: int = 200_000) -
     return end.join([*header(body.columns, fmt), *rows, *foot]) + end
 
 
-def write_lines(df: DataFrame, fmt: str, path: str, mode: str = "error") -> None:
-    """The rows' lines as text files, in the executors' own partitions; csv and tsv files each begin with their header."""
+def _document(fmt: str, columns: list[str], lone: bool):
+    """For mapInArrow: a partition's rows between the header and the footer of the format, so that each file is whole."""
+    import pyarrow as pa
+
+    def wrap(batches):
+        top, foot, held = header(columns, fmt), ["</rows>"] if fmt == "xml" else [], None
+        for batch in batches:
+            out = []
+            for row in batch.column(0).to_pylist():
+                if fmt == "json":
+                    # A row is held back until it is known whether a comma follows it.
+                    out.append("[" if held is None else f"{held},")
+                    held = "  " + json.dumps(json.loads(row), indent=2, ensure_ascii=False).replace("\n", "\n  ")
+                else:
+                    out += [row] if held else [*top, row]
+                    held = "begun"
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        last = ([held, "]"] if held else ["[]"] if lone else []) if fmt == "json" else foot if held else []
+        yield pa.RecordBatch.from_arrays([pa.array(last, pa.string())], names=["value"])
+
+    return wrap
+
+
+def write_lines(df: DataFrame, fmt: str, path: str, mode: str = "error", order: str | None = None, files: int | None = None) -> None:
+    """The rows as text files, each a whole document of the format (with its header, root or brackets), with cells as
+    they are. order: a column to sort by, which is not written; files: the number of files (1: one document, in order),
+    by default one for each partition."""
     format_meta(fmt)
-    if fmt in ("csv", "tsv"):
-        cells = df.select(*((cell(df, n) if fmt == "csv" else F.translate(cell(df, n), "\t\r\n", "   ")).alias(n) for n in df.columns))
-        options = {"header": True, "escape": '"', "emptyValue": "", "sep": "," if fmt == "csv" else "\t", "lineSep": "\r\n" if fmt == "csv" else "\n"}
-        cells.write.mode(mode).options(**options).csv(path)
-        return
-    df.select(line(df, fmt).alias("value")).write.mode(mode).option("lineSep", "\n").text(path)
+    body = df if order is None else df.drop(order)
+    rows = df.select(line(body, fmt).alias("value"), *([F.col(f"`{order}`").alias("seq")] if order else []))
+    if files is not None:
+        rows = rows.repartition(files) if order is None else rows.repartitionByRange(files, "seq")
+    if order is not None:
+        rows = (rows.orderBy("seq") if files is None else rows.sortWithinPartitions("seq")).drop("seq")
+    if fmt != "jsonl":
+        rows = rows.mapInArrow(_document(fmt, body.columns, files == 1), "value string")
+    rows.write.mode(mode).option("lineSep", "\r\n" if fmt == "csv" else "\n").text(path)
 
 
 def union_rows(*frames: DataFrame) -> DataFrame:

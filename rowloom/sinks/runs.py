@@ -42,13 +42,13 @@ def cache_key(url: Column, fields: list[str], provider: Column, model: Column, b
     return F.sha2(F.concat_ws(" ", *parts), 256)
 
 
-def evict(cache: DataFrame, last_used: str = "last_used", most: int = CACHE_ENTRIES, batch: int = EVICT) -> DataFrame:
-    """The cache with its oldest entries gone, a batch at a time, if it holds more than `most`."""
+def evict(cache: DataFrame, last_used: str = "last_used", most: int = CACHE_ENTRIES, batch: int = EVICT, key: str = "key") -> DataFrame:
+    """The cache with its oldest entries gone, a batch at a time, if it holds more than `most`; of equally old ones, the smallest keys go."""
     n = cache.count()
     if n <= most:
         return cache
     drop = -(-(n - most) // batch) * batch
-    return cache.orderBy(F.col(last_used).desc()).limit(max(0, n - drop))
+    return cache.orderBy(F.col(last_used).desc(), F.col(key).desc()).limit(max(0, n - drop))
 
 
 def merge_answers(known: DataFrame, new: DataFrame, key: str = "key", last_used: str = "last_used") -> DataFrame:
