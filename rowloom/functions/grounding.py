@@ -121,6 +121,12 @@ def weighted_confidence(confidences: dict[str, Column], weights: dict[str, int])
     return F.floor(weighted / total + 0.5).cast("int")
 
 
+def coverage(values: list[Column]) -> Column:
+    """The share of fields that have an answer, in percent, rounded half up."""
+    answered = sum((F.when(v.isNotNull() & (v.cast("string") != ""), 1).otherwise(0) for v in values), F.lit(0))
+    return F.floor(answered * 100 / max(1, len(values)) + 0.5).cast("int")
+
+
 def is_fragile(selector: Column) -> Column:
     """A selector by position rather than identity."""
     s = F.coalesce(selector, F.lit(""))

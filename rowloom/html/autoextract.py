@@ -39,7 +39,7 @@ MONEY = re.compile("[$₹€£¥₩₽]|USD|INR|EUR|GBP")
 CURRENCIES = (("INR", "₹|INR"), ("USD", r"\$|USD"), ("EUR", "€|EUR"), ("GBP", "£|GBP"), ("JPY", "¥|JPY|CNY"), ("KRW", "₩|KRW"), ("RUB", "₽|RUB"), ("AED", "AED"))
 NOISE = "nav, header, footer, aside, [role=navigation], [role=banner], [role=contentinfo], .nav, .navbar, .header, .footer, .sidebar, .breadcrumb, .breadcrumbs, #nav, #header, #footer, #sidebar"
 DULL_IMAGE = re.compile("sprite|icon|logo|flag|pixel|1x1|blank|placeholder", re.I)
-DOM_NOISE = "script, style, link, noscript, svg, iframe, " + NOISE.split(", .nav")[0] + ", .nav, .navbar, .header, .footer, .sidebar, .breadcrumb, .ads, .advertisement, .cookie-banner, .popup, .modal:not([aria-label*=product])"
+DOM_NOISE = "script, style, link, noscript, svg, iframe, nav, header, footer, aside, [role=navigation], [role=banner], [role=contentinfo], .nav, .navbar, .header, .footer, .sidebar, .breadcrumb, .ads, .advertisement, .cookie-banner, .popup, .modal:not([aria-label*=product])"
 MIN_SCORES = {"name": 50, "brand": 55, "sku": 60, "description": 55, "availability": 60, "rating": 60, "reviewCount": 60}
 MOST_IMAGES, MOST_DOM = 8, 12_000
 

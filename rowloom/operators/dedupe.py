@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections import OrderedDict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rowloom.functions.js import collapse, text_of
+from rowloom.session import ship_package
 
 SEPARATOR, ABSENT, NULL = "\u001f", "\u001fundef", "\u001fnull"
 SEEN_LIMIT = 100_000
@@ -33,6 +35,12 @@ def row_key(df: DataFrame, fields: list[str] | None = None) -> Column:
     return F.concat_ws(SEPARATOR, *parts)
 
 
+def export_key(df: DataFrame) -> Column:
+    """A row as the JSON text of its [column, value] pairs, by column: what tells whether two stores hold the same row."""
+    pairs = (F.concat(F.lit(f"[{json.dumps(c)},"), F.substr(F.to_json(F.array(F.col(f"`{c}`")), {"ignoreNullFields": "false"}), F.lit(2))) for c in sorted(df.columns))
+    return F.concat(F.lit("["), F.concat_ws(",", *pairs), F.lit("]"))
+
+
 def map_row_key(row: Column, fields: list[str]) -> Column:
     """The same key for rows held as MAP<STRING, STRING>, where absent and null are two facts."""
     part = lambda name: F.when(~F.map_contains_key(row, name), ABSENT).when(row[name].isNull(), NULL).otherwise(F.lower(collapse(row[name])))
@@ -66,6 +74,16 @@ def keep_unseen(df: DataFrame, order: str, seen: DataFrame, fields: list[str] |
     return new.select(*df.columns), seen.select("key").unionByName(new.select(F.col("__key").alias("key")))
 
 
+#: No value of a column equals it.
+NOTHING = object()
+
+
+def in_order(df: DataFrame, partition: str, order: str, replay) -> DataFrame:
+    """replay over Arrow batches in which each partition value's rows stand together, in order: a task holds a batch, not a group."""
+    ship_package(df.sparkSession)
+    return df.repartition(partition).sortWithinPartitions(partition, order).mapInArrow(replay, df.schema)
+
+
 class SeenKeys:
     """Keys in the order first seen, at most limit of them: the oldest goes when a new one comes, repeats do not refresh."""
 
@@ -95,12 +113,17 @@ def keep_bounded(df: DataFrame, order: str, fields: list[str], limit: int, parti
     crowded = distinct.groupBy(partition).count().where(F.col("count") > limit).select(partition)
     free = keyed.join(crowded, partition, "left_anti").join(distinct.withColumnRenamed("__first", order), [partition, "__key", order], "left_semi")
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        memory = SeenKeys(limit)
-        pdf = pdf.sort_values(order)
-        return pdf[[memory.add(k) for k in pdf["__key"]]]
-
-    full = keyed.join(crowded, partition, "left_semi").groupBy(partition).applyInPandas(replay, keyed.schema)
+    def replay(batches):
+        memory, at = SeenKeys(limit), NOTHING
+        for b in batches:
+            kept = []
+            for group, key in zip(b.column(partition).to_pylist(), b.column("__key").to_pylist(), strict=True):
+                if group != at:
+                    memory, at = SeenKeys(limit), group
+                kept.append(memory.add(key))
+            yield b.filter(pa.array(kept, pa.bool_()))
+
+    full = in_order(keyed.join(crowded, partition, "left_semi"), partition, order, replay)
     return free.select(*keyed.columns).unionByName(full).drop("__key")
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,7 +29,14 @@ def search_text(spark: SparkSession, path: str, needle: str, is_regex: bool = Fa
     return found.orderBy("file", "line_no").limit(most)
 
 
-def frames_first(df: DataFrame, page: str, frame: str, has_rows: str) -> DataFrame:
-    """Of a page's frames, the first (the top one before others) whose answer is not empty; the top one where all are."""
-    best = F.row_number().over(W.partitionBy(page).orderBy((~F.col(has_rows)).cast("int"), frame))
+def looks_empty(columns: list[str]) -> Column:
+    """Whether a row's values are all null or the empty text."""
+    return reduce(lambda a, b: a & b, (F.col(f"`{c}`").isNull() | (F.col(f"`{c}`").cast("string") == "") for c in columns), F.lit(True))
+
+
+def frames_first(df: DataFrame, page: str, frame: str, answer: list[str] | str) -> DataFrame:
+    """Of a page's frames, the first (the top one before others) whose answer is not empty; the top one where all are.
+    answer: the columns that hold it, or a boolean column that tells."""
+    empty = ~F.col(answer) if isinstance(answer, str) else looks_empty(answer)
+    best = F.row_number().over(W.partitionBy(page).orderBy(empty.cast("int"), frame))
     return df.withColumn("__n", best).where("__n = 1").drop("__n")

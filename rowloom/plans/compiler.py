@@ -25,6 +25,7 @@ from rowloom.operators import dedupe as D
 from rowloom.plans import templates
 from rowloom.plans.recipe import Recipe, Step, read_recipe, unrunnable, walk
 from rowloom.plans.steps import LOOP_CAP, default_config
+from rowloom.session import cut_lineage
 from rowloom.sinks import render as sink
 from rowloom.sources import api, pages, pdf
 
@@ -47,11 +48,14 @@ class Sources:
 
 @dataclass
 class Result:
-    """seen: where a DEDUPE remembers for ever, the keys to give to the next run."""
+    """seen: where a DEDUPE remembers for ever, the keys to give to the next run. notes: what the plan leaves out, and
+    why. upto: the rows that the first n collecting steps have given, as an export in the middle of a recipe sees them."""
 
     rows: DataFrame | None
     exports: list[dict]
     seen: DataFrame | None = None
+    notes: list[str] = field(default_factory=list)
+    upto: Callable[[int], DataFrame | None] = lambda n: None
 
 
 class _Compiler:
@@ -64,7 +68,9 @@ class _Compiler:
         self.stops: list[tuple[int, int, int]] = []
         self.seen: DataFrame | None = None
         self.stored = {"extracted"}
-        self.loop: str | None = None
+        self.on_fail: list[str] = ["stop"]
+        self.loop: list[tuple[str, int]] = []
+        self.notes: list[str] = []
 
     # -- pieces --
 
@@ -115,8 +121,30 @@ class _Compiler:
         """Recorded pages do not change while one waits."""
 
     def do_paginate(self, step: Step, c: dict) -> None:
-        """Pages are recorded: all of the site's pages that the table has, in the order of their addresses."""
-        self.page = self.pages_for(step).orderBy("url").limit(int(c.get("maxPages") or api.DEFAULT_PAGES))
+        """The pages here, and those that the first link found by the selector leads to, one after the other."""
+        self.page = self.followed(step, c, int(c.get("maxPages") or c.get("max") or api.DEFAULT_PAGES))
+
+    def followed(self, step: Step, c: dict, most: int) -> DataFrame:
+        """Pages with _page, the number of links followed to them. The links of all pages are read once; each round is
+        a join of addresses, until no page is new or `most` pages deep."""
+        selector = str(c.get("selector") or "").strip()
+        if not selector:
+            raise RecipeError(f"{step.type} ({step.id}) needs the selector of the link to the next page.")
+        here = self.pages_for(step)
+        if c.get("type") == "paginate-links":
+            links = pages.follow(here, selector).select(F.col("next").alias("url"), (F.col("place") + 1).cast("long").alias("_page"))
+            numbered = here.select("url", F.lit(0).cast("long").alias("_page")).unionByName(links)
+            numbered = numbered.groupBy("url").agg(F.min("_page").alias("_page")).where(F.col("_page") < most)
+            return self.sources.pages.join(numbered, "url")
+        links = cut_lineage(pages.follow(self.sources.pages, selector).where("place = 0").select("url", "next"), "next-links")
+        seen = front = cut_lineage(here.select("url", F.lit(0).cast("long").alias("_page")).dropDuplicates(["url"]), "followed")
+        for _ in range(min(most, LOOP_CAP) - 1):
+            onward = front.join(links, "url").select(F.col("next").alias("url"), F.col("_page") + 1).toDF("url", "_page").dropDuplicates(["url"])
+            front = cut_lineage(onward.join(seen.select("url"), "url", "left_anti"), "followed")
+            if front.isEmpty():
+                break
+            seen = seen.unionByName(front)
+        return self.sources.pages.join(seen, "url")
 
     # -- extraction --
 
@@ -131,7 +159,7 @@ class _Compiler:
         self.collect(found.select(*(x for x in found.columns if x != "data"), F.explode("data.records").alias("record")), step)
 
     def do_page_json(self, step: Step, c: dict) -> None:
-        found = pages.page_json(self.pages_for(step), c["mode"], selector=c.get("selector") or "", scripts=bool(c.get("includeScripts")))
+        found = pages.page_json(self.pages_for(step), c["mode"], selector=c.get("selector") or "", scripts=bool(c.get("includeScripts")), loops=self.loop)
         value = {"tree": F.array(F.col("page.tree")), "text": F.col("page.text"), "flat": F.transform("page.rows", lambda x: F.to_json(x))}[c["mode"]]
         self.collect(found.select(*(x for x in found.columns if x != "page"), F.explode(value).alias("record")), step)
 
@@ -179,23 +207,31 @@ class _Compiler:
     def do_loop(self, step: Step, c: dict) -> None:
         kind, outer = c.get("type") or "elements", (self.page, self.loop)
         if kind == "elements":
-            self.loop = c.get("selector") or None
-            if not self.loop:
+            if not c.get("selector"):
                 raise RecipeError(f"LOOP ({step.id}) over elements needs a selector.")
+            self.loop = [*self.loop, (c["selector"], max(0, int(c.get("max") or 0)))]
+            self.on_fail.append(c.get("onFail") or "skip")
+            self.run(step.children or [])
+            self.on_fail.pop()
+        elif kind in ("paginate", "paginate-links"):
+            self.page = self.followed(step, c, int(c.get("max") or c.get("maxPages") or api.DEFAULT_PAGES))
             self.run(step.children or [])
         elif kind in ("count", "list", "paginate-url"):
             if kind == "count":
                 n = int(c.get("count") or 0)
                 if n < 1:
                     raise RecipeError(f"LOOP ({step.id}) needs a count of at least 1.")
+                self.capped(step, n)
                 items: list = [{"index": i + 1, "index0": i} for i in range(min(n, LOOP_CAP))]
             elif kind == "list":
                 given = c.get("items") if isinstance(c.get("items"), list) else [x.strip() for x in str(c.get("list") or "").splitlines() if x.strip()]
+                self.capped(step, len(given))
                 items = [v if isinstance(v, dict) else {"value": v, "text": v} for v in given[:LOOP_CAP]]
             else:
                 first, by = int(c.get("start") or 1), int(c.get("step") or 1)
                 if by == 0:
                     raise RecipeError(f"LOOP ({step.id}): a step of 0 never ends.")
+                self.capped(step, int(c.get("max") or 10))
                 n = min(int(c.get("max") or 10), LOOP_CAP)
                 items = [{"value": first + k * by, "url": str(c.get("url") or "").replace("{page}", str(first + k * by))} for k in range(n)]
                 wanted = self.spark.createDataFrame([(i, x["url"]) for i, x in enumerate(items)], "_page long, url string")
@@ -221,12 +257,24 @@ class _Compiler:
                 self.run(step.children or [])
             self.sources.context = context
         else:
-            raise RecipeError(f"LOOP ({step.id}) of type {kind} follows links in a live browser.")
+            raise RecipeError(f"LOOP ({step.id}) has no type {kind}.")
         self.page, self.loop = outer
 
+    def capped(self, step: Step, n: int) -> None:
+        if n > LOOP_CAP:
+            self.notes.append(f"LOOP ({step.id}): {n - LOOP_CAP} of {n} items are beyond the {LOOP_CAP} that a loop takes")
+
     def do_if_else(self, step: Step, c: dict) -> None:
-        """Each page takes one branch; a condition that cannot be evaluated sends it to the other."""
+        """Each page (in a loop, each record) takes one branch; a condition that cannot be evaluated sends it to the other."""
         seen = self._observed(step, c)
+        if self.loop:
+            holds = lambda x: P.condition(c["condition"], P.observed(x["text"], x["count"] > 0, x["attr"]), c.get("value", ""))
+            outer = self.page
+            for branch, test in ((step.ifBranch, holds), (step.elseBranch, lambda x: ~holds(x))):
+                self.page = self._scoped(seen, test)
+                self.run(branch or [])
+            self.page = outer
+            return
         holds = P.condition(c["condition"], P.observed(F.col("__seen.text"), F.col("__seen.count") > 0, F.col("__seen.attr")), c.get("value", ""))
         outer = self.page
         for branch, test in ((step.ifBranch, holds), (step.elseBranch, ~holds)):
@@ -235,10 +283,19 @@ class _Compiler:
         self.page = outer
 
     def do_assert(self, step: Step, c: dict) -> None:
-        """A page on which the assertion fails stops the run with its message; an optional one only warns."""
+        """A page or record on which the assertion fails stops the run with its message; an optional one only warns, and
+        in a loop, unless its onFail is stop, the record takes no part in what follows."""
         if c.get("optional"):
             return
         seen = self._observed(step, c)
+        if self.loop:
+            fails = lambda x: P.assertion(c["assertion"], x["count"], x["text"], c.get("selector") or "", c.get("count", ""), c.get("value", ""))
+            if self.on_fail[-1] != "skip":
+                first = F.element_at(F.filter(F.transform("__seen", fails), lambda m: m.isNotNull()), 1)
+                none = ~F.exists("__seen", lambda x: fails(x).isNotNull())
+                seen = seen.where(F.when(none, F.lit(True)).otherwise(F.raise_error(first).cast("boolean")))
+            self.page = self._scoped(seen, lambda x: fails(x).isNull())
+            return
         message = P.assertion(c["assertion"], F.col("__seen.count"), F.col("__seen.text"), c.get("selector") or "", c.get("count", ""), c.get("value", ""))
         checked = F.when(message.isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
         self.page = seen.where(checked).drop("__seen")
@@ -249,13 +306,27 @@ class _Compiler:
         selector, attribute = c.get("selector") or "", (c.get("attr") or c.get("attribute") or "").lower()
 
         def look(document, base):
-            found = scoped(document, selector)
+            return seen(scoped(document, selector))
+
+        def seen(found):
             first = found[0] if found else None
             return {"count": len(found), "text": read.clean(first.text()) if first else None, "attr": first.attrs.get(attribute) if first else None}
 
+        loops = list(self.loop)
+
+        def look_at_each(document, base, scope=None):
+            return [seen(scoped(document, selector, record)) | {"place": place} for place, record in pages.records(document, loops, scope)]
+
         whole = self.pages_for(step).withColumn("__html", F.col("html"))
-        kind = pa.struct([("count", pa.int64()), ("text", pa.string()), ("attr", pa.string())])
-        return pages._per_page(whole, look, "__seen", kind, "struct<count:bigint,text:string,attr:string>", "url", "html").withColumnRenamed("__html", "html")
+        kind, shape = pa.struct([("count", pa.int64()), ("text", pa.string()), ("attr", pa.string())]), "count:bigint,text:string,attr:string"
+        if loops:
+            each = pa.list_(pa.struct([*kind, pa.field("place", pa.string())]))
+            return pages._per_page(whole, look_at_each, "__seen", each, f"array<struct<{shape},place:string>>", "url", "html", pages.SCOPE).withColumnRenamed("__html", "html")
+        return pages._per_page(whole, look, "__seen", kind, f"struct<{shape}>", "url", "html").withColumnRenamed("__html", "html")
+
+    def _scoped(self, seen: DataFrame, test: Callable[[Column], Column]) -> DataFrame:
+        """The pages with only those records in scope that pass."""
+        return seen.withColumn(pages.SCOPE, F.transform(F.filter("__seen", test), lambda x: x["place"])).drop("__seen")
 
     # -- rows --
 
@@ -264,12 +335,21 @@ class _Compiler:
 
     def do_export(self, step: Step, c: dict) -> None:
         sink.format_meta(c["format"])
-        self.exports.append({"format": c["format"], "filename": c.get("filename") or sink.default_filename(c["format"]), "upto": len(self.collected)})
+        if c.get("append") and c["format"] not in sink.APPENDABLE:
+            raise RecipeError(f"EXPORT ({step.id}): {c['format']} cannot be appended to; use one of {', '.join(sink.APPENDABLE)}.")
+        self.exports.append({"format": c["format"], "filename": c.get("filename") or sink.default_filename(c["format"]), "upto": len(self.collected), "append": bool(c.get("append")), "dataset": c.get("dataset") or c.get("filename") or ""})
 
-    def rows(self) -> DataFrame | None:
+    def rows(self, upto: int | None = None) -> DataFrame | None:
         """All rows in order, past the deduplication gates: only rows collected after a gate pass through it."""
-        if not self.collected:
+        if not self.collected[:upto]:
             return None
+        if upto is not None:
+            whole = self.collected, self.gates, self.stops
+            self.collected, self.gates, self.stops = self.collected[:upto], [g for g in self.gates if g[0] < upto], [s for s in self.stops if s[1] <= upto]
+            try:
+                return self.rows()
+            finally:
+                self.collected, self.gates, self.stops = whole
         ordered = [df.withColumn("_seq", F.struct(F.lit(i).alias("batch"), *_order(df))) for i, df in enumerate(self.collected)]
         ordered = [df.withColumn("_seq", F.to_json("_seq")).withColumn("_batch", F.lit(i)) for i, df in enumerate(ordered)]
         out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ordered)
@@ -345,7 +425,32 @@ def compile_recipe(spark: SparkSession, recipe: object, sources: Sources) -> Res
         raise RecipeError("; ".join(f"{kind} ({i}): {why}" for i, kind, why in refused))
     c = _Compiler(spark, sources)
     c.run(r.steps)
-    return Result(c.rows(), c.exports, c.seen)
+    return Result(c.rows(), c.exports, c.seen, c.notes, c.rows)
+
+
+def run_exports(done: Result, out: str, datasets_root: str, stored: DataFrame | None = None) -> list[dict]:
+    """Write a run's exports under out, one folder each; returns what each has written.
+
+    An appending export adds its rows to its dataset and writes the whole of it. Any other writes the rows so far, as
+    they are, and those stored by an interrupted run (columns and a key, row_key) that are not among them.
+    """
+    from rowloom.sinks import datasets
+
+    report = []
+    for e in done.exports:
+        rows = done.upto(e["upto"])
+        path = f"{out}/{datasets.dataset_name(e['filename'])}"
+        if rows is None:
+            report.append({"path": None, "rows": 0})
+        elif e["append"]:
+            report.append({"path": path} | datasets.export_appended(rows, datasets_root, e["dataset"] or "default", e["format"], path))
+        else:
+            if stored is not None:
+                keyed = rows.withColumn("__key", D.export_key(rows))
+                rows = datasets.merge_stores(keyed, stored.select(*rows.columns, D.export_key(stored.select(*rows.columns)).alias("__key")), "__key").drop("__key")
+            sink.write_lines(rows, e["format"], path, "overwrite", files=1 if e["format"] == "json" else None)
+            report.append({"path": path})
+    return report
 
 
 def paginate_until_empty(rows: DataFrame, page: str, kept: str, first_rows: bool = False) -> DataFrame:

@@ -234,6 +234,62 @@ def recipe_run(spark, sf_dir):
     return compile_recipe(spark, recipe, Sources(pages=table(spark, sf_dir, "pages"))).rows.select("label")
 
 
+_EACH = f"WITH t AS (SELECT page_id, unnest({_TEXTS}) AS label FROM pages)"
+_LABEL = {"type": "EXTRACT", "config": {"fields": [{"name": "label", "selector": "a"}]}}
+
+
+def _recipe(spark, sf_dir, *steps):
+    return compile_recipe(spark, {"steps": [{"type": "WEBSITE"}, *steps]}, Sources(pages=table(spark, sf_dir, "pages"))).rows
+
+
+@query("recipe_nested_loops", f"{_EACH} SELECT page_id, label FROM t")
+def recipe_nested_loops(spark, sf_dir):
+    """A loop within the records of a loop."""
+    inner = {"type": "LOOP", "config": {"selector": "li"}, "children": [_LABEL]}
+    return _recipe(spark, sf_dir, {"type": "LOOP", "config": {"selector": "nav ul"}, "children": [inner]}).select("page_id", "label")
+
+
+@query("recipe_branch_in_loop", f"{_EACH} SELECT page_id, CASE WHEN contains(label, 'e') THEN label END AS label, CASE WHEN NOT contains(label, 'e') THEN label END AS other FROM t")
+def recipe_branch_in_loop(spark, sf_dir):
+    """Each record of a loop takes its own branch."""
+    other = {"type": "EXTRACT", "config": {"fields": [{"name": "other", "selector": "a"}]}}
+    branch = {"type": "IF_ELSE", "config": {"condition": "text-contains", "selector": "a", "value": "e"}, "ifBranch": [_LABEL], "elseBranch": [other]}
+    return _recipe(spark, sf_dir, {"type": "LOOP", "config": {"selector": "nav li"}, "children": [branch]}).select("page_id", "label", "other")
+
+
+@query("recipe_skip_failing_records", f"{_EACH} SELECT page_id, label FROM t WHERE contains(label, 'e')")
+def recipe_skip_failing_records(spark, sf_dir):
+    must = {"type": "ASSERT", "config": {"assertion": "text-contains", "selector": "a", "value": "e"}}
+    return _recipe(spark, sf_dir, {"type": "LOOP", "config": {"selector": "nav li", "onFail": "skip"}, "children": [must, _LABEL]}).select("page_id", "label")
+
+
+@query("recipe_next_links", "SELECT c_custkey AS k, c_custkey - 1 AS n FROM customer WHERE c_custkey BETWEEN 1 AND 7")
+def recipe_next_links(spark, sf_dir):
+    """Customers' pages, each with a link to the next but every seventh, followed from the first."""
+    key = F.col("c_custkey")
+    link = F.when(key % 7 != 0, F.concat(F.lit('<a class="next" href="/c/'), (key + 1).cast("string"), F.lit('">more</a>'))).otherwise("")
+    made = table(spark, sf_dir, "customer").select(F.concat(F.lit("https://s.test/c/"), key.cast("string")).alias("url"), F.concat(F.lit("<b>"), key.cast("string"), F.lit("</b>"), link).alias("html"))
+    steps = [{"type": "WEBSITE", "config": {"url": "https://s.test/c/1"}}, {"type": "PAGINATE", "config": {"selector": "a.next"}}, {"type": "EXTRACT", "config": {"fields": [{"name": "k", "selector": "b"}]}}]
+    rows = compile_recipe(spark, {"steps": steps}, Sources(pages=made)).rows
+    return rows.select(F.col("k").cast("long").alias("k"), F.col("_page").alias("n"))
+
+
+@query("page_data_microdata", "SELECT p_partkey, p_name AS name, CAST(p_size AS VARCHAR) AS size FROM part")
+def page_data_microdata(spark, sf_dir):
+    """Product pages made of the part table, read back through their microdata."""
+    html = F.concat(F.lit('<div itemscope itemtype="https://schema.org/Product"><h1 itemprop="name">'), "p_name", F.lit('</h1><meta itemprop="size" content="'), F.col("p_size").cast("string"), F.lit('"></div>'))
+    made = table(spark, sf_dir, "part").select("p_partkey", F.lit("https://s.test/").alias("url"), html.alias("html"))
+    each = pages.page_data(made, source="microdata").select("p_partkey", F.explode("data.records").alias("r"))
+    return each.select("p_partkey", F.get_json_object("r", "$.name").alias("name"), F.get_json_object("r", "$.size").alias("size"))
+
+
+@query("page_data_meta", "SELECT p_partkey, p_name AS title, p_brand AS brand FROM part")
+def page_data_meta(spark, sf_dir):
+    html = F.concat(F.lit('<head><meta property="og:title" content="'), "p_name", F.lit('"><meta property="product:brand" content="'), "p_brand", F.lit('"></head>'))
+    made = table(spark, sf_dir, "part").select("p_partkey", F.lit("https://s.test/").alias("url"), html.alias("html"))
+    return pages.page_data(made, source="meta").select("p_partkey", F.col("data.meta")["og:title"].alias("title"), F.col("data.meta")["product:brand"].alias("brand"))
+
+
 @query("paginate_url_stop_empty", "WITH p AS (SELECT o_orderkey // 500 AS page, count(*) FILTER (WHERE o_totalprice > 499000) AS kept FROM orders GROUP BY 1), s AS (SELECT page, kept, kept = 0 AND coalesce(sum(kept) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS stop FROM p) SELECT page, kept FROM s WHERE page <= coalesce((SELECT min(page) FROM s WHERE stop), 1000000)")
 def paginate_url(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 500).alias("page")).agg(F.count_if(F.col("o_totalprice") > 499000).alias("kept"))
@@ -267,7 +323,14 @@ def missed(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", pacing.missed_windows(F.lag(ms).over(w), F.lit(60), ms).alias("missed"))
 
 
-@query("capture_caps")
+@query(
+    "capture_caps",
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, CAST(len(props) AS INTEGER) AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+    r AS (SELECT event_id, user_id, size, k, size <= 200 AS fits, CASE WHEN size <= 200 THEN size ELSE 0 END AS used, CAST(size <= 200 AS INTEGER) AS n FROM e WHERE k = 1
+      UNION ALL SELECT e.event_id, e.user_id, e.size, e.k, r.n < 20 AND r.used + e.size <= 200, r.used + CASE WHEN r.n < 20 AND r.used + e.size <= 200 THEN e.size ELSE 0 END, r.n + CAST(r.n < 20 AND r.used + e.size <= 200 AS INTEGER)
+      FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+    SELECT event_id, user_id, size FROM r WHERE fits""",
+)
 def capture_caps(spark, sf_dir):
     sized = table(spark, sf_dir, "events").select("event_id", "user_id", F.length("props").alias("size"))
     return pacing.cap_captures(sized, "user_id", "event_id", "size", most=20, most_bytes=200)

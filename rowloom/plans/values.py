@@ -236,7 +236,15 @@ def dedupe_bounded_roomy(spark, sf_dir):
     return D.keep_bounded(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id", ["event_type"], 100, "user_id")
 
 
-@query("dedupe_bounded")
+@query(
+    "dedupe_bounded",
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+    r AS (SELECT event_id, user_id, event_type, k, true AS kept, [event_type] AS known FROM e WHERE k = 1
+      UNION ALL SELECT e.event_id, e.user_id, e.event_type, e.k, NOT list_contains(r.known, e.event_type),
+        CASE WHEN list_contains(r.known, e.event_type) THEN r.known WHEN len(r.known) < 2 THEN list_append(r.known, e.event_type) ELSE list_append(r.known[2:], e.event_type) END
+      FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+    SELECT event_id, user_id, event_type FROM r WHERE kept""",
+)
 def dedupe_bounded(spark, sf_dir):
     return D.keep_bounded(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id", ["event_type"], 2, "user_id")
 
@@ -399,6 +407,18 @@ def dataset_cap(spark, sf_dir):
     return datasets.capped(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("dataset"), "o_orderkey"), "dataset", "o_orderkey", 500)
 
 
+@query("export_row_key", "SELECT n_nationkey, '[[\"n_name\",\"' || n_name || '\"],[\"n_nationkey\",' || n_nationkey || ']]' AS key FROM nation")
+def export_row_key(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return rows.select("n_nationkey", D.export_key(rows).alias("key"))
+
+
+@query("coverage_percent", "SELECT doc_id, CAST(floor((CAST(text IS NOT NULL AND text <> '' AS INTEGER) + CAST(lang IS NOT NULL AS INTEGER) + CAST(source = 'src1' AS INTEGER)) * 100 / 3.0 + 0.5) AS INTEGER) AS coverage FROM documents")
+def coverage_percent(spark, sf_dir):
+    known = F.when(F.col("source") == "src1", F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", G.coverage([F.col("text"), F.col("lang"), known]).alias("coverage"))
+
+
 @query("export_merge_stores", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT min(o_orderkey), o_custkey FROM orders WHERE o_orderkey % 3 = 1 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0) GROUP BY o_custkey")
 def merge_stores(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")

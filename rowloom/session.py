@@ -51,6 +51,16 @@ def ship_package(spark: SparkSession) -> None:
     sc._rowloom_shipped = True
 
 
+def spread(df: DataFrame, least: int = 1 << 20, most: int = 4 << 20) -> DataFrame:
+    """A small table dealt out to all cores: a file of a few megabytes is often one row group, which one task reads.
+
+    Between `least` bytes and `most` for each core this costs next to nothing; larger tables have splits of their own.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if least <= size <= most * cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or on a local master, where it is unset, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

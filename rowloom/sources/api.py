@@ -52,14 +52,18 @@ def max_pages(given: object = None) -> int:
 def check_pagination(mode: str, rows_path: str, cursor_path: str = "") -> str:
     mode = (mode or "none").lower()
     if mode not in MODES:
-        raise ValueError(f'API pagination has an unknown mode "{mode}".')
+        raise ValueError(f"{mode!r} is no mode of pagination ({', '.join(MODES)})")
     if mode != "none" and not rows_path.strip():
-        raise ValueError("API pagination needs rowsPath, the path of the records in each page's body, so that it knows what an empty page is.")
+        raise ValueError("pagination needs rowsPath: a page is empty when it has no rows there")
     if mode == "cursor" and not cursor_path.strip():
-        raise ValueError('API pagination is set to "cursor" but has no cursorPath: nothing names where the next cursor is.')
+        raise ValueError("pagination by cursor needs cursorPath, where a response holds the next one")
     return mode
 
 
+# Why a pagination stopped.
+NO_CURSOR, NO_LINK, EMPTY_PAGE = "no next cursor in the response", 'no rel="next" in the Link header', "the page was empty"
+
+
 def recorded_pages(responses: DataFrame, mode: str, rows_path: str, cursor_path: str = "", pages: object = None, run: str = "run", seq: str = "seq", body: str = "body", status: str = "status", link: str = "link") -> DataFrame:
     """The recorded responses of each run that pagination would have asked for, with stop_reason on the last.
 
@@ -72,13 +76,13 @@ def recorded_pages(responses: DataFrame, mode: str, rows_path: str, cursor_path:
     n_rows = F.coalesce(F.size(F.try_variant_get(F.try_parse_json(F.col(body)), json_path(rows_path), "array<variant>")), F.lit(0))
     cursor = value_at(F.col(body), cursor_path) if mode == "cursor" else F.lit(None).cast("string")
     more = {"none": F.lit(False), "page": F.lit(True), "cursor": F.coalesce(cursor, F.lit("")) != "", "link": link_next(F.col(link)).isNotNull() if mode == "link" else F.lit(False)}[mode]
-    no_more = {"none": "", "page": "", "cursor": "no next cursor in the response", "link": 'no rel="next" in the Link header'}[mode]
+    no_more = {"none": "", "page": "", "cursor": NO_CURSOR, "link": NO_LINK}[mode]
     failed = F.coalesce(F.col(status), F.lit(200)) >= 400
     numbered = responses.withColumn("__n", F.row_number().over(by_run)).withColumn("__rows", n_rows)
     numbered = numbered.withColumn("__failed", F.when(failed & (F.col("__n") == 1), F.raise_error(F.concat(F.lit("API request failed: "), F.col(status).cast("string"))).cast("boolean")).otherwise(failed))
     reason = (
         F.when(F.col("__failed"), F.concat(F.lit("page "), F.col("__n").cast("string"), F.lit(" failed: "), F.col(status).cast("string")))
-        .when(F.lit(mode == "none"), "").when(F.col("__rows") == 0, "the page was empty").when(F.col("__n") >= most, f"reached the {most}-page limit").when(~more, no_more)
+        .when(F.lit(mode == "none"), "").when(F.col("__rows") == 0, EMPTY_PAGE).when(F.col("__n") >= most, f"reached the {most}-page limit").when(~more, no_more)
     )
     stopped = numbered.withColumn("stop_reason", reason)
     first = stopped.withColumn("__stop", F.min(F.when(F.col("stop_reason").isNotNull(), F.col("__n"))).over(W.partitionBy(run)))

@@ -17,8 +17,8 @@ from rowloom.session import ship_package
 BATCH_ROWS = 1000
 
 
-def _per_page(df: DataFrame, build, column: str, kind: pa.DataType, spark_type: str, url: str, html: str) -> DataFrame:
-    """df's columns but for the html, with build(document, url) as a new column."""
+def _per_page(df: DataFrame, build, column: str, kind: pa.DataType, spark_type: str, url: str, html: str, scope: str | None = None) -> DataFrame:
+    """df's columns but for the html, with build(document, url) as a new column; with a scope column, build(document, url, its value)."""
     ship_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     kept = [c for c in df.columns if c not in (html, column)]
@@ -27,7 +27,10 @@ def _per_page(df: DataFrame, build, column: str, kind: pa.DataType, spark_type:
     def run(batches):
         for b in batches:
             urls = b.column(url).to_pylist() if url in b.schema.names else [None] * b.num_rows
-            values = [build(parse(h), u) for h, u in zip(b.column(html).to_pylist(), urls, strict=True)]
+            if scope is not None and scope in b.schema.names:
+                values = [build(parse(h), u, s) for h, u, s in zip(b.column(html).to_pylist(), urls, b.column(scope).to_pylist(), strict=True)]
+            else:
+                values = [build(parse(h), u) for h, u in zip(b.column(html).to_pylist(), urls, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(values, kind)], names=[*kept, column])
 
     return df.select(*kept, html).mapInArrow(run, f"{fields}, `{column}` {spark_type}")
@@ -42,28 +45,61 @@ def assemble_rows(df: DataFrame, values: str, names: list[str], position: str =
     return dealt.select(*(c for c in df.columns if c != values and c not in names), (F.col(position) - 1).alias(position), *(cell(i).alias(n) for i, n in enumerate(names)))
 
 
-def extract(pages: DataFrame, fields: list[dict], loop: str | None = None, url: str = "url", html: str = "html", fallback: bool = True) -> DataFrame:
+#: A column with the records of a page that are in scope, each as the numbers of its loops joined by dots; null: all.
+SCOPE = "_scope"
+
+
+def records(document, loops: list[str | tuple[str, int]], scope: list[str] | None = None) -> list[tuple[str, object]]:
+    """(place, record) of the innermost of nested loops: each is run within the records of the one around it, up to its
+    limit if it comes with one above 0. The place has the record's number in each loop; a scope has places, and only records at or below one of them count."""
+    out = [("", None)]
+    for depth, loop in enumerate(loops):
+        selector, most = (loop, 0) if isinstance(loop, str) else loop
+        found = ((place, select(document if node is None else node, selector)[: most or None]) for place, node in out)
+        out = [(f"{place}.{i}" if depth else str(i), n) for (place, nodes) in found for i, n in enumerate(nodes)]
+    if scope is None:
+        return out
+    known = set(scope)
+    return [(p, n) for p, n in out if any(".".join(p.split(".")[: k + 1]) in known for k in range(p.count(".") + 1))]
+
+
+def extract(pages: DataFrame, fields: list[dict], loop: str | list[str] | None = None, url: str = "url", html: str = "html", fallback: bool = True) -> DataFrame:
     """Fields to rows. With loop, each match of that selector is a record with its own rows, and fields that a record has no
-    match for are read from the whole page (fallback=False leaves them null). No fields give no rows."""
+    match for are read from the whole page (fallback=False leaves them null); a list has loops within loops, and a column
+    _scope the records that count. No fields give no rows."""
     if not fields:
         return pages.drop(html).limit(0)
     specs = [read.check_field(f) for f in fields]
     names = [s["name"] for s in specs]
 
-    def build(document, base):
-        if loop is None:
+    loops = [loop] if isinstance(loop, str) else list(loop or [])
+
+    def build(document, base, scope=None):
+        if not loops:
             return [{"index0": 0, "values": read.field_values(document, specs, base)}]
         out = []
-        for i, record in enumerate(select(document, loop)):
+        for i, (_, record) in enumerate(records(document, loops, scope)):
             values = read.field_values(document, specs, base, record) if fallback else [[read.value_of(n, s, base) for n in (select(record, s["selector"]) if s.get("selector") else [record])] for s in specs]
             out.append({"index0": i, "values": values})
         return out
 
     kind = pa.list_(pa.struct([("index0", pa.int32()), ("values", pa.list_(pa.list_(pa.string())))]))
-    found = _per_page(pages, build, "__found", kind, "array<struct<index0:int,values:array<array<string>>>>", url, html)
-    kept = [c for c in found.columns if c not in ("__found", "_record", "_row", *names)]
-    records = found.select(*kept, F.explode("__found").alias("r")).select(*kept, F.col("r.index0").alias("_record"), F.col("r.values").alias("__values"))
-    return assemble_rows(records, "__values", names)
+    found = _per_page(pages, build, "__found", kind, "array<struct<index0:int,values:array<array<string>>>>", url, html, SCOPE)
+    kept = [c for c in found.columns if c not in ("__found", "_record", "_row", SCOPE, *names)]
+    each = found.select(*kept, F.explode("__found").alias("r")).select(*kept, F.col("r.index0").alias("_record"), F.col("r.values").alias("__values"))
+    return assemble_rows(each, "__values", names)
+
+
+def follow(pages: DataFrame, selector: str, url: str = "url", html: str = "html") -> DataFrame:
+    """(url, place, next): the addresses of the elements that the selector finds on each page, in order."""
+    from rowloom.functions.transforms import absolute_url
+
+    def links(document, base):
+        found = (n.attrs.get("href") or "" for n in scoped(document, selector))
+        return [u for u in (absolute_url(h, base) for h in found if h) if u]
+
+    found = _per_page(pages.select(url, html), links, "__next", pa.list_(pa.string()), "array<string>", url, html)
+    return found.select(F.col(url).alias("url"), F.posexplode("__next").alias("place", "next"))
 
 
 def query_count(pages: DataFrame, selector: str, url: str = "url", html: str = "html") -> DataFrame:
@@ -94,18 +130,27 @@ def page_data(pages: DataFrame, source: str = "auto", kind: str = "", flat: bool
     return _per_page(pages, build, "data", arrow, "struct<found:boolean,title:string,records:array<string>,meta:map<string,string>,sources:array<string>,warnings:array<string>,reason:string>", url, html)
 
 
-def page_json(pages: DataFrame, mode: str = "tree", url: str = "url", html: str = "html", **options) -> DataFrame:
-    """`page`: found, nodes, truncated, reason, text (lines), rows (flat) and tree (JSON text)."""
+def page_json(pages: DataFrame, mode: str = "tree", url: str = "url", html: str = "html", loops: list[str] | None = None, **options) -> DataFrame:
+    """`page`: found, nodes, truncated, reason, text (lines), rows (flat) and tree (JSON text); in loops, a row for each record."""
     read.page_json(parse("<p>"), None, mode, **options)
 
-    def build(document, base):
-        d = read.page_json(document, base, mode, **options)
+    def build(document, base, record=None):
+        d = read.page_json(document, base, mode, record=record, **options)
         return d | {"tree": json.dumps(d["tree"], ensure_ascii=False) if d["tree"] else None}
 
     row = pa.struct([(k, pa.string()) for k in ("tag", "path", "text", "href", "src", "id", "class")])
     arrow = pa.struct([("found", pa.bool_()), ("title", pa.string()), ("nodes", pa.int32()), ("truncated", pa.bool_()), ("reason", pa.string()), ("text", pa.list_(pa.string())), ("rows", pa.list_(row)), ("tree", pa.string())])
     spark_row = "struct<tag:string,path:string,text:string,href:string,src:string,id:string,class:string>"
-    return _per_page(pages, build, "page", arrow, f"struct<found:boolean,title:string,nodes:int,truncated:boolean,reason:string,text:array<string>,rows:array<{spark_row}>,tree:string>", url, html)
+    spark_page = f"struct<found:boolean,title:string,nodes:int,truncated:boolean,reason:string,text:array<string>,rows:array<{spark_row}>,tree:string>"
+    if not loops:
+        return _per_page(pages, build, "page", arrow, spark_page, url, html)
+
+    def each(document, base, scope=None):
+        return [build(document, base, record) for _, record in records(document, loops, scope)]
+
+    found = _per_page(pages, each, "__pages", pa.list_(arrow), f"array<{spark_page}>", url, html, SCOPE)
+    kept = [c for c in found.columns if c not in ("__pages", "_record", SCOPE)]
+    return found.select(*kept, F.posexplode("__pages").alias("_record", "page"))
 
 
 def node_table(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

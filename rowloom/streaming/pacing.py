@@ -5,33 +5,44 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from rowloom.operators.dedupe import NOTHING, SeenKeys, in_order
+
 #: Bucket size and refill, schedule limits and capture limits (fixed values).
 BURST, PER_SECOND = 10, 1.0
 MOST_SCHEDULES, MIN_MINUTES = 20, 1
 MOST_CAPTURES, MOST_CAPTURE_BYTES, FINISHED_RUNS = 5000, 32_000_000, 5
 
 
-def grants(df: DataFrame, key: str = "host", ts: str = "ts", burst: int = BURST, per_second: float = PER_SECOND, order: str | None = None) -> DataFrame:
+def grants(df: DataFrame, key: str = "host", ts: str = "ts", burst: int = BURST, per_second: float = PER_SECOND, order: str | None = None, span_s: int = 3600) -> DataFrame:
     """grant_time of each request: when its host's token bucket lets it go, requests waiting in order of time.
 
     The k-th token of a host is there at the time of some earlier request j plus what refilling takes from then, so
     grant_k = max over j <= k of ts_j + (k - j + 1 - burst) / rate, at least ts_k: a running maximum of ts_j - j / rate.
+    Numbers and maxima run within spans of time; what comes before a span is its host's sums over earlier spans, so no
+    task holds all requests of a host.
     """
-    w = W.partitionBy(key).orderBy(ts, *([order] if order else []))
     epoch = "TIMESTAMP_NTZ'1970-01-01 00:00:00'" if dict(df.dtypes)[ts] == "timestamp_ntz" else "TIMESTAMP'1970-01-01 00:00:00Z'"
     micros = F.expr(f"timestampdiff(MICROSECOND, {epoch}, `{ts}`)")
     step = int(1_000_000 / per_second)
-    n = F.row_number().over(w)
-    ahead = df.withColumn("__n", n).withColumn("__base", micros - n * step)
-    peak = F.max("__base").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    granted = F.greatest(micros, peak + (F.col("__n") + 1 - burst) * step)
-    waits = ahead.withColumn("__wait", (granted - micros).cast("long"))
-    return waits.withColumn("grant_time", F.expr(f"timestampadd(MICROSECOND, __wait, `{ts}`)")).drop("__n", "__base", "__wait")
+    w = W.partitionBy("__key", "__span").orderBy(ts, *([order] if order else []))
+    timed = df.withColumns({"__key": F.struct(F.col(key)), "__span": F.floor(micros / (span_s * 1_000_000))})
+    ahead = timed.withColumn("__n", F.row_number().over(w)).withColumn("__base", micros - F.col("__n") * step)
+    ahead = ahead.withColumn("__peak", F.max("__base").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    earlier = W.partitionBy("__key").orderBy("__span").rowsBetween(W.unboundedPreceding, -1)
+    spans = ahead.groupBy("__key", "__span").agg(F.count(F.lit(1)).alias("__in"), F.max("__base").alias("__top"))
+    spans = spans.withColumn("__before", F.coalesce(F.sum("__in").over(earlier), F.lit(0)))
+    spans = spans.withColumn("__high", F.max(F.col("__top") - F.col("__before") * step).over(earlier)).drop("__in", "__top")
+    all_ = ahead.join(spans, ["__key", "__span"])
+    peak = F.greatest("__high", F.col("__peak") - F.col("__before") * step)
+    granted = F.greatest(micros, peak + (F.col("__before") + F.col("__n") + 1 - burst) * step)
+    waits = all_.withColumn("__wait", (granted - micros).cast("long"))
+    return waits.withColumn("grant_time", F.expr(f"timestampadd(MICROSECOND, __wait, `{ts}`)")).select(*df.columns, "grant_time")
 
 
 def backoff_ms(attempt: int, base_ms: int = 1000, max_ms: int = 60_000, jitter: float = 0.0) -> int:
@@ -58,16 +69,16 @@ def normalise_schedule(given: dict) -> tuple[dict, str]:
     url = str(given.get("url") or "").strip()
     parts = urlsplit(url)
     if not parts.scheme or (parts.scheme in ("http", "https") and not parts.netloc):
-        raise ValueError("A schedule needs a full http:// or https:// address.")
+        raise ValueError(f"{url!r} is no whole web address to run on a schedule")
     if parts.scheme not in ("http", "https"):
-        raise ValueError(f"A schedule can only open an http:// or https:// page, not {parts.scheme}:")
+        raise ValueError(f"schedules open web pages; {parts.scheme}: is none")
     if not (given.get("pipeline") or {}).get("steps"):
-        raise ValueError("A schedule needs a pipeline with at least one step.")
+        raise ValueError("nothing to run: the pipeline has no steps")
     try:
         every = float(given.get("everyMinutes"))
     except (TypeError, ValueError):
         every = 0.0
-    note = "" if every >= MIN_MINUTES else f"Runs can be no closer than {MIN_MINUTES} minute apart, so this runs every {MIN_MINUTES} minute(s)."
+    note = "" if every >= MIN_MINUTES else f"raised to the shortest interval, {MIN_MINUTES} minute"
     return {"name": str(given.get("name") or "")[:80] or parts.hostname, "url": url, "everyMinutes": int(max(every, MIN_MINUTES) + 0.5), "enabled": given.get("enabled") is not False, "pipeline": given["pipeline"], "lastRunAt": given.get("lastRunAt")}, note
 
 
@@ -79,16 +90,19 @@ def cap_captures(df: DataFrame, run: str, order: str, size: str, most: int = MOS
     totals = df.groupBy(run).agg(F.count(F.lit(1)).alias("__n"), F.sum(size).alias("__bytes"))
     over = totals.where((F.col("__n") > most) | (F.col("__bytes") > most_bytes)).select(run)
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, kept, out = 0, 0, []
-        pdf = pdf.sort_values(order)
-        for n in pdf[size]:
-            fits = kept < most and used + n <= most_bytes
-            used, kept = used + n * fits, kept + fits
-            out.append(bool(fits))
-        return pdf[out]
-
-    full = df.join(over, run, "left_semi").groupBy(run).applyInPandas(replay, df.schema)
+    def replay(batches):
+        used, kept, at = 0, 0, NOTHING
+        for b in batches:
+            out = []
+            for group, n in zip(b.column(run).to_pylist(), b.column(size).to_pylist(), strict=True):
+                if group != at:
+                    used, kept, at = 0, 0, group
+                fits = kept < most and used + (n or 0) <= most_bytes
+                used, kept = used + (n or 0) * fits, kept + fits
+                out.append(bool(fits))
+            yield b.filter(pa.array(out, pa.bool_()))
+
+    full = in_order(df.join(over, run, "left_semi").select(*df.columns), run, order, replay)
     return df.join(over, run, "left_anti").select(*df.columns).unionByName(full)
 
 
@@ -109,8 +123,6 @@ def dedupe_stream(stream: DataFrame, keys: list[str], event_time: str | None = N
 
 def bounded_dedupe_stream(stream: DataFrame, key: str, partition: str, limit: int) -> DataFrame:
     """Keep-first with a memory of `limit` keys for each partition value, oldest forgotten first, in the stream's own order."""
-    from rowloom.operators.dedupe import SeenKeys
-
     def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         memory = SeenKeys(limit, state.get[0] if state.exists else ())
         for pdf in batches:

@@ -8,7 +8,7 @@ from rowloom.functions.js import number_text
 
 NUMBERS = [
     ("1.234,56 €", 1234.56), ("€ 9,99", 9.99), ("1.4E7", 1.4e7), ("3 EUR", 3), ("Section 4E", 4), ("Out of stock", None), ("$25.50", 25.5), ("1,234 reviews", 1234), ("1.234", 1234), ("1,234,567.89", 1234567.89),
-    ("1 234 567", 1234567), ("-5", -5), ("", None), (None, None), ("9e999", 9999), ("abc 5e3", 5000), ("1.2,3.4", None), ("12-34", 12), ("1 299,00", 1299), ("2,5e3", 2500),
+    ("1 234 567", 1234567), ("-5", -5), ("", None), (None, None), ("9e999", 9.0), ("abc 5e3", 5000), ("1.2,3.4", None), ("12-34", 12), ("1 299,00", 1299), ("2,5e3", 2500),
 ]
 
 
@@ -20,7 +20,6 @@ def column(spark, values, build, kind="string"):
 def test_number(spark):
     got = column(spark, [t for t, _ in NUMBERS], T.number)
     want = [w for _, w in NUMBERS]
-    want[14] = 9.0
     assert got == want
 
 
