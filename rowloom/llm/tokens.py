@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from rowloom.llm._arrow import map_arrow, one_pass, texts
 
@@ -55,6 +56,8 @@ class PrefixCounter:
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.pattern = regex.compile(PRE_TOKEN)
+        self.library = Tokenizer.from_file(path).pre_tokenizer
+        self._classed_alike: dict[str, bool] = {}
         self.vocabulary = {as_bytes(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.rank = {(as_bytes(a), as_bytes(b)): i for i, (a, b) in enumerate(pairs)}
@@ -104,6 +107,24 @@ class PrefixCounter:
                 raise ValueError(f"no token ends at byte {i} of {piece!r}")
         return counts
 
+    def _alike(self, c: str) -> bool:
+        """Whether the pattern and the tokenizer's own pre-tokenizer, whose Unicode tables are others, class a character alike."""
+        same = self._classed_alike.get(c)
+        if same is None:
+            probe = f"a{c}1{c}!{c} {c}"
+            theirs = [probe[a:b] for _, (a, b) in self.library.pre_tokenize_str(probe)]
+            same = self._classed_alike[c] = theirs == self.pattern.findall(probe)
+        return same
+
+    def pre_tokens(self, part: str) -> list[str]:
+        """A text without special strings, cut as the tokenizer cuts it."""
+        try:
+            part.encode("latin-1")
+        except UnicodeEncodeError:
+            if not all(map(self._alike, {c for c in part if c > "\u024f"})):
+                return [part[a:b] for _, (a, b) in self.library.pre_tokenize_str(part)]
+        return self.pattern.findall(part)
+
     def whole(self, piece: str) -> int:
         """The tokens of one pre-token."""
         n = self._whole.get(piece)
@@ -119,7 +140,7 @@ class PrefixCounter:
         """Ends (in code points) of the pre-tokens of a text, and the exact token count of the text up to each."""
         pieces: list[str] = []
         counts: list[int] = []
-        known, find = self._whole, self.pattern.findall
+        known, find = self._whole, self.pre_tokens
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
                 pieces.append(part)

@@ -34,12 +34,21 @@ def test_every_prefix_of_a_word(word):
         assert counts[at] == brute(word[:i])
 
 
-@pytest.mark.parametrize("text", ["", "a<|endoftext|>b <|endoftext|>", "  \n\n  x  ", "don't we'll", "!" * 5000, "q" * 3000, "日本語のテキスト 🙂🙂"])
+@pytest.mark.parametrize("text", ["", "a<|endoftext|>b <|endoftext|>", "  \n\n  x  ", "don't we'll", "!" * 5000, "q" * 3000, "日本語のテキスト 🙂🙂", "a\U00016d1ab \U00016d1a\U00016d1a1", "x\U0001e5d0y\U00016d40 \U000323b0\u1c89q"])
 def test_special_strings_and_long_pieces(text):
     _, counts = COUNTER.table(text)
     assert (counts[-1] if len(counts) else 0) == brute(text)
 
 
+def test_characters_that_unicode_tables_class_differently():
+    plain = [chr(c) for c in range(0x250, 0x33480, 7) if not 0xD800 <= c < 0xE000]
+    other = [c for c in plain if not COUNTER._alike(c)]
+    for c in [*other[::50], *plain[::500]]:
+        for text in (f"a{c}b 1{c} {c}{c}!", f"{c}"):
+            _, counts = COUNTER.table(text)
+            assert counts[-1] == brute(text)
+
+
 def test_truncation_keeps_within_budget():
     text = "Thnt eringing onheed, with erenenst thaner <|endoftext|> ing"
     for budget in range(30):
