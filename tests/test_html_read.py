@@ -82,7 +82,7 @@ def test_page_json():
     short = read.page_json(parse(LIST), None, "flat", max_nodes=3)
     assert short["truncated"] and "more than 3" in short["reason"] and len(short["rows"]) == 3
     assert "deeper than 1" in read.page_json(parse(LIST), None, max_depth=1)["reason"]
-    assert not read.page_json(parse(LIST), None, selector=".zz")["found"] and "not a valid" in read.page_json(parse(LIST), None, selector="((")["reason"]
+    assert not read.page_json(parse(LIST), None, selector=".zz")["found"] and "cannot be parsed" in read.page_json(parse(LIST), None, selector="((")["reason"]
 
 
 def test_page_operators(spark):
