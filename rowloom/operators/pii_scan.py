@@ -55,6 +55,13 @@ def counts_by_type(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(types.alias("type")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def run_warning(rows: DataFrame, columns: list[str] | None = None) -> str | None:
+    """One line on the personal data in a run's rows, or None: an aggregate over all of them, said once a run."""
+    names = columns or [c for c in rows.columns if not c.startswith("_")]
+    found = {r.type: r.n for r in counts_by_type(rows, names).collect()}
+    return summary({t: found[t] for t in PATTERNS if t in found}) if found else None
+
+
 def summary(counts: dict[str, int]) -> str:
     if not counts:
         return "No PII detected."

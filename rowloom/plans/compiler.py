@@ -56,6 +56,7 @@ class Result:
     seen: DataFrame | None = None
     notes: list[str] = field(default_factory=list)
     upto: Callable[[int], DataFrame | None] = lambda n: None
+    collected: Callable[[], DataFrame | None] = lambda: None
 
 
 class _Compiler:
@@ -339,6 +340,10 @@ class _Compiler:
             raise RecipeError(f"EXPORT ({step.id}): {c['format']} cannot be appended to; use one of {', '.join(sink.APPENDABLE)}.")
         self.exports.append({"format": c["format"], "filename": c.get("filename") or sink.default_filename(c["format"]), "upto": len(self.collected), "append": bool(c.get("append")), "dataset": c.get("dataset") or c.get("filename") or ""})
 
+    def everything(self) -> DataFrame | None:
+        """All rows that steps have collected, before any gate."""
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), self.collected) if self.collected else None
+
     def rows(self, upto: int | None = None) -> DataFrame | None:
         """All rows in order, past the deduplication gates: only rows collected after a gate pass through it."""
         if not self.collected[:upto]:
@@ -425,7 +430,13 @@ def compile_recipe(spark: SparkSession, recipe: object, sources: Sources) -> Res
         raise RecipeError("; ".join(f"{kind} ({i}): {why}" for i, kind, why in refused))
     c = _Compiler(spark, sources)
     c.run(r.steps)
-    return Result(c.rows(), c.exports, c.seen, c.notes, c.rows)
+    return Result(c.rows(), c.exports, c.seen, c.notes, c.rows, c.everything)
+
+
+def counters(done: Result) -> dict[str, int]:
+    """Rows that a run collected, and those that its deduplication and empty pages dropped."""
+    kept, given = (0 if df is None else df.count() for df in (done.rows, done.collected()))
+    return {"rows": kept, "dropped": given - kept}
 
 
 def run_exports(done: Result, out: str, datasets_root: str, stored: DataFrame | None = None) -> list[dict]:

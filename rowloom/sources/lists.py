@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rowloom.functions.js import trim
+from rowloom.operators.numbering import numbered
 
 MOST_ITEMS = 10_000
 
@@ -111,9 +112,39 @@ def parse_proxies(lines: DataFrame, line: str = "value") -> DataFrame:
     return kept.select("host", "port", protocol.alias("protocol"), "user").dropDuplicates(["host", "port"])
 
 
+STRATEGIES = ("round-robin", "random", "sticky", "geo")
+
+
+def assign_proxies(requests: DataFrame, proxies: DataFrame, order: str, strategy: str = "round-robin", key: str | None = None, country: str | None = None) -> DataFrame:
+    """Each request with a proxy of a short list (numbered by host and port): the next in turn; one drawn from the
+    order's value (so that reruns agree); the same one for each value of key; or in turn among those of its country, and
+    of all where there is none. Without proxies, the requests have none."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"{strategy!r} is no way to choose proxies ({', '.join(STRATEGIES)})")
+    if strategy == "sticky" and key is None or strategy == "geo" and country is None:
+        raise ValueError(f"{strategy} proxies need the column that decides")
+    shared = proxies.withColumn("__group", F.lit(""))
+    if strategy == "geo":
+        shared = shared.unionByName(proxies.withColumn("__group", F.concat(F.lit("="), F.lower(F.col("country")))).where("__group IS NOT NULL"))
+    listed = shared.withColumn("__slot", F.row_number().over(W.partitionBy("__group").orderBy("host", "port")) - 1)
+    counts = listed.groupBy("__group").agg(F.count(F.lit(1)).alias("__of"))
+    if strategy == "sticky":
+        number = F.xxhash64(key)
+    elif strategy == "random":
+        number = F.xxhash64(order, F.lit("proxy"))
+    else:
+        requests, number = numbered(requests, order, "__number"), F.col("__number")
+    wanted = requests.withColumn("__number", number)
+    if strategy == "geo":
+        known = counts.where("__group <> ''").select(F.col("__group").alias("__own"))
+        wanted = wanted.withColumn("__own", F.concat(F.lit("="), F.lower(F.col(country)))).join(known.withColumn("__has", F.lit(True)), "__own", "left")
+        wanted = wanted.withColumn("__group", F.when(F.col("__has"), F.col("__own")).otherwise("")).drop("__own", "__has")
+    else:
+        wanted = wanted.withColumn("__group", F.lit(""))
+    dealt = wanted.join(counts, "__group", "left").withColumn("__slot", F.pmod("__number", F.coalesce("__of", F.lit(1))))
+    return dealt.join(listed, ["__group", "__slot"], "left").drop("__group", "__slot", "__of", "__number")
+
+
 def round_robin(requests: DataFrame, proxies: DataFrame, order: str) -> DataFrame:
-    """Each request with the next proxy of the list in turn; proxies, a short list, are numbered by host and port."""
-    listed = proxies.withColumn("__slot", F.row_number().over(W.orderBy("host", "port")) - 1)
-    n = max(1, listed.count())
-    numbered = requests.withColumn("__slot", F.pmod(F.row_number().over(W.orderBy(order)) - 1, F.lit(n)))
-    return numbered.join(listed, "__slot", "left").drop("__slot")
+    """Each request with the next proxy of the list in turn."""
+    return assign_proxies(requests, proxies, order)

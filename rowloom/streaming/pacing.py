@@ -82,6 +82,24 @@ def normalise_schedule(given: dict) -> tuple[dict, str]:
     return {"name": str(given.get("name") or "")[:80] or parts.hostname, "url": url, "everyMinutes": int(max(every, MIN_MINUTES) + 0.5), "enabled": given.get("enabled") is not False, "pipeline": given["pipeline"], "lastRunAt": given.get("lastRunAt")}, note
 
 
+def add_schedule(known: list[dict], given: dict) -> tuple[list[dict], str]:
+    """The schedules with one more (or a changed one of the same name), and a note; there is room for MOST_SCHEDULES."""
+    made, note = normalise_schedule(given)
+    others = [s for s in known if s["name"] != made["name"]]
+    if len(others) >= MOST_SCHEDULES:
+        raise ValueError(f"all {MOST_SCHEDULES} schedules are taken")
+    return [*others, made], note
+
+
+def due(schedules: DataFrame, running: DataFrame, now_ms: Column) -> DataFrame:
+    """Of schedules (name, every_minutes, enabled, last_run_ms), those to run now, with the windows they missed (reported,
+    not made up). One whose last run (running: name) has not ended is passed over."""
+    period = F.greatest(F.lit(MIN_MINUTES), F.coalesce("every_minutes", F.lit(MIN_MINUTES))) * 60_000
+    ready = F.coalesce(F.col("last_run_ms"), F.lit(0)) + period <= now_ms
+    free = schedules.where(F.coalesce("enabled", F.lit(True)) & ready).join(running.select("name"), "name", "left_anti")
+    return free.withColumn("missed", missed_windows(F.col("last_run_ms"), F.col("every_minutes"), now_ms))
+
+
 def cap_captures(df: DataFrame, run: str, order: str, size: str, most: int = MOST_CAPTURES, most_bytes: int = MOST_CAPTURE_BYTES) -> DataFrame:
     """Captures that a run keeps: a capture that does not fit is skipped and uses up nothing, later ones may still fit.
 

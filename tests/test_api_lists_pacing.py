@@ -144,3 +144,62 @@ def test_streams(spark, tmp_path):
     q = pacing.event_counts(stream, "ts", ["k"], "2 minutes", "0 seconds").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 5
+
+
+def test_ways_to_choose_proxies(spark):
+    proxies = spark.createDataFrame([("a", 1, "DE"), ("b", 1, "de"), ("c", 1, None)], "host string, port int, country string")
+    requests = spark.createDataFrame([(i, f"s{i % 2}", "DE" if i % 3 else "fr") for i in range(12)], "n int, session string, wants string").repartition(3)
+    pick = lambda strategy, **o: {r.n: (r.host, r.session, r.wants) for r in lists.assign_proxies(requests, proxies, "n", strategy, **o).collect()}
+    turn = pick("round-robin")
+    assert [turn[i][0] for i in range(12)] == list("abc") * 4
+    assert pick("random") == pick("random") and len({h for h, _, _ in pick("random").values()}) > 1
+    sticky = pick("sticky", key="session")
+    assert all(len({h for h, s, _ in sticky.values() if s == one}) == 1 for one in ("s0", "s1"))
+    geo = lists.assign_proxies(requests, proxies.withColumnRenamed("country", "country"), "n", "geo", country="wants").collect()
+    assert len(geo) == 12 and {r.host for r in geo if r.wants == "DE"} == {"a", "b"} and {r.host for r in geo if r.wants == "fr"} <= {"a", "b", "c"}
+    assert {r.host for r in lists.assign_proxies(requests, proxies.limit(0), "n").collect()} == {None}
+    with pytest.raises(ValueError):
+        lists.assign_proxies(requests, proxies, "n", "sticky")
+
+
+def test_numbers_over_a_whole_table(spark):
+    from rowloom.operators.numbering import numbered
+
+    rows = numbered(spark.range(1000).selectExpr("999 - id AS x").repartition(7), "x", "n").collect()
+    assert len(rows) == 1000 and all(r.x == r.n for r in rows)
+    assert numbered(spark.range(0), "id", "n").count() == 0
+
+
+def test_schedules_that_are_due(spark):
+    one = {"name": "a", "url": "https://s.test/", "everyMinutes": 5, "pipeline": {"steps": [1]}}
+    known, _ = pacing.add_schedule([], one)
+    known, _ = pacing.add_schedule(known, one | {"everyMinutes": 9})
+    assert len(known) == 1 and known[0]["everyMinutes"] == 9
+    for i in range(pacing.MOST_SCHEDULES - 1):
+        known, _ = pacing.add_schedule(known, one | {"name": f"b{i}"})
+    with pytest.raises(ValueError, match="schedules are taken"):
+        pacing.add_schedule(known, one | {"name": "more"})
+    minute = 60_000
+    table = spark.createDataFrame([("late", 5, True, minute), ("soon", 5, True, 98 * minute), ("off", 5, False, 0), ("busy", 5, True, minute), ("never", 5, True, None)], "name string, every_minutes int, enabled boolean, last_run_ms long")
+    got = {r.name: r.missed for r in pacing.due(table, spark.createDataFrame([("busy",)], "name string"), F.lit(100 * minute)).collect()}
+    assert got == {"late": 18, "never": 0}
+
+
+def test_a_host_with_most_requests_is_granted_as_by_simulation(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    r = random.Random(3)
+    start = datetime(2024, 1, 1)
+    rows = [(i, r.choice(("hot", "hot", "hot", "cold", None)), start + timedelta(seconds=r.randrange(20_000))) for i in range(800)]
+    df = spark.createDataFrame(rows, "i int, host string, ts timestamp")
+    got = {x.i: (x.grant_time - start).total_seconds() for x in pacing.grants(df, burst=4, per_second=0.05, order="i", span_s=900).collect()}
+    for host in ("hot", "cold", None):
+        times = []
+        for i, _, ts in sorted((x for x in rows if x[1] == host), key=lambda x: (x[2], x[0])):
+            at = (ts - start).total_seconds()
+            k = len(times)
+            # The token of request k is there 4 requests' refills after some earlier request came.
+            want = max(at, max((t + (k - j + 1 - 4) * 20 for j, t in enumerate([*times, at])), default=at))
+            times.append(at)
+            assert got[i] == want

@@ -132,3 +132,13 @@ def test_exports_are_written(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/more/first.csv").count() == 4
     with pytest.raises(RecipeError, match="cannot be appended to"):
         compile_recipe(spark, {"steps": [{"type": "EXPORT", "config": {"format": "xml", "append": True}}]}, Sources(pages=cards(spark)))
+
+
+def test_counters_and_the_warning_of_a_run(spark):
+    from rowloom.operators.pii_scan import run_warning
+    from rowloom.plans.compiler import counters
+
+    done = compile_recipe(spark, {"steps": [{"type": "DEDUPE", "config": {"fields": "record"}}, {"type": "WEBSITE"}, ONE]}, Sources(pages=site(spark, [["me@x.org", "b"], ["b", "you@x.org"]])))
+    assert counters(done) == {"rows": 3, "dropped": 1}
+    assert run_warning(done.rows, ["record"]) == "Email: 2 occurrences" and run_warning(done.rows.where("record = 'b'"), ["record"]) is None
+    assert counters(compile_recipe(spark, {"steps": [{"type": "WEBSITE"}]}, Sources(pages=site(spark, [])))) == {"rows": 0, "dropped": 0}
