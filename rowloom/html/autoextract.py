@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 
+from rowloom.functions import text_schema as TS
 from rowloom.functions.similarity import DEFAULT_FIELDS, PRODUCT_WEIGHTS
 from rowloom.functions.transforms import absolute_url
 from rowloom.html.read import clean
@@ -258,3 +259,44 @@ def parse_model_answer(text: str | None) -> dict | None:
         except ValueError:
             return None
     return data if isinstance(data, dict) else None
+
+
+#: Confidence of a value that a model gives without a score: of a product field, and of a field asked for by name.
+UNSCORED_PRODUCT, UNSCORED_NAMED = 80, 60
+
+
+def _said(value) -> str | None:
+    if isinstance(value, list):
+        return ", ".join(x for x in map(_said, value) if x) or None
+    if isinstance(value, dict):
+        return json.dumps(value, ensure_ascii=False)
+    text = "" if value is None else ("true" if value else "false") if isinstance(value, bool) else f"{value:g}" if isinstance(value, float) and value.is_integer() else str(value)
+    return text.strip() or None
+
+
+def model_cells(text: str | None, names: list[str], named: bool) -> list[tuple[str | None, int]]:
+    """(value, confidence) of each field in a model's answer. Fields asked for by name are matched to the answer's keys
+    by likeness; scores stand under "confidence", from 0 to 100: others are no scores (of product fields) or the nearest
+    that is one (of named fields)."""
+    data = parse_model_answer(text)
+    if data is None:
+        return [(None, 0)] * len(names)
+    scores = data.get("confidence") if isinstance(data.get("confidence"), dict) else {}
+    given = {k: v for k, v in data.items() if k != "confidence" or "confidence" in names}
+    likely = TS.map_node(given, names)[0] if named else {}
+    by_name = {k.lower(): v for k, v in scores.items()}
+    out = []
+    for name in names:
+        value = _said(given[name] if name in given else likely.get(name))
+        try:
+            score = float(by_name.get(name.lower()))
+        except (TypeError, ValueError):
+            score = float("nan")
+        if named and score == score and abs(score) != float("inf"):
+            sure = int(min(100.0, max(0.0, score)) + 0.5)
+        elif not named and 0 <= score < 101:
+            sure = int(score)
+        else:
+            sure = 0 if value is None else UNSCORED_NAMED if named else UNSCORED_PRODUCT
+        out.append((value, sure))
+    return out

@@ -223,7 +223,7 @@ def auto_extract(pages: DataFrame, fields: list[str] | None = None, threshold: i
 
     names = list(fields or DEFAULT_FIELDS)
 
-    def build(document, base):
+    def build(document, base, answer=None):
         record = A.merged(A.structured(document), A.heuristics(document, base))
         result, sure, source = record["result"], record["confidence"], record["from"]
         if fields:
@@ -245,11 +245,13 @@ def auto_extract(pages: DataFrame, fields: list[str] | None = None, threshold: i
             "cells": [{"value": text(result[f]), "confidence": int(sure[f]), "source": source[f]} for f in names],
             "method": ("structured+heuristic" if any(result[f] is not None for f in names) else "none") if fields else record["method"],
             "warnings": record["warnings"], "text": A.simplified_text(document),
+            "said": [{"value": v, "confidence": c} for v, c in A.model_cells(answer, names, bool(fields))],
         }
 
     cell = pa.struct([("value", pa.string()), ("confidence", pa.int32()), ("source", pa.string())])
-    arrow = pa.struct([("cells", pa.list_(cell)), ("method", pa.string()), ("warnings", pa.list_(pa.string())), ("text", pa.string())])
-    found = _per_page(pages, build, "__auto", arrow, "struct<cells:array<struct<value:string,confidence:int,source:string>>,method:string,warnings:array<string>,text:string>", url, html)
+    said = pa.struct([("value", pa.string()), ("confidence", pa.int32())])
+    arrow = pa.struct([("cells", pa.list_(cell)), ("method", pa.string()), ("warnings", pa.list_(pa.string())), ("text", pa.string()), ("said", pa.list_(said))])
+    found = _per_page(pages, build, "__auto", arrow, "struct<cells:array<struct<value:string,confidence:int,source:string>>,method:string,warnings:array<string>,text:string,said:array<struct<value:string,confidence:int>>>", url, html, model_col)
     kept = [c for c in found.columns if c not in ("__auto", model_col, *names, "_confidence", "_extractionMethod", "_provenance", "_needs_model", "_warnings")]
     auto = F.col("__auto")
     cells = {f: auto["cells"][i] for i, f in enumerate(names)}
@@ -261,18 +263,17 @@ def auto_extract(pages: DataFrame, fields: list[str] | None = None, threshold: i
     method = auto["method"]
     if model_col:
         # Each step is a projection of its own, as these expressions are large and used several times.
-        answer = F.from_json(F.regexp_replace(F.col(model_col), r"(?i)^\s*```[a-z]*\s*|\s*```\s*$", ""), "map<string,string>")
-        found = found.withColumn("__answer", answer).withColumn("__corpus", G.corpus(auto["text"]))
-        found = found.withColumns({f"__said{i}": F.nullif(F.trim(F.col("__answer")[f]), F.lit("")) for i, f in enumerate(names)})
+        found = found.withColumn("__corpus", G.corpus(auto["text"]))
+        found = found.withColumns({f"__said{i}": auto["said"][i]["value"] for i in range(len(names))})
         found = found.withColumns({f"__how{i}": F.when(F.col(f"__said{i}").isNotNull(), G.ground(F.col(f"__said{i}"), F.col("__corpus"))) for i in range(len(names))})
-        better = lambda i, f: F.coalesce(F.col(f"__said{i}").isNotNull() & (F.col(f"__how{i}") != "missing") & (cells[f]["value"].isNull() | (cells[f]["confidence"] < 80)), F.lit(False))
+        better = lambda i, f: F.coalesce(F.col(f"__said{i}").isNotNull() & (F.col(f"__how{i}") != "missing") & (cells[f]["value"].isNull() | (cells[f]["confidence"] < auto["said"][i]["confidence"])), F.lit(False))
         found = found.withColumns({f"__use{i}": better(i, f) for i, f in enumerate(names)})
         used = F.lit(False)
         for i, f in enumerate(names):
             use = F.col(f"__use{i}")
             how[f] = F.col(f"__how{i}")
             value[f] = F.when(use, F.col(f"__said{i}")).otherwise(cells[f]["value"])
-            sure[f] = F.when(use, 80).otherwise(cells[f]["confidence"])
+            sure[f] = F.when(use, auto["said"][i]["confidence"]).otherwise(cells[f]["confidence"])
             source[f] = F.when(use, "llm").otherwise(cells[f]["source"])
             used = used | use
         method = F.when(used, "llm").otherwise(method)

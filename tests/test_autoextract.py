@@ -27,7 +27,7 @@ def test_schema_and_model(spark):
     rows = {r.page_id: r for r in S.auto_extract(pages, ["published date", "author", "section", "cost", "editor"], model_col="answer").collect()}
     one = rows[1]
     assert (one["published date"], one.author, one.section, one.cost, one.editor) == ("2024-01-02", "Ann", "News", "1299", None)
-    assert "published date=json-ld(datePublished):95" in one._provenance and "cost=llm:80 verified" in one._provenance and "editor=none" in one._provenance and one._needs_model
+    assert "published date=json-ld(datePublished):95" in one._provenance and "cost=llm:60 verified" in one._provenance and "editor=none" in one._provenance and one._needs_model
     assert rows[3]._extractionMethod == "none" and rows[3]._confidence == 0
     product = {r.page_id: r for r in S.auto_extract(pages.drop("answer")).collect()}
     assert product[2].name == "Widget" and product[2]._extractionMethod == "heuristic" and product[2].images == "https://s.test/w.png"
@@ -49,4 +49,7 @@ def test_python_and_column_schema_mapping_agree(spark):
 def test_model_answers_and_simplified_text():
     assert A.parse_model_answer('```json\n{"a": 1}\n```') == {"a": 1} and A.parse_model_answer('sure: {"a": 2} ok') == {"a": 2}
     assert A.parse_model_answer("[1]") is None and A.parse_model_answer(None) is None
+    scored = '{"name": " W ", "price": 5.0, "images": ["a", null, "b"], "brand": "", "confidence": {"name": "95", "price": 140, "brand": 70}}'
+    assert A.model_cells(scored, ["name", "price", "images", "brand", "sku"], False) == [("W", 95), ("5", 80), ("a, b", 80), (None, 70), (None, 0)]
+    assert A.model_cells(scored, ["name", "price", "sku"], True) == [("W", 95), ("5", 100), (None, 0)] and A.model_cells("no", ["x"], True) == [(None, 0)]
     assert A.simplified_text(parse(PLAIN)).startswith("Widget$25.50")
