@@ -26,6 +26,8 @@ from rowloom.llm._arrow import map_arrow, one_pass, texts
 #: Payload bytes of the smallest picture: 24 x 24 grey or 8 x 24 colour samples.
 UNIT = 576
 GREY_WIDTH, COLOUR_WIDTH = 24, 8
+#: Samples that resizing turns to floating point at a time.
+STRIP = 1 << 20
 HASH_SIDE = 8
 TILE = 16
 
@@ -113,21 +115,30 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
-def _cuts(table: np.ndarray, size: int) -> np.ndarray:
-    """The integral table along axis 0 at size + 1 even cuts, interpolated between samples."""
-    at = np.arange(size + 1) * ((len(table) - 1) / size)
-    low = np.minimum(at.astype(np.int64), len(table) - 2)
-    part = (at - low).reshape(-1, *[1] * (table.ndim - 1))
-    return table[low] * (1 - part) + table[low + 1] * part
+def _integral(samples: np.ndarray, size: int) -> np.ndarray:
+    """The integral along axis 0 at size + 1 even cuts, interpolated between samples. Samples are added up in strips, so
+    beside them no more is held than the integral at the cuts."""
+    n, rest = len(samples), samples.shape[1:]
+    at = np.arange(size + 1) * (n / size)
+    low = np.minimum(at.astype(np.int64), n - 1)
+    part = at - low
+    strip = max(1, STRIP // max(1, int(np.prod(rest))))
+    out, total = np.empty((size + 1, *rest)), np.zeros(rest)
+    for start in range(0, n, strip):
+        block = samples[start : start + strip].astype(np.float64)
+        sums = block.cumsum(0)
+        for k in range(*np.searchsorted(low, (start, start + len(block)))):
+            i = low[k] - start
+            out[k] = total + (sums[i - 1] if i else 0) + part[k] * block[i]
+        total = total + sums[-1]
+    return out
 
 
 def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean over each target cell's exact area, fractions of samples included, from the integral image."""
     h, w = pixels.shape[:2]
-    table = np.zeros((h + 1, w + 1, *pixels.shape[2:]))
-    table[1:, 1:] = pixels.astype(np.float64).cumsum(0).cumsum(1)
-    down = np.diff(_cuts(table, height), axis=0)
-    cells = np.diff(_cuts(down.swapaxes(0, 1), width), axis=0).swapaxes(0, 1)
+    down = np.diff(_integral(pixels, height), axis=0)
+    cells = np.diff(_integral(down.swapaxes(0, 1), width), axis=0).swapaxes(0, 1)
     return cells / ((h / height) * (w / width))
 
 
@@ -136,8 +147,8 @@ def grey(pixels: np.ndarray) -> np.ndarray:
 
 
 def difference_hash(pixels: np.ndarray, side: int = HASH_SIDE) -> str:
-    """Bits of whether each cell is darker than its right neighbour, as hexadecimal digits."""
-    small = np.round(area_resize(grey(pixels), side, side + 1), 6)
+    """Bits of whether each cell is darker than its right neighbour, as hexadecimal digits; cells are turned grey after resizing, which is the same."""
+    small = np.round(grey(area_resize(pixels, side, side + 1)), 6)
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 

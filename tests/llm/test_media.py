@@ -80,3 +80,11 @@ def test_palette_bmp(bits):
     start = 54 + len(palette)
     data = struct.pack("<2sIHHI", b"BM", start + 4, 0, 0, start) + struct.pack("<IiiHHIIiiII", 40, 2, 1, 1, bits, 0, 4, 0, 0, 0, 0) + palette + row
     assert media.decode(data).tolist() == [[[30, 20, 10], [60, 50, 40]]]
+
+
+def test_resizing_in_strips_is_the_same(monkeypatch):
+    pixels = np.random.default_rng(5).integers(0, 256, (301, 17, 3), dtype=np.uint8)
+    want = media.npy_tile(pixels), media.difference_hash(pixels)
+    for strip in (1, 100, 5000):
+        monkeypatch.setattr(media, "STRIP", strip)
+        assert (media.npy_tile(pixels), media.difference_hash(pixels)) == want
