@@ -126,11 +126,12 @@ def _integral(samples: np.ndarray, size: int) -> np.ndarray:
     out, total = np.empty((size + 1, *rest)), np.zeros(rest)
     for start in range(0, n, strip):
         block = samples[start : start + strip].astype(np.float64)
-        sums = block.cumsum(0)
-        for k in range(*np.searchsorted(low, (start, start + len(block)))):
-            i = low[k] - start
-            out[k] = total + (sums[i - 1] if i else 0) + part[k] * block[i]
-        total = total + sums[-1]
+        before = np.zeros((len(block) + 1, *rest))
+        np.cumsum(block, axis=0, out=before[1:])
+        here = slice(*np.searchsorted(low, (start, start + len(block))))
+        i = low[here] - start
+        out[here] = total + before[i] + part[here].reshape(-1, *[1] * len(rest)) * block[i]
+        total = total + before[-1]
     return out
 
 
