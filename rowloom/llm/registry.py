@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import decontaminate, jaccard, langid, media, mincut, mixing, pii, sharding, tokens, urlfilter
+from rowloom.llm import audit, decontaminate, jaccard, langid, media, mincut, mixing, pii, sharding, tokens, urlfilter
 from rowloom.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_url_filter", urlfilter.ORACLE)
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+@_query("op12_filter_audit", audit.ORACLE)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(audit.failure_counts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
