@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import audit, decontaminate, jaccard, langid, media, mincut, mixing, pii, sharding, tokens, urlfilter
+from rowloom.llm import audit, balltree, decontaminate, jaccard, langid, media, mincut, mixing, pii, secrets, sharding, tokens, urlfilter
 from rowloom.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,14 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_filter_audit", audit.ORACLE)
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interactions(audit.failure_counts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
+@_query("op13_centroid_clustering", balltree.oracle())
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.with_inertia(*balltree.cluster(_table(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "vec_id")
+
+
+@_query("op11_secret_scan", secrets.oracle())
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.secret_digest(secrets.secret_spans(docs, secrets.train(secrets.labelled_samples(docs))))
