@@ -112,25 +112,31 @@ def _matches(n: Column) -> Column:
     return F.concat(n.cast("string"), F.when(n == 1, " element").otherwise(" elements"))
 
 
-def assertion(name: str, count: Column, text: Column, selector: str = "", wanted: object = "", value: object = "") -> Column:
-    """null where the assertion holds, else the message that says why not."""
+def assertion(name: str, count: Column, text: Column, selector: str | Column = "", wanted: object = "", value: object = "") -> Column:
+    """null where the assertion holds, else the message that says why not. Columns may stand for the selector (in the message),
+    the count and the value that are wanted; a count that is no number fails."""
     if name not in ASSERTIONS:
         raise ValueError(f'Unknown assertion "{name}". Supported: {", ".join(ASSERTIONS)}.')
-    seen, nothing = F.coalesce(collapse(text), F.lit("")), F.lit(f'nothing on the page matches "{selector}"')
+    column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    shown_selector = F.concat(F.lit('"'), column(selector), F.lit('"'))
+    seen, nothing = F.coalesce(collapse(text), F.lit("")), F.concat(F.lit("nothing on the page matches "), shown_selector)
     if name == "exists":
         return F.when(count > 0, None).otherwise(nothing)
     if name == "not-exists":
-        return F.when(count == 0, None).otherwise(F.concat(_matches(count), F.lit(" still match"), F.lit(f' "{selector}", and none were expected')))
+        return F.when(count == 0, None).otherwise(F.concat(_matches(count), F.lit(" still match "), shown_selector, F.lit(", and none were expected")))
     if name.startswith("count-"):
-        n = coerced_number(wanted)
+        n = number(wanted) if isinstance(wanted, Column) else coerced_number(wanted)
         if n is None:
             raise ValueError(f'ASSERT needs a number to count against (got "{wanted}").')
         holds, words = {"count-equals": (count == n, "exactly"), "count-at-least": (count >= n, "at least"), "count-at-most": (count <= n, "at most")}[name]
-        shown = f"{int(n) if float(n).is_integer() else n} element{'' if n == 1 else 's'}"
-        return F.when(holds, None).otherwise(F.concat(F.lit(f'expected {words} {shown} matching "{selector}", found '), count.cast("string")))
-    want = _squeezed(value)
-    holds, words = (F.contains(seen, F.lit(want)), f", which does not contain \"{want}\"") if name == "text-contains" else (seen == want, f', not "{want}"')
-    return F.when((count > 0) & holds, None).when(count == 0, nothing).otherwise(F.concat(F.lit(f'"{selector}" reads "'), seen, F.lit(f'"{words}')))
+        if isinstance(n, Column):
+            shown = F.concat(F.coalesce(wanted, F.lit("")), F.when(n == 1, " element").otherwise(" elements"))
+        else:
+            shown = F.lit(f"{int(n) if float(n).is_integer() else n} element{'' if n == 1 else 's'}")
+        return F.when(F.coalesce(holds, F.lit(False)), None).otherwise(F.concat(F.lit(f"expected {words} "), shown, F.lit(" matching "), shown_selector, F.lit(", found "), count.cast("string")))
+    want = F.coalesce(collapse(value), F.lit("")) if isinstance(value, Column) else F.lit(_squeezed(value))
+    holds, words = (F.contains(seen, want), (', which does not contain "', '"')) if name == "text-contains" else (seen == want, (', not "', '"'))
+    return F.when((count > 0) & holds, None).when(count == 0, nothing).otherwise(F.concat(shown_selector, F.lit(' reads "'), seen, F.lit(f'"{words[0]}'), want, F.lit(words[1])))
 
 
 def capture_filter(url: Column, method: Column, url_filter: str = "", methods: str = "") -> Column:

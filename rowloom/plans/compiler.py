@@ -18,14 +18,16 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import predicates as P
 from rowloom.functions import transforms as T
+from rowloom.functions.js import text_of
 from rowloom.functions.similarity import parse_schema
 from rowloom.html import read
 from rowloom.html.select import scoped
 from rowloom.operators import dedupe as D
+from rowloom.plans import context as X
 from rowloom.plans import templates
 from rowloom.plans.recipe import Recipe, Step, read_recipe, unrunnable, walk
 from rowloom.plans.steps import LOOP_CAP, default_config
-from rowloom.session import cut_lineage
+from rowloom.session import cut_lineage, discard
 from rowloom.sinks import render as sink
 from rowloom.sources import api, pages, pdf
 
@@ -36,7 +38,9 @@ class RecipeError(ValueError):
 
 @dataclass
 class Sources:
-    """The tables a run reads: pages(url, html), responses(run, seq, body, status, link), captures(url, method, type), files(path, content), and seen(key): the keys that earlier runs of the recipe on this site gave back."""
+    """The tables a run reads: pages(url, html), responses(run, seq, body, status, link), captures(url, method, type),
+    files(path, content), and seen(key): the keys that earlier runs of the recipe on this site gave back. lists: tables that
+    a LOOP over a list takes its items from, by name, of any length: index0, their number from 0, and what the items hold."""
 
     pages: DataFrame | None = None
     responses: DataFrame | None = None
@@ -44,6 +48,11 @@ class Sources:
     files: DataFrame | None = None
     seen: DataFrame | None = None
     context: dict = field(default_factory=dict)
+    lists: dict[str, DataFrame] = field(default_factory=dict)
+
+
+#: Steps whose configuration may hold templates of loop items and of earlier results; its other texts are the same for all rows.
+ROW_STEPS = ("WEBSITE", "NAVIGATE", "EXTRACT", "PAGE_DATA", "PAGE_JSON", "ASSERT", "IF_ELSE", "DOWNLOAD_FILE", "API")
 
 
 @dataclass
@@ -55,20 +64,27 @@ class Result:
     exports: list[dict]
     seen: DataFrame | None = None
     notes: list[str] = field(default_factory=list)
-    upto: Callable[[int], DataFrame | None] = lambda n: None
+    upto: Callable[..., DataFrame | None] = lambda n, placed=False: None
     collected: Callable[[], DataFrame | None] = lambda: None
 
 
 class _Compiler:
-    def __init__(self, spark: SparkSession, sources: Sources):
-        self.spark, self.sources = spark, sources
+    """Frames carry what loops and earlier steps bind (rowloom.plans.context): page is the frame of the pages that are open,
+    scope that of the iterations that are under way, where no page of theirs need be open; scalars are results that are the
+    same for all rows. wanted: the names that templates of the recipe begin with; what none asks for is not bound."""
+
+    def __init__(self, spark: SparkSession, sources: Sources, wanted: frozenset[str] = frozenset()):
+        self.spark, self.sources, self.wanted = spark, sources, wanted
         self.page = sources.pages
+        self.scope: DataFrame | None = None
+        self.scalars: dict[str, Column] = {}
+        self.responses: dict[str, DataFrame] = {}
+        self.named: set[str] = set()
         self.collected: list[DataFrame] = []
         self.gates: list[tuple[int, dict]] = []
         self.exports: list[dict] = []
         self.stops: list[tuple[int, int, int]] = []
         self.seen: DataFrame | None = None
-        self.stored = {"extracted"}
         self.on_fail: list[str] = ["stop"]
         self.loop: list[tuple[str, int]] = []
         self.notes: list[str] = []
@@ -80,14 +96,37 @@ class _Compiler:
             raise RecipeError(f"{step.type} ({step.id}) needs a table of pages.")
         return self.page
 
+    def bound(self) -> set[str]:
+        """The first names of templates that rows answer, or results of earlier steps."""
+        columns = {c for f in (self.page, self.scope) if f is not None for c in f.columns}
+        of = {X.ITEM: {"item"}, X.LOOP: {"loop"}, X.EXTRACTED: {"extracted"}, X.STORED: self.named}
+        return set().union(set(self.scalars), *(names for c, names in of.items() if c in columns))
+
     def config(self, step: Step) -> dict:
-        for m in re.finditer(r"\{\{\s*([^}.\[]+)[^}]*\}\}", json.dumps(step.config, ensure_ascii=False)):
-            if m[1].strip() in self.stored and m[1].strip() not in self.sources.context:
-                raise RecipeError(f"{step.type} ({step.id}): {m[0]} is a result of an earlier step, which no plan knows before it runs.")
-        return templates.render({**default_config(step.type), **step.config}, self.sources.context)
+        """A step's configuration with the templates that the run's context answers; those that rows answer stay as they are."""
+        bound = self.bound()
+        config = templates.render({**default_config(step.type), **step.config}, self.sources.context, bound)
+        if step.type not in ROW_STEPS and step.type != "LOOP" and (left := X.heads(config) & bound):
+            raise RecipeError(f"{step.type} ({step.id}): {{{{{min(left)}}}}} differs from row to row, and this step is the same for all.")
+        return config
+
+    def fixed(self, step: Step, c: dict, *names: str) -> None:
+        """These parts of a configuration must be the same for all rows."""
+        for name in names:
+            if left := X.heads(c.get(name)) & self.bound():
+                raise RecipeError(f"{step.type} ({step.id}): {name} has {{{{{min(left)}}}}}, which differs from row to row.")
+
+    def filled(self, step: Step, config: dict) -> tuple[DataFrame, dict]:
+        """The frame of open pages with the texts that its rows have for a configuration's templates, and marks in their stead."""
+        return X.filled(self.pages_for(step), config, self.sources.context, self.scalars)
+
+    def text(self, df: DataFrame, template: object) -> object:
+        """A configuration's text: as it is, or a column where rows answer its templates."""
+        return X.column(df, template, self.sources.context, self.scalars) if isinstance(template, str) and "{{" in template else template
 
     def collect(self, rows: DataFrame, step: Step) -> None:
-        self.collected.append(rows.withColumn("_step", F.lit(step.id)))
+        placed = rows.withColumn(X.AT, X.at(rows, len(self.collected)))
+        self.collected.append(X.without_bindings(placed).withColumn("_step", F.lit(step.id)))
 
     def run(self, steps: list[Step]) -> None:
         for step in steps:
@@ -95,17 +134,46 @@ class _Compiler:
             if handler is None:
                 raise RecipeError(f"{step.type} ({step.id}) has no plan.")
             config = self.config(step)
-            before = self.page, self.loop, self.sources.context, len(self.collected), len(self.gates), len(self.exports), len(self.stops)
+            before = self.page, self.loop, self.scope, len(self.collected), len(self.gates), len(self.exports), len(self.stops)
             try:
                 handler(step, config)
             except RecipeError:
                 if not config.get("optional"):
                     raise
-                self.page, self.loop, self.sources.context = before[:3]
+                self.page, self.loop, self.scope = before[:3]
                 for made, n in zip((self.collected, self.gates, self.exports, self.stops), before[3:], strict=True):
                     del made[n:]
-            if config.get("storeAs") or step.type == "API":
-                self.stored |= {str(config.get("storeAs") or "api").strip(), "api"} if step.type == "API" else {str(config["storeAs"]).strip()}
+
+    # -- results of steps --
+
+    def store(self, frame: DataFrame, name: object, default: str, found: Column) -> DataFrame:
+        """The frame with a result, a JSON text, under its name, if any template asks for it."""
+        name = str(name or default).strip() or default
+        if name not in self.wanted:
+            return frame
+        self.named.add(name)
+        old = F.col(X.STORED) if X.STORED in frame.columns else F.create_map().cast("map<string,string>")
+        return frame.withColumn(X.STORED, X.merged(old, F.create_map(F.lit(name), found)))
+
+    def keep_last(self, frame: DataFrame, values: Column) -> DataFrame:
+        """The frame with the values (a map, null where a page gives no row) of a step's last row under their names."""
+        old = F.col(X.EXTRACTED) if X.EXTRACTED in frame.columns else F.create_map().cast("map<string,string>")
+        return frame.withColumn(X.EXTRACTED, F.when(values.isNull(), old).otherwise(X.merged(old, values)))
+
+    def carried(self, url: str) -> DataFrame | None:
+        """The bindings that a step which opens a page hands on to it. An address made of a page's own results is opened for
+        each page; any other once an iteration, or once, with the results of the last page. None: there are no bindings."""
+        results = [c for c in (X.EXTRACTED, X.STORED) if self.page is not None and c in self.page.columns]
+        if not results:
+            return self.scope
+        kept = [c for c in X.BINDINGS if c in self.page.columns]
+        if X.heads(url) & ({"extracted"} | self.named):
+            return self.page.select(*kept)
+        places = F.struct(*_order(self.page))
+        keys = [X.AT] if X.AT in kept else []
+        last = F.max_by(F.struct(*(c for c in kept if c not in keys)), places).alias("__last")
+        done = self.page.groupBy(*keys).agg(last)
+        return done.where("__last IS NOT NULL").select(*keys, "__last.*")
 
     # -- navigation --
 
@@ -114,7 +182,16 @@ class _Compiler:
         if self.sources.pages is None:
             raise RecipeError(f"{step.type} ({step.id}) needs a table of pages.")
         named = url not in ("", "https://", "http://")
-        self.page = self.sources.pages.where(F.col("url") == url) if named else self.sources.pages
+        carried, self.loop = self.carried(url), []
+        if carried is None and "{{" not in url:
+            self.page = self.sources.pages.where(F.col("url") == url) if named else self.sources.pages
+            return
+        if not named:
+            raise RecipeError(f"{step.type} ({step.id}) needs an address where items or results are in use.")
+        frame = self.spark.range(1).drop("id") if carried is None else carried
+        wanted = frame.withColumn("__url", F.trim(self.text(frame, url) if "{{" in url else F.lit(url)))
+        pages_ = self.sources.pages.drop(*X.BINDINGS, pages.SCOPE)
+        self.page = pages_.join(wanted, pages_["url"] == wanted["__url"]).drop("__url")
 
     do_navigate = do_website
 
@@ -126,8 +203,7 @@ class _Compiler:
         self.page = self.followed(step, c, int(c.get("maxPages") or c.get("max") or api.DEFAULT_PAGES))
 
     def followed(self, step: Step, c: dict, most: int) -> DataFrame:
-        """Pages with _page, the number of links followed to them. The links of all pages are read once; each round is
-        a join of addresses, until no page is new or `most` pages deep."""
+        """Pages with _page, the number of links followed to them, until no page is new or `most` pages deep."""
         selector = str(c.get("selector") or "").strip()
         if not selector:
             raise RecipeError(f"{step.type} ({step.id}) needs the selector of the link to the next page.")
@@ -137,36 +213,68 @@ class _Compiler:
             numbered = here.select("url", F.lit(0).cast("long").alias("_page")).unionByName(links)
             numbered = numbered.groupBy("url").agg(F.min("_page").alias("_page")).where(F.col("_page") < most)
             return self.sources.pages.join(numbered, "url")
-        links = cut_lineage(pages.follow(self.sources.pages, selector).where("place = 0").select("url", "next"), "next-links")
-        seen = front = cut_lineage(here.select("url", F.lit(0).cast("long").alias("_page")).dropDuplicates(["url"]), "followed")
-        for _ in range(min(most, LOOP_CAP) - 1):
-            onward = front.join(links, "url").select(F.col("next").alias("url"), F.col("_page") + 1).toDF("url", "_page").dropDuplicates(["url"])
-            front = cut_lineage(onward.join(seen.select("url"), "url", "left_anti"), "followed")
-            if front.isEmpty():
-                break
-            seen = seen.unionByName(front)
-        return self.sources.pages.join(seen, "url")
+        links = pages.follow(self.sources.pages, selector).where("place = 0").select("url", "next")
+        kept = [c for c in X.BINDINGS if c in here.columns]
+        start = here.select(*([X.AT] if kept else []), "url")
+        reached = follow_links(start, links, min(most, LOOP_CAP), keys=[X.AT] if X.AT in kept else [])
+        found = self.sources.pages.drop(*X.BINDINGS).join(reached, "url")
+        return found.join(self.carried("").select(*kept), X.AT) if X.AT in kept else found
 
     # -- extraction --
 
     def do_extract(self, step: Step, c: dict) -> None:
-        specs = c.get("fields") or c.get("schema") or []
-        rows = pages.extract(self.pages_for(step), specs, loop=self.loop)
+        for spec in c.get("fields") or c.get("schema") or []:
+            self.fixed(step, spec, "name", "transform", "regexPattern", "regexFlags", "regexGroup")
+        frame, marked = self.filled(step, {"fields": c.get("fields") or c.get("schema") or []})
+        specs = marked["fields"]
         chains = {s.get("name") or "data": {"transform": s.get("transform") if isinstance(s.get("transform"), list) else [s["transform"]], "pattern": s.get("regexPattern", ""), "flags": s.get("regexFlags", ""), "group": s.get("regexGroup"), "base": F.col("url")} for s in specs if s.get("transform")}
-        self.collect(T.transform_rows(rows, chains), step)
+        self.collect(T.transform_rows(pages.extract(frame, specs, loop=self.loop), chains), step)
+        if specs and "extracted" in self.wanted:
+            names = {(s.get("name") or "data"): f"__x{i}" for i, s in enumerate(specs)}
+            last = pages.last_values(frame, specs, self.loop)
+            cells = last.withColumns({f"__x{i}": F.get("_last", F.lit(i)) for i in range(len(specs))})
+            cells = T.transform_rows(cells, {names[k]: v for k, v in chains.items()})
+            text = lambda x: text_of(F.col(x), cells.schema[x].dataType.simpleString())
+            values = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(text, names.values())))
+            self.page = self.keep_last(cells, F.when(F.col("_last").isNotNull(), values)).drop("_last", pages.FILLED, *(f"__x{i}" for i in range(len(specs))))
 
     def do_page_data(self, step: Step, c: dict) -> None:
-        found = pages.page_data(self.pages_for(step), c["source"], c.get("type") or "", bool(c.get("flatten")))
-        self.collect(found.select(*(x for x in found.columns if x != "data"), F.explode("data.records").alias("record")), step)
+        self.fixed(step, c, "source", "storeAs")
+        frame, marked = self.filled(step, {"type": c.get("type") or ""})
+        read_data = lambda f: pages.page_data(f, c["source"], marked["type"], bool(c.get("flatten")))
+        found = read_data(frame).drop(pages.FILLED)
+        self.collect(found.select(*(x for x in found.columns if x not in ("data", "_record")), F.posexplode("data.records").alias("_record", "record")), step)
+        if self.wanted & {"extracted", str(c.get("storeAs") or "pageData").strip()}:
+            whole = read_data(frame.withColumn("__html", F.col("html"))).withColumnRenamed("__html", "html").drop(pages.FILLED)
+            data = F.col("data")
+            told = F.concat(F.regexp_replace(F.to_json(data.dropFields("records")), r"\}$", ',"records":['), F.array_join(data["records"], ","), F.lit("]}"))
+            whole = self.store(whole, c.get("storeAs"), "pageData", told)
+            if "extracted" in self.wanted:
+                whole = self.keep_last(whole, F.from_json(F.try_element_at(data["records"], F.lit(-1)), "map<string,string>"))
+            self.page = whole.drop("data")
 
     def do_page_json(self, step: Step, c: dict) -> None:
-        found = pages.page_json(self.pages_for(step), c["mode"], selector=c.get("selector") or "", scripts=bool(c.get("includeScripts")), loops=self.loop)
+        self.fixed(step, c, "mode", "storeAs")
+        frame, marked = self.filled(step, {"selector": c.get("selector") or ""})
+        read_page = lambda f, loops: pages.page_json(f, c["mode"], selector=marked["selector"], scripts=bool(c.get("includeScripts")), loops=loops)
+        found = read_page(frame, self.loop).drop(pages.FILLED)
         value = {"tree": F.array(F.col("page.tree")), "text": F.col("page.text"), "flat": F.transform("page.rows", lambda x: F.to_json(x))}[c["mode"]]
-        self.collect(found.select(*(x for x in found.columns if x != "page"), F.explode(value).alias("record")), step)
+        self.collect(found.select(*(x for x in found.columns if x not in ("page", "_line")), F.posexplode(value).alias("_line", "record")), step)
+        if str(c.get("storeAs") or "pageJson").strip() in self.wanted:
+            whole = read_page(frame.withColumn("__html", F.col("html")), []).withColumnRenamed("__html", "html").drop(pages.FILLED)
+            page = F.col("page")
+            told = F.concat(F.regexp_replace(F.to_json(page.dropFields("tree")), r"\}$", ',"tree":'), F.coalesce(page["tree"], F.lit("null")), F.lit("}"))
+            self.page = self.store(whole, c.get("storeAs"), "pageJson", told).drop("page")
 
     def do_auto_extract(self, step: Step, c: dict) -> None:
         fields, is_default, _ = parse_schema(c.get("schema") or c.get("fields") or "")
-        self.collect(pages.auto_extract(self.pages_for(step), None if is_default else fields, int(c.get("threshold") or 70)), step)
+        read_auto = lambda f: pages.auto_extract(f, None if is_default else fields, int(c.get("threshold") or 70))
+        self.collect(read_auto(self.pages_for(step)), step)
+        if "extracted" in self.wanted:
+            whole = read_auto(self.pages_for(step).withColumn("__html", F.col("html"))).withColumnRenamed("__html", "html")
+            names = [x for x in whole.columns if x not in self.pages_for(step).columns]
+            values = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.col(f"`{x}`").cast("string") for x in names)))
+            self.page = self.keep_last(whole, values).drop(*names)
 
     def do_pdf_extraction(self, step: Step, c: dict) -> None:
         if self.sources.files is None:
@@ -180,7 +288,17 @@ class _Compiler:
             raise RecipeError(f"{step.type} ({step.id}) needs a table of recorded responses.")
         p = c.get("pagination") or {}
         kept = api.recorded_pages(self.sources.responses, p.get("mode") or "none", c.get("rowsPath") or "", p.get("cursorPath") or "", p.get("maxPages"))
-        self.collect(api.rows_at(kept, "body", c.get("rowsPath") or "").drop("status", "link", "stop_reason"), step)
+        rows = api.rows_at(kept, "body", c.get("rowsPath") or "").drop("status", "link", "stop_reason")
+        self.collect(rows, step)
+        json_body = F.when(F.try_parse_json("body").isNotNull(), F.col("body")).otherwise(F.regexp_extract(F.to_json(F.struct("body")), r'(?s)^\{"body":(.*)\}$', 1))
+        told = F.concat(F.lit('{"status":'), F.coalesce(F.col("status").cast("string"), F.lit("null")), F.lit(',"body":'), F.coalesce(json_body, F.lit("null")), F.lit("}"))
+        last = kept.agg(F.max_by(told, F.struct("run", "seq")).alias("told"))
+        for name in {str(c.get("storeAs") or "api").strip() or "api", "api"}:
+            self.responses[name] = rows
+            if name in self.wanted:
+                self.scalars[name] = last.scalar()
+        if c.get("exposeBodyAsExtracted") is True and "extracted" in self.wanted:
+            self.scalars["extracted"] = F.get_json_object(last.scalar(), "$.body")
 
     def do_api_sniffer(self, step: Step, c: dict) -> None:
         if self.sources.captures is None:
@@ -191,75 +309,121 @@ class _Compiler:
 
     def do_download_file(self, step: Step, c: dict) -> None:
         """A manifest: which files would be fetched, and under what names."""
-        selector, attribute = c.get("selector") or "", c.get("attribute") or ""
+        frame, marked = self.filled(step, {"selector": c.get("selector") or "", "attribute": c.get("attribute") or ""})
+        loops = list(self.loop)
 
-        def links(document, base):
-            found = [n.attrs.get(attribute) if attribute else n.attrs.get("href") or n.attrs.get("src") for n in scoped(document, selector)]
+        def links(document, base, scope=None, filled=None):
+            selector, attribute = (X.fill(marked[k], filled) for k in ("selector", "attribute"))
+            parts = [scoped(document, selector, record) for _, record in pages.records(document, loops, scope)] if loops else [scoped(document, selector)]
+            found = [n.attrs.get(attribute) if attribute else n.attrs.get("href") or n.attrs.get("src") for part in parts for n in part]
             return [T.absolute_url(u, base) for u in found if u]
 
         import pyarrow as pa
 
-        found = pages._per_page(self.pages_for(step), links, "__links", pa.list_(pa.string()), "array<string>", "url", "html")
-        each = found.select(F.col("url").alias("page_url"), F.posexplode("__links").alias("__i", "url")).where(F.rlike("url", F.lit("(?i)^(https?|data):")))
-        self.collect(file_manifest(each.withColumn("index", F.col("__i") + 1).drop("__i"), step.config.get("filename") or "{{file.name}}"), step)
+        found = pages._per_page(frame, links, "__links", pa.list_(pa.string()), "array<string>", "url", "html", pages.SCOPE)
+        found = found.select(*([c for c in X.BINDINGS if c in found.columns]), F.col("url").alias("page_url"), F.posexplode("__links").alias("__i", "url"))
+        each = found.where(F.rlike("url", F.lit("(?i)^(https?|data):"))).withColumn("index", F.col("__i") + 1).drop("__i")
+        names = templates.render(str(step.config.get("filename") or "{{file.name}}"), self.sources.context, self.bound() | {"file"})
+        self.collect(file_manifest(each, names, lambda df, t: X.column(df, t, {}, self.scalars)), step)
 
     # -- control --
 
     def do_loop(self, step: Step, c: dict) -> None:
-        kind, outer = c.get("type") or "elements", (self.page, self.loop)
+        kind, outer = c.get("type") or "elements", (self.page, self.loop, self.scope)
+        self.fixed(step, c, *c)
+        body = step.children or []
+        self.on_fail.append(c.get("onFail") or "skip")
         if kind == "elements":
             if not c.get("selector"):
                 raise RecipeError(f"LOOP ({step.id}) over elements needs a selector.")
             self.loop = [*self.loop, (c["selector"], max(0, int(c.get("max") or 0)))]
-            self.on_fail.append(c.get("onFail") or "skip")
-            self.run(step.children or [])
-            self.on_fail.pop()
+            if _binds_records(body):
+                bound = pages.bind_records(self.pages_for(step), self.loop)
+                self.page = X.counted(bound, F.col("__item"), F.col("__i"), F.col("__n"), len(self.collected), F.col("__place")).drop("__item", "__i", "__n", "__place")
+                self.scope = self.page.select(*(x for x in X.BINDINGS if x in self.page.columns))
+            self.run(body)
         elif kind in ("paginate", "paginate-links"):
             self.page = self.followed(step, c, int(c.get("max") or c.get("maxPages") or api.DEFAULT_PAGES))
-            self.run(step.children or [])
-        elif kind in ("count", "list", "paginate-url"):
-            if kind == "count":
-                n = int(c.get("count") or 0)
-                if n < 1:
-                    raise RecipeError(f"LOOP ({step.id}) needs a count of at least 1.")
-                self.capped(step, n)
-                items: list = [{"index": i + 1, "index0": i} for i in range(min(n, LOOP_CAP))]
-            elif kind == "list":
-                given = c.get("items") if isinstance(c.get("items"), list) else [x.strip() for x in str(c.get("list") or "").splitlines() if x.strip()]
-                self.capped(step, len(given))
-                items = [v if isinstance(v, dict) else {"value": v, "text": v} for v in given[:LOOP_CAP]]
-            else:
-                first, by = int(c.get("start") or 1), int(c.get("step") or 1)
-                if by == 0:
-                    raise RecipeError(f"LOOP ({step.id}): a step of 0 never ends.")
-                self.capped(step, int(c.get("max") or 10))
-                n = min(int(c.get("max") or 10), LOOP_CAP)
-                items = [{"value": first + k * by, "url": str(c.get("url") or "").replace("{page}", str(first + k * by))} for k in range(n)]
-                wanted = self.spark.createDataFrame([(i, x["url"]) for i, x in enumerate(items)], "_page long, url string")
-                self.page = self.sources.pages.join(F.broadcast(wanted), "url") if self.sources.pages is not None else None
-                start = len(self.collected)
-                self.run(step.children or [])
-                if c.get("stopWhenEmpty") is not False and len(self.collected) > start:
-                    if any("_page" not in df.columns for df in self.collected[start:]):
-                        raise RecipeError(f"LOOP ({step.id}): rows that do not tell their page cannot stop it; set stopWhenEmpty to false.")
-                    self.stops.append((start, len(self.collected), n))
-                items = []
-            path = _only_navigates(step)
-            if path and items and self.sources.pages is not None:
-                urls = [(i, str(templates.render(path, {"item": x}))) for i, x in enumerate(items)]
-                wanted = self.spark.createDataFrame(urls, "_item long, url string")
-                self.page = self.sources.pages.join(F.broadcast(wanted), "url")
-                self.run((step.children or [])[1:])
-                items = []
-            context = self.sources.context
-            for i, item in enumerate(items):
-                loop = {"index": i + 1, "index0": i, "first": i == 0, "last": i + 1 == len(items), "count": len(items)}
-                self.sources.context = context | {"item": item, "loop": loop}
-                self.run(step.children or [])
-            self.sources.context = context
+            self.run(body)
+        elif kind == "paginate-url":
+            self.numbered_pages(step, c)
+        elif kind in ("count", "list"):
+            self.iterate(step, c, kind)
+            self.run(body)
         else:
             raise RecipeError(f"LOOP ({step.id}) has no type {kind}.")
-        self.page, self.loop = outer
+        self.on_fail.pop()
+        self.page, self.loop, self.scope = outer
+
+    def iterate(self, step: Step, c: dict, kind: str) -> None:
+        """Bind the items of a list, or numbers, to the frames: one plan for the loop's body, a row an iteration."""
+        number, most = len(self.collected), max(0, int(c.get("max") or 0))
+        if kind == "count":
+            n = int(c.get("count") or c.get("max") or 0)
+            if n < 1:
+                raise RecipeError(f"LOOP ({step.id}) needs a count of at least 1.")
+            self.capped(step, n)
+            blank = F.create_map(*(F.lit(x) for k in ("text", "href", "src", "value") for x in (k, "")))
+            numbers = F.transform(F.sequence(F.lit(0), F.lit(min(n, LOOP_CAP) - 1)), lambda i: F.map_concat(blank, F.create_map(F.lit("index"), (i + 1).cast("string"), F.lit("index0"), i.cast("string"))))
+            return self.deal(numbers, number)
+        if c.get("source") == "context":
+            path = str(c.get("contextPath") or "").strip()
+            head, *rest = X.keys(path)
+            table = self.sources.lists.get(head) if not rest else _response_items(self.responses[head]) if rest == ["rows"] and head in self.responses else None
+            if table is not None:
+                return self.bind_table(table if not most else table.where(F.col("index0") < most), number)
+            if head in self.bound():
+                cut = lambda items: F.slice(items, F.lit(1), F.lit(most)) if most else items
+                return self.deal(cut(X.items_in_json(F.col("__json"))), number, path)
+            found = templates.resolve_path(self.sources.context, path)
+            if found is templates.MISSING or not isinstance(found, list | dict):
+                self.notes.append(f'LOOP ({step.id}): "{path}" is no list that this run has, and its body has no rows')
+            given = found if isinstance(found, list) else [found] if isinstance(found, dict) else []
+        elif isinstance(c.get("items"), list):
+            given = c["items"]
+        else:
+            given = list_lines(str(c.get("lines") or c.get("list") or ""), str(c.get("delimiter") or ""), c.get("hasHeader") is True)
+        self.capped(step, len(given))
+        self.deal(X.items_of(given[: min(most or LOOP_CAP, LOOP_CAP)]), number)
+
+    def deal(self, items: Column, number: int, path: str | None = None) -> None:
+        """A row for each item, in all frames. path: what the column __json, that items are made of, has the value of."""
+        dealt = lambda df: X.iterate(df if path is None else df.withColumn("__json", X.value(df, path, self.sources.context, self.scalars)), items, number).drop("__json")
+        whole = self.page if self.page is not None and self.scope is None and set(X.BINDINGS) & set(self.page.columns) else self.scope
+        base = self.spark.range(1).drop("id") if whole is None else whole.select(*(x for x in X.BINDINGS if x in whole.columns))
+        self.scope = dealt(base)
+        self.page = self.page if self.page is None else dealt(self.page)
+
+    def bind_table(self, table: DataFrame, number: int) -> None:
+        """Items that are rows of a table: the body must begin by opening a page for each."""
+        if self.scope is not None:
+            raise RecipeError("A list that is a table cannot be looped over within another loop.")
+        held = [F.col(f"`{x}`") for x in table.columns if x not in ("index0", "cols")]
+        pairs = [x for c in held for x in (F.lit(table.select(c).columns[0]), text_of(c, table.select(c).schema[0].dataType.simpleString()))]
+        own = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+        own = X.merged(own, F.col("cols")) if "cols" in table.columns else own
+        item = X.merged(F.create_map(F.lit("index"), (F.col("index0") + 1).cast("string"), F.lit("index0"), F.col("index0").cast("string")), own)
+        count = table.agg(F.count(F.lit(1))).scalar()
+        self.scope = X.counted(table.select("index0", item.alias("__item")), F.col("__item"), F.col("index0"), count, number).drop("__item", "index0")
+        self.page = None
+
+    def numbered_pages(self, step: Step, c: dict) -> None:
+        """Pages by a numbered address, up to the first without new rows."""
+        first, by = (int(c.get(a) or c.get(b) or 1) for a, b in (("start", "startPage"), ("step", "pageStep")))
+        if by == 0 or c.get("step") == 0:
+            raise RecipeError(f"LOOP ({step.id}): a step of 0 never ends.")
+        self.capped(step, int(c.get("max") or 10))
+        n, template = min(int(c.get("max") or 10), LOOP_CAP), str(c.get("url") or c.get("urlTemplate") or "")
+        wanted = self.spark.range(n).select(F.col("id").alias("_page"), F.replace(F.lit(template), F.lit("{page}"), (first + F.col("id") * by).cast("string")).alias("url"))
+        if self.scope is not None:
+            raise RecipeError(f"LOOP ({step.id}): numbered pages within a loop over items are not supported; open them by a template.")
+        self.page = self.sources.pages.join(F.broadcast(wanted), "url") if self.sources.pages is not None else None
+        start, self.loop = len(self.collected), []
+        self.run(step.children or [])
+        if c.get("stopWhenEmpty") is not False and len(self.collected) > start:
+            if any("_page" not in df.columns for df in self.collected[start:]):
+                raise RecipeError(f"LOOP ({step.id}): rows that do not tell their page cannot stop it; set stopWhenEmpty to false.")
+            self.stops.append((start, len(self.collected), n))
 
     def capped(self, step: Step, n: int) -> None:
         if n > LOOP_CAP:
@@ -267,63 +431,64 @@ class _Compiler:
 
     def do_if_else(self, step: Step, c: dict) -> None:
         """Each page (in a loop, each record) takes one branch; a condition that cannot be evaluated sends it to the other."""
+        self.fixed(step, c, "condition")
         seen = self._observed(step, c)
-        if self.loop:
-            holds = lambda x: P.condition(c["condition"], P.observed(x["text"], x["count"] > 0, x["attr"]), c.get("value", ""))
-            outer = self.page
-            for branch, test in ((step.ifBranch, holds), (step.elseBranch, lambda x: ~holds(x))):
-                self.page = self._scoped(seen, test)
-                self.run(branch or [])
-            self.page = outer
-            return
-        holds = P.condition(c["condition"], P.observed(F.col("__seen.text"), F.col("__seen.count") > 0, F.col("__seen.attr")), c.get("value", ""))
-        outer = self.page
-        for branch, test in ((step.ifBranch, holds), (step.elseBranch, ~holds)):
-            self.page = seen.where(test).drop("__seen")
+        value = self.text(seen, c.get("value", ""))
+        if isinstance(value, Column) and c["condition"] == "text-matches":
+            raise RecipeError(f"IF_ELSE ({step.id}): a pattern must be the same for all rows.")
+        against = {"other": P.observed(value, F.lit(True), value), "compare_attr": c["condition"].startswith("attr-")} if isinstance(value, Column) else {"value": value}
+        holds = lambda x: P.condition(c["condition"], P.observed(x["text"], x["count"] > 0, x["attr"]), **against)
+        outer = self.page, self.loop
+        for branch, test in ((step.ifBranch, holds), (step.elseBranch, lambda x: ~holds(x))):
+            self.page = self._scoped(seen, test) if self.loop else seen.where(test(F.col("__seen"))).drop("__seen")
             self.run(branch or [])
-        self.page = outer
+            self.page, self.loop = outer
 
     def do_assert(self, step: Step, c: dict) -> None:
         """A page or record on which the assertion fails stops the run with its message; an optional one only warns, and
         in a loop, unless its onFail is stop, the record takes no part in what follows."""
         if c.get("optional"):
             return
+        self.fixed(step, c, "assertion")
         seen = self._observed(step, c)
+        selector, count, value = (self.text(seen, c.get(k, "")) for k in ("selector", "count", "value"))
+        fails = lambda x: P.assertion(c["assertion"], x["count"], x["text"], selector if selector is not None else "", count, value)
         if self.loop:
-            fails = lambda x: P.assertion(c["assertion"], x["count"], x["text"], c.get("selector") or "", c.get("count", ""), c.get("value", ""))
             if self.on_fail[-1] != "skip":
                 first = F.element_at(F.filter(F.transform("__seen", fails), lambda m: m.isNotNull()), 1)
                 none = ~F.exists("__seen", lambda x: fails(x).isNotNull())
                 seen = seen.where(F.when(none, F.lit(True)).otherwise(F.raise_error(first).cast("boolean")))
             self.page = self._scoped(seen, lambda x: fails(x).isNull())
             return
-        message = P.assertion(c["assertion"], F.col("__seen.count"), F.col("__seen.text"), c.get("selector") or "", c.get("count", ""), c.get("value", ""))
-        checked = F.when(message.isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
-        self.page = seen.where(checked).drop("__seen")
+        message = fails(F.col("__seen"))
+        stops = F.lit(False) if self.on_fail[-1] == "skip" else F.raise_error(message).cast("boolean")
+        self.page = seen.where(F.when(message.isNull(), F.lit(True)).otherwise(stops)).drop("__seen")
 
     def _observed(self, step: Step, c: dict) -> DataFrame:
         import pyarrow as pa
 
-        selector, attribute = c.get("selector") or "", (c.get("attr") or c.get("attribute") or "").lower()
+        frame, marked = self.filled(step, {"selector": c.get("selector") or "", "attribute": c.get("attr") or c.get("attribute") or ""})
 
-        def look(document, base):
-            return seen(scoped(document, selector))
+        def look(document, base, filled=None):
+            selector, attribute = (X.fill(marked[k], filled) for k in ("selector", "attribute"))
+            return seen(scoped(document, selector), attribute.lower())
 
-        def seen(found):
+        def seen(found, attribute):
             first = found[0] if found else None
             return {"count": len(found), "text": read.clean(first.text()) if first else None, "attr": first.attrs.get(attribute) if first else None}
 
         loops = list(self.loop)
 
-        def look_at_each(document, base, scope=None):
-            return [seen(scoped(document, selector, record)) | {"place": place} for place, record in pages.records(document, loops, scope)]
+        def look_at_each(document, base, scope=None, filled=None):
+            selector, attribute = (X.fill(marked[k], filled) for k in ("selector", "attribute"))
+            return [seen(scoped(document, selector, record), attribute.lower()) | {"place": place} for place, record in pages.records(document, loops, scope)]
 
-        whole = self.pages_for(step).withColumn("__html", F.col("html"))
+        whole = frame.withColumn("__html", F.col("html"))
         kind, shape = pa.struct([("count", pa.int64()), ("text", pa.string()), ("attr", pa.string())]), "count:bigint,text:string,attr:string"
         if loops:
             each = pa.list_(pa.struct([*kind, pa.field("place", pa.string())]))
-            return pages._per_page(whole, look_at_each, "__seen", each, f"array<struct<{shape},place:string>>", "url", "html", pages.SCOPE).withColumnRenamed("__html", "html")
-        return pages._per_page(whole, look, "__seen", kind, f"struct<{shape}>", "url", "html").withColumnRenamed("__html", "html")
+            return pages._per_page(whole, look_at_each, "__seen", each, f"array<struct<{shape},place:string>>", "url", "html", pages.SCOPE).withColumnRenamed("__html", "html").drop(pages.FILLED)
+        return pages._per_page(whole, look, "__seen", kind, f"struct<{shape}>", "url", "html").withColumnRenamed("__html", "html").drop(pages.FILLED)
 
     def _scoped(self, seen: DataFrame, test: Callable[[Column], Column]) -> DataFrame:
         """The pages with only those records in scope that pass."""
@@ -344,19 +509,19 @@ class _Compiler:
         """All rows that steps have collected, before any gate."""
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), self.collected) if self.collected else None
 
-    def rows(self, upto: int | None = None) -> DataFrame | None:
-        """All rows in order, past the deduplication gates: only rows collected after a gate pass through it."""
+    def rows(self, upto: int | None = None, placed: bool = False) -> DataFrame | None:
+        """All rows past the deduplication gates: only rows collected after a gate pass through it. placed: with _seq, the
+        place of each row in the run, by which they are in order."""
         if not self.collected[:upto]:
             return None
         if upto is not None:
             whole = self.collected, self.gates, self.stops
             self.collected, self.gates, self.stops = self.collected[:upto], [g for g in self.gates if g[0] < upto], [s for s in self.stops if s[1] <= upto]
             try:
-                return self.rows()
+                return self.rows(placed=placed)
             finally:
                 self.collected, self.gates, self.stops = whole
-        ordered = [df.withColumn("_seq", F.struct(F.lit(i).alias("batch"), *_order(df))) for i, df in enumerate(self.collected)]
-        ordered = [df.withColumn("_seq", F.to_json("_seq")).withColumn("_batch", F.lit(i)) for i, df in enumerate(ordered)]
+        ordered = [df.withColumn("_seq", F.concat(X.AT, F.to_json(F.struct(*_order(df))))).withColumn("_batch", F.lit(i)) for i, df in enumerate(self.collected)]
         out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ordered)
         for start, end, n in self.stops:
             kept = self._gated(out.where(F.col("_batch") < end)).where(F.col("_batch") >= start).groupBy("_page").agg(F.count(F.lit(1)).alias("kept"))
@@ -366,13 +531,13 @@ class _Compiler:
             open_pages = paginate_until_empty(counts.unionByName(had), "_page", "kept").select("_page")
             inside = F.col("_batch").between(start, end - 1)
             out = out.where(~inside).unionByName(out.where(inside).join(F.broadcast(open_pages), "_page", "left_semi"))
-        return self._gated(out, remember=True).drop("_seq", "_batch")
+        return self._gated(out, remember=True).drop(X.AT, "_batch", *([] if placed else ["_seq"]))
 
     def _gated(self, out: DataFrame, remember: bool = False) -> DataFrame:
         for start, config in self.gates:
             fields = D.parse_fields(config.get("fields") or "")
             names = fields or [x for x in out.columns if not x.startswith("_")]
-            placed = out.withColumn("__order", F.concat(F.lpad(F.col("_batch").cast("string"), 6, "0"), F.col("_seq")))
+            placed = out.withColumn("__order", F.col("_seq"))
             gated = D.first_rows(placed.where(F.col("_batch") >= start), "__order", names)
             if config.get("scope") == "forever":
                 gated = gated.withColumn("__key", F.sha2(D.row_key(gated.drop("__order"), names), 256))
@@ -386,23 +551,75 @@ class _Compiler:
         return out
 
 
-def _only_navigates(step: Step) -> str | None:
-    """The address template of a loop whose items serve only to open pages: such a loop is a join, whatever its length."""
-    first, *rest = step.children or [None]
-    if first is None or first.type not in ("WEBSITE", "NAVIGATE") or any("{{" in json.dumps(s.config) for r in rest for s in walk([r])):
-        return None
-    url = str(first.config.get("url") or "")
-    return url if re.fullmatch(r"[^{}]*(\{\{\s*item\.[\w.]+\s*\}\}[^{}]*)+", url) and not first.children else None
+def _binds_records(body: list[Step]) -> bool:
+    """Whether the body of a loop over elements names its items, or leaves the page: then each record is a row of the frame."""
+    return any(s.type in ("WEBSITE", "NAVIGATE", "PAGINATE") or (s.type == "LOOP" and str(s.config.get("type") or "").startswith("paginate")) or X.heads(s.config) & {"item", "loop"} for s in walk(body))
+
+
+def list_lines(text: str, delimiter: str = "", has_header: bool = False) -> list:
+    """Items of pasted lines, blank ones left out: with a delimiter, each with its cells by the header's names (or col1, col2
+    and so on), the first as its value, and the line as its text."""
+    import csv
+
+    lines = [x.strip() for x in text.splitlines() if x.strip()]
+    if not delimiter or not lines:
+        return lines
+    cells = [[x.strip() for x in row] for row in (next(csv.reader([line], delimiter=delimiter[0])) for line in lines)]
+    names = [x or f"col{i + 1}" for i, x in enumerate(cells[0])] if has_header else [f"col{i + 1}" for i in range(len(cells[0]))]
+    start = 1 if has_header else 0
+    rows = ({n: row[i] if i < len(row) else "" for i, n in enumerate(names)} for row in cells[start:])
+    return [row | {"value": c[0] if c else "", "text": line} for row, c, line in zip(rows, cells[start:], lines[start:], strict=True)]
+
+
+def _response_items(rows: DataFrame) -> DataFrame:
+    """The rows of recorded responses as items, numbered through: responses are few, and are numbered by their sizes."""
+    sizes = rows.groupBy("run", "seq").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.orderBy("run", "seq").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("run", "seq", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    numbered = rows.join(F.broadcast(starts), ["run", "seq"])
+    values = F.when(F.rlike("row", F.lit(r"^\s*\{")), F.from_json("row", "map<string,string>"))
+    return numbered.select((F.col("__start") + F.col("row_no")).alias("index0"), F.col("row").alias("text"), F.coalesce(values, F.create_map(F.lit("value"), F.col("row"))).alias("cols"))
+
+
+def follow_links(start: DataFrame, links: DataFrame, most: int, keys: list[str] | None = None) -> DataFrame:
+    """url and _page: the pages of start and those that next links (url, next; one a page) lead to, fewer than `most` links
+    away, each at its least distance; keys: columns of start that tell runs apart, each with pages of its own.
+
+    By doubling: after k rounds the table of jumps leads 2^k links on, and the pages reached are those fewer than 2^k links
+    away, so that a chain of n pages takes about log2(n) rounds, each a join of slim tables. Rounds end when no page is new.
+    """
+    keys = keys or []
+    least = lambda df: df.groupBy(*keys, "url").agg(F.min("_page").alias("_page"))
+    reached = cut_lineage(least(start.select(*keys, "url", F.lit(0).cast("long").alias("_page"))), "followed")
+    jumps, n, away = cut_lineage(links.select("url", "next").dropDuplicates(["url"]), "jumps"), reached.count(), 1
+    while away < most:
+        onward = reached.join(jumps, "url").select(*keys, F.col("next").alias("url"), (F.col("_page") + away).alias("_page"))
+        more = cut_lineage(least(reached.unionByName(onward)), "followed")
+        found = more.count()
+        discard(reached)
+        reached, away = more, 2 * away
+        if found == n:
+            break
+        n = found
+        if away < most:
+            then = jumps.select(F.col("url").alias("next"), F.col("next").alias("__then"))
+            longer = cut_lineage(jumps.join(then, "next").select("url", F.col("__then").alias("next")), "jumps")
+            discard(jumps)
+            jumps = longer
+    discard(jumps)
+    return reached.where(F.col("_page") < most)
 
 
 def _order(df: DataFrame) -> list[Column]:
     """What rows of a step are ordered by: the page, then the record and row numbers, padded so that they sort as text."""
-    pad = lambda c: F.lpad(F.coalesce(F.col(c).cast("string"), F.lit("")), 12, "0").alias(c)
-    return [pad("_page")] * ("_page" in df.columns) + [F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url")] * ("url" in df.columns) + [pad(c) for c in ("page_id", "_record", "_row", "seq", "row_no", "page", "index") if c in df.columns]
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    pad = lambda c: F.when(F.length(text(c)) < 12, F.lpad(text(c), 12, "0")).otherwise(text(c)).alias(c)
+    return [pad("_page")] * ("_page" in df.columns) + [F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url")] * ("url" in df.columns) + [pad(c) for c in ("page_id", "_record", "_row", "_line", "path", "run", "seq", "row_no", "page", "index") if c in df.columns]
 
 
-def file_manifest(files: DataFrame, template: str = "{{file.name}}") -> DataFrame:
-    """url, index and the safe path that a file would be saved under: name, stem, ext, host and index may be in the template."""
+def file_manifest(files: DataFrame, template: str = "{{file.name}}", bound: Callable[[DataFrame, str], Column] | None = None) -> DataFrame:
+    """url, index and the safe path that a file would be saved under: name, stem, ext, host and index may be in the template.
+    bound makes a column of a template with other names."""
     from rowloom.sinks.datasets import safe_segment
 
     path = F.regexp_extract("url", r"(?i)^[a-z]+://[^/?#]*([^?#]*)", 1)
@@ -413,7 +630,9 @@ def file_manifest(files: DataFrame, template: str = "{{file.name}}") -> DataFram
     ext = F.regexp_extract("name", r"^.+\.([A-Za-z0-9]{1,8})$", 1)
     facts = files.withColumn("name", name).withColumn("ext", ext).withColumn("host", F.lower(F.regexp_extract("url", r"(?i)^[a-z]+://([^/?#:]*)", 1)))
     facts = facts.withColumn("file", F.struct("name", F.when(F.col("ext") != "", F.regexp_replace("name", r"\.[^.]*$", "")).otherwise(F.col("name")).alias("stem"), "ext", "host", "index"))
-    segments = [safe_segment(templates.compile_template(facts, s)) for s in template.split("/")]
+    own = lambda s: bound(facts, s) if bound is not None and X.heads(s) - {"file"} else templates.compile_template(facts, s)
+    whole = lambda s: F.concat(*(own(x) for x in re.split(r"(?<=\}\})|(?=\{\{)", s) if x)) if s else F.lit("")
+    segments = [safe_segment(whole(s)) for s in template.split("/")]
     final = F.when(segments[-1] != "", segments[-1]).otherwise(safe_segment(F.col("name")))
     named = F.when((F.col("ext") != "") & ~F.rlike(final, F.lit(r"\.[A-Za-z0-9]{1,8}$")), F.concat(final, F.lit("."), F.col("ext"))).otherwise(final)
     folders = [F.when(s != "", s) for s in segments[:-1][:8]]
@@ -428,7 +647,8 @@ def compile_recipe(spark: SparkSession, recipe: object, sources: Sources) -> Res
     refused = unrunnable(r)
     if refused:
         raise RecipeError("; ".join(f"{kind} ({i}): {why}" for i, kind, why in refused))
-    c = _Compiler(spark, sources)
+    wanted = X.heads([s.config for s in walk(r.steps)]) | {X.keys(str(s.config.get("contextPath") or ""))[0] for s in walk(r.steps)}
+    c = _Compiler(spark, sources, frozenset(wanted))
     c.run(r.steps)
     return Result(c.rows(), c.exports, c.seen, c.notes, c.rows, c.everything)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rowloom.functions import transforms as T
 from rowloom.plans import templates
 from rowloom.plans.catalogue import query, table
-from rowloom.plans.compiler import Sources, compile_recipe, file_manifest, paginate_until_empty
+from rowloom.plans.compiler import Sources, compile_recipe, file_manifest, follow_links, paginate_until_empty
 from rowloom.plans.values import literals, sql_values
 from rowloom.sinks import runs
 from rowloom.sources import api, lists, pages, pdf
@@ -263,17 +263,89 @@ def recipe_skip_failing_records(spark, sf_dir):
     return _recipe(spark, sf_dir, {"type": "LOOP", "config": {"selector": "nav li", "onFail": "skip"}, "children": [must, _LABEL]}).select("page_id", "label")
 
 
-@query("recipe_next_links", "SELECT c_custkey AS k, c_custkey - 1 AS n FROM customer WHERE c_custkey BETWEEN 1 AND 7")
+_CHAIN = """WITH RECURSIVE w(k, n) AS (SELECT 1::BIGINT, 0::BIGINT UNION ALL SELECT w.k + 1, n + 1 FROM w JOIN customer ON w.k = c_custkey WHERE c_custkey % 400 <> 0 AND n + 1 < 10000)
+SELECT k, n FROM w WHERE k IN (SELECT c_custkey FROM customer)"""
+
+
+def _customer_pages(spark, sf_dir):
+    """A page for each customer, with the key, the segment, a link to the next (but every 400th), and the balance of those in credit."""
+    key, web = F.col("c_custkey"), "https://s.test/c/"
+    link = F.when(key % 400 != 0, F.concat(F.lit(f'<a class="next" href="{web}'), (key + 1).cast("string"), F.lit('">more</a>'))).otherwise("")
+    credit = F.when(F.col("c_acctbal") > 0, F.concat(F.lit("<i>"), "c_mktsegment", F.lit("</i>"))).otherwise("")
+    html = F.concat(F.lit("<b>"), key.cast("string"), F.lit("</b><em>"), "c_name", F.lit("</em>"), credit, link)
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit(web), key.cast("string")).alias("url"), html.alias("html"), "c_custkey", "c_nationkey")
+
+
+@query("recipe_next_links", _CHAIN)
 def recipe_next_links(spark, sf_dir):
-    """Customers' pages, each with a link to the next but every seventh, followed from the first."""
-    key = F.col("c_custkey")
-    link = F.when(key % 7 != 0, F.concat(F.lit('<a class="next" href="/c/'), (key + 1).cast("string"), F.lit('">more</a>'))).otherwise("")
-    made = table(spark, sf_dir, "customer").select(F.concat(F.lit("https://s.test/c/"), key.cast("string")).alias("url"), F.concat(F.lit("<b>"), key.cast("string"), F.lit("</b>"), link).alias("html"))
-    steps = [{"type": "WEBSITE", "config": {"url": "https://s.test/c/1"}}, {"type": "PAGINATE", "config": {"selector": "a.next"}}, {"type": "EXTRACT", "config": {"fields": [{"name": "k", "selector": "b"}]}}]
-    rows = compile_recipe(spark, {"steps": steps}, Sources(pages=made)).rows
+    """Customers' pages, each with a link to the next, followed from the first through a chain of hundreds."""
+    steps = [{"type": "WEBSITE", "config": {"url": "https://s.test/c/1"}}, {"type": "PAGINATE", "config": {"selector": "a.next", "maxPages": 10000}}, {"type": "EXTRACT", "config": {"fields": [{"name": "k", "selector": "b"}]}}]
+    rows = compile_recipe(spark, {"steps": steps}, Sources(pages=_customer_pages(spark, sf_dir))).rows
     return rows.select(F.col("k").cast("long").alias("k"), F.col("_page").alias("n"))
 
 
+@query("next_links_all_starts", """WITH RECURSIVE w(start, k, n) AS (
+  SELECT c_custkey, c_custkey, 0::BIGINT FROM customer WHERE c_nationkey = 7
+  UNION ALL SELECT start, k + 1, n + 1 FROM w WHERE k % 400 <> 0 AND n + 1 < 64 AND k + 1 IN (SELECT c_custkey FROM customer))
+SELECT start, max(n) AS links, max(k) AS last FROM w GROUP BY start""")
+def next_links_all_starts(spark, sf_dir):
+    """Chains from every customer of a nation, each a run of its own: links followed, and the page where each ends."""
+    pages_ = _customer_pages(spark, sf_dir)
+    key = lambda c: F.substring_index(c, "/", -1).cast("long")
+    start = pages_.where("c_nationkey = 7").select(F.col("c_custkey").alias("start"), "url")
+    reached = follow_links(start, pages.follow(pages_, "a.next").select("url", "next"), 64, ["start"]).join(pages_.select("url"), "url")
+    return reached.groupBy("start").agg(F.max("_page").alias("links"), F.max(key("url")).alias("last"))
+
+
+@query("recipe_list_loop", "SELECT c_custkey AS k, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_acctbal > 0")
+def recipe_list_loop(spark, sf_dir):
+    """A loop over a list of all customers: each opens its page, is skipped if it is not in credit, and is read."""
+    items = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("index0"), F.col("c_custkey").alias("key"), F.lit("em").alias("tag"))
+    must = {"type": "ASSERT", "config": {"assertion": "text-contains", "selector": "b", "value": "{{item.key}}"}}
+    credit = {"type": "ASSERT", "config": {"assertion": "count-equals", "selector": "i", "count": 1}}
+    read = {"type": "EXTRACT", "config": {"fields": [{"name": "k", "selector": "b"}, {"name": "name", "selector": "{{item.tag}}"}, {"name": "segment", "selector": "i"}]}}
+    loop = {"type": "LOOP", "config": {"type": "list", "source": "context", "contextPath": "customers"}, "children": [{"type": "NAVIGATE", "config": {"url": "https://s.test/c/{{item.key}}"}}, must, credit, read]}
+    rows = compile_recipe(spark, {"steps": [loop]}, Sources(pages=_customer_pages(spark, sf_dir), lists={"customers": items})).rows
+    return rows.select(F.col("k").cast("long").alias("k"), "name", "segment")
+
+
+@query("recipe_count_loop", "SELECT c_custkey AS k, unnest([c_custkey::VARCHAR, c_name, CASE WHEN c_acctbal > 0 THEN c_mktsegment WHEN c_custkey % 400 <> 0 THEN 'more' END]) AS v FROM customer")
+def recipe_count_loop(spark, sf_dir):
+    """Three rounds over every page, each reading the element of its number, as one plan."""
+    read = {"type": "EXTRACT", "config": {"fields": [{"name": "k", "selector": "b"}, {"name": "v", "selector": "b:nth-child({{loop.index}}), em:nth-child({{loop.index}}), i:nth-child({{loop.index}}), a:nth-child({{loop.index}})"}]}}
+    loop = {"type": "LOOP", "config": {"type": "count", "count": 3}, "children": [read]}
+    rows = compile_recipe(spark, {"steps": [{"type": "WEBSITE"}, loop]}, Sources(pages=_customer_pages(spark, sf_dir))).rows
+    return rows.select(F.col("k").cast("long").alias("k"), "v")
+
+
+@query("recipe_extracted", "SELECT a.c_custkey AS k, b.c_name AS next_name FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 WHERE a.c_custkey % 400 <> 0")
+def recipe_extracted(spark, sf_dir):
+    """Values that a step read on each page are the address that the next step opens."""
+    link = {"type": "EXTRACT", "config": {"fields": [{"name": "to", "selector": "a.next", "type": "attribute", "attribute": "href"}, {"name": "k", "selector": "b"}]}}
+    on = {"type": "NAVIGATE", "config": {"url": "{{extracted.to}}"}}
+    name = {"type": "EXTRACT", "config": {"fields": [{"name": "next_name", "selector": "em"}, {"name": "n", "selector": "b"}]}}
+    rows = compile_recipe(spark, {"steps": [{"type": "WEBSITE"}, link, on, name]}, Sources(pages=_customer_pages(spark, sf_dir))).rows
+    return rows.where("next_name IS NOT NULL").select((F.col("n").cast("long") - 1).alias("k"), "next_name")
+
+
+@query("recipe_records_open_pages", "SELECT r.r_regionkey AS region, n.n_name AS name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey JOIN customer c ON c.c_nationkey = n.n_nationkey AND c.c_custkey % 2 = 1")
+def recipe_records_open_pages(spark, sf_dir):
+    """Each region's page lists its odd customers; every record's link is opened, and the page behind it says the nation."""
+    nation, odd = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer").where("c_custkey % 2 = 1")
+    customers = odd.join(F.broadcast(nation), odd.c_nationkey == nation.n_nationkey)
+    address = F.concat(F.lit("https://s.test/c/"), F.col("c_custkey").cast("string"))
+    # A region's page holds a link for each block of customers, a table of contents; a block holds the customers.
+    block = F.concat(F.lit("https://s.test/b/"), F.col("n_regionkey").cast("string"), F.lit("/"), F.floor(F.col("c_custkey") / 100).cast("string"))
+    item = lambda c: F.concat(F.lit('<li><a href="'), c, F.lit('">go</a></li>'))
+    blocks = customers.groupBy(block.alias("url"), "n_regionkey").agg(F.array_join(F.sort_array(F.collect_list(item(address))), "").alias("html"))
+    own = customers.select(address.alias("url"), F.concat(F.lit("<h1>"), "n_name", F.lit("</h1><p>"), F.col("n_regionkey").cast("string"), F.lit("</p>")).alias("html"))
+    site = blocks.select("url", "html").unionByName(own)
+    opened = {"type": "LOOP", "config": {"type": "elements", "selector": "li a"}, "children": [
+        {"type": "NAVIGATE", "config": {"url": "{{item.href}}"}}, {"type": "EXTRACT", "config": {"fields": [{"name": "name", "selector": "h1"}, {"name": "region", "selector": "p"}]}}]}
+    rows = compile_recipe(spark, {"steps": [{"type": "WEBSITE"}, opened]}, Sources(pages=site)).rows
+    return rows.select(F.col("region").cast("int").alias("region"), "name")
+
+
 @query("page_data_microdata", "SELECT p_partkey, p_name AS name, CAST(p_size AS VARCHAR) AS size FROM part")
 def page_data_microdata(spark, sf_dir):
     """Product pages made of the part table, read back through their microdata."""

@@ -39,14 +39,15 @@ def _text(value: object) -> str:
     return str(value)
 
 
-def render(value: object, context: dict):
-    """Every string at any depth with its templates resolved; what is missing is empty."""
+def render(value: object, context: dict, keep: set[str] | frozenset[str] = frozenset()):
+    """Every string at any depth with its templates resolved; what is missing is empty. Templates that begin with a name
+    to keep stay as they are."""
     if isinstance(value, str):
-        return _TEMPLATE.sub(lambda m: _text(resolve_path(context, m[1])), value)
+        return _TEMPLATE.sub(lambda m: m[0] if re.split(r"[.\[]", m[1].strip())[0] in keep else _text(resolve_path(context, m[1])), value)
     if isinstance(value, list):
-        return [render(v, context) for v in value]
+        return [render(v, context, keep) for v in value]
     if isinstance(value, dict):
-        return {k: render(v, context) for k, v in value.items()}
+        return {k: render(v, context, keep) for k, v in value.items()}
     return value
 
 

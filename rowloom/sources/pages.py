@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -18,19 +19,24 @@ BATCH_ROWS = 1000
 
 
 def _per_page(df: DataFrame, build, column: str, kind: pa.DataType, spark_type: str, url: str, html: str, scope: str | None = None) -> DataFrame:
-    """df's columns but for the html, with build(document, url) as a new column; with a scope column, build(document, url, its value)."""
+    """df's columns but for the html, with build(document, url) as a new column; with a scope column, build(document, url,
+    its value); with a column _filled, the keyword filled has its value. Rows of one page that follow each other share its tree."""
     ship_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     kept = [c for c in df.columns if c not in (html, column)]
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches):
+        known, tree = object(), None
         for b in batches:
             urls = b.column(url).to_pylist() if url in b.schema.names else [None] * b.num_rows
-            if scope is not None and scope in b.schema.names:
-                values = [build(parse(h), u, s) for h, u, s in zip(b.column(html).to_pylist(), urls, b.column(scope).to_pylist(), strict=True)]
-            else:
-                values = [build(parse(h), u) for h, u in zip(b.column(html).to_pylist(), urls, strict=True)]
+            more = [b.column(scope).to_pylist()] if scope is not None and scope in b.schema.names else []
+            texts = b.column(FILLED).to_pylist() if FILLED in b.schema.names else None
+            values = []
+            for i, (h, u, *s) in enumerate(zip(b.column(html).to_pylist(), urls, *more, strict=True)):
+                if h != known:
+                    known, tree = h, parse(h)
+                values.append(build(tree, u, *s) if texts is None else build(tree, u, *s, filled=texts[i]))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(values, kind)], names=[*kept, column])
 
     return df.select(*kept, html).mapInArrow(run, f"{fields}, `{column}` {spark_type}")
@@ -49,6 +55,10 @@ def assemble_rows(df: DataFrame, values: str, names: list[str], position: str =
 SCOPE = "_scope"
 
 
+#: A column with the texts that a row has for the templates of a step's configuration.
+FILLED = "_filled"
+
+
 def records(document, loops: list[str | tuple[str, int]], scope: list[str] | None = None) -> list[tuple[str, object]]:
     """(place, record) of the innermost of nested loops: each is run within the records of the one around it, up to its
     limit if it comes with one above 0. The place has the record's number in each loop; a scope has places, and only records at or below one of them count."""
@@ -74,22 +84,70 @@ def extract(pages: DataFrame, fields: list[dict], loop: str | list[str] | None =
 
     loops = [loop] if isinstance(loop, str) else list(loop or [])
 
-    def build(document, base, scope=None):
-        if not loops:
-            return [{"index0": 0, "values": read.field_values(document, specs, base)}]
-        out = []
-        for i, (_, record) in enumerate(records(document, loops, scope)):
-            values = read.field_values(document, specs, base, record) if fallback else [[read.value_of(n, s, base) for n in (select(record, s["selector"]) if s.get("selector") else [record])] for s in specs]
-            out.append({"index0": i, "values": values})
-        return out
+    def build(document, base, scope=None, filled=None):
+        return [{"index0": i, "values": values} for i, values in _record_values(document, base, scope, filled, specs, loops, fallback)]
 
     kind = pa.list_(pa.struct([("index0", pa.int32()), ("values", pa.list_(pa.list_(pa.string())))]))
     found = _per_page(pages, build, "__found", kind, "array<struct<index0:int,values:array<array<string>>>>", url, html, SCOPE)
-    kept = [c for c in found.columns if c not in ("__found", "_record", "_row", SCOPE, *names)]
+    kept = [c for c in found.columns if c not in ("__found", "_record", "_row", SCOPE, FILLED, *names)]
     each = found.select(*kept, F.explode("__found").alias("r")).select(*kept, F.col("r.index0").alias("_record"), F.col("r.values").alias("__values"))
     return assemble_rows(each, "__values", names)
 
 
+def _record_values(document, base, scope, filled, specs, loops, fallback=True):
+    """(number, lists of values) of each record of a page, or of the page as a whole."""
+    from rowloom.plans.context import fill
+
+    specs = fill(specs, filled)
+    if not loops:
+        yield 0, read.field_values(document, specs, base)
+        return
+    for i, (_, record) in enumerate(records(document, loops, scope)):
+        if fallback:
+            yield i, read.field_values(document, specs, base, record)
+        else:
+            yield i, [[read.value_of(n, s, base) for n in (select(record, s["selector"]) if s.get("selector") else [record])] for s in specs]
+
+
+def last_values(pages: DataFrame, fields: list[dict], loop: list | None = None, url: str = "url", html: str = "html") -> DataFrame:
+    """The pages as they are, and in _last the values (an array in the order of the fields) of the last row that extract
+    gives for each; null where it gives none."""
+    specs, loops = [read.check_field(f) for f in fields], list(loop or [])
+
+    def build(document, base, scope=None, filled=None):
+        out = None
+        for _, values in _record_values(document, base, scope, filled, specs, loops):
+            i = max(1, *map(len, values)) - 1
+            out = [v[0] if len(v) == 1 else v[i] if i < len(v) else None for v in values]
+        return out
+
+    whole = pages.withColumn("__html", F.col(html))
+    return _per_page(whole, build, "_last", pa.list_(pa.string()), "array<string>", url, html, SCOPE).withColumnRenamed("__html", html)
+
+
+def bind_records(pages: DataFrame, loops: list, url: str = "url", html: str = "html") -> DataFrame:
+    """The pages, a row for each record of the innermost loop: the record alone in scope, its facts in __item, its number
+    among those of its outer record in __i and their count in __n, and its place, padded, in __place."""
+
+    def build(document, base, scope=None, filled=None):
+        found = records(document, loops, scope)
+        outer = [p.rpartition(".")[0] for p, _ in found]
+        count, number, out = Counter(outer), Counter(), []
+        for (place, node), o in zip(found, outer, strict=True):
+            item = read.loop_item(node, number[o], base)
+            out.append({"place": place, "item": list(item.items()), "i": number[o], "n": count[o]})
+            number[o] += 1
+        return out
+
+    each = pa.struct([("place", pa.string()), ("item", pa.map_(pa.string(), pa.string())), ("i", pa.int32()), ("n", pa.int32())])
+    whole = pages.drop(FILLED).withColumn("__html", F.col(html))
+    found = _per_page(whole, build, "__records", pa.list_(each), "array<struct<place:string,item:map<string,string>,i:int,n:int>>", url, html, SCOPE)
+    kept = [c for c in found.columns if c not in ("__records", "__html", SCOPE)]
+    dealt = found.select(*kept, F.col("__html").alias(html), F.explode("__records").alias("r"))
+    padded = F.array_join(F.transform(F.split("r.place", r"\."), lambda p: F.lpad(p, 8, "0")), ".")
+    return dealt.select(*kept, html, F.array("r.place").alias(SCOPE), F.col("r.item").alias("__item"), F.col("r.i").alias("__i"), F.col("r.n").alias("__n"), padded.alias("__place"))
+
+
 def follow(pages: DataFrame, selector: str, url: str = "url", html: str = "html") -> DataFrame:
     """(url, place, next): the addresses of the elements that the selector finds on each page, in order."""
     from rowloom.functions.transforms import absolute_url
@@ -119,10 +177,12 @@ def loop_items(pages: DataFrame, selector: str, url: str = "url", html: str = "h
 
 def page_data(pages: DataFrame, source: str = "auto", kind: str = "", flat: bool = False, url: str = "url", html: str = "html") -> DataFrame:
     """`data`: found, title, records (JSON texts), meta, sources, warnings and reason."""
+    from rowloom.plans.context import fill
+
     read.page_data(parse(""), None, source)
 
-    def build(document, base):
-        d = read.page_data(document, base, source, kind, flat)
+    def build(document, base, filled=None):
+        d = read.page_data(document, base, source, fill(kind, filled), flat)
         return d | {"records": [json.dumps(r, ensure_ascii=False) for r in d["records"]], "meta": list(d["meta"].items())}
 
     texts = pa.list_(pa.string())
@@ -132,10 +192,12 @@ def page_data(pages: DataFrame, source: str = "auto", kind: str = "", flat: bool
 
 def page_json(pages: DataFrame, mode: str = "tree", url: str = "url", html: str = "html", loops: list[str] | None = None, **options) -> DataFrame:
     """`page`: found, nodes, truncated, reason, text (lines), rows (flat) and tree (JSON text); in loops, a row for each record."""
+    from rowloom.plans.context import fill
+
     read.page_json(parse("<p>"), None, mode, **options)
 
-    def build(document, base, record=None):
-        d = read.page_json(document, base, mode, record=record, **options)
+    def build(document, base, record=None, filled=None):
+        d = read.page_json(document, base, mode, record=record, **fill(options, filled))
         return d | {"tree": json.dumps(d["tree"], ensure_ascii=False) if d["tree"] else None}
 
     row = pa.struct([(k, pa.string()) for k in ("tag", "path", "text", "href", "src", "id", "class")])
@@ -145,8 +207,8 @@ def page_json(pages: DataFrame, mode: str = "tree", url: str = "url", html: str
     if not loops:
         return _per_page(pages, build, "page", arrow, spark_page, url, html)
 
-    def each(document, base, scope=None):
-        return [build(document, base, record) for _, record in records(document, loops, scope)]
+    def each(document, base, scope=None, filled=None):
+        return [build(document, base, record, filled) for _, record in records(document, loops, scope)]
 
     found = _per_page(pages, each, "__pages", pa.list_(arrow), f"array<{spark_page}>", url, html, SCOPE)
     kept = [c for c in found.columns if c not in ("__pages", "_record", SCOPE)]
