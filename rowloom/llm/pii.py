@@ -161,25 +161,29 @@ def _phone(text: str, plus: int, end: int) -> tuple[int, int] | None:
 
 
 class _Runs:
-    """Runs of allowed characters, each read once however many cues point into it."""
+    """Runs of allowed characters, each read once however many cues point into it; marks may end a run, but no value in it."""
 
-    def __init__(self, text: str, allowed: frozenset):
-        self.text, self.allowed, self.start, self.stop, self.digit = text, allowed, 0, 0, -1
+    def __init__(self, text: str, allowed: frozenset, marks: str = ""):
+        self.text, self.allowed, self.marks, self.start, self.stop, self.digit, self.trimmed = text, allowed, marks, 0, 0, -1, 0
 
     def at(self, i: int) -> tuple[int, bool]:
-        """The end of the run from i, and whether a digit is in it."""
+        """The end of the value from i, without marks at its end, and whether a digit is in it."""
         if not self.start <= i < self.stop:
             self.start, self.stop, self.digit = i, _run(self.text, i, len(self.text), self.allowed), -1
+            self.trimmed = self.stop
+            while self.trimmed > i and self.text[self.trimmed - 1] in self.marks:
+                self.trimmed -= 1
             for k in range(self.stop - 1, i - 1, -1):
                 if self.text[k] in _DIGITS:
                     self.digit = k
                     break
-        return self.stop, self.digit >= i
+        return max(i, self.trimmed), self.digit >= i
 
 
 def _value(text: str, i: int, end: int) -> int:
-    """Where the value of a cue that ends at i begins: after separators and filler words."""
-    stop = min(end, i + GAP)
+    """Where the value of a cue that ends at i begins, after separators and filler words; behind such a word, a value has
+    a digit among its first four characters, else there is none (end)."""
+    stop, filler = min(end, i + GAP), False
     while i < stop:
         if text[i] in _BETWEEN:
             i += 1
@@ -188,10 +192,10 @@ def _value(text: str, i: int, end: int) -> int:
         while j < stop and j - i < 8 and text[j] in _ALNUM and text[j] not in _DIGITS:
             j += 1
         if text[i:j].lower() in _FILLERS and j < end and text[j] in _BETWEEN:
-            i = j
+            i, filler = j, True
             continue
         break
-    return i
+    return end if filler and not any(c in _DIGITS for c in text[i : i + 4]) else i
 
 
 def _iban(text: str, i: int, end: int) -> int:
@@ -243,13 +247,11 @@ def _security_number(text: str, i: int, end: int) -> int:
 
 def _uri(text: str, scheme: str, i: int, stop: int) -> int:
     """The end of the address after a scheme, or 0 if it is none."""
-    while stop > i and text[stop - 1] in ".:?#&=/-":
-        stop -= 1
     if scheme == "tel:":
         plain = text[i : min(stop, i + 64)].split("?")[0].split("/")[0]
-        return stop if 3 <= sum(c in _DIGITS for c in plain) <= 15 and not any(c in "@%" or "a" <= c.lower() <= "z" for c in plain) else 0
-    at = text.find("@", i, stop)
-    if at > i and all(c in _LOCAL for c in text[i:at]) and at + 1 < stop and text[at + 1] in _LABEL:
+        return stop if stop > i and 3 <= sum(c in _DIGITS for c in plain) <= 15 and not any(c in "@%" or "a" <= c.lower() <= "z" for c in plain) else 0
+    at = _run(text, i, stop, _LOCAL)
+    if i < at < stop - 1 and text[at] == "@" and text[at + 1] in _LABEL:
         return stop if scheme == "sip:" or _email(text, at, i, stop) else 0
     return 0
 
@@ -259,7 +261,7 @@ def find_spans(text: str) -> list[tuple[int, str, int]]:
     found: list[tuple[int, int, int]] = []
     end = len(text)
     mail_end = ip_end = card_end = phone_end = uri_end = account_end = 0
-    identifiers, keys, addresses = _Runs(text, _IDENT), _Runs(text, _KEY), _Runs(text, _URI)
+    identifiers, keys, addresses = _Runs(text, _IDENT), _Runs(text, _KEY, "."), _Runs(text, _URI, ".:?#&=/-")
     for at, (kind, width) in automaton().iter(text.translate(_LOWER)):
         if kind == 2:
             if at >= ip_end:
@@ -300,8 +302,6 @@ def find_spans(text: str) -> list[tuple[int, str, int]]:
                         stop = run if digit and _letters_and_digits(text, i, run) >= MIN_ACCOUNT else 0
                 else:
                     run, digit = keys.at(i)
-                    while run > i and text[run - 1] == ".":
-                        run -= 1
                     stop = run if digit and run - i >= MIN_ACCOUNT else 0
                 if stop:
                     found.append((i, 5, stop))

@@ -72,3 +72,22 @@ def test_query_on_nulls_long_texts_repeats_and_clashing_columns(spark):
     assert got[3].spans == "email:0:8" and got[3].base_sha256 == hashlib.sha256(b"email:0:8").hexdigest()
     assert pii.pii_digest(pii.pii_spans(df.limit(0))).count() == 0
     assert pii.pii_spans(df, redact=True).where("id = 3").first().redacted == "[EMAIL]"
+
+
+def test_cues_in_one_run_take_linear_time():
+    """Five megabytes of cues and of marks behind them: each run is trimmed once."""
+    for text in ("token=" * 400_000 + "." * 2_600_000, "tel:" * 600_000 + ":" * 2_600_000, "mailto:" * 700_000, "sip:a" * 1_000_000, "account no " * 450_000):
+        began = time.process_time()
+        pii.find_spans(text)
+        assert time.process_time() - began < 60
+
+
+def test_fillers_stand_before_values_only():
+    kinds = lambda t: [(k, t[a:b]) for a, k, b in pii.find_spans(t)]
+    assert kinds("account no longer2024things") == []
+    assert kinds("account no 12345678") == [("account", "12345678")]
+    assert kinds("account number: AB12345678") == [("account", "AB12345678")]
+    assert kinds("account longer2024things") == [("account", "longer2024things")]
+    assert kinds("token=abcdefg1... mailto:me@x.org:// tel:+49-30-1234567.") == [
+        ("account", "abcdefg1"), ("contact_uri", "mailto:me@x.org"), ("email", "me@x.org"), ("contact_uri", "tel:+49-30-1234567"), ("phone", "+49-30-1234567"),
+    ]
