@@ -11,7 +11,8 @@ logistic regression with PRIOR as the mean of a Gaussian prior. Names of furnitu
 ids) are evidence like length, links and punctuation, and weigh what the layouts show them to be worth. Ids of
 headings and sections within articles name their subject and say nothing.
 
-Scripts, styles, form controls and other things that are not text never become blocks. Character references are
+Scripts, styles, form controls and other things that are not text never become blocks, nor does what no reader sees (the
+attribute hidden, or display:none); aria-hidden hides nothing from the eye, and such text stays. Character references are
 decoded; white space within a block becomes one space; blocks are joined in page order by blank lines.
 
 Edge cases: a null, empty or text-free page gives the empty text; a page without any content block, too; broken
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rowloom.html.tree import Node, parse
-from rowloom.llm._arrow import map_arrow, one_pass
+from rowloom.llm._arrow import col, map_arrow, one_pass, without
 from rowloom.llm.layouts import layout
 
 #: Never text, whatever the surroundings.
@@ -85,7 +86,7 @@ def _named(node: Node, place: int) -> bool:
 
 
 def _hidden(attrs: dict[str, str]) -> bool:
-    return bool(attrs) and ("hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower())
+    return bool(attrs) and ("hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower())
 
 
 def blocks(root: Node) -> list[Block]:
@@ -274,19 +275,19 @@ RESULT = ("text", "n_chars", "n_blocks", "n_content")
 
 
 def main_text(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The kept columns (by default all but the html), then text, n_chars (code points), n_blocks and n_content."""
-    kept = [c for c in (keep if keep is not None else df.columns) if c not in RESULT and c != html_col]
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-
+    """The kept columns (by default all but the html), then text, n_chars (code points), n_blocks and n_content; columns
+    named like a result, in any letter case, are replaced."""
+    kept = without([c for c in (keep if keep is not None else df.columns) if c != html_col], RESULT)
+    own = [f"k{i}" for i in range(len(kept))]
+    source = df.select(*(col(c).alias(k) for c, k in zip(kept, own, strict=True)), col(html_col).alias("html"))
+    fields = [f"{k} {source.schema[k].dataType.simpleString()}" for k in own]
     weight = weights()
 
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
-        done = [main_blocks(h, weight) for h in batch.column(html_col).to_pylist()]
+        done = [main_blocks(h, weight) for h in batch.column("html").to_pylist()]
         out = ["\n\n".join(b) for b, _ in done]
-        columns = [*(batch.column(c) for c in kept), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64()), pa.array([n for _, n in done], pa.int32()), pa.array([len(b) for b, _ in done], pa.int32())]
-        return pa.RecordBatch.from_arrays(columns, names=[*kept, *RESULT])
-
-    schema = ", ".join(filter(None, [fields, "text string, n_chars bigint, n_blocks int, n_content int"]))
-    return map_arrow(df.select(*kept, html_col), lambda batches: one_pass(batches, build), schema)
-
+        columns = [*(batch.column(k) for k in own), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64()), pa.array([n for _, n in done], pa.int32()), pa.array([len(b) for b, _ in done], pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=[*own, *RESULT])
 
+    schema = ", ".join([*fields, "text string, n_chars bigint, n_blocks int, n_content int"])
+    return map_arrow(source, lambda batches: one_pass(batches, build), schema).toDF(*kept, *RESULT)

@@ -132,3 +132,16 @@ def test_long_mixed_pages_take_little_time():
 def test_mathematics_is_text():
     page = "<article><p>Where <math><mrow><mi>a</mi><mo>=</mo><msup><mi>b</mi><mn>2</mn></msup></mrow><annotation>a=b^2</annotation></math> holds.</p></article>"
     assert mincut.main_blocks(page)[0] == ["Where a=b2 holds."]
+
+
+def test_inline_attributes_hide_nothing_from_readers():
+    page = "<article><p>The price is <span aria-hidden='true'>five euros</span> in all shops, and it stays so until the end of the year.</p></article>"
+    assert mincut.main_blocks(page)[0] == ["The price is five euros in all shops, and it stays so until the end of the year."]
+    unseen = "<article><p>All of this text is seen by readers of the page<b hidden> and this is not</b><i style='display: none'> nor this</i>.</p></article>"
+    assert mincut.main_blocks(unseen)[0] == ["All of this text is seen by readers of the page."]
+
+
+def test_any_column_names(spark):
+    df = spark.createDataFrame([(1, "<p>One plain paragraph of the page.</p>", "a", "b", 5)], "page_id int, html string, Text string, `a.b` string, N_chars int")
+    out = mincut.main_text(df)
+    assert out.columns == ["page_id", "a.b", "text", "n_chars", "n_blocks", "n_content"] and out.first()["a.b"] == "b"
