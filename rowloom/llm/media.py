@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm._arrow import map_arrow, one_pass, texts
+from rowloom.llm._arrow import col, map_arrow, one_pass, texts, without
 
 #: Payload bytes of the smallest picture: 24 x 24 grey or 8 x 24 colour samples.
 UNIT = 576
@@ -202,14 +202,16 @@ def _features(media: bytes | None) -> dict:
 
 
 def media_features(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """All columns of df (those named like a feature are replaced) and the FEATURES of its images."""
+    """All columns of df (those named like a feature, in any letter case, are replaced) and the FEATURES of its images."""
     names = [f.split()[0] for f in FEATURES.split(", ")]
     types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string()]
-    kept = [c for c in df.columns if c not in names]
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
+    kept = without(df.columns, tuple(names))
+    own = [f"k{i}" for i in range(len(kept))]
+    source = df.select(*(col(c).alias(k) for c, k in zip(kept, own, strict=True)), col(media_col).alias("media"))
+    fields = [f"{k} {source.schema[k].dataType.simpleString()}" for k in own]
 
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [_features(m) for m in batch.column(media_col).to_pylist()]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array([f.get(n) for f in found], t) for n, t in zip(names, types, strict=True))], names=[*kept, *names])
+        found = [_features(m) for m in batch.column("media").to_pylist()]
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in own), *(pa.array([f.get(n) for f in found], t) for n, t in zip(names, types, strict=True))], names=[*own, *names])
 
-    return map_arrow(df.select(*kept), lambda batches: one_pass(batches, build), f"{fields}, {FEATURES}")
+    return map_arrow(source, lambda batches: one_pass(batches, build), ", ".join([*fields, FEATURES])).toDF(*kept, *names)

@@ -88,3 +88,9 @@ def test_resizing_in_strips_is_the_same(monkeypatch):
     for strip in (1, 100, 5000):
         monkeypatch.setattr(media, "STRIP", strip)
         assert (media.npy_tile(pixels), media.difference_hash(pixels)) == want
+
+
+def test_any_column_names(spark):
+    df = spark.createDataFrame([(1, bytearray(media.bytes_to_media(b"x")), 7, "b")], "id int, media binary, Width int, `a.b` string")
+    out = media.media_features(df)
+    assert [c.lower() for c in out.columns].count("width") == 1 and out.first()["a.b"] == "b" and out.first()["payload_bytes"] == 576
