@@ -29,6 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.llm._arrow import col, without
 from rowloom.session import cut_lineage
 
 #: verdict, host, start of path.
@@ -134,23 +135,46 @@ def template_purity(urls: DataFrame) -> DataFrame:
 
 
 def filter_urls(df: DataFrame, url_col: str = "url", rules=RULES, label_col: str | None = None) -> DataFrame:
-    """All columns of df, then host, path, rule (its text, or null) and verdict (allow or block).
+    """All columns of df (those named like a result, in any letter case, are replaced), then host, path, rule (its text, or
+    null) and verdict (allow or block).
 
     label_col: a boolean column, true where the URL is known to be bad; without one, the rules' verdicts are the labels.
     """
-    kept = [c for c in df.columns if c not in RESULT]
+    kept = without(df.columns, RESULT)
+    own = [f"k{i}" for i in range(len(kept))]
     ordered = _ordered(rules)
-    host, path = host_and_path(F.col(url_col))
-    urls = df.select(*kept, host.alias("host"), path.alias("path"), *([F.col(label_col).alias("__label")] if label_col else []))
-    urls = urls.withColumn("__rule", rule_index(F.col("host"), F.col("path"), rules))
+    host, path = host_and_path(col(url_col))
+    label = col(label_col) if label_col else F.lit(None).cast("boolean")
+    urls = df.select(*(col(c).alias(k) for c, k in zip(kept, own, strict=True)), host.alias("host"), path.alias("path"), label.alias("__label"))
+    urls = urls.withColumn("__rule", rule_index(F.col("host"), F.col("path"), rules)).withColumn("shape", shape(F.col("path")))
     by_rule = _pick(F.col("__rule"), [v for v, _, _ in ordered])
-    urls = urls.withColumn("__shape", shape(F.col("path")))
     labels = F.col("__label") if label_col else (by_rule == "block")
-    judged = template_purity(urls.select("host", F.col("__shape").alias("shape"), labels.alias("blocks")))
-    judged = judged.select(F.col("host").alias("__host"), F.col("shape").alias("__of"), (10 * F.col("purity") >= PURITY).alias("__rejected"))
+    judged = template_purity(urls.select("host", "shape", labels.alias("blocks")))
+    rejected = cut_lineage(judged.where(10 * F.col("purity") >= PURITY).select("host", "shape", F.lit(True).alias("__rejected")), "url-rejected")
+    joined = _with_rejected(urls, rejected)
     verdict = F.coalesce(by_rule, F.when(F.col("__rejected"), "block").otherwise("allow"))
-    joined = urls.join(judged, (F.col("host") == F.col("__host")) & (F.col("__shape") == F.col("__of")), "left")
-    return joined.select(*kept, "host", "path", _pick(F.col("__rule"), [h + p for _, h, p in ordered]).alias("rule"), verdict.alias("verdict"))
+    return joined.select(*own, "host", "path", _pick(F.col("__rule"), [h + p for _, h, p in ordered]).alias("rule"), verdict.alias("verdict")).toDF(*kept, *RESULT)
+
+
+#: Rejected templates' shapes that are sent to every executor at most (a few hundred bytes each).
+SENT = 200_000
+
+
+def _with_rejected(urls: DataFrame, rejected: DataFrame) -> DataFrame:
+    """urls with __rejected, true for those of a rejected shape: by a broadcast where such shapes are few; otherwise by a
+    join in which a shape that many URLs have meets them in as many parts as it has thousands of URLs."""
+    on = ["host", "shape"]
+    if rejected.limit(SENT + 1).count() <= SENT:
+        return urls.join(F.broadcast(rejected), on, "left")
+    counts = urls.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).join(rejected, on, "left_semi").where(f"n > {PART}")
+    common = counts.orderBy(F.desc("n")).limit(COMMON).select(*on, F.ceil(F.col("n") / PART).cast("int").alias("__parts"))
+    dealt = rejected.join(F.broadcast(common), on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    told = urls.join(F.broadcast(common), on, "left").withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    return told.join(dealt, [*on, "__part"], "left").drop("__part")
+
+
+#: URLs of one shape in a part of such a join, and the shapes that are parted at most.
+PART, COMMON = 100_000, 10_000
 
 
 #: Segments of the paths in the driver's pages, which the registered SQL reaches; longer paths are tested by brute force.

@@ -141,3 +141,16 @@ def test_paths_are_told_apart_below_the_third_segment(spark):
     assert len(got) == len(rows)
     for r in got:
         assert r.verdict == ("block" if "spam" in r.url or r.url.endswith("bad") else "allow"), r.url
+
+
+def test_any_column_names_and_common_shapes(spark, monkeypatch):
+    rows = [(i, f"https://bad.org/p/{i}", i < 60) for i in range(90)] + [(100 + i, f"https://ok.org/{'abcdefgh'[i % 8]}/x", False) for i in range(40)]
+    df = spark.createDataFrame([(*r, "h", 1) for r in rows], "page_id int, url string, bad boolean, Host string, `a.b` int")
+    want = sorted((r.page_id, r.host, r.verdict) for r in urlfilter.filter_urls(df, rules=(), label_col="bad").collect())
+    assert {v for i, _, v in want if i < 90} == {"allow"} or {v for i, _, v in want if i < 90} == {"block"}
+    assert urlfilter.filter_urls(df).columns == ["page_id", "url", "bad", "a.b", "host", "path", "rule", "verdict"]
+    monkeypatch.setattr(urlfilter, "SENT", 0)
+    monkeypatch.setattr(urlfilter, "PART", 7)
+    all_bad = df.selectExpr("page_id", "url", "url like '%bad.org%' as bad")
+    got = sorted((r.page_id, r.verdict) for r in urlfilter.filter_urls(all_bad, rules=(), label_col="bad").collect())
+    assert got == [(i, "block" if i < 90 else "allow") for i in sorted(r[0] for r in rows)]
