@@ -521,7 +521,7 @@ class _Compiler:
                 return self.rows(placed=placed)
             finally:
                 self.collected, self.gates, self.stops = whole
-        ordered = [df.withColumn("_seq", F.concat(X.AT, F.to_json(F.struct(*_order(df))))).withColumn("_batch", F.lit(i)) for i, df in enumerate(self.collected)]
+        ordered = [df.withColumn("_seq", F.concat_ws("\x01", X.AT, *_order(df))).withColumn("_batch", F.lit(i)) for i, df in enumerate(self.collected)]
         out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ordered)
         for start, end, n in self.stops:
             kept = self._gated(out.where(F.col("_batch") < end)).where(F.col("_batch") >= start).groupBy("_page").agg(F.count(F.lit(1)).alias("kept"))
@@ -659,34 +659,45 @@ def counters(done: Result) -> dict[str, int]:
     return {"rows": kept, "dropped": given - kept}
 
 
+#: Columns that say where a row comes from; exports leave them out.
+ENGINE_COLUMNS = ("_record", "_row", "_line", "_page", "_step")
+
+
 def run_exports(done: Result, out: str, datasets_root: str, stored: DataFrame | None = None) -> list[dict]:
-    """Write a run's exports under out, one folder each; returns what each has written.
+    """Write a run's exports under out, one document each, in a folder of parts, in the order of the run; returns what each
+    has written.
 
-    An appending export adds its rows to its dataset and writes the whole of it. Any other writes the rows so far, as
-    they are, and those stored by an interrupted run (columns and a key, row_key) that are not among them.
+    An appending export adds its rows to its dataset and writes the whole of it. Any other writes the rows so far, and
+    before them those stored by an interrupted run that are not among them.
     """
     from rowloom.sinks import datasets
 
     report = []
     for e in done.exports:
-        rows = done.upto(e["upto"])
+        rows = done.upto(e["upto"], placed=True)
         path = f"{out}/{datasets.dataset_name(e['filename'])}"
         if rows is None:
             report.append({"path": None, "rows": 0})
-        elif e["append"]:
-            report.append({"path": path} | datasets.export_appended(rows, datasets_root, e["dataset"] or "default", e["format"], path))
-        else:
-            if stored is not None:
-                keyed = rows.withColumn("__key", D.export_key(rows))
-                rows = datasets.merge_stores(keyed, stored.select(*rows.columns, D.export_key(stored.select(*rows.columns)).alias("__key")), "__key").drop("__key")
-            sink.write_lines(rows, e["format"], path, "overwrite", files=1 if e["format"] == "json" else None)
-            report.append({"path": path})
+            continue
+        rows = rows.drop(*ENGINE_COLUMNS)
+        if e["append"]:
+            report.append({"path": path} | datasets.export_appended(rows, datasets_root, e["dataset"] or "default", e["format"], path, "_seq"))
+            continue
+        if stored is not None:
+            # Stored rows first, as they were there before; then those of this run.
+            names = [c for c in rows.columns if c != "_seq"]
+            kept = stored.select(*(F.col(f"`{c}`") if c in stored.columns else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names))
+            key = D.export_key(kept)
+            kept = kept.withColumn("__key", key).withColumn("_seq", F.lit(""))
+            keyed = rows.withColumn("__key", D.export_key(rows.drop("_seq")))
+            rows = datasets.merge_stores(keyed, kept, "__key").drop("__key")
+        report.append({"path": path, "rows": sink.write_document(rows, e["format"], path, "overwrite", "_seq")})
     return report
 
 
 def paginate_until_empty(rows: DataFrame, page: str, kept: str, first_rows: bool = False) -> DataFrame:
-    """Pages (page number, kept rows) of a numbered pagination up to and with the first that added nothing, once the run has rows."""
-    before = W.orderBy(page).rowsBetween(W.unboundedPreceding, -1)
-    has = F.coalesce(F.sum(kept).over(before), F.lit(0)) > (-1 if first_rows else 0)
-    stopped = rows.withColumn("__stop", (F.col(kept) == 0) & has)
-    return stopped.withColumn("__past", F.coalesce(F.max(F.col("__stop").cast("int")).over(before), F.lit(0))).where("__past = 0").drop("__stop", "__past")
+    """Pages (page number, kept rows) of a numbered pagination up to and with the first that added nothing, once the run has
+    rows: first_rows says that it has some before its first page."""
+    begun = F.lit(True) if first_rows else F.col(page) > rows.agg(F.min(F.when(F.col(kept) > 0, F.col(page)))).scalar()
+    stop = rows.where((F.col(kept) == 0) & begun).agg(F.min(page).alias("stop")).scalar()
+    return rows.where(F.coalesce(F.col(page) <= stop, F.lit(True)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 from pyspark.sql import functions as F
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 from rowloom.functions import transforms as T
 from rowloom.plans import templates
 from rowloom.plans.catalogue import query, table
-from rowloom.plans.compiler import Sources, compile_recipe, file_manifest, follow_links, paginate_until_empty
+from rowloom.plans.compiler import Sources, compile_recipe, file_manifest, follow_links, paginate_until_empty, run_exports
 from rowloom.plans.values import literals, sql_values
-from rowloom.sinks import runs
+from rowloom.session import shared_dir
+from rowloom.sinks import render, runs
 from rowloom.sources import api, lists, pages, pdf
 from rowloom.streaming import pacing
 
@@ -346,6 +348,30 @@ def recipe_records_open_pages(spark, sf_dir):
     return rows.select(F.col("region").cast("int").alias("region"), "name")
 
 
+@query("select_all_counts", f"""SELECT page_id, len({_TEXTS}) AS items, greatest(len({_TEXTS}) - 1, 0) AS later, CAST(len(list_filter({_LINKS}, lambda x: starts_with(x, '/t'))) AS INT) AS t_links,
+CAST(({_LINKS})[2] AS VARCHAR) AS second, 1 AS titles, CAST(len({_TEXTS}) > 0 AS INT) AS lists FROM pages""")
+def select_all_counts(spark, sf_dir):
+    """Six selectors over every page, all served by one parse."""
+    chosen = {
+        "items": "nav > ul > li", "later": "nav li + li", "t_links": "nav a[href^='/t']", "second": "//nav/ul/li[2]/a", "titles": "head title:first-of-type", "lists": "//nav//li/parent::ul",
+    }
+    found = pages.select_all(table(spark, sf_dir, "pages").select("page_id", "html"), chosen)
+    sizes = [F.size(c).alias(c) for c in ("items", "later", "t_links", "titles", "lists")]
+    return found.select("page_id", *sizes, F.get("second", F.lit(0))["attrs"]["href"].alias("second"))
+
+
+@query("export_deduplicated_in_order", f"""WITH t AS (SELECT url, page_id, unnest({_TEXTS}) AS label, generate_subscripts({_TEXTS}, 1) AS i FROM pages),
+f AS (SELECT min((url, page_id, i, label)) AS r FROM t GROUP BY lower(label))
+SELECT row_number() OVER (ORDER BY r) - 1 AS n, to_json({{'url': r[1], 'page_id': r[2], 'label': r[4]}})::VARCHAR AS value FROM f""")
+def export_deduplicated_in_order(spark, sf_dir):
+    """The labels of all pages, each once, exported by a recipe and read back line by line."""
+    steps = [{"type": "WEBSITE"}, {"type": "DEDUPE", "config": {"fields": "label"}}, {"type": "LOOP", "config": {"selector": "nav li"}, "children": [_LABEL]}, {"type": "EXPORT", "config": {"format": "jsonl", "filename": "labels.jsonl"}}]
+    done = compile_recipe(spark, {"steps": steps}, Sources(pages=table(spark, sf_dir, "pages").select("url", "page_id", "html")))
+    out = f"{shared_dir(spark)}/rowloom/run-{uuid.uuid4().hex}"
+    run_exports(done, out, f"{out}/sets")
+    return render.read_document(spark, f"{out}/labels.jsonl", "jsonl")
+
+
 @query("page_data_microdata", "SELECT p_partkey, p_name AS name, CAST(p_size AS VARCHAR) AS size FROM part")
 def page_data_microdata(spark, sf_dir):
     """Product pages made of the part table, read back through their microdata."""

@@ -366,7 +366,7 @@ def _file_query(fmt: str) -> None:
         between = F.when(F.col("n_nationkey") % 2 == 0, ' ,"').otherwise("  <&>")
         rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("seq"), F.col("n_nationkey").alias("k"), F.concat(F.col("n_nationkey").cast("string"), between, "n_name", F.lit("  ")).alias("v"))
         path = f"{shared_dir(spark)}/rowloom/export-{uuid.uuid4().hex}"
-        render.write_lines(rows, fmt, path, order="seq", files=1)
+        render.write_document(rows, fmt, path, order="seq")
         return spark.read.option("lineSep", "\r\n" if fmt == "csv" else "\n").text(path)
 
 

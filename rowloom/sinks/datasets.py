@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rowloom.session import cut_lineage, discard
-from rowloom.sinks.render import APPENDABLE, write_lines
+from rowloom.sinks.render import APPENDABLE, write_document
 
 MOST_ROWS = 200_000
 NAME_LENGTH = 60
@@ -28,14 +28,16 @@ def safe_segment(c: Column) -> Column:
     return F.substr(F.regexp_replace(F.regexp_replace(clean, r"^[.\s]+", ""), r"[.\s]+\z", ""), F.lit(1), F.lit(100))
 
 
-def append(df: DataFrame, root: str, name: str, cap: int = MOST_ROWS, order: str | None = None) -> dict[str, int]:
-    """Add rows to a dataset up to its cap, the first by order where one is given; returns rows added, dropped and in all."""
+def append(df: DataFrame, root: str, name: str, cap: int = MOST_ROWS, order: str | None = None, batches: bool = False) -> dict[str, int]:
+    """Add rows to a dataset up to its cap, the first by order where one is given; returns rows added, dropped and in all.
+    batches: rows have a _batch, the number of rows that were there before them."""
     spark, path = df.sparkSession, f"{root}/{dataset_name(name)}"
     staged = cut_lineage(df, "append")
     here, given = count(spark, root, name), staged.count()
     added = max(0, min(given, cap - here))
     if added:
         kept = staged if added == given else (staged.orderBy(order) if order else staged).limit(added)
+        kept = kept.withColumn("_batch", F.lit(here).cast("long")) if batches else kept
         kept.write.mode("append").parquet(path)
     discard(staged)
     return {"added": added, "dropped": given - added, "total": here + added}
@@ -62,12 +64,16 @@ def count(spark: SparkSession, root: str, name: str) -> int:
         raise
 
 
-def export_appended(df: DataFrame, root: str, name: str, fmt: str, path: str) -> dict[str, int]:
-    """Append, then write the whole dataset over the one file at path."""
+def export_appended(df: DataFrame, root: str, name: str, fmt: str, path: str, order: str | None = None) -> dict[str, int]:
+    """Append, then write the whole dataset as the one document at path: run after run, each in its order."""
     if fmt not in APPENDABLE:
         raise ValueError(f"{fmt} cannot be appended to; use one of {', '.join(APPENDABLE)}")
-    done = append(df, root, name)
-    write_lines(read(df.sparkSession, root, name), fmt, path, "overwrite", files=1)
+    done = append(df, root, name, order=order, batches=order is not None)
+    rows = read(df.sparkSession, root, name)
+    if order:
+        place = F.concat(F.lpad(F.coalesce("_batch", F.lit(0)).cast("string"), 20, "0"), F.coalesce(F.col(f"`{order}`").cast("string"), F.lit("")))
+        rows = rows.withColumn("__place", place).drop("_batch", order)
+    write_document(rows, fmt, path, "overwrite", "__place" if order else None)
     return done
 
 

@@ -1,7 +1,8 @@
 """Rows as text: CSV, TSV, JSON, JSONL, XML and Markdown, one `line` per output line, built from Catalyst expressions.
 
 render_lines keeps everything distributed; render_text joins the lines on the driver, for results small enough to be
-one string; write_lines writes files, each a whole document.
+one string; write_lines writes files, each a whole document; write_document writes one document of any size, in order, in
+parts.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ import json
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions.js import text_of
+from rowloom.operators.numbering import numbered
 
 #: Extension, media type and label of each format (fixed values).
 FORMATS = {
@@ -150,6 +152,50 @@ def write_lines(df: DataFrame, fmt: str, path: str, mode: str = "error", order:
     rows.write.mode(mode).option("lineSep", "\r\n" if fmt == "csv" else "\n").text(path)
 
 
+def _indented(rows: DataFrame) -> DataFrame:
+    """JSON rows (value) over several lines, as elements of a list."""
+    import pyarrow as pa
+
+    def each(batches):
+        for b in batches:
+            texts = ["  " + json.dumps(json.loads(x), indent=2, ensure_ascii=False).replace("\n", "\n  ") for x in b.column("value").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("n"), pa.array(texts, pa.string())], names=["n", "value"])
+
+    return rows.select("n", "value").mapInArrow(each, "n bigint, value string")
+
+
+def write_document(df: DataFrame, fmt: str, path: str, mode: str = "error", order: str | None = None) -> int:
+    """The rows as one document, in order of a column that is not written (without one, as they are read), in parts: the
+    text files of the folder, joined by name, are the document. Rows are numbered by ranges, so no task sees them all; the
+    first brings the header along, the last the footer. Returns the number of rows."""
+    format_meta(fmt)
+    body = df if order is None else df.drop(order)
+    place = F.monotonically_increasing_id() if order is None else F.col(f"`{order}`")
+    placed = numbered(df.select(line(body, fmt).alias("value"), place.alias("seq")), "seq", "n")
+    n, end = placed.count(), "\r\n" if fmt == "csv" else "\n"
+    top, foot = header(body.columns, fmt), ["</rows>"] if fmt == "xml" else []
+    if fmt == "json":
+        placed, top, foot = _indented(placed), ["["], ["]"]
+    if n == 0:
+        whole = ["[]"] if fmt == "json" else []
+        df.sparkSession.createDataFrame([(x,) for x in whole], "value string").coalesce(1).write.mode(mode).option("lineSep", end).text(path)
+        return 0
+    first, last = F.when(F.col("n") == 0, F.lit("".join(x + end for x in top))).otherwise(""), F.lit("".join(end + x for x in foot))
+    comma = F.lit("," if fmt == "json" else "")
+    text = F.concat(first, "value", F.when(F.col("n") == n - 1, last).otherwise(comma))
+    ordered = placed.select("n", text.alias("value")).repartitionByRange("n").sortWithinPartitions("n")
+    ordered.select("value").write.mode(mode).option("lineSep", end).text(path)
+    return n
+
+
+def read_document(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    """n, from 0, and value: the lines of a document that write_document wrote, in order."""
+    lines = spark.read.option("lineSep", "\r\n" if fmt == "csv" else "\n").text(path)
+    # Within a file, ids go up line by line; parts of a document are read whole or split in order.
+    place = F.concat_ws(":", F.col("_metadata.file_name"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+    return numbered(lines.select("value", place.alias("place")), "place", "n").select("n", "value")
+
+
 def union_rows(*frames: DataFrame) -> DataFrame:
     """All rows under the union of the columns, in the order first seen."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowloom.html import read
 from rowloom.html.select import scoped, select
@@ -215,31 +216,55 @@ def page_json(pages: DataFrame, mode: str = "tree", url: str = "url", html: str
     return found.select(*kept, F.posexplode("__pages").alias("_record", "page"))
 
 
-def node_table(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """A row for each element: pre, post, parent, depth, tag, id, classes, attrs, own_text. A descendant has pre between an element's pre and post."""
+def with_nodes(pages: DataFrame, column: str = "nodes", url: str = "url", html: str = "html") -> DataFrame:
+    """The pages without their html, and their elements as an array in document order (rowloom.html.nodes.NODE)."""
+    from rowloom.html.nodes import NODE
 
     def build(document, _):
-        out, numbers = [], {}
         order = list(document.walk())[1:]
-        for i, n in enumerate(order):
-            numbers[id(n)] = i
-        last = list(range(len(order)))
-        for i in range(len(order) - 1, -1, -1):
-            up = numbers.get(id(order[i].parent))
-            if up is not None:
-                last[up] = max(last[up], last[i])
-        depth: list[int] = []
+        numbers = {id(n): i for i, n in enumerate(order)}
+        out = []
         for i, n in enumerate(order):
             up = numbers.get(id(n.parent))
-            depth.append(0 if up is None else depth[up] + 1)
-            out.append({"pre": i, "post": last[i], "parent": up, "depth": depth[i], "tag": n.tag, "id": n.attrs.get("id"), "classes": n.attrs.get("class", "").split(), "attrs": list(n.attrs.items()), "own_text": read.clean(n.own_text())})
+            above = out[up] if up is not None else None
+            kids = n.elements()
+            texts = [c for c in n.children if isinstance(c, str)]
+            out.append({
+                "pre": i, "post": i, "parent": up, "depth": above["depth"] + 1 if above else 0, "tag": n.tag, "id": n.attrs.get("id"), "classes": n.attrs.get("class", "").split(), "attrs": list(n.attrs.items()),
+                "own_text": read.clean(n.own_text()), "texts": texts, "path": [*above["path"], up] if above else [], "kids": [numbers[id(k)] for k in kids], "empty": not kids and not any(texts),
+                "inside": bool(above and (above["inside"] or above["tag"] == "template")),
+            })
+        for i in range(len(out) - 1, 0, -1):
+            up = out[i]["parent"]
+            if up is not None:
+                out[up]["post"] = max(out[up]["post"], out[i]["post"])
+        for kids in ([n for n in out if n["parent"] is None], *([out[k] for k in n["kids"]] for n in out)):
+            of_type, seen = Counter(k["tag"] for k in kids), Counter()
+            for i, k in enumerate(kids):
+                seen[k["tag"]] += 1
+                k |= {"nth": i + 1, "of": len(kids), "nth_type": seen[k["tag"]], "of_type": of_type[k["tag"]]}
         return out
 
-    arrow = pa.list_(pa.struct([("pre", pa.int32()), ("post", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("own_text", pa.string())]))
-    kind = "array<struct<pre:int,post:int,parent:int,depth:int,tag:string,id:string,classes:array<string>,attrs:map<string,string>,own_text:string>>"
-    found = _per_page(pages, build, "__nodes", arrow, kind, url, html)
+    strings, ints = pa.list_(pa.string()), pa.list_(pa.int32())
+    kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": strings, "array<int>": ints, "map<string,string>": pa.map_(pa.string(), pa.string())}
+    fields = [(f.name, kinds[f.dataType.simpleString()]) for f in T._parse_datatype_string(NODE).fields]
+    return _per_page(pages, build, column, pa.list_(pa.struct(fields)), f"array<{NODE}>", url, html)
+
+
+def select_all(pages: DataFrame, selectors: dict[str, str], url: str = "url", html: str = "html") -> DataFrame:
+    """The pages without their html, and for each name the elements that its selector finds, as an array: one parse for all."""
+    from rowloom.html.nodes import matches
+
+    found = with_nodes(pages, "__nodes", url, html)
+    return found.withColumns({name: matches(F.col("__nodes"), s) for name, s in selectors.items()}).drop("__nodes")
+
+
+def node_table(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """A row for each element: pre, post, parent, depth, tag, id, classes, attrs, own_text. A descendant has pre between an element's pre and post."""
+    found = with_nodes(pages, "__nodes", url, html)
     kept = [c for c in found.columns if c != "__nodes"]
-    return found.select(*kept, F.explode("__nodes").alias("n")).select(*kept, "n.*")
+    each = found.select(*kept, F.explode("__nodes").alias("n"))
+    return each.select(*kept, *(F.col(f"n.{c}") for c in ("pre", "post", "parent", "depth", "tag", "id", "classes", "attrs", "own_text")))
 
 
 def flatten_json(c: Column) -> Column:
