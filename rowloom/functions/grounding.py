@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions.js import WS, collapse
@@ -142,3 +142,30 @@ def judge_selector(selector: Column, expected: Column, count: Column, text: Colu
         F.when(s.isNull() | (s == "") | expected.isNull() | (expected == ""), None).when((F.length(s) > MAX_SELECTOR) | error.isNotNull(), "bad-selector")
         .when(F.coalesce(count, F.lit(0)) == 0, "not-found").when(count > 1, "ambiguous").when(normalise(text) != normalise(expected), "wrong-value").otherwise("verified")
     )
+
+
+#: The verdicts of a selector, from best to worst.
+STATUSES = ("verified", "wrong-value", "ambiguous", "not-found", "bad-selector")
+
+
+def selector_history(seen: DataFrame, keys: list[str], selector: str = "selector", status: str = "status") -> DataFrame:
+    """From judged observations: for each selector of each field (keys), how often each verdict was given. Histories of
+    parts of the runs add up to that of all."""
+    counts = [F.count_if(F.col(status) == s).alias(s.replace("-", "_")) for s in STATUSES]
+    return seen.where(F.col(status).isNotNull()).groupBy(*keys, selector).agg(*counts)
+
+
+def merge_histories(a: DataFrame, b: DataFrame, keys: list[str], selector: str = "selector") -> DataFrame:
+    """The history of the runs of both."""
+    return a.unionByName(b).groupBy(*keys, selector).agg(*(F.sum(s.replace("-", "_")).alias(s.replace("-", "_")) for s in STATUSES))
+
+
+def learnt_selectors(history: DataFrame, keys: list[str], selector: str = "selector", least: int = 1) -> DataFrame:
+    """The selector that each field is best read by: of those that were verified at least so often and are right more often
+    than not, one by identity before one by position, then the one right most often, then by text. One aggregate."""
+    total = sum((F.col(s.replace("-", "_")) for s in STATUSES), F.lit(0))
+    right = history.withColumns({"runs": total, "fragile": is_fragile(F.col(selector))}).where((F.col("verified") >= least) & (2 * F.col("verified") > F.col("runs")))
+    # Exact: shares are compared as parts in a billion, rounded down.
+    share = F.floor(F.col("verified") * 1_000_000_000 / F.col("runs")).cast("long")
+    best = F.min(F.struct("fragile", (-share).alias("share"), (-F.col("runs")).alias("more"), F.col(selector).alias("selector"), "verified", "runs")).alias("best")
+    return right.groupBy(*keys).agg(best).select(*keys, F.col("best.selector").alias(selector), "best.fragile", "best.verified", "best.runs")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions.js import trim
@@ -91,3 +91,20 @@ def map_to_schema(keys: Column, fields: list[str], usable: Column | None = None)
         return F.struct(taken.alias("taken"), F.array_append(state["out"], F.struct(field.alias("field"), key.alias("key"))).alias("out"))
 
     return F.aggregate(F.array(*map(F.lit, fields)), start, step)["out"]
+
+
+def schema_rows(rows: DataFrame, json: str, fields: list[str], sent: int = 10_000) -> DataFrame:
+    """rows with the fields' values (texts; nested ones as JSON) out of a column of JSON objects, whatever their keys are called.
+
+    Records of one source have few sets of keys: each distinct set, with what of it holds a value, is mapped once, and the
+    mappings are joined back, by a broadcast up to `sent` of them. A null, or no object, has no values.
+    """
+    held = F.from_json(F.col(json), "map<string,string>")
+    usable = F.filter(F.map_keys("__row"), lambda k: F.coalesce(trim(F.try_element_at("__row", k)), F.lit("")) != "")
+    keyed = rows.withColumn("__row", F.coalesce(held, F.create_map().cast("map<string,string>"))).withColumns({"__keys": F.map_keys("__row"), "__usable": usable})
+    sets = keyed.select("__keys", "__usable").distinct()
+    mapped = sets.withColumn("__map", F.map_from_entries(F.filter(map_to_schema(F.col("__keys"), fields, F.col("__usable")), lambda m: m["key"].isNotNull())))
+    few = sets.limit(sent + 1).count() <= sent
+    joined = keyed.join(F.broadcast(mapped) if few else mapped, ["__keys", "__usable"])
+    values = {f: F.try_element_at("__row", F.try_element_at("__map", F.lit(f))) for f in fields}
+    return joined.withColumns(values).drop("__row", "__keys", "__usable", "__map")

@@ -68,6 +68,20 @@ class Result:
     collected: Callable[[], DataFrame | None] = lambda: None
 
 
+class Collected:
+    """What becomes of the rows of top-level steps as a recipe is compiled; this one leaves them as plans."""
+
+    stopped_at: int | None = None
+
+    def before(self, step: int) -> bool:
+        """Whether to go on with the step of this number."""
+        return True
+
+    def after(self, step: int, frames: list[DataFrame]) -> list[DataFrame]:
+        """The rows that a step has collected, in the form that later ones and the result use."""
+        return frames
+
+
 class _Compiler:
     """Frames carry what loops and earlier steps bind (rowloom.plans.context): page is the frame of the pages that are open,
     scope that of the iterations that are under way, where no page of theirs need be open; scalars are results that are the
@@ -639,8 +653,9 @@ def file_manifest(files: DataFrame, template: str = "{{file.name}}", bound: Call
     return facts.withColumn("path", F.concat_ws("/", *folders, named)).drop("file")
 
 
-def compile_recipe(spark: SparkSession, recipe: object, sources: Sources) -> Result:
-    """The rows that a recipe collects, and the exports it asks for; nothing runs until they are used."""
+def compile_recipe(spark: SparkSession, recipe: object, sources: Sources, collected: Collected | None = None) -> Result:
+    """The rows that a recipe collects, and the exports it asks for; nothing runs until they are used, unless collected,
+    which is given the rows of each top-level step, has them written."""
     r = recipe if isinstance(recipe, Recipe) else read_recipe(recipe)
     if r.errors:
         raise RecipeError("; ".join(r.errors))
@@ -649,7 +664,14 @@ def compile_recipe(spark: SparkSession, recipe: object, sources: Sources) -> Res
         raise RecipeError("; ".join(f"{kind} ({i}): {why}" for i, kind, why in refused))
     wanted = X.heads([s.config for s in walk(r.steps)]) | {X.keys(str(s.config.get("contextPath") or ""))[0] for s in walk(r.steps)}
     c = _Compiler(spark, sources, frozenset(wanted))
-    c.run(r.steps)
+    kept = collected or Collected()
+    for i, step in enumerate(r.steps):
+        if not kept.before(i):
+            kept.stopped_at = i
+            break
+        n = len(c.collected)
+        c.run([step])
+        c.collected[n:] = kept.after(i, c.collected[n:])
     return Result(c.rows(), c.exports, c.seen, c.notes, c.rows, c.everything)
 
 

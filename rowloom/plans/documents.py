@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-import zlib
 
 from pyspark.sql import functions as F
 
@@ -11,7 +10,6 @@ from rowloom.functions import transforms as T
 from rowloom.plans import templates
 from rowloom.plans.catalogue import query, table
 from rowloom.plans.compiler import Sources, compile_recipe, file_manifest, follow_links, paginate_until_empty, run_exports
-from rowloom.plans.values import literals, sql_values
 from rowloom.session import shared_dir
 from rowloom.sinks import render, runs
 from rowloom.sources import api, lists, pages, pdf
@@ -96,14 +94,17 @@ def auto_extract_products(spark, sf_dir):
     return pages.auto_extract(made).select("p_partkey", "name", F.col("price").cast("double").alias("price"), "currency", F.col("_extractionMethod").alias("method"))
 
 
-@query("detect_table", "SELECT o_orderpriority, 8 AS n, true AS named FROM orders GROUP BY 1")
+@query("detect_table", "SELECT o_orderpriority, o_orderkey // 64 AS block, CASE WHEN count(*) >= 3 THEN count(*) ELSE 0 END AS n, count(*) >= 3 AS named FROM orders GROUP BY ALL")
 def detect_table(spark, sf_dir):
-    """Tables made of orders, found again with their headers."""
-    eight = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.slice(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_custkey"))), 1, 8).alias("o"))
-    body = F.array_join(F.transform("o", lambda x: F.concat(F.lit("<tr><td>"), x["o_orderkey"].cast("string"), F.lit("</td><td>c"), x["o_custkey"].cast("string"), F.lit("</td></tr>"))), "")
+    """Tables made of all orders, one for each priority and block of keys, found again with their headers."""
+    blocks = table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.floor(F.col("o_orderkey") / 64).alias("block")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_custkey"))).alias("o"))
+    body = F.array_join(F.transform("o", lambda x: F.concat(F.lit("<tr><td>"), x["o_orderkey"].cast("string"), F.lit("</td><td>c"), (x["o_custkey"] + x["o_orderkey"]).cast("string"), F.lit("</td></tr>"))), "")
     html = F.concat(F.lit("<table><thead><tr><th>Order</th><th>Customer</th></tr></thead><tbody>"), body, F.lit("</tbody></table>"))
-    found = pages.detect_tables(eight.select("o_orderpriority", F.lit("u").alias("url"), html.alias("html")))
-    return found.where("rank = 1").select("o_orderpriority", F.col("count").alias("n"), (F.contains("fields", F.lit('"order"')) & F.contains("fields", F.lit('"customer"'))).alias("named"))
+    made = blocks.select("o_orderpriority", "block", F.lit("u").alias("url"), html.alias("html"))
+    named = F.contains("fields", F.lit('"order"')) & F.contains("fields", F.lit('"customer"'))
+    found = pages.detect_tables(made).where("rank = 1").select("o_orderpriority", "block", F.col("count").cast("long").alias("found"), named.alias("both"))
+    each = made.select("o_orderpriority", "block").join(found, ["o_orderpriority", "block"], "left")
+    return each.select("o_orderpriority", "block", F.coalesce("found", F.lit(0)).cast("long").alias("n"), F.coalesce("both", F.lit(False)).alias("named"))
 
 
 @query("detect_table_customers", "SELECT o_custkey, CASE WHEN count(*) >= 3 THEN count(*) ELSE 0 END AS n, count(*) >= 3 AS named FROM orders GROUP BY 1")
@@ -123,27 +124,26 @@ def detect_table_pages(spark, sf_dir):
     return pages.detect_tables(table(spark, sf_dir, "pages")).select("page_id", "rank", "selector", "count", "score")
 
 
-def _pdf(rows: list[tuple[str, str]]) -> bytearray:
-    text = " ".join(f"BT 1 0 0 1 72 {700 - 20 * i} Tm ({a}) Tj ET BT 1 0 0 1 200 {700 - 20 * i} Tm ({b}) Tj ET" for i, (a, b) in enumerate(rows)).encode()
-    body = zlib.compress(text)
-    return bytearray(b"%PDF-1.4\n1 0 obj\n<< /Filter /FlateDecode /Length " + str(len(body)).encode() + b" >>\nstream\n" + body + b"\nendstream\nendobj\n")
-
-
-_PDF_ROWS = [("Name", "Price"), ("Widget", "10.00"), ("Gadget", "20.00")]
-
-
-@query("pdf_grid", f"SELECT name, price FROM {sql_values(_PDF_ROWS[1:], 'name, price')}")
+@query("pdf_grid", "SELECT CAST(p_partkey AS VARCHAR) AS name, 'EUR ' || p_size AS price FROM part")
 def pdf_grid(spark, sf_dir):
-    files = literals(spark, [("a.pdf", _pdf(_PDF_ROWS))], "path string, content binary")
+    """Price lists of all parts as PDF files of up to twenty lines, read back as tables."""
+    blocks = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 20).alias("block")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))).alias("rows"))
+    shown = lambda x, y, text: F.concat(F.lit(f"BT 1 0 0 1 {x} "), y.cast("string"), F.lit(" Tm ("), text, F.lit(") Tj ET "))
+    line = lambda y, a, b: F.concat(shown(72, y, a), shown(200, y, b))
+    lines = F.transform("rows", lambda r, i: line(F.lit(680) - 20 * i, r["p_partkey"].cast("string"), F.concat(F.lit("EUR "), r["p_size"].cast("string"))))
+    text = F.concat(line(F.lit(700), F.lit("Name"), F.lit("Price")), F.array_join(lines, ""))
+    body = F.concat(F.lit("%PDF-1.4\n1 0 obj\n<< /Length "), F.length(text).cast("string"), F.lit(" >>\nstream\n"), text, F.lit("\nendstream\nendobj\n"))
+    files = blocks.select(F.concat(F.col("block").cast("string"), F.lit(".pdf")).alias("path"), F.encode(body, "UTF-8").alias("content"))
     each = pdf.extract_pdf(files).select("path", F.explode("pages").alias("p")).select("path", "p.page", "p.items")
     return pdf.tables(each).select(F.get_json_object("record", "$.Name").alias("name"), F.get_json_object("record", "$.Price").alias("price"))
 
 
-@query("tf_url_absolute", "WITH h AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS site, unnest(regexp_extract_all(html, '<li><a href=\"(/[A-Za-z0-9]*)\">', 1)) AS href FROM pages) SELECT page_id, href, lower(site) || href AS link FROM h")
+@query("tf_url_absolute", """WITH h AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS site, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">', 1)) AS href FROM pages)
+SELECT page_id, href, lower(site) || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS link FROM h""")
 def tf_url(spark, sf_dir):
+    """Every link of every page's navigation as an absolute address."""
     rows = pages.extract(table(spark, sf_dir, "pages").withColumn("base", F.col("url")), [{"name": "href", "selector": "nav a", "type": "attribute", "attribute": "href"}])
-    plain = rows.where(F.rlike("href", F.lit("^/[A-Za-z0-9]*$")))
-    return plain.select("page_id", "href", T.url(F.col("href"), F.col("base")).alias("link"))
+    return rows.where("href IS NOT NULL").select("page_id", "href", T.url(F.col("href"), F.col("base")).alias("link"))
 
 
 @query("tf_url_every_href")
@@ -176,37 +176,55 @@ def json_flatten(spark, sf_dir):
     return events.select("event_id", pages.flatten_json(F.col("body")).alias("m")).select("event_id", F.col("m")["data.items.0.k"].alias("first"), F.col("m")["data.items.1.k"].alias("second"))
 
 
-def _responses(spark):
-    bodies = ['{"data":[{"id":1},{"id":2}],"next_cursor":"b"}', '{"data":[{"id":3}],"next_cursor":"c"}', '{"data":[{"id":4}]}', '{"data":[{"id":5}]}']
-    more = ['</2>; rel="next"', '</3>; rel="last", </3>; rel=next', '</1>; rel="prev"', None]
-    return literals(spark, [("r", i + 1, b, 200, m) for i, (b, m) in enumerate(zip(bodies, more, strict=True))], "run string, seq int, body string, status int, link string")
+# Each user's events as three recorded responses; those of odd users say that a second one follows, those of even ones a third.
+_MORE = "seq < 2 + user_id % 2"
+_ANSWERS = f"WITH a AS (SELECT user_id, event_id % 3 AS seq, list(event_id) AS ids FROM events GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS n, {_MORE} AS more FROM a)"
 
 
-def _api_query(mode: str, ids: list[int]) -> None:
-    @query(f"api_pages_{mode}", f"SELECT id FROM {sql_values([(i,) for i in ids], 'id')}")
-    def run(spark, sf_dir):
-        kept = api.recorded_pages(_responses(spark), mode, "data", "next_cursor")
-        return api.rows_at(kept, "body", "data").select(F.get_json_object("row", "$.id").cast("int").alias("id"))
+def _responses(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy("user_id", (F.col("event_id") % 3).alias("seq")).agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    records = F.array_join(F.transform("ids", lambda i: F.concat(F.lit('{"id":'), i.cast("string"), F.lit("}"))), ",")
+    cursor = F.when(F.expr(_MORE), F.concat(F.lit(',"next_cursor":"'), (F.col("seq") + 1).cast("string"), F.lit('"'))).otherwise("")
+    link = F.when(F.expr(_MORE), F.lit('</1>; rel="prev", </2>; rel=next')).otherwise('</1>; rel="prev"')
+    return rows.select(F.col("user_id").cast("string").alias("run"), "seq", F.concat(F.lit('{"data":['), records, F.lit("]"), cursor, F.lit("}")).alias("body"), F.lit(200).alias("status"), link.alias("link"))
 
 
-for _mode, _ids in (("cursor", [1, 2, 3, 4]), ("page", [1, 2, 3, 4, 5]), ("link", [1, 2, 3, 4]), ("none", [1, 2])):
-    _api_query(_mode, _ids)
+def _api_query(mode: str, kept: str) -> None:
+    @query(f"api_pages_{mode}", f"{_ANSWERS}, s AS (SELECT *, min(CASE WHEN NOT more THEN n END) OVER (PARTITION BY user_id) AS stop FROM n) SELECT unnest(ids) AS id FROM s WHERE {kept}")
+    def run(spark, sf_dir):
+        read = api.recorded_pages(_responses(spark, sf_dir), mode, "data", "next_cursor")
+        return api.rows_at(read, "body", "data").select(F.get_json_object("row", "$.id").cast("long").alias("id"))
 
-_RETRIES = [(1, 503, 1, 0, None), (2, 503, 3, 3000, None), (3, 429, 1, 0, 90), (4, 404, 1, 0, None), (5, 500, 4, 7000, None), (6, 500, 2, 59500, 2), (7, 200, 1, 0, None)]
 
+for _mode, _kept in (("cursor", "n <= coalesce(stop, 10)"), ("page", "true"), ("link", "n <= coalesce(stop, 10)"), ("none", "n = 1")):
+    _api_query(_mode, _kept)
 
-@query("retry_schedule", f"SELECT i, CAST(wait_ms AS BIGINT) AS wait_ms FROM {sql_values([(1, 1000), (2, 4000), (3, 60000), (4, None), (5, None), (6, 500), (7, None)], 'i, wait_ms')}")
-def retry_schedule(spark, sf_dir):
-    return api.retry_schedule(literals(spark, _RETRIES, "i int, status int, attempt int, waited_ms int, retry_after_s int")).select("i", "wait_ms")
+_ASKED = {
+    "status": "CASE event_type WHEN 'error' THEN 503 WHEN 'signup' THEN 429 WHEN 'purchase' THEN 500 WHEN 'view' THEN 404 ELSE 200 END", "attempt": "CAST(event_id % 5 + 1 AS INT)",
+    "waited_ms": "CAST(event_id % 7 * 9900 AS INT)", "retry_after_s": "CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 90 AS INT) END",
+}
 
 
-_LINES = [(i, v) for i, v in enumerate(["url,sku", '"Smith, John",42,"x"', "", '12" pipe,steel', '"a ""b""",c'])]
+@query(
+    "retry_schedule",
+    f"""WITH a AS (SELECT event_id, {", ".join(f"{sql} AS {name}" for name, sql in _ASKED.items())} FROM events)
+    SELECT event_id, CASE WHEN (status = 429 OR status BETWEEN 500 AND 599) AND attempt < 4 AND waited_ms < 60000
+      THEN greatest(0, least(coalesce(retry_after_s * 1000, 1000 * (1 << (attempt - 1))), 60000 - waited_ms))::BIGINT END AS wait_ms FROM a""",
+)
+def retry_schedule(spark, sf_dir):
+    """How long each event, taken as a failed request, waits for its next attempt."""
+    asked = table(spark, sf_dir, "events").select("event_id", *(F.expr(sql).alias(name) for name, sql in _ASKED.items()))
+    return api.retry_schedule(asked).select("event_id", F.col("wait_ms").cast("long").alias("wait_ms"))
 
 
-@query("list_items", f"SELECT place, url, sku FROM {sql_values([(1, 'Smith, John', '42'), (2, '12\" pipe', 'steel'), (3, 'a \"b\"', 'c')], 'place, url, sku')}")
+@query("list_items", """SELECT place, url, sku FROM (SELECT row_number() OVER (ORDER BY c_custkey) AS place, c_name || ', "x"' AS url, CAST(c_custkey AS VARCHAR) AS sku FROM customer WHERE c_nationkey <> 3) WHERE place <= 10000""")
 def list_items(spark, sf_dir):
-    items, _ = lists.parse_list(literals(spark, _LINES, "n int, line string"), "n", delimiter=",", has_header=True)
-    return items.select(F.col("index").alias("place"), F.col("cols")["url"].alias("url"), F.col("cols")["sku"].alias("sku"))
+    """A pasted list of customers with a header, quoted cells and blank lines; a list holds 10,000 items."""
+    cells = F.concat(F.lit('"'), "c_name", F.lit(', ""x""",'), F.col("c_custkey").cast("string"), F.lit(",more"))
+    lines = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("n"), F.when(F.col("c_nationkey") == 3, "  ").otherwise(cells).alias("line"))
+    head = lines.agg(F.min("n").alias("n")).select((F.col("n") - 1).alias("n"), F.lit("url,sku").alias("line"))
+    items, _ = lists.parse_list(head.unionByName(lines), "n", delimiter=",", has_header=True)
+    return items.select(F.col("index").cast("long").alias("place"), F.col("cols")["url"].alias("url"), F.col("cols")["sku"].alias("sku"))
 
 
 @query("output_rows", "SELECT event_id FROM events WHERE event_id % 2 = 0")

@@ -89,12 +89,16 @@ def tf_upper(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.apply_transform(F.col("p_name"), "upper").alias("value"))
 
 
-NUMBERS = [(i, v) for i, v in enumerate(["1.234,56 €", "€ 9,99", "1.4E7", "3 EUR", "Out of stock", "$25.50", "1,234 reviews", "1.234", "1,234,567.89", "-5", "", None, "9e999", "abc 5e3", "1.2,3.4", "12-34", "1 299,00", "2,5e3"])]
+# Numbers as sites write them, made of a part's key and size; the same text in both engines.
+_WRITTEN = """CASE p_partkey % 12 WHEN 0 THEN '1.' || lpad(CAST(p_partkey % 1000 AS STRING), 3, '0') || ',5 €' WHEN 1 THEN '€ ' || p_partkey || ',' || (p_size + 10) WHEN 2 THEN p_size || 'e3'
+  WHEN 3 THEN p_partkey || ' EUR' WHEN 4 THEN 'Out of stock' WHEN 5 THEN '$' || p_partkey || '.50' WHEN 6 THEN '1,' || lpad(CAST(p_partkey % 1000 AS STRING), 3, '0') || ' reviews'
+  WHEN 7 THEN '-' || p_size WHEN 8 THEN '' WHEN 9 THEN 'abc ' || p_size || 'e3' WHEN 10 THEN p_size || '-' || p_partkey ELSE '1 ' || lpad(CAST(p_partkey % 1000 AS STRING), 3, '0') || ',00' END"""
 
 
-@query("tf_number_literals", f"SELECT i, {sql_number('v')} AS value FROM {sql_values(NUMBERS, 'i, v')}")
+@query("tf_number_literals", f"SELECT i, {sql_number('v')} AS value FROM (SELECT p_partkey AS i, {_WRITTEN} AS v FROM part)")
 def tf_number_literals(spark, sf_dir):
-    return literals(spark, NUMBERS, "i int, v string").select("i", T.number(F.col("v")).alias("value"))
+    """The many ways in which numbers are written."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), T.number(F.expr(_WRITTEN)).alias("value"))
 
 
 @query("tf_number_docs", f"SELECT doc_id, {sql_number('text')} AS value FROM documents")
@@ -312,14 +316,20 @@ def field_match(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", S.field_match_score(F.lit("red widget"), F.col("p_name")).alias("score"))
 
 
-SCHEMA_NODES = [(1, "datePublished,headline,author"), (2, "productName,price,originalPrice,sku"), (3, "@type,zzz")]
-_SCHEMA_WANT = [(1, "published date", "datePublished"), (1, "title", None), (1, "price", None), (2, "published date", None), (2, "title", None), (2, "price", "price"), (3, "published date", None), (3, "title", None), (3, "price", None)]
+_RECORD = """CASE c_nationkey % 4
+  WHEN 0 THEN '{"customerName":"' || c_name || '","acct_balance":' || c_custkey || ',"@id":"x"}' WHEN 1 THEN '{"Name":"' || c_name || '","market segment":"' || c_mktsegment || '"}'
+  WHEN 2 THEN '{"name":"","customer-name":"' || c_name || '","account-balance":' || c_custkey || '}' ELSE '[' || c_custkey || ']' END"""
 
 
-@query("schema_map_greedy", f"SELECT node, field, key FROM {sql_values(_SCHEMA_WANT, 'node, field, key')}")
+@query(
+    "schema_map_greedy",
+    """SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN c_name WHEN 2 THEN c_name END AS "customer name", CASE WHEN c_nationkey % 4 IN (0, 2) THEN CAST(c_custkey AS VARCHAR) END AS "account balance",
+    CASE c_nationkey % 4 WHEN 1 THEN c_mktsegment END AS "marketSegment" FROM customer""",
+)
 def schema_map(spark, sf_dir):
-    nodes = literals(spark, SCHEMA_NODES, "node int, keys string").withColumn("keys", F.split("keys", ","))
-    return nodes.select("node", F.explode(S.map_to_schema(F.col("keys"), ["published date", "title", "price"])).alias("m")).select("node", "m.field", "m.key")
+    """Fields out of records whose keys are called differently from nation to nation."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_RECORD).alias("record"))
+    return S.schema_rows(rows, "record", ["customer name", "account balance", "marketSegment"]).drop("record")
 
 
 # ---- sinks ----------------------------------------------------------------------------------------------------------
@@ -379,12 +389,16 @@ def header_union(spark, sf_dir):
     return render.union_rows(table(spark, sf_dir, "nation"), table(spark, sf_dir, "region"))
 
 
-HEADER_ROWS = [(1, "a=1"), (2, "b=2,a=3"), (3, "c=,b=1")]
+_HEADED = "CASE WHEN c_custkey % 7 = 3 THEN 'b=1,a=2' WHEN c_custkey % 5 = 4 THEN 'a=1,n' || c_nationkey || '=2,c=3' ELSE 'a=1' END"
 
 
-@query("header_order", f"SELECT key, seq, pos FROM {sql_values([('a', 1, 0), ('b', 2, 0), ('c', 3, 0)], 'key, seq, pos')}")
+@query(
+    "header_order",
+    f"""WITH r AS (SELECT c_custkey AS seq, string_split({_HEADED}, ',') AS p FROM customer), k AS (SELECT seq, unnest(range(len(p))) AS pos, string_split(unnest(p), '=')[1] AS key FROM r)
+    SELECT key, min((seq, pos))[1] AS seq, min((seq, pos))[2]::INT AS pos FROM k GROUP BY key""",
+)
 def header_order(spark, sf_dir):
-    rows = literals(spark, HEADER_ROWS, "seq int, text string").select("seq", F.str_to_map("text", F.lit(","), F.lit("=")).alias("row"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), F.str_to_map(F.expr(_HEADED), F.lit(","), F.lit("=")).alias("row"))
     return render.header_order(rows, "seq")
 
 
@@ -419,11 +433,11 @@ def coverage_percent(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", G.coverage([F.col("text"), F.col("lang"), known]).alias("coverage"))
 
 
-@query("export_merge_stores", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT min(o_orderkey), o_custkey FROM orders WHERE o_orderkey % 3 = 1 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0) GROUP BY o_custkey")
+@query("export_merge_stores", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT min(o_orderkey), o_custkey FROM orders WHERE o_orderkey % 2 <> 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0) GROUP BY o_custkey")
 def merge_stores(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    stored = orders.where("o_orderkey % 3 = 1").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey")).select("o_orderkey", "o_custkey")
-    return datasets.merge_stores(orders.where("o_orderkey % 3 = 0"), stored, "o_custkey")
+    stored = orders.where("o_orderkey % 2 <> 0").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey")).select("o_orderkey", "o_custkey")
+    return datasets.merge_stores(orders.where("o_orderkey % 2 = 0"), stored, "o_custkey")
 
 
 @query("export_merge_all_orders", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT min(o_orderkey), o_custkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0) GROUP BY o_custkey")
@@ -436,15 +450,16 @@ def merge_all_orders(spark, sf_dir):
 
 # ---- grounding and provenance ---------------------------------------------------------------------------------------
 
-_CORPUS = "Acme Ltd v Bloggs. The price was £1,299.00 in total, on /p/9 of the file. Contract law; property"
-GROUND = [(i, v) for i, v in enumerate(["Acme Ltd", "1299", "Grace Hopper 2026", "9", "https://shop.test/p/9", "https://shop.test/p/77", "contract, fraud", "Contract, Property", "", None, "zq"])]
-_VERDICTS = [(i, h) for i, h in enumerate(["exact", "number", "missing", "unproven", "url", "missing", "missing", "parts", "exact", "exact", "unproven"])]
+_STATED = "p_name || ' by ' || p_brand || '. The price was £1,' || lpad(CAST(p_partkey % 1000 AS STRING), 3, '0') || '.00 in total, on /p/' || translate(CAST(p_partkey AS STRING), '0123456789', 'abcdefghij') || '/ of the ' || p_type || ' file'"
+_CLAIMED = """CASE p_partkey % 9 WHEN 0 THEN upper(p_name) WHEN 1 THEN '1' || lpad(CAST(p_partkey % 1000 AS STRING), 3, '0') WHEN 2 THEN 'Grace Hopper 2026' WHEN 3 THEN 'of' WHEN 4 THEN 'https://shop.test/p/' || translate(CAST(p_partkey AS STRING), '0123456789', 'abcdefghij') || '/'
+  WHEN 5 THEN 'https://shop.test/q/x' || p_partkey WHEN 6 THEN p_brand || '; ' || p_type WHEN 7 THEN p_brand || ', fraud' ELSE 'zq' END"""
 
 
-@query("grounding_verdicts", f"SELECT i, how FROM {sql_values(_VERDICTS, 'i, how')}")
+@query("grounding_verdicts", "SELECT p_partkey AS i, ['exact', 'number', 'missing', 'unproven', 'url', 'missing', 'parts', 'missing', 'unproven'][p_partkey % 9 + 1] AS how FROM part")
 def grounding_verdicts(spark, sf_dir):
-    rows = literals(spark, GROUND, "i int, v string").withColumn("page", G.corpus(F.lit(_CORPUS)))
-    return rows.select("i", G.ground(F.col("v"), F.col("page")).alias("how"))
+    """Claims about every part, held against a text about it."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_CLAIMED).alias("v"), G.corpus(F.expr(_STATED)).alias("page"))
+    return rows.select(F.col("p_partkey").alias("i"), G.ground(F.col("v"), F.col("page")).alias("how"))
 
 
 @query("grounding_documents", f"SELECT doc_id, CASE WHEN contains(lower({sql_collapse('text')}), 'then the') THEN 'exact' WHEN contains(lower({sql_collapse('text')}), 'then') AND contains(lower({sql_collapse('text')}), 'theanor') THEN 'parts' ELSE 'missing' END AS how FROM documents")
@@ -455,34 +470,61 @@ def grounding_documents(spark, sf_dir):
     return docs.select("doc_id", F.when(whole == "exact", "exact").otherwise(parts).alias("how"))
 
 
-PROVENANCE = [(1, "A", 98, "json-ld:headline", "exact"), (2, "B", 85, "meta:og:title", None), (3, "C", 70, "llm", "number"), (4, "5", 60, "llm", "unproven"), (5, None, 0, None, None), (6, "D", 40, "heuristic", None)]
-_COLUMNS = [(1, "f=json-ld(headline):98"), (2, "f=meta(og:title):85"), (3, "f=llm:70 verified"), (4, "f=llm:60"), (5, "f=none"), (6, "f=heuristic:40")]
+_SOURCES = ["json-ld:headline", "meta:og:title", "llm", "llm", "none", "heuristic", "microdata"]
+_HOW = ["exact", "missing", "number", "unproven", "exact", "exact", "parts"]
 
 
-@query("provenance_column", f"SELECT i, col FROM {sql_values(_COLUMNS, 'i, col')}")
-def provenance_column(spark, sf_dir):
-    rows = literals(spark, PROVENANCE, "i int, v string, conf int, src string, how string")
-    record = G.provenance("f", F.col("v"), F.col("conf"), F.col("src"), F.col("how"))
-    return rows.select("i", G.provenance_column(F.array(record)).alias("col"))
+def _pick(values: list[str], by: str) -> str:
+    return f"CASE {by} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
 
 
-CONFIDENCE = [(1, 90, 80, None), (2, 0, 0, 0), (3, 95, 95, 95)]
+@query("provenance_column", f"""SELECT p_partkey, 'f=' || CASE WHEN p_partkey % 7 = 4 THEN 'none' ELSE {_pick(["json-ld(headline)", "meta(og:title)", "llm", "llm", "none", "heuristic", "microdata"], "p_partkey % 7")} || ':' || p_size
+  || CASE WHEN p_partkey % 7 = 2 THEN ' verified' ELSE '' END END AS col FROM part""")
+def provenance_column(spark, sf_dir):
+    """Where a part's name came from, and how sure that is."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr("CASE WHEN p_partkey % 7 <> 4 THEN p_name END").alias("v"), "p_size", F.expr(_pick(_SOURCES, "p_partkey % 7")).alias("src"), F.expr(_pick(_HOW, "p_partkey % 7")).alias("how"))
+    record = G.provenance("f", F.col("v"), F.col("p_size"), F.col("src"), F.col("how"))
+    return rows.select("p_partkey", G.provenance_column(F.array(record)).alias("col"))
 
 
-@query("confidence_merge", f"SELECT i, CAST(floor((30 * coalesce(a, 0) + 25 * coalesce(b, 0) + 15 * coalesce(c, 0)) / 70.0 + 0.5) AS INTEGER) AS confidence FROM {sql_values(CONFIDENCE, 'i, a, b, c')}")
+@query("confidence_merge", "SELECT p_partkey, CAST(floor((30 * p_size + 25 * (p_partkey % 101) + 15 * coalesce(CASE WHEN p_size % 3 > 0 THEN p_size END, 0)) / 70.0 + 0.5) AS INTEGER) AS confidence FROM part")
 def confidence_merge(spark, sf_dir):
-    rows = literals(spark, CONFIDENCE, "i int, a int, b int, c int")
-    return rows.select("i", G.weighted_confidence({"name": F.col("a"), "price": F.col("b"), "images": F.col("c")}, S.PRODUCT_WEIGHTS).alias("confidence"))
+    sure = {"name": F.col("p_size"), "price": F.col("p_partkey") % 101, "images": F.when(F.col("p_size") % 3 > 0, F.col("p_size"))}
+    return table(spark, sf_dir, "part").select("p_partkey", G.weighted_confidence(sure, S.PRODUCT_WEIGHTS).alias("confidence"))
 
 
-SELECTORS = [(1, ".t", "Widget", 1, " widget ", None), (2, ".t", "Widget", 2, "x", None), (3, ".t", "Widget", 0, None, None), (4, "div > p", "W", 1, "V", None), (5, "..", "W", None, None, "bad"), (6, ".t", None, 1, "x", None)]
-_JUDGED = [(1, "verified"), (2, "ambiguous"), (3, "not-found"), (4, "wrong-value"), (5, "bad-selector"), (6, None)]
+# An observation of a selector in each event: whose field it was, what was found, and what should have been.
+_SEEN = {
+    "selector": "CASE event_id % 4 WHEN 0 THEN '.price' WHEN 1 THEN 'div > p > b > i' WHEN 2 THEN '' ELSE 'b:nth-child(' || (user_id % 3) || ')' END",
+    "expected": "CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_type END", "n": "CAST(CASE WHEN event_id % 13 < 9 THEN 1 ELSE event_id % 4 END AS INT)", "text": "CASE WHEN event_id % 5 < 4 THEN upper(event_type) ELSE 'other' END",
+    "error": "CASE WHEN event_id % 17 = 0 THEN 'unreadable' END",
+}
+_JUDGED = """CASE WHEN selector = '' OR expected IS NULL OR expected = '' THEN NULL WHEN error IS NOT NULL THEN 'bad-selector' WHEN n = 0 THEN 'not-found' WHEN n > 1 THEN 'ambiguous'
+  WHEN lower(text) <> lower(expected) THEN 'wrong-value' ELSE 'verified' END"""
+_OBSERVED = f"WITH s AS (SELECT event_id, user_id, {', '.join(f'{sql} AS {name}' for name, sql in _SEEN.items())} FROM events), j AS (SELECT *, {_JUDGED} AS status FROM s)"
+
 
+def _observations(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", *(F.expr(sql).alias(name) for name, sql in _SEEN.items()))
+    return rows.withColumn("status", G.judge_selector(*(F.col(c) for c in ("selector", "expected", "n", "text", "error"))))
 
-@query("selector_learning", f"SELECT i, status FROM {sql_values(_JUDGED, 'i, status')}")
+
+@query("selector_learning", f"{_OBSERVED} SELECT event_id, status FROM j")
 def selector_learning(spark, sf_dir):
-    rows = literals(spark, SELECTORS, "i int, sel string, expected string, n int, text string, error string")
-    return rows.select("i", G.judge_selector(*(F.col(c) for c in ("sel", "expected", "n", "text", "error"))).alias("status"))
+    return _observations(spark, sf_dir).select("event_id", "status")
+
+
+@query(
+    "selector_history",
+    f"""{_OBSERVED}, h AS (SELECT user_id, selector, count(*) FILTER (WHERE status = 'verified') AS verified, count(*) AS runs, selector <> '.price' AS fragile FROM j WHERE status IS NOT NULL GROUP BY ALL)
+    SELECT user_id, selector, verified, runs, fragile FROM h WHERE 2 * verified > runs
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY fragile, floor(verified * 1000000000 / runs) DESC, runs DESC, selector) = 1""",
+)
+def selector_history(spark, sf_dir):
+    """The selector that each user's field is best read by, from the merged histories of two halves of the runs."""
+    seen = _observations(spark, sf_dir)
+    halves = (G.selector_history(seen.where(F.col("event_id") % 2 == k), ["user_id"]) for k in (0, 1))
+    return G.learnt_selectors(G.merge_histories(*halves, ["user_id"]), ["user_id"]).select("user_id", "selector", "verified", "runs", "fragile")
 
 
 # ---- robots and origins ---------------------------------------------------------------------------------------------
