@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from rowloom.functions import transforms as T
+from rowloom.operators import search
 from rowloom.plans import templates
 from rowloom.plans.catalogue import query, table
 from rowloom.plans.compiler import Sources, compile_recipe, file_manifest, follow_links, paginate_until_empty, run_exports
@@ -471,3 +473,35 @@ def fingerprint(spark, sf_dir):
 def cache_evict(spark, sf_dir):
     """A cache of more than 500 entries loses its oldest ones, 50 at a time."""
     return runs.evict(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "ts", key="event_id").drop("ts")
+
+
+# ---- search and frames ----------------------------------------------------------------------------------------------
+
+_SEARCHED = {"words": ("Token = ", False), "secret": (r"password=[0-9a-f]{4}[0-9a-f]+\b", True), "nothing": ("q", False)}
+_LINES_SQL = "WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS text, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS line_no FROM documents)"
+
+
+@query("search_indexed_documents", f"""{_LINES_SQL} SELECT 'words' AS name, doc_id, line_no FROM l WHERE contains(lower(text), 'token = ') UNION ALL
+SELECT 'secret', doc_id, line_no FROM l WHERE regexp_matches(text, '(?i)password=[0-9a-f]{{4}}[0-9a-f]+\b') UNION ALL SELECT 'nothing', doc_id, line_no FROM l WHERE contains(lower(text), 'q')""")
+def search_indexed_documents(spark, sf_dir):
+    """Three searches in all documents through one table of trigrams; the last needle is too short for it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = f"{shared_dir(spark)}/rowloom/postings-{uuid.uuid4().hex}"
+    search.write_postings(docs, path, "doc_id", "text")
+    index = spark.read.parquet(path)
+    found = [search.search_indexed(docs, index, needle, is_regex, True, "doc_id", "text").withColumn("name", F.lit(name)) for name, (needle, is_regex) in _SEARCHED.items()]
+    return reduce(lambda a, b: a.unionByName(b), found).select("name", F.col("file").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"))
+
+
+@query("frames_of_pages", f"""WITH RECURSIVE p AS (SELECT page_id, len({_TEXTS}) AS items FROM pages), t(frame, top, nesting) AS (
+  SELECT page_id, page_id, 0::BIGINT FROM p WHERE page_id % 7 = 0 UNION ALL SELECT p.page_id, top, nesting + 1 FROM t JOIN p ON p.page_id = t.frame + 1 WHERE p.page_id % 7 <> 0)
+SELECT top AS page, arg_min(frame, (items = 0, nesting)) AS frame, arg_min(items, (items = 0, nesting))::INT AS items, max(nesting) AS depth FROM t JOIN p ON p.page_id = t.frame GROUP BY top""")
+def frames_of_pages(spark, sf_dir):
+    """Pages as frames within frames, each holding the next up to seven: the answer of the uppermost that has one, and how deep they go."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "html")
+    count = F.size("items").alias("items")
+    frames = pages.select_all(rows, {"items": "nav li"}).select(F.col("page_id").alias("frame"), F.when(F.col("page_id") % 7 != 0, F.col("page_id") - 1).alias("parent"), count)
+    tree = search.frame_tree(frames)
+    depth = tree.groupBy("page").agg(F.max("nesting").alias("depth"))
+    first = search.lifted(frames.withColumn("has", F.col("items") > 0), "has").select("page", "frame", "items")
+    return first.join(depth, "page")
