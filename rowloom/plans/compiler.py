@@ -255,11 +255,11 @@ class _Compiler:
     def do_page_data(self, step: Step, c: dict) -> None:
         self.fixed(step, c, "source", "storeAs")
         frame, marked = self.filled(step, {"type": c.get("type") or ""})
-        read_data = lambda f: pages.page_data(f, c["source"], marked["type"], bool(c.get("flatten")))
-        found = read_data(frame).drop(pages.FILLED)
-        self.collect(found.select(*(x for x in found.columns if x not in ("data", "_record")), F.posexplode("data.records").alias("_record", "record")), step)
+        read_data = lambda f, loops: pages.page_data(f, c["source"], marked["type"], bool(c.get("flatten")), loops=loops)
+        found = read_data(frame, self.loop).drop(pages.FILLED)
+        self.collect(found.select(*(x for x in found.columns if x not in ("data", "_line")), F.posexplode("data.records").alias("_line", "record")), step)
         if self.wanted & {"extracted", str(c.get("storeAs") or "pageData").strip()}:
-            whole = read_data(frame.withColumn("__html", F.col("html"))).withColumnRenamed("__html", "html").drop(pages.FILLED)
+            whole = read_data(frame.withColumn("__html", F.col("html")), []).withColumnRenamed("__html", "html").drop(pages.FILLED)
             data = F.col("data")
             told = F.concat(F.regexp_replace(F.to_json(data.dropFields("records")), r"\}$", ',"records":['), F.array_join(data["records"], ","), F.lit("]}"))
             whole = self.store(whole, c.get("storeAs"), "pageData", told)
@@ -282,10 +282,10 @@ class _Compiler:
 
     def do_auto_extract(self, step: Step, c: dict) -> None:
         fields, is_default, _ = parse_schema(c.get("schema") or c.get("fields") or "")
-        read_auto = lambda f: pages.auto_extract(f, None if is_default else fields, int(c.get("threshold") or 70))
-        self.collect(read_auto(self.pages_for(step)), step)
+        read_auto = lambda f, loops: pages.auto_extract(f, None if is_default else fields, int(c.get("threshold") or 70), loops=loops)
+        self.collect(read_auto(self.pages_for(step), self.loop), step)
         if "extracted" in self.wanted:
-            whole = read_auto(self.pages_for(step).withColumn("__html", F.col("html"))).withColumnRenamed("__html", "html")
+            whole = read_auto(self.pages_for(step).withColumn("__html", F.col("html")), []).withColumnRenamed("__html", "html")
             names = [x for x in whole.columns if x not in self.pages_for(step).columns]
             values = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.col(f"`{x}`").cast("string") for x in names)))
             self.page = self.keep_last(whole, values).drop(*names)

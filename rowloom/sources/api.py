@@ -10,7 +10,7 @@ from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit, urlunsp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 #: Limits of retries and pagination (fixed values).
 MAX_ATTEMPTS, MAX_WAIT_MS, BASE_WAIT_MS = 4, 60_000, 1000
@@ -169,50 +169,61 @@ def _dig(body, path: str):
     return body
 
 
-def read_pages(options: dict[str, str], get=fetch, sleep=None, now=None):
-    """Rows (JSON texts) of an API step: fetch, retry, follow pages."""
+def first_address(options: dict[str, str], base: str) -> str:
+    """The address of the first page, once the options are found to be in order."""
+    if not re.match("https?://", base):
+        raise ValueError("An API source needs a full http:// or https:// address.")
+    mode = check_pagination(options.get("mode", "none"), options.get("rowspath", ""), options.get("cursorpath", ""))
+    return add_query(base, options.get("pageparam", "page"), int(options.get("startpage", 1))) if mode == "page" else base
+
+
+def most_pages(options: dict[str, str]) -> int:
+    return 1 if (options.get("mode") or "none").lower() == "none" else max_pages(options.get("maxpages"))
+
+
+def read_page(options: dict[str, str], base: str, url: str, number: int, get=fetch, sleep=None, now=None) -> tuple[list[str], str | None]:
+    """Rows (JSON texts) of the page at url, the number-th from 0, and the address of the next one; retries as the rules
+    have it. A first page that fails is an error, a later one the end."""
     import time
 
     sleep, now = sleep or time.sleep, now or (lambda: int(time.time() * 1000))
-    base, rows_path, cursor_path = options["url"], options.get("rowspath", ""), options.get("cursorpath", "")
-    if not re.match("https?://", base):
-        raise ValueError("An API source needs a full http:// or https:// address.")
-    mode = check_pagination(options.get("mode", "none"), rows_path, cursor_path)
-    most = 1 if mode == "none" else max_pages(options.get("maxpages"))
-    page, step = int(options.get("startpage", 1)), int(options.get("pagestep", 1)) or 1
-    page_name, cursor_name = options.get("pageparam", "page"), options.get("cursorparam", "cursor")
+    mode, rows_path, cursor_path = (options.get("mode") or "none").lower(), options.get("rowspath", ""), options.get("cursorpath", "")
     headers = json.loads(options.get("headers", "{}"))
-    url = add_query(base, page_name, page) if mode == "page" else base
-    for number in range(most):
-        attempt, waited = 0, 0
-        while True:
-            status, given, text = get(url, headers, float(options.get("timeoutms", 15000)) / 1000)
-            attempt += 1
-            wait = retry_wait(status, attempt, waited, retry_after_ms(given.get("retry-after"), now()))
-            if wait is None:
-                break
-            sleep(wait / 1000)
-            waited += wait
-        if status >= 400:
-            if number == 0:
-                raise RuntimeError(f"API GET {url} failed: {status}")
-            return
-        body = json.loads(text)
-        rows = _dig(body, rows_path) if rows_path else body
-        rows = rows if isinstance(rows, list) else []
+    attempt, waited = 0, 0
+    while True:
+        status, given, text = get(url, headers, float(options.get("timeoutms", 15000)) / 1000)
+        attempt += 1
+        wait = retry_wait(status, attempt, waited, retry_after_ms(given.get("retry-after"), now()))
+        if wait is None:
+            break
+        sleep(wait / 1000)
+        waited += wait
+    if status >= 400:
+        if number == 0:
+            raise RuntimeError(f"API GET {url} failed: {status}")
+        return [], None
+    body = json.loads(text)
+    rows = _dig(body, rows_path) if rows_path else body
+    rows = rows if isinstance(rows, list) else []
+    following = None
+    if mode == "cursor" and _dig(body, cursor_path) not in (None, ""):
+        following = add_query(base, options.get("cursorparam", "cursor"), _dig(body, cursor_path))
+    elif mode == "page":
+        following = add_query(base, options.get("pageparam", "page"), int(options.get("startpage", 1)) + (number + 1) * (int(options.get("pagestep", 1)) or 1))
+    elif mode == "link":
+        following = next_link(given.get("link"), url)
+    return [json.dumps(r, ensure_ascii=False) for r in rows], following if rows and number + 1 < most_pages(options) else None
+
+
+def read_pages(options: dict[str, str], get=fetch, sleep=None, now=None):
+    """Page numbers from 1 and rows (JSON texts) of an API step, page after page."""
+    base = options["url"]
+    url, number = first_address(options, base), 0
+    while url is not None:
+        rows, url = read_page(options, base, url, number, get, sleep, now)
+        number += 1
         for r in rows:
-            yield number + 1, json.dumps(r, ensure_ascii=False)
-        following = None
-        if mode == "cursor" and _dig(body, cursor_path) not in (None, ""):
-            following = add_query(base, cursor_name, _dig(body, cursor_path))
-        elif mode == "page":
-            page += step
-            following = add_query(base, page_name, page)
-        elif mode == "link":
-            following = next_link(given.get("link"), url)
-        if not rows or following is None:
-            return
-        url = following
+            yield number, r
 
 
 class ApiReader(DataSourceReader):
@@ -228,8 +239,45 @@ class ApiReader(DataSourceReader):
             yield partition.value, page, row
 
 
+class ApiStreamReader(SimpleDataSourceStreamReader):
+    """One page of each address a micro-batch. The offset holds, for each address, that of its next page (null when there is
+    none) and how many have been read, so a query that starts again from its checkpoint asks for no page a second time."""
+
+    def __init__(self, options: dict[str, str]):
+        self.options = options
+
+    def initialOffset(self) -> dict:
+        return {base: [first_address(self.options, base), 0] for base in self.options["url"].split()}
+
+    def _step(self, start: dict, only: set[str] | None = None) -> tuple[list[tuple], dict]:
+        out, end = [], {}
+        for base, (url, number) in start.items():
+            if url is None or (only is not None and base not in only):
+                end[base] = [url, number]
+                continue
+            rows, following = read_page(self.options, base, url, number)
+            out += [(base, number + 1, r) for r in rows]
+            end[base] = [following, number + 1]
+        return out, end
+
+    def read(self, start: dict):
+        rows, end = self._step(start)
+        return iter(rows), end
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        """The rows of a batch that was planned but not finished: its pages are asked for again."""
+        at = start
+        while behind := {base for base, (_, number) in at.items() if number < end[base][1]}:
+            rows, at = self._step(at, behind)
+            yield from rows
+
+    def commit(self, end: dict) -> None:
+        """Pages need no acknowledgement."""
+
+
 class ApiDataSource(DataSource):
-    """spark.dataSource.register(ApiDataSource); spark.read.format("rowloom_api").option("url", ...).load()"""
+    """spark.dataSource.register(ApiDataSource); spark.read.format("rowloom_api").option("url", ...).load(), or readStream:
+    then each micro-batch brings a page, and a checkpoint remembers the next."""
 
     @classmethod
     def name(cls) -> str:
@@ -240,3 +288,6 @@ class ApiDataSource(DataSource):
 
     def reader(self, schema):
         return ApiReader({k.lower(): v for k, v in self.options.items()})
+
+    def simpleStreamReader(self, schema):
+        return ApiStreamReader({k.lower(): v for k, v in self.options.items()})

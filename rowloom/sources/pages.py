@@ -176,8 +176,9 @@ def loop_items(pages: DataFrame, selector: str, url: str = "url", html: str = "h
     return dealt.select(*kept, "item", loop.alias("loop"))
 
 
-def page_data(pages: DataFrame, source: str = "auto", kind: str = "", flat: bool = False, url: str = "url", html: str = "html") -> DataFrame:
-    """`data`: found, title, records (JSON texts), meta, sources, warnings and reason."""
+def page_data(pages: DataFrame, source: str = "auto", kind: str = "", flat: bool = False, url: str = "url", html: str = "html", loops: list | None = None) -> DataFrame:
+    """`data`: found, title, records (JSON texts), meta, sources, warnings and reason; in loops, a row for each record
+    (_record), read as a document of its own."""
     from rowloom.plans.context import fill
 
     read.page_data(parse(""), None, source)
@@ -188,7 +189,32 @@ def page_data(pages: DataFrame, source: str = "auto", kind: str = "", flat: bool
 
     texts = pa.list_(pa.string())
     arrow = pa.struct([("found", pa.bool_()), ("title", pa.string()), ("records", texts), ("meta", pa.map_(pa.string(), pa.string())), ("sources", texts), ("warnings", texts), ("reason", pa.string())])
-    return _per_page(pages, build, "data", arrow, "struct<found:boolean,title:string,records:array<string>,meta:map<string,string>,sources:array<string>,warnings:array<string>,reason:string>", url, html)
+    kind_of = "struct<found:boolean,title:string,records:array<string>,meta:map<string,string>,sources:array<string>,warnings:array<string>,reason:string>"
+    return _in_records(pages, build, "data", arrow, kind_of, url, html, loops)
+
+
+def _in_records(pages: DataFrame, build, column: str, arrow: pa.DataType, kind: str, url: str, html: str, loops: list | None, model_col: str | None = None) -> DataFrame:
+    """build of each page as a new column; in loops, a row for each record (_record), of which build sees a tree of its own."""
+    if not loops:
+        return _per_page(pages, build, column, arrow, kind, url, html, model_col)
+
+    def each(document, base, scope=None, filled=None):
+        alone = ((lone_tree(document, r)) for _, r in records(document, loops, scope))
+        return [build(t, base) if filled is None else build(t, base, filled=filled) for t in alone]
+
+    found = _per_page(pages, each, "__each", pa.list_(arrow), f"array<{kind}>", url, html, SCOPE)
+    kept = [c for c in found.columns if c not in ("__each", "_record", SCOPE)]
+    return found.select(*kept, F.posexplode("__each").alias("_record", column))
+
+
+def lone_tree(document, record):
+    """A document with a copy of a record as its whole content."""
+    import copy
+
+    top = copy.copy(document)
+    held = copy.copy(record)
+    held.parent, top.children = top, [held]
+    return top
 
 
 def page_json(pages: DataFrame, mode: str = "tree", url: str = "url", html: str = "html", loops: list[str] | None = None, **options) -> DataFrame:
@@ -296,8 +322,8 @@ def detect_tables(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
     return found.select(*kept, F.explode("__sets").alias("s")).select(*kept, "s.*")
 
 
-def auto_extract(pages: DataFrame, fields: list[str] | None = None, threshold: int = 70, model_col: str | None = None, url: str = "url", html: str = "html") -> DataFrame:
-    """One row a page: the fields, then _confidence, _extractionMethod, _provenance, _needs_model and _warnings.
+def auto_extract(pages: DataFrame, fields: list[str] | None = None, threshold: int = 70, model_col: str | None = None, url: str = "url", html: str = "html", loops: list | None = None) -> DataFrame:
+    """One row a page (in loops, a record): the fields, then _confidence, _extractionMethod, _provenance, _needs_model and _warnings.
 
     Without fields, the default product fields; with fields, the page's JSON-LD answers first, then its meta tags, then
     product heuristics. model_col names a column with a model's JSON answers: a value of it that the page's text bears
@@ -338,7 +364,8 @@ def auto_extract(pages: DataFrame, fields: list[str] | None = None, threshold: i
     cell = pa.struct([("value", pa.string()), ("confidence", pa.int32()), ("source", pa.string())])
     said = pa.struct([("value", pa.string()), ("confidence", pa.int32())])
     arrow = pa.struct([("cells", pa.list_(cell)), ("method", pa.string()), ("warnings", pa.list_(pa.string())), ("text", pa.string()), ("said", pa.list_(said))])
-    found = _per_page(pages, build, "__auto", arrow, "struct<cells:array<struct<value:string,confidence:int,source:string>>,method:string,warnings:array<string>,text:string,said:array<struct<value:string,confidence:int>>>", url, html, model_col)
+    kind = "struct<cells:array<struct<value:string,confidence:int,source:string>>,method:string,warnings:array<string>,text:string,said:array<struct<value:string,confidence:int>>>"
+    found = _in_records(pages, build, "__auto", arrow, kind, url, html, loops, model_col)
     kept = [c for c in found.columns if c not in ("__auto", model_col, *names, "_confidence", "_extractionMethod", "_provenance", "_needs_model", "_warnings")]
     auto = F.col("__auto")
     cells = {f: auto["cells"][i] for i, f in enumerate(names)}

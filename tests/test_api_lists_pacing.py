@@ -203,3 +203,62 @@ def test_a_host_with_most_requests_is_granted_as_by_simulation(spark):
             want = max(at, max((t + (k - j + 1 - 4) * 20 for j, t in enumerate([*times, at])), default=at))
             times.append(at)
             assert got[i] == want
+
+
+def test_a_stream_of_pages_asks_for_none_twice(spark, tmp_path):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    asked = []
+
+    class Pages(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            n = int(self.path.rpartition("cursor=")[2]) if "cursor=" in self.path else 0
+            most = 4 if self.path.startswith("/a") else 2
+            body = json.dumps({"items": [{"id": f"{self.path[1]}{n}.{i}"} for i in range(3)], "next": n + 1 if n + 1 < most else None}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(api.ApiDataSource)
+    base = f"http://127.0.0.1:{server.server_port}"
+    source = spark.readStream.format("rowloom_api").options(url=f"{base}/a {base}/b", rowsPath="items", mode="cursor", cursorPath="next")
+    try:
+        for _ in range(7):
+            # Each run is a new query over the same checkpoint; it takes what comes until it is stopped.
+            query = source.load().writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+            query.awaitTermination(60)
+            query.stop()
+    finally:
+        server.shutdown()
+    rows = [json.loads(r.row)["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert sorted(rows) == sorted([f"a{n}.{i}" for n in range(4) for i in range(3)] + [f"b{n}.{i}" for n in range(2) for i in range(3)])
+    assert len(asked) == len(set(asked)) == 6
+
+
+def test_an_unfinished_batch_is_read_again(spark):
+    from rowloom.sources.api import ApiStreamReader
+
+    reader = ApiStreamReader({"url": "http://s.test/x", "mode": "page", "rowspath": "d"})
+    given = {"http://s.test/x?page=1": '{"d":[1,2]}', "http://s.test/x?page=2": '{"d":[3]}', "http://s.test/x?page=3": '{"d":[]}'}
+    api_fetch, api.read_page.__defaults__ = api.read_page.__defaults__, (lambda url, *_: (200, {}, given[url]), None, None)
+    try:
+        start, seen = reader.initialOffset(), []
+        at = start
+        while True:
+            rows, end = reader.read(at)
+            seen += list(rows)
+            if end == at:
+                break
+            at = end
+        assert [r[1:] for r in seen] == [(1, "1"), (1, "2"), (2, "3")]
+        assert list(reader.readBetweenOffsets(start, at)) == seen
+    finally:
+        api.read_page.__defaults__ = api_fetch

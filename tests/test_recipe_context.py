@@ -175,3 +175,15 @@ def test_marks_and_lists():
     assert context.keys("a.b[2].c") == ["a", "b", "2", "c"] and context.heads({"x": ["{{ a.b }}", "{{c[0]}}"]}) == {"a", "c"}
     assert list_lines(" a \n\nb") == ["a", "b"]
     assert list_lines('u,n\n1,"x, y"\n2', ",", True) == [{"u": "1", "n": "x, y", "value": "1", "text": '1,"x, y"'}, {"u": "2", "n": "", "value": "2", "text": "2"}]
+
+
+def test_records_are_the_scope_of_data_steps(spark):
+    shop = '<div class=c><div itemscope itemtype="https://schema.org/Product"><b itemprop=name>{0}</b></div><h2>{0}</h2><i class=price>$ {1}.00</i></div>'
+    pages = site(spark, p=shop.format("Pot", 3) + shop.format("Pan", 4) + "<div class=c>none</div>")
+    home = step("WEBSITE", url=f"{SITE}/p")
+    done = run(spark, pages, home, loop("elements", step("PAGE_DATA", source="microdata"), selector="div.c"))
+    assert [(r, "Pot" in d, "Pan" in d) for r, d in placed(done, "_record", "record")] == [(0, True, False), (1, False, True)]
+    done = run(spark, pages, home, loop("elements", step("AUTO_EXTRACT", schema="name"), selector="div.c"))
+    assert [n for (n,) in placed(done, "name")][:2] == ["Pot", "Pan"]
+    done = run(spark, pages, home, loop("elements", step("PAGE_DATA", source="microdata", type="{{item.none}}Product"), selector="div.c:nth-child(2)"))
+    assert len(placed(done, "record")) == 1 and "Pan" in placed(done, "record")[0][0]
