@@ -64,5 +64,5 @@ def run_warning(rows: DataFrame, columns: list[str] | None = None) -> str | None
 
 def summary(counts: dict[str, int]) -> str:
     if not counts:
-        return "No PII detected."
-    return ", ".join(f"{t}: {n} occurrence{'' if n == 1 else 's'}" for t, n in counts.items())
+        return "no personal data"
+    return ", ".join(f"{n} of {t}" for t, n in counts.items())

@@ -32,4 +32,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-from rowloom.plans import documents, values  # noqa: E402, F401  (the modules register their queries)
+from rowloom.plans import documents, steps_queries, values  # noqa: E402, F401  (the modules register their queries)

@@ -27,7 +27,7 @@ APPENDABLE = ("csv", "tsv", "jsonl")
 
 def format_meta(name: str) -> dict[str, str]:
     if name not in FORMATS:
-        raise ValueError(f"Unsupported export format: {name}")
+        raise ValueError(f"{name!r} is no format rows can be written in ({', '.join(FORMATS)})")
     return dict(zip(("ext", "mime", "label"), FORMATS[name], strict=True))
 
 
@@ -69,7 +69,7 @@ def line(df: DataFrame, fmt: str) -> Column:
         return F.concat_ws("\n", F.lit("  <row>"), *parts, F.lit("  </row>"))
     if fmt in ("jsonl", "json"):
         return F.to_json(F.struct(*(F.col(f"`{n}`") for n in names)), {"ignoreNullFields": "false"})
-    raise ValueError(f"Unsupported export format: {fmt}")
+    raise ValueError(f"{fmt!r} is no format rows can be written in")
 
 
 def header(columns: list[str], fmt: str) -> list[str]:

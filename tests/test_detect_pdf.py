@@ -71,7 +71,7 @@ def test_maps_notes_and_errors():
     unknown = pdf.read_pdf(make_pdf(b"BT <0001000200030004> Tj ET"))
     assert unknown["pages"][0]["note"] == pdf.NOTE_GLYPHS and unknown["warnings"] == [pdf.NO_MAP]
     assert pdf.read_pdf(b"%PDF-1.4\n")["warnings"] == [pdf.NO_TEXT]
-    for bad, words in ((b"hello", "Not a PDF"), (b"%PDF-1.4 /Encrypt 5 0 R", "encrypted")):
+    for bad, words in ((b"hello", "lack the %PDF- mark"), (b"%PDF-1.4 /Encrypt 5 0 R", "locked by encryption")):
         with pytest.raises(pdf.PdfError, match=words):
             pdf.read_pdf(bad)
 

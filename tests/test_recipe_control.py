@@ -141,5 +141,5 @@ def test_counters_and_the_warning_of_a_run(spark):
 
     done = compile_recipe(spark, {"steps": [{"type": "DEDUPE", "config": {"fields": "record"}}, {"type": "WEBSITE"}, ONE]}, Sources(pages=site(spark, [["me@x.org", "b"], ["b", "you@x.org"]])))
     assert counters(done) == {"rows": 3, "dropped": 1}
-    assert run_warning(done.rows, ["record"]) == "Email: 2 occurrences" and run_warning(done.rows.where("record = 'b'"), ["record"]) is None
+    assert run_warning(done.rows, ["record"]) == "2 of Email" and run_warning(done.rows.where("record = 'b'"), ["record"]) is None
     assert counters(compile_recipe(spark, {"steps": [{"type": "WEBSITE"}]}, Sources(pages=site(spark, [])))) == {"rows": 0, "dropped": 0}

@@ -37,7 +37,7 @@ def test_a_run_is_taken_up_where_it_failed(spark, tmp_path):
     assert [(r.run_id, r.step_index) for r in incomplete_runs(cursors).collect()] == [("a", 1)]
     run = run_recipe(spark, recipe, tables(spark, tmp_path), root, "a")
     assert run.state == "done" and values(run) == ["me@x.org", "me@x.org", '{"id":1}', '{"id":2}']
-    assert run.warning == "Email: 2 occurrences"
+    assert run.warning == "2 of Email"
     assert incomplete_runs(spark.read.parquet(f"{root}/cursors")).count() == 0
     # Done, it reads no source at all; another run has rows of its own.
     files = run_recipe(spark, recipe, tables(spark, tmp_path), root, "a").result.rows.inputFiles()
