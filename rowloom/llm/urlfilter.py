@@ -14,7 +14,8 @@ the tree decides. A host is a root, and its paths grow it, segment by segment, t
   PURITY / 10. A child with all URLs of its node has its node's purity.
 
 Labels are the rules' own verdicts unless a label column is given. All statistics are aggregates of the distinct path
-shapes, so a host with a third of all URLs is no group of its own anywhere. A round settles one branching level of
+shapes, pre-aggregated, and joins part the keys that many shapes or URLs share, so a host with a third of all URLs is
+no group of its own anywhere. A round settles one branching level of
 all hosts; what a node's paths have in common is passed over at once.
 
 Edge cases: a null URL, or one without `://`, has the empty host and path, fits no rule and shares the template of
@@ -30,7 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm._arrow import col, without
-from rowloom.session import cut_lineage
+from rowloom.llm._skew import parted_join
+from rowloom.session import cut_lineage, discard
 
 #: verdict, host, start of path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -122,7 +124,7 @@ def template_purity(urls: DataFrame) -> DataFrame:
         ends = growing.groupBy("host", "node").agg(F.min("left").alias("low"), F.max("left").alias("high"))
         same = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), F.lit(False)) - 1
         ends = ends.select("host", "node", (F.col("low") == F.col("high")).alias("settled"), F.when(same < 0, F.least(F.size("low"), F.size("high"))).otherwise(same).cast("int").alias("skip"))
-        growing = cut_lineage(growing.join(ends, ["host", "node"]).withColumn("left", F.slice("left", F.col("skip") + 1, F.size("left"))).drop("skip"), "url-levels")
+        growing = cut_lineage(parted_join(growing, ends, ["host", "node"]).withColumn("left", F.slice("left", F.col("skip") + 1, F.size("left"))).drop("skip"), "url-levels")
         done.append(growing.where("settled").select("host", "shape", "purity"))
         growing = growing.where("NOT settled").drop("settled")
         if growing.isEmpty():
@@ -130,7 +132,7 @@ def template_purity(urls: DataFrame) -> DataFrame:
         at = lambda k: F.coalesce(F.try_element_at("left", F.lit(k)), F.lit(END))
         growing = growing.withColumns({"first": at(1), "second": at(2)})
         steps = cut_lineage(_branches(growing), "url-branches")
-        growing = growing.drop("purity").join(steps, ["host", "node", "first"])
+        growing = parted_join(growing.drop("purity"), steps, ["host", "node", "first"])
         growing = growing.withColumns({"node": F.sha2(F.concat_ws(" ", "node", F.col("step")), 256), "left": F.slice("left", 2, F.size("left"))}).drop("first", "second", "step")
 
 
@@ -162,19 +164,11 @@ SENT = 200_000
 
 def _with_rejected(urls: DataFrame, rejected: DataFrame) -> DataFrame:
     """urls with __rejected, true for those of a rejected shape: by a broadcast where such shapes are few; otherwise by a
-    join in which a shape that many URLs have meets them in as many parts as it has thousands of URLs."""
+    join in which a shape that many URLs have is parted."""
     on = ["host", "shape"]
     if rejected.limit(SENT + 1).count() <= SENT:
         return urls.join(F.broadcast(rejected), on, "left")
-    counts = urls.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).join(rejected, on, "left_semi").where(f"n > {PART}")
-    common = counts.orderBy(F.desc("n")).limit(COMMON).select(*on, F.ceil(F.col("n") / PART).cast("int").alias("__parts"))
-    dealt = rejected.join(F.broadcast(common), on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
-    told = urls.join(F.broadcast(common), on, "left").withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
-    return told.join(dealt, [*on, "__part"], "left").drop("__part")
-
-
-#: URLs of one shape in a part of such a join, and the shapes that are parted at most.
-PART, COMMON = 100_000, 10_000
+    return parted_join(urls, rejected, on, "left")
 
 
 #: Segments of the paths in the driver's pages, which the registered SQL reaches; longer paths are tested by brute force.

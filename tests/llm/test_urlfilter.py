@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 from oracle import assert_same  # noqa: E402
 
-from rowloom.llm import registry, urlfilter  # noqa: E402
+from rowloom.llm import _skew, registry, urlfilter  # noqa: E402
 
 
 def test_query_equals_oracle(spark):
@@ -150,7 +150,7 @@ def test_any_column_names_and_common_shapes(spark, monkeypatch):
     assert {v for i, _, v in want if i < 90} == {"allow"} or {v for i, _, v in want if i < 90} == {"block"}
     assert urlfilter.filter_urls(df).columns == ["page_id", "url", "bad", "a.b", "host", "path", "rule", "verdict"]
     monkeypatch.setattr(urlfilter, "SENT", 0)
-    monkeypatch.setattr(urlfilter, "PART", 7)
+    monkeypatch.setattr(_skew, "PART", 7)
     all_bad = df.selectExpr("page_id", "url", "url like '%bad.org%' as bad")
     got = sorted((r.page_id, r.verdict) for r in urlfilter.filter_urls(all_bad, rules=(), label_col="bad").collect())
     assert got == [(i, "block" if i < 90 else "allow") for i in sorted(r[0] for r in rows)]
