@@ -7,7 +7,8 @@ prefix of the grid takes the least depth at which its bucket fits. Buckets that
 HASH_BITS bits. Rows find their leaf in a broadcast of the leaves, up to LEAVES_SENT of them; beyond, by a join.
 
 Rows that are alike in id and text have the same hash and cannot be split by it. Where they exceed the limit together,
-they are dealt into sub-shards (prefix#part-number) by running sums within each input partition.
+they are dealt into sub-shards (prefix#part-number) by running sums within each partition of the input, so that they are
+never gathered; the parts' numbers are those of the input's partitions.
 
 Edge cases: a row larger than the limit gets a shard of its own; null ids and texts hash and count as empty ones;
 an empty table gives an empty one; columns named like the results are replaced.
@@ -22,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rowloom.llm._arrow import col, without
+from rowloom.llm._skew import parted_join
 from rowloom.session import cut_lineage
 
 HASH_BITS = 60
@@ -84,7 +86,7 @@ def shard(df: DataFrame, limit: int = LIMIT_BYTES, id_col: str = "doc_id", text_
     kept = without(df.columns, RESULT)
     own = [f"k{i}" for i in range(len(kept))]
     size, text_hash = F.coalesce(F.octet_length(col(text_col)), F.lit(0)).cast("long"), hash_bits(col(id_col), col(text_col))
-    rows = df.select(*(col(c).alias(k) for c, k in zip(kept, own, strict=True)), size.alias("n_bytes"), text_hash.alias("__hash"))
+    rows = df.select(*(col(c).alias(k) for c, k in zip(kept, own, strict=True)), size.alias("n_bytes"), text_hash.alias("__hash"), F.spark_partition_id().alias("__input"))
     return _shards(rows, own, limit).toDF(*kept, *RESULT)
 
 
@@ -105,7 +107,7 @@ def _shards(rows: DataFrame, own: list[str], limit: int) -> DataFrame:
     deep = placed.where("leaf IS NULL").drop("leaf")
     whole = cut_lineage(deep.groupBy(F.col("__hash").alias("cell")).agg(*count), "shard-cells")
     leaves = cut_lineage(_settle(whole, grid + 1, HASH_BITS, limit, HASH_BITS), "shard-deep")
-    deep = deep.withColumn("cell", F.col("__hash")).withColumn("__part", F.spark_partition_id()).join(leaves, "cell")
+    deep = parted_join(deep.withColumn("cell", F.col("__hash")).withColumnRenamed("__input", "__from"), leaves, ["cell"]).withColumnRenamed("__from", "__part")
     split = deep.where("leaf IS NOT NULL").select(*columns, name.alias("shard"), F.col("leaf.depth").alias("depth"), F.col("leaf.shard_bytes").alias("shard_bytes"))
     alike = deep.where("leaf IS NULL").withColumn("__of", F.greatest(F.lit(1), F.floor(limit / F.greatest(F.col("n_bytes"), F.lit(1)))))
     number = F.floor((F.row_number().over(W.partitionBy("cell", "__part").orderBy("n_bytes")) - 1) / F.col("__of"))

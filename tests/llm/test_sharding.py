@@ -70,3 +70,16 @@ def test_few_large_rows_settle_above_the_grid(spark):
     rows = [(i, "y" * 1000) for i in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(((r.doc_id, r.n_bytes, r.shard) for r in sharding.shard(df, 1).collect()), key=repr) == brute(rows, 1)
+
+
+def test_alike_rows_stay_where_they_are_read(spark, monkeypatch):
+    """Also where the join with the leaves is a shuffle, equal rows are never gathered in one task."""
+    monkeypatch.setattr(sharding, "LEAVES_SENT", 0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(1, "same text")] * 600, "doc_id long, text string").repartition(6)
+        names = [r.shard for r in sharding.shard(df, 90).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(names) == 600 and len({n.partition("#")[2].partition("-")[0] for n in names}) == 6
