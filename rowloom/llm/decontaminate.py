@@ -9,7 +9,9 @@ The index is bounded. Items are cut into pieces of PIECE_WORDS words that overla
 pieces are dealt by hash into blocks of about BLOCK_CHARS characters, whose true sizes are checked; an executor builds
 each block's index, and what the driver collects and broadcasts is that index: the block's words, its pieces as word
 numbers, and for each distinct window a hash, a place and the numbers of its items, about 12 bytes a character.
-A further block is scanned in the same job by a further Python stage that adds to what was found so far.
+A further block is scanned in the same job by a further Python stage that adds to what was found so far. After CHAINED
+blocks what was found is written and their broadcasts are given back, so that no more than so many are ever held at once
+however large the benchmark is.
 
 Edge cases: a null or empty text has no words, so it is never hit and, as an item, never found; benchmark rows with
 the same id are one item, a null id is the empty string; repeated documents get equal results; an empty table on
@@ -30,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm._arrow import col, map_arrow, one_pass, set_aside, without
-from rowloom.session import cut_lineage
+from rowloom.session import cut_lineage, discard
 
 WINDOW = 10
 #: Characters of benchmark text in one block, and words in a piece of an item. A block may hold MOST_OVER times as much.
 BLOCK_CHARS, PIECE_WORDS, MOST_OVER = 8_000_000, 2000, 4
+#: Blocks that are held at once.
+CHAINED = 2
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -194,10 +198,20 @@ def find_benchmark(
     fields = "".join(f"{k} {df.schema[c].dataType.simpleString()}, " for k, c in zip(own, kept, strict=True))
     out = df.select(*(col(c).alias(k) for c, k in zip(kept, own, strict=True)))
     # Without an index, documents are scanned for nothing, which counts their words.
-    scanned = False
+    scanned, held, written = False, [], None
     for index in chain(_indexes(benchmark, item_id, item_text, window, block_chars, piece_words), [None]):
         if index is not None or not scanned:
+            if len(held) == CHAINED:
+                # Documents are scanned by these blocks now, and the next ones go on from the files.
+                done = cut_lineage(out, "scanned")
+                for sent in held:
+                    sent.destroy()
+                if written is not None:
+                    discard(written)
+                out = written = done
+                held = []
             sent = df.sparkSession.sparkContext.broadcast(index or WindowIndex([]))
+            held.append(sent)
             out = map_arrow(out, _scanner(sent, own, own[kept.index(text_col)]), f"{fields}n_words bigint, hit_spans array<struct<start:int,end:int>>, hit_items array<string>")
             scanned = True
     return out.toDF(*kept, *RESULT)
