@@ -4,17 +4,21 @@ Targets: sources in code-point order (null last) weigh 3, 1, 2, repeating, and s
 target stops at `most` times its source's words and the excess is shared again by weight among the others, until none
 is above; each round is one aggregate over the table of sources.
 
-Quotas: the mix is dealt out in blocks of `block_words` words to shards of about `shard_blocks` blocks. Source s gets
-block j where its quotient target / (2j - 1) is at least block_words / 2, which grants the highest quotients of all
-sources until none that deserves a block is left; up to shard k of n that is floor(target k / (n block_words) + 1/2)
-blocks. So every shard has an integer quota of each source, and every run of shards keeps the proportions.
-
-Selection: a source's documents stand in a seeded order (MD5 of seed and id), and the blocks of that word stream go to
-the shards in turn, each up to its quota, and again from the start when the stream is used up. What the mix takes of a
-document is what the shards' quotas select of it. A document's start in the stream is the sum of the words before it,
-from the sums of hash buckets (pre-aggregated, as many as the number of documents asks for) and a running sum inside
-its own bucket, so no task holds a whole source. Buckets of more than HOT_ROWS rows (of one id, or without one) are
-split by size, by text and at last by input partition.
+Quotas: a source's words are cut into equal blocks of about `block_words` words (more where the mix would have over
+MOST_BLOCKS of them; its last block may be shorter), and the mix has as many blocks, in all, as its targets are worth.
+They are granted one after the other to the source of the highest quotient, the worth of its target in blocks over 2j - 1
+for its j-th, and fill shards of `shard_blocks` blocks each in that order. The seats of all sources after each shard are
+found at once: a divisor on either side of the right one brackets them to about two blocks a source, and those are ranked
+by quotient. A source never gets more than `most` times its blocks.
+
+Selection: a source's documents stand in a seeded order (MD5 of seed and id), and its blocks are numbered along that
+stream. If its seats are several times its blocks, all blocks are taken so often; for the seats that are left, each shard
+chooses its share among a run of blocks in proportion to it: every m/r-th from a seeded start, so that exactly r of m are
+chosen, and how many of those before a block are chosen is a formula. What the mix takes of a document is what the chosen
+blocks hold of it. A document's start in the stream is the sum of the words before it, from the sums of hash buckets
+(pre-aggregated, as many as the number of documents asks for) and a running sum inside its own bucket, over ids and sizes
+alone, so no task holds a whole source. Buckets of more than HOT_ROWS rows (of one id, or without one) are split by size,
+by text and at last by input partition.
 
 Edge cases: a null text counts 0 words and is never taken; null is a source of its own; repeated rows are documents
 of their own (rows of equal id and size may swap their shares); with no words at all every target is 0; an empty
@@ -30,12 +34,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rowloom.llm._arrow import col, set_aside, without
+from rowloom.llm._skew import parted_join
 from rowloom.session import cut_lineage
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST, BLOCK_WORDS, SEED = 1.5, 2, 16, "mix-1"
-#: Blocks of a shard; documents that a bucket should have, and from which it is split.
-SHARD_BLOCKS, BUCKET_ROWS, HOT_ROWS = 65_536, 2000, 50_000
+#: Blocks of a shard, and of the mix at most; documents that a bucket should have, and from which it is split.
+SHARD_BLOCKS, MOST_BLOCKS, BUCKET_ROWS, HOT_ROWS = 4096, 1 << 20, 2000, 50_000
+#: Sources whose seats (a few kilobytes each) are sent to every executor at most.
+SENT = 2000
 
 RESULT = ("size", "source_size", "target", "taken", "shards")
 
@@ -58,10 +65,10 @@ def _places(totals: DataFrame) -> DataFrame:
     return spread.withColumn("__number", number).join(parts, "__part").withColumn("place", F.col("__from") + F.col("__number")).drop("__part", "__from", "__number")
 
 
-def targets(totals: DataFrame, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """From (source, source_size), one row a source: weight, target and seat_words, the words of its blocks."""
+def targets(totals: DataFrame, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """From (source, source_size), one row a source: place, weight and target."""
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS) + 1).cast("int")).cast("long")
-    t = cut_lineage(_places(totals).select("source", "source_size", weight.alias("weight"), (most * F.col("source_size")).alias("cap")), "weights")
+    t = cut_lineage(_places(totals).select("source", "source_size", "place", weight.alias("weight"), (most * F.col("source_size")).alias("cap")), "weights")
     every, weights = t.agg(F.sum("source_size"), F.sum("weight")).first()
     room = whole = share * (every or 0)
     rest, stopped = weights or 1, 0
@@ -72,36 +79,95 @@ def targets(totals: DataFrame, share: float = SHARE, most: int = MOST, block_wor
             break
         room, rest, stopped = whole - words, weights - theirs, n
     target = F.when(above, F.col("cap").cast("double")).otherwise(F.lit(room / rest) * F.col("weight"))
-    seats = F.floor(F.col("target") / block_words + 0.5)
-    return t.withColumn("target", target).select("source", "source_size", "weight", "target", F.least(seats * block_words, F.col("cap")).cast("long").alias("seat_words"))
-
-
-def blocks_before(shard: Column, shards: Column, target: Column, block_words: int = BLOCK_WORDS) -> Column:
-    """Blocks of a source in the shards before this one."""
-    return F.floor(target * shard / (shards * block_words) + 0.5).cast("long")
-
-
-def shard_quotas(sources: DataFrame, shards: int, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Blocks of each source in each shard (shard, source, blocks)."""
-    upto = lambda k: blocks_before(k, F.lit(shards), F.col("target"), block_words)
-    dealt = sources.select("source", "target", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    return dealt.select("shard", "source", (upto(F.col("shard") + 1) - upto(F.col("shard"))).alias("blocks"))
-
-
-def _selected(start: Column, words: Column, shards: int, block_words: int) -> Column:
-    """(shard, words) of each shard whose quota takes some of the words from start of a source's stream."""
-    target, seats = F.col("target"), F.col("seat_words")
-    stop = F.least(start + words, seats)
-    shard_of = lambda block: F.floor((block + 0.5) * (shards * block_words) / target).cast("long")
-    first, last = F.floor(start / block_words), F.floor((stop - 1) / block_words)
-    inside = lambda k: F.greatest(F.lit(0).cast("long"), F.least(k, F.lit(shards - 1).cast("long")))
-    by_shard = F.sequence(inside(shard_of(first) - 1), inside(shard_of(last) + 1))
-    by_block = F.array_distinct(F.flatten(F.transform(F.sequence(first, last), lambda j: F.sequence(inside(shard_of(j) - 1), inside(shard_of(j) + 1)))))
-    candidates = F.when(target >= shards * block_words, by_shard).otherwise(by_block)
-    edge = lambda k: blocks_before(k, F.lit(shards), target, block_words) * block_words
-    share = lambda k: F.struct(k.alias("shard"), (F.least(stop, edge(k + 1)) - F.greatest(start, edge(k))).alias("words"))
-    found = F.filter(F.transform(candidates, share), lambda x: x["words"] > 0)
-    return F.when((stop > start) & (target > 0), found).otherwise(F.array().cast("array<struct<shard:bigint,words:bigint>>"))
+    return t.withColumn("target", target).select("source", "source_size", "place", "weight", "target")
+
+
+def in_blocks(sources: DataFrame, most: int = MOST, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """sources with blocks, their number, block_words, the words of each, worth, its target in blocks, and cap, the most
+    that it may get."""
+    n = F.ceil(F.col("source_size") / block_words)
+    own = sources.withColumn("block_words", F.greatest(F.lit(1), F.when(n > 0, F.ceil(F.col("source_size") / n)).otherwise(1)).cast("long"))
+    own = own.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block_words")).cast("long"))
+    return own.withColumns({"worth": F.col("target") / F.col("block_words"), "cap": F.col("blocks") * most})
+
+
+def seats(sources: DataFrame, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """(source columns, shard, upto): the blocks of each source (worth, cap, place) in the shards up to each, from 1. Each
+    shard has shard_blocks of them, the last one what is left."""
+    worth, n, caps = sources.agg(F.sum("worth"), F.count(F.lit(1)), F.sum("cap")).first()
+    house = min(math.floor((worth or 0.0) + 0.5), caps or 0)
+    shards = max(1, math.ceil(house / shard_blocks))
+    filled = F.least(F.col("shard") * shard_blocks, F.lit(house)).cast("long")
+    at = sources.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards)))).withColumn("filled", filled)
+    by = lambda divisor: F.least(F.col("cap"), F.floor(F.col("worth") / divisor + 0.5).cast("long"))
+    below, above = F.col("filled") - F.lit(n / 2 + 1), F.col("filled") + F.lit(1.5 * n + 1)
+    low = F.when(below > 0, by(F.lit(worth or 0.0) / below)).otherwise(F.lit(0).cast("long"))
+    at = at.withColumns({"low": low, "high": F.greatest(low, by(F.lit(worth or 0.0) / above)) if worth else low})
+    sums = at.groupBy("shard").agg(F.sum("low").alias("lows"), F.sum("high").alias("highs"))
+    at = cut_lineage(at.join(F.broadcast(sums), "shard").withColumn("high", F.when(F.col("highs") < F.col("filled"), F.col("cap")).otherwise(F.col("high"))), "mix-seats")
+    asked = at.where("high > low").select("shard", "place", "filled", "lows", "worth", F.explode(F.sequence(F.col("low") + 1, F.col("high"))).alias("j"))
+    rank = F.row_number().over(W.partitionBy("shard").orderBy(F.desc("quotient"), "place", "j"))
+    granted = asked.withColumn("quotient", F.col("worth") / (2 * F.col("j") - 1)).withColumn("rank", rank).where("rank <= filled - lows")
+    more = granted.groupBy("shard", "place").agg(F.count(F.lit(1)).alias("more"))
+    upto = (F.col("low") + F.coalesce("more", F.lit(0))).alias("upto")
+    return at.join(more, ["shard", "place"], "left").select(*sources.columns, "shard", upto)
+
+
+def _runs(sources: DataFrame, shard_blocks: int, seed: str) -> DataFrame:
+    """For each source: copies, how often all its blocks are taken; left, the seats beyond; and its runs of blocks, one a
+    shard: first and last block (end exclusive), seats chosen before and up to it, the start of the choice, and the blocks
+    of whole copies before and up to it."""
+    every = seats(sources, shard_blocks)
+    names = [c for c in sources.columns if c != "__source"]
+    one = every.groupBy("__source").agg(*(F.first(c).alias(c) for c in names), F.array_sort(F.collect_list(F.struct("shard", "upto"))).alias("at"))
+    whole = one.withColumn("seats", F.element_at("at", -1)["upto"])
+    n = F.greatest(F.col("blocks"), F.lit(1))
+    whole = whole.withColumns({"copies": F.expr("seats div greatest(blocks, 1)"), "left": F.col("seats") % n})
+    before = lambda i: F.when(i > 0, F.col("at")[i - 1]["upto"]).otherwise(F.lit(0).cast("long"))
+    chosen = lambda u: F.floor(u * F.col("left") / F.greatest(F.col("seats"), F.lit(1))).cast("long")
+    edge = lambda c: F.when(F.col("left") > 0, F.ceil(F.col("blocks") * c / F.greatest(F.col("left"), F.lit(1)))).otherwise(0).cast("long")
+
+    def run(x, i):
+        a, b = chosen(before(i)), chosen(x["upto"])
+        first, end = edge(a), edge(b)
+        digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("__source"), x["shard"].cast("string")).cast("binary")), 1, 12)
+        start = F.conv(digits, 16, 10).cast("long") % F.greatest(end - first, F.lit(1))
+        return F.struct(x["shard"].alias("shard"), first.alias("first"), end.alias("end"), a.alias("a"), b.alias("b"), start.alias("start"), (before(i) - a).alias("f"), (x["upto"] - b).alias("g"))
+
+    return whole.withColumn("runs", F.transform("at", run)).select("__source", "source_size", "target", "blocks", "block_words", "copies", "left", "runs")
+
+
+def _chosen_words(x: Column) -> Column:
+    """Words of the chosen blocks among the first x of a source's stream."""
+    j = F.floor(x / F.col("block_words")).cast("long")
+    inside = F.get("runs", F.size(F.filter("runs", lambda r: r["end"] <= j)))
+    r, m = inside["b"] - inside["a"], F.greatest(inside["end"] - inside["first"], F.lit(1))
+    upto = lambda k: F.floor((k + inside["start"]) * r / m)
+    count = lambda k: inside["a"] + upto(k - inside["first"]) - upto(F.lit(0))
+    words = (count(j) * F.col("block_words") + (count(j + 1) - count(j)) * (x - j * F.col("block_words"))).cast("long")
+    # Behind the last run, which ends with the blocks, all have been counted; the last block may be a short one.
+    return F.when(inside.isNull(), F.least(F.col("left") * F.col("block_words"), x)).otherwise(words)
+
+
+def _selected(start: Column, words: Column) -> Column:
+    """(shard, words) of each shard that takes some of the words from start of a source's stream."""
+    stop, width, n = start + words, F.col("block_words"), F.greatest(F.col("blocks"), F.lit(1))
+    of = lambda k: (F.floor(k / n) * F.col("source_size") + F.least((k % n) * width, F.col("source_size"))).cast("long")
+
+    def taken(r):
+        a, b = F.greatest(start, r["first"] * width), F.least(stop, r["end"] * width)
+        rest = F.when(b > a, F.aggregate(F.array(_part(b, r), -_part(a, r)), F.lit(0).cast("long"), lambda t, v: t + v)).otherwise(0)
+        cycle = lambda i: F.greatest(F.lit(0), F.least(stop + i * F.col("source_size"), of(r["g"])) - F.greatest(start + i * F.col("source_size"), of(r["f"])))
+        cycles = F.aggregate(F.sequence(F.lit(0), F.greatest(F.col("copies") - 1, F.lit(0)).cast("int")), F.lit(0).cast("long"), lambda t, i: t + cycle(i).cast("long"))
+        return F.struct(r["shard"].cast("long").alias("shard"), (rest + F.when(F.col("copies") > 0, cycles).otherwise(0)).cast("long").alias("words"))
+
+    def _part(x, r):
+        j = F.floor(x / width).cast("long")
+        share, m = r["b"] - r["a"], F.greatest(r["end"] - r["first"], F.lit(1))
+        upto = lambda k: F.floor((k - r["first"] + r["start"]) * share / m)
+        return ((upto(j) - upto(r["first"])) * width + (upto(j + 1) - upto(j)) * (x - j * width)).cast("long")
+
+    return F.filter(F.transform("runs", taken), lambda x: x["words"] > 0)
 
 
 def _starts(docs: DataFrame, levels: list[list[str]]) -> DataFrame:
@@ -133,16 +199,17 @@ def mix(
     buckets = cut_lineage(docs.groupBy("__source", "__bucket").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")), "mix-buckets")
     totals = buckets.groupBy("__source").agg(F.sum("size").alias("source_size"))
     totals = totals.select(F.when(F.col("__source") != "null", F.substr("__source", F.lit(2))).alias("source"), "source_size")
-    sources = cut_lineage(targets(totals, share, most, block_words).withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))).drop("source", "weight"), "mix-sources")
-    blocks = sources.agg(F.sum(F.col("target"))).first()[0] or 0
-    shards = max(1, math.ceil(blocks / block_words / shard_blocks))
+    named = targets(totals, share, most).withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))).drop("source", "weight")
+    words = named.agg(F.sum("target")).first()[0] or 0
+    sources = cut_lineage(in_blocks(named, most, max(block_words, math.ceil(words / MOST_BLOCKS))), "mix-sources")
+    runs = cut_lineage(_runs(sources, shard_blocks, seed), "mix-runs")
 
     def placed(rows: DataFrame, starts: DataFrame, group: list[str]) -> DataFrame:
         within = W.partitionBy(*group).orderBy("__order", "size", "__text").rowsBetween(W.unboundedPreceding, W.currentRow)
-        return rows.join(starts, group).withColumn("__at", F.col("__start") + F.sum("size").over(within) - F.col("size")).select(*own, "size", "source_size", "target", "seat_words", "__at")
+        return rows.join(starts, group).withColumn("__at", F.col("__start") + F.sum("size").over(within) - F.col("size")).select(*own, "size", "__source", "__at")
 
     plain = ["__source", "__bucket"]
-    starts = _starts(buckets, [["__source"], ["__bucket"]]).join(sources, "__source")
+    starts = _starts(buckets, [["__source"], ["__bucket"]])
     hot = buckets.where(F.col("rows") > hot_rows).select(*plain)
     if hot.isEmpty():
         out = placed(docs, starts, plain)
@@ -152,10 +219,12 @@ def mix(
         many = cut_lineage(docs.withColumn("__part", F.spark_partition_id()).join(hot, plain, "left_semi"), "mix-hot")
         finer = _starts(many, levels).withColumnRenamed("__start", "__inner").join(starts, plain).withColumn("__start", F.col("__start") + F.col("__inner")).drop("__inner")
         out = placed(docs.join(hot, plain, "left_anti"), starts, plain).unionByName(placed(many, finer, [c for level in levels for c in level]))
-    selected = F.concat(_selected(F.col("__at"), F.col("size"), shards, block_words), _selected(F.col("__at") + F.col("source_size"), F.col("size"), shards, block_words))
-    out = out.withColumn("shards", selected)
-    taken = F.aggregate("shards", F.lit(0).cast("long"), lambda total, x: total + x["words"])
-    return out.select(*own, "size", "source_size", "target", taken.alias("taken"), "shards").toDF(*kept, *RESULT)
+    few = runs.limit(SENT + 1).count() <= SENT
+    out = out.join(F.broadcast(runs), "__source") if few else parted_join(cut_lineage(out, "mix-placed"), runs, ["__source"])
+    taken = F.col("copies") * F.col("size") + _chosen_words(F.col("__at") + F.col("size")) - _chosen_words(F.col("__at"))
+    # A document without words stands between others and takes nothing.
+    taken = F.when(F.col("size") > 0, taken).otherwise(0).cast("long")
+    return out.select(*own, "size", "source_size", "target", taken.alias("taken"), F.when(F.col("size") > 0, _selected(F.col("__at"), F.col("size"))).otherwise(F.array().cast("array<struct<shard:bigint,words:bigint>>")).alias("shards")).toDF(*kept, *RESULT)
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -170,8 +239,8 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
+  SELECT row_number() OVER () AS rn, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o, md5(coalesce(text, '')) AS tm FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
     CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w
@@ -183,12 +252,30 @@ r AS (
 l AS (SELECT min(k) AS k, min_by(CAST(room AS DOUBLE) / rest, k) AS level FROM r WHERE room * w <= 2 * source_size * rest),
 t AS (
   SELECT source, source_size, CASE WHEN r.k < l.k THEN CAST(2 * source_size AS DOUBLE) ELSE level * w END AS target FROM r, l),
-q AS (SELECT *, least(CAST(floor(target / 16 + 0.5) * 16 AS BIGINT), 2 * source_size) AS seats FROM t),
+z AS (SELECT greatest(16, ceil(sum(target) / 1048576))::BIGINT AS w FROM t),
+n AS (SELECT t.*, ceil(source_size / z.w) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM t, z),
+q0 AS (SELECT *, greatest(1, CASE WHEN n > 0 THEN ceil(source_size / n) ELSE 1 END)::BIGINT AS bw FROM n),
+q AS (SELECT *, ceil(source_size / bw)::BIGINT AS nb, target / bw AS worth, 2 * ceil(source_size / bw)::BIGINT AS cap FROM q0),
+h AS (SELECT sum(worth) AS worths, count(*) AS sources, least(floor(sum(worth) + 0.5), sum(cap))::BIGINT AS house FROM q),
+k AS (SELECT unnest(range(1, greatest(1, ceil(house / 4096))::BIGINT + 1)) AS shard FROM h),
+-- Each shard's seats: every quotient that could matter, ranked.
+g AS (SELECT shard, least(shard * 4096, house) AS filled, place, worth, cap, unnest(range(1, least(cap, floor(worth * least(shard * 4096, house) / worths + 2 * sources + 3)::BIGINT) + 1)) AS j FROM k, h, q),
+v AS (SELECT shard, place, max(j) AS upto FROM (
+  SELECT *, row_number() OVER (PARTITION BY shard ORDER BY worth / (2 * j - 1) DESC, place, j) AS rank FROM g) WHERE rank <= filled GROUP BY ALL),
+u AS (SELECT shard, q.*, coalesce(upto, 0) AS upto FROM k CROSS JOIN q LEFT JOIN v USING (shard, place)),
+x AS (SELECT *, max(upto) OVER (PARTITION BY place) AS seats, coalesce(lag(upto) OVER (PARTITION BY place ORDER BY shard), 0) AS was FROM u),
+y AS (SELECT *, seats // greatest(nb, 1) AS copies, seats % greatest(nb, 1) AS rest FROM x),
+c AS (SELECT *, was * rest // greatest(seats, 1) AS a, upto * rest // greatest(seats, 1) AS b FROM y),
+e AS (SELECT *, CASE WHEN rest > 0 THEN (nb * a + rest - 1) // rest ELSE 0 END AS lo, CASE WHEN rest > 0 THEN (nb * b + rest - 1) // rest ELSE 0 END AS hi FROM c),
+f AS (
+  SELECT *, CAST('0x' || substr(md5('mix-1:' || coalesce('=' || source, 'null') || ':' || shard), 1, 12) AS BIGINT) % greatest(hi - lo, 1) AS o FROM e),
+-- The blocks that each shard chooses of each source.
+i AS (SELECT place, bw, unnest(range(lo, hi)) AS blk, lo, hi, a, b, o FROM f WHERE hi > lo),
+w AS (SELECT place, blk, bw FROM i WHERE (blk - lo + o + 1) * (b - a) // (hi - lo) > (blk - lo + o) * (b - a) // (hi - lo)),
+m AS (SELECT DISTINCT place, source, source_size, target, copies FROM f),
 p AS (
-  SELECT doc_id, size, source_size, target, seats,
-    sum(size) OVER (PARTITION BY d.source ORDER BY o, size ROWS UNBOUNDED PRECEDING) - size AS a
-  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(a + size, seats) - a) + greatest(0, least(a + size, seats - source_size) - a) AS BIGINT) AS taken
-FROM p
+  SELECT rn, doc_id, size, m.*, sum(size) OVER (PARTITION BY m.place ORDER BY o, size, tm ROWS UNBOUNDED PRECEDING) - size AS pos
+  FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source),
+l2 AS (SELECT rn, sum(least(pos + size, (blk + 1) * bw) - greatest(pos, blk * bw)) AS words FROM p JOIN w ON p.place = w.place AND blk * bw < pos + size AND (blk + 1) * bw > pos WHERE size > 0 GROUP BY rn)
+SELECT doc_id, size, source_size, target, CAST(copies * size + coalesce(words, 0) AS BIGINT) AS taken FROM p LEFT JOIN l2 USING (rn)
 """
