@@ -3,8 +3,10 @@
 A text is cut into special strings and pre-tokens as the tokenizer cuts it. Within a pre-token the encoding of
 every prefix follows from shorter ones: the last token of a prefix is the one vocabulary suffix that byte-pair
 merging would not join differently with the last token before it, so one pass over the bytes stores the token
-count of each prefix. The counts of whole pre-tokens, added up, give the count at every pre-token boundary of the
-text; the table of these answers truncation and budget questions without encoding anything again.
+count of each prefix. A text's table holds the count up to the end of each pre-token, and, where not every prefix of a
+pre-token is one token, the counts of its prefixes character by character. So the table has the count of every prefix of
+the text, cut as the whole text is cut, and answers truncation and budget questions without encoding anything again.
+Where the prefix as a text of its own would be cut otherwise (in white space before a word), its own count may be smaller.
 
 Edge cases: a null text is an empty one and has 0 tokens; every row is judged alone, so repeated rows give equal
 results and an empty table an empty one; texts of any length are counted whole; only the id and text columns are
@@ -64,6 +66,7 @@ class PrefixCounter:
         self.longest = max(map(len, self.vocabulary))
         self._pair: dict[tuple[bytes, bytes], bool] = {}
         self._whole: dict[str, int] = {}
+        self._inner: dict[str, np.ndarray | None] = {}
 
     def _merge(self, piece: bytes) -> list[bytes]:
         """Byte-pair merging from single bytes, lowest rank first; only for pieces of at most two tokens' length."""
@@ -125,50 +128,102 @@ class PrefixCounter:
                 return [part[a:b] for _, (a, b) in self.library.pre_tokenize_str(part)]
         return self.pattern.findall(part)
 
+    def _count(self, piece: str) -> tuple[int, np.ndarray | None]:
+        """The tokens of one pre-token, and those of its prefixes by characters; None where all of them are one token."""
+        raw = piece.encode("utf-8", "surrogatepass")
+        counts = self.prefix_counts(raw)
+        if len(raw) == len(piece):
+            inner = counts[1:]
+        else:
+            inner, at = [], 0
+            for c in piece:
+                at += len(c.encode("utf-8", "surrogatepass"))
+                inner.append(counts[at])
+        return counts[-1], np.array(inner, np.uint32) if max(inner) > 1 else None
+
     def whole(self, piece: str) -> int:
-        """The tokens of one pre-token."""
+        """The tokens of one pre-token; what is known of its prefixes is kept with it."""
         n = self._whole.get(piece)
         if n is None:
-            n = self.prefix_counts(piece.encode("utf-8", "surrogatepass"))[-1]
+            n, inner = self._count(piece)
             if len(piece) <= CACHED_LENGTH:
                 if len(self._whole) > CACHE:
                     self._whole.clear()
+                    self._inner.clear()
                 self._whole[piece] = n
+                if inner is not None:
+                    self._inner[piece] = inner.astype(np.uint8)  # no more tokens than bytes
         return n
 
-    def table(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ends (in code points) of the pre-tokens of a text, and the exact token count of the text up to each."""
+    def inner(self, piece: str) -> np.ndarray | None:
+        """The counts of a pre-token's prefixes, or None where each is one token."""
+        if len(piece) <= CACHED_LENGTH and piece in self._whole:
+            return self._inner.get(piece)
+        return self._count(piece)[1]
+
+    def table(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ends (in code points) of the pre-tokens of a text, the exact token count of the text up to each, the numbers of
+        those pre-tokens with prefixes of more than one token, and the counts of these prefixes, one after the other."""
         pieces: list[str] = []
         counts: list[int] = []
-        known, find = self._whole, self.pre_tokens
+        several: list[int] = []
+        inner: list[np.ndarray] = []
+        known, find, kept = self._whole, self.pre_tokens, self._inner
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
                 pieces.append(part)
                 counts.append(1)
             elif part:
                 found = find(part)
+                start = len(pieces)
                 pieces += found
                 counts += [known.get(p) or self.whole(p) for p in found]
+                for i, p in enumerate(found, start):
+                    own = kept.get(p) if p in known else self.inner(p)
+                    if own is not None:
+                        several.append(i)
+                        inner.append(own)
         n = len(pieces)
-        return np.cumsum(np.fromiter(map(len, pieces), np.uint32, n), dtype=np.uint32), np.cumsum(np.fromiter(counts, np.uint32, n), dtype=np.uint32)
+        ends, upto = np.cumsum(np.fromiter(map(len, pieces), np.uint32, n), dtype=np.uint32), np.cumsum(np.fromiter(counts, np.uint32, n), dtype=np.uint32)
+        return ends, upto, np.array(several, np.uint32), np.concatenate(inner) if inner else np.empty(0, np.uint8)
 
-    def truncate(self, text: str, budget: int, table: tuple[np.ndarray, np.ndarray] | None = None) -> int:
-        """The length in code points of the longest prefix that is whole characters and at most budget tokens, cut at or inside one pre-token."""
-        ends, counts = table or self.table(text)
+    def truncate(self, text: str, budget: int, table: tuple[np.ndarray, ...] | None = None) -> int:
+        """The length in code points of the longest prefix that is whole characters and at most budget tokens; with a
+        table, nothing is encoded."""
+        table = table or self.table(text)
+        ends, counts, several, inner = table
         k = int(np.searchsorted(counts, budget, "right"))
         start, used = (int(ends[k - 1]), int(counts[k - 1])) if k else (0, 0)
         if k == len(ends):
             return start
-        piece = text[start : int(ends[k])]
-        if self.special and self.special.fullmatch(piece):
+        length = int(ends[k]) - start
+        if self.special and self.special.fullmatch(text[start : start + length]):
             return start
-        inner = self.prefix_counts(piece.encode("utf-8", "surrogatepass"))
-        best = at = 0
-        for i, c in enumerate(piece, 1):
-            at += len(c.encode("utf-8", "surrogatepass"))
-            if used + inner[at] <= budget:
-                best = i
-        return start + best
+        own = prefix_tokens(table, k)
+        fits = np.flatnonzero(used + own <= budget)
+        return start + (int(fits[-1]) + 1 if len(fits) else 0)
+
+
+def prefix_tokens(table: tuple[np.ndarray, ...], k: int) -> np.ndarray:
+    """The token counts of the prefixes, character by character, of the k-th pre-token of a table."""
+    ends, _, several, inner = table
+    length = int(ends[k]) - (int(ends[k - 1]) if k else 0)
+    at = int(np.searchsorted(several, k))
+    if at == len(several) or several[at] != k:
+        return np.ones(length, np.int64)
+    before = several[:at]
+    begin = int((ends[before].astype(np.int64) - np.where(before > 0, ends[before - (before > 0)], 0)).sum())
+    return inner[begin : begin + length].astype(np.int64)
+
+
+def tokens_before(table: tuple[np.ndarray, ...], position: int) -> int:
+    """The token count of the prefix of this many code points."""
+    ends, counts, *_ = table
+    k = int(np.searchsorted(ends, position, "left"))
+    if position <= 0:
+        return 0
+    start, used = (int(ends[k - 1]), int(counts[k - 1])) if k else (0, 0)
+    return used + int(prefix_tokens(table, k)[position - start - 1])
 
 
 @lru_cache(maxsize=2)
@@ -177,12 +232,14 @@ def counter(path: str) -> PrefixCounter:
 
 
 def token_table(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", budget: int | None = None) -> DataFrame:
-    """id, n_bytes, n_tokens, prefix_ends and prefix_tokens (BINARY: little-endian uint32s) and, with a budget, cut_at: the code points kept within it.
+    """id, n_bytes, n_tokens, the table of the text's prefixes and, with a budget, cut_at: the code points kept within it.
+    The table is BINARY: prefix_ends, prefix_tokens and prefix_several are little-endian uint32s, prefix_inner is their width
+    in bytes (1 or 4) and unsigned numbers of it; read_table reads them.
 
     path is the vocabulary file; without one, every executor finds byte_bpe_50k.json in its own public_tokenizers.
     """
     id_type = df.schema[id_col].dataType.simpleString()
-    schema = f"id {id_type}, n_bytes bigint, n_tokens bigint, prefix_ends binary, prefix_tokens binary" + ", cut_at bigint" * (budget is not None)
+    schema = f"id {id_type}, n_bytes bigint, n_tokens bigint, prefix_ends binary, prefix_tokens binary, prefix_several binary, prefix_inner binary" + ", cut_at bigint" * (budget is not None)
 
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = counter(path or vocabulary_path())
@@ -191,13 +248,19 @@ def token_table(df: DataFrame, path: str | None = None, id_col: str = "doc_id",
         columns = [
             batch.column("id"),
             pa.array([len(t.encode()) for t in all_texts], pa.int64()),
-            pa.array([int(n[-1]) if len(n) else 0 for _, n in tables], pa.int64()),
-            pa.array([e.astype("<u4").tobytes() for e, _ in tables], pa.binary()),
-            pa.array([n.astype("<u4").tobytes() for _, n in tables], pa.binary()),
+            pa.array([int(t[1][-1]) if len(t[1]) else 0 for t in tables], pa.int64()),
+            *(pa.array([t[i].astype("<u4").tobytes() for t in tables], pa.binary()) for i in range(3)),
+            pa.array([bytes([t[3].itemsize]) + t[3].tobytes() for t in tables], pa.binary()),
         ]
         if budget is not None:
             columns.append(pa.array([c.truncate(t, budget, x) for t, x in zip(all_texts, tables, strict=True)], pa.int64()))
-        return pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "n_tokens", "prefix_ends", "prefix_tokens", "cut_at"][: len(columns)])
+        return pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "n_tokens", "prefix_ends", "prefix_tokens", "prefix_several", "prefix_inner", "cut_at"][: len(columns)])
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return map_arrow(source, lambda batches: one_pass(batches, build), schema)
+
+
+def read_table(row) -> tuple[np.ndarray, ...]:
+    """A text's table out of a row of token_table."""
+    three = (np.frombuffer(row[c], "<u4") for c in ("prefix_ends", "prefix_tokens", "prefix_several"))
+    return (*three, np.frombuffer(row["prefix_inner"], f"<u{row['prefix_inner'][0]}", offset=1))
