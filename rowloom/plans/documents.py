@@ -466,7 +466,7 @@ def last_runs(spark, sf_dir):
 
 @query("fingerprint", "SELECT page_id, sha256(url || '|' || len(html)) AS fingerprint FROM pages")
 def fingerprint(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(F.concat_ws("|", "url", F.length("html").cast("string")), 256).alias("fingerprint"))
+    return table(spark, sf_dir, "pages").select("page_id", runs.page_fingerprint(F.col("url"), F.col("html")).alias("fingerprint"))
 
 
 @query("cache_evict", "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (ORDER BY ts DESC, event_id DESC) <= count(*) OVER () - CAST(ceil((count(*) OVER () - 500) / 50.0) AS BIGINT) * 50")

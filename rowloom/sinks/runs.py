@@ -42,6 +42,11 @@ def cache_key(url: Column, fields: list[str], provider: Column, model: Column, b
     return F.sha2(F.concat_ws(" ", *parts), 256)
 
 
+def page_fingerprint(url: Column, html: Column) -> Column:
+    """What tells one state of a page from another: its address and the length of its markup."""
+    return F.sha2(F.concat_ws("|", F.coalesce(url, F.lit("")), F.coalesce(F.length(html), F.lit(0)).cast("string")), 256)
+
+
 def evict(cache: DataFrame, last_used: str = "last_used", most: int = CACHE_ENTRIES, batch: int = EVICT, key: str = "key") -> DataFrame:
     """The cache with its oldest entries gone, a batch at a time, if it holds more than `most`; of equally old ones, the smallest keys go."""
     n = cache.count()
