@@ -134,19 +134,41 @@ def _runs(sources: DataFrame, shard_blocks: int, seed: str) -> DataFrame:
         start = F.conv(digits, 16, 10).cast("long") % F.greatest(end - first, F.lit(1))
         return F.struct(x["shard"].alias("shard"), first.alias("first"), end.alias("end"), a.alias("a"), b.alias("b"), start.alias("start"), (before(i) - a).alias("f"), (x["upto"] - b).alias("g"))
 
-    return whole.withColumn("runs", F.transform("at", run)).select("__source", "source_size", "target", "blocks", "block_words", "copies", "left", "runs")
+    whole = whole.withColumn("runs", F.transform("at", run)).withColumn("ends", F.transform("runs", lambda r: r["end"]))
+    tops = F.filter("ends", lambda e, i: i % STRIDE == STRIDE - 1)
+    return whole.select("__source", "source_size", "target", "blocks", "block_words", "copies", "left", "runs", "ends", tops.alias("tops"))
+
+
+def _let(value: Column, body) -> Column:
+    """body of value, which is evaluated once a row however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Runs are found among every STRIDE-th first, then among so many.
+STRIDE = 16
 
 
 def _chosen_words(x: Column) -> Column:
     """Words of the chosen blocks among the first x of a source's stream."""
-    j = F.floor(x / F.col("block_words")).cast("long")
-    inside = F.get("runs", F.size(F.filter("runs", lambda r: r["end"] <= j)))
-    r, m = inside["b"] - inside["a"], F.greatest(inside["end"] - inside["first"], F.lit(1))
-    upto = lambda k: F.floor((k + inside["start"]) * r / m)
-    count = lambda k: inside["a"] + upto(k - inside["first"]) - upto(F.lit(0))
-    words = (count(j) * F.col("block_words") + (count(j + 1) - count(j)) * (x - j * F.col("block_words"))).cast("long")
-    # Behind the last run, which ends with the blocks, all have been counted; the last block may be a short one.
-    return F.when(inside.isNull(), F.least(F.col("left") * F.col("block_words"), x)).otherwise(words)
+    width = F.col("block_words")
+
+    def behind(j: Column) -> Column:
+        """How many runs end at block j or before."""
+        full = F.size(F.filter("tops", lambda e: e <= j)) * STRIDE
+        return _let(full, lambda n: n + F.size(F.filter(F.slice("ends", n + 1, F.lit(STRIDE)), lambda e: e <= j)))
+
+    def words(j: Column) -> Column:
+        def of(r: Column) -> Column:
+            share, m = r["b"] - r["a"], F.greatest(r["end"] - r["first"], F.lit(1))
+            upto = lambda k: F.floor((k - r["first"] + r["start"]) * share / m)
+            base = F.floor(r["start"] * share / m)
+            counted = F.struct(upto(j).alias("now"), upto(j + 1).alias("then"))
+            return _let(counted, lambda c: ((r["a"] + c["now"] - base) * width + (c["then"] - c["now"]) * (x - j * width)).cast("long"))
+
+        # Behind the last run, which ends with the blocks, all have been counted.
+        return F.coalesce(_let(F.get("runs", behind(j)), of), F.least(F.col("left") * width, x))
+
+    return _let(F.floor(x / width).cast("long"), words)
 
 
 def _selected(start: Column, words: Column) -> Column:
