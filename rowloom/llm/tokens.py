@@ -66,7 +66,8 @@ class PrefixCounter:
         self.longest = max(map(len, self.vocabulary))
         self._pair: dict[tuple[bytes, bytes], bool] = {}
         self._whole: dict[str, int] = {}
-        self._inner: dict[str, np.ndarray | None] = {}
+        self._inner: dict[str, bytes] = {}
+        self._cleared = 0
 
     def _merge(self, piece: bytes) -> list[bytes]:
         """Byte-pair merging from single bytes, lowest rank first; only for pieces of at most two tokens' length."""
@@ -128,8 +129,9 @@ class PrefixCounter:
                 return [part[a:b] for _, (a, b) in self.library.pre_tokenize_str(part)]
         return self.pattern.findall(part)
 
-    def _count(self, piece: str) -> tuple[int, np.ndarray | None]:
-        """The tokens of one pre-token, and those of its prefixes by characters; None where all of them are one token."""
+    def _count(self, piece: str) -> tuple[int, bytes | np.ndarray | None]:
+        """The tokens of one pre-token, and those of its prefixes by characters (of a long one as an array); None where all
+        of them are one token."""
         raw = piece.encode("utf-8", "surrogatepass")
         counts = self.prefix_counts(raw)
         if len(raw) == len(piece):
@@ -139,7 +141,10 @@ class PrefixCounter:
             for c in piece:
                 at += len(c.encode("utf-8", "surrogatepass"))
                 inner.append(counts[at])
-        return counts[-1], np.array(inner, np.uint32) if max(inner) > 1 else None
+        n = counts[-1]
+        if n == 1 and max(inner) == 1:
+            return n, None
+        return n, bytes(inner) if len(raw) < 256 else np.array(inner, np.uint32)  # no more tokens than bytes
 
     def whole(self, piece: str) -> int:
         """The tokens of one pre-token; what is known of its prefixes is kept with it."""
@@ -150,42 +155,49 @@ class PrefixCounter:
                 if len(self._whole) > CACHE:
                     self._whole.clear()
                     self._inner.clear()
+                    self._cleared += 1
                 self._whole[piece] = n
                 if inner is not None:
-                    self._inner[piece] = inner.astype(np.uint8)  # no more tokens than bytes
+                    self._inner[piece] = inner
         return n
 
-    def inner(self, piece: str) -> np.ndarray | None:
-        """The counts of a pre-token's prefixes, or None where each is one token."""
-        if len(piece) <= CACHED_LENGTH and piece in self._whole:
-            return self._inner.get(piece)
-        return self._count(piece)[1]
+    def _prefixes(self, pieces: list[str], cleared: int) -> list[bytes | np.ndarray | None]:
+        """For each pre-token, the counts of its prefixes (of long ones as an array), or None where each is one token."""
+        known, whole = self._inner.get, self._whole
+        own: list = list(map(known, pieces))
+        # Long ones are never kept, and none can be relied on once what was known has been cleared in between.
+        fresh = range(len(pieces)) if self._cleared != cleared else (i for i, p in enumerate(pieces) if len(p) > CACHED_LENGTH)
+        for i in fresh:
+            if own[i] is None and pieces[i] not in whole:
+                own[i] = self._count(pieces[i])[1]
+        return own
 
     def table(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ends (in code points) of the pre-tokens of a text, the exact token count of the text up to each, the numbers of
         those pre-tokens with prefixes of more than one token, and the counts of these prefixes, one after the other."""
         pieces: list[str] = []
         counts: list[int] = []
-        several: list[int] = []
-        inner: list[np.ndarray] = []
-        known, find, kept = self._whole, self.pre_tokens, self._inner
+        inner: list[bytes | np.ndarray | None] = []
+        known, find = self._whole, self.pre_tokens
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
                 pieces.append(part)
                 counts.append(1)
+                inner.append(None)
             elif part:
-                found = find(part)
-                start = len(pieces)
+                found, cleared = find(part), self._cleared
                 pieces += found
                 counts += [known.get(p) or self.whole(p) for p in found]
-                for i, p in enumerate(found, start):
-                    own = kept.get(p) if p in known else self.inner(p)
-                    if own is not None:
-                        several.append(i)
-                        inner.append(own)
+                inner += self._prefixes(found, cleared)
         n = len(pieces)
         ends, upto = np.cumsum(np.fromiter(map(len, pieces), np.uint32, n), dtype=np.uint32), np.cumsum(np.fromiter(counts, np.uint32, n), dtype=np.uint32)
-        return ends, upto, np.array(several, np.uint32), np.concatenate(inner) if inner else np.empty(0, np.uint8)
+        several = [i for i, own in enumerate(inner) if own is not None]
+        parts = [inner[i] for i in several]
+        if any(isinstance(p, np.ndarray) for p in parts):
+            flat = np.concatenate([p if isinstance(p, np.ndarray) else np.frombuffer(p, np.uint8) for p in parts])
+        else:
+            flat = np.frombuffer(b"".join(parts), np.uint8)
+        return ends, upto, np.array(several, np.uint32), flat
 
     def truncate(self, text: str, budget: int, table: tuple[np.ndarray, ...] | None = None) -> int:
         """The length in code points of the longest prefix that is whole characters and at most budget tokens; with a
