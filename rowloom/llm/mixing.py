@@ -16,8 +16,8 @@ stream. If its seats are several times its blocks, all blocks are taken so often
 chooses its share among a run of blocks in proportion to it: every m/r-th from a seeded start, so that exactly r of m are
 chosen, and how many of those before a block are chosen is a formula. What the mix takes of a document is what the chosen
 blocks hold of it. A document's start in the stream is the sum of the words before it, from the sums of hash buckets
-(pre-aggregated, as many as the number of documents asks for) and a running sum inside its own bucket, over ids and sizes
-alone, so no task holds a whole source. Buckets of more than HOT_ROWS rows (of one id, or without one) are split by size,
+(pre-aggregated, as many as the number of documents asks for) and a running sum inside its own bucket,
+so no task holds a whole source. Buckets of more than HOT_ROWS rows (of one id, or without one) are split by size,
 by text and at last by input partition.
 
 Edge cases: a null text counts 0 words and is never taken; null is a source of its own; repeated rows are documents
