@@ -79,9 +79,13 @@ NOTHING = object()
 
 
 def in_order(df: DataFrame, partition: str, order: str, replay) -> DataFrame:
-    """replay over Arrow batches in which each partition value's rows stand together, in order: a task holds a batch, not a group."""
+    """replay over Arrow batches in which each partition value's rows stand together, in order: a task holds a batch, not a group.
+
+    Rows are dealt by a hash of the value. By the value itself, the exchange would be left out after a join on it, and a
+    join's rows may be dealt anew when it runs (skewed keys are split, broadcasts read locally).
+    """
     ship_package(df.sparkSession)
-    return df.repartition(partition).sortWithinPartitions(partition, order).mapInArrow(replay, df.schema)
+    return df.repartition(F.xxhash64(partition)).sortWithinPartitions(partition, order).mapInArrow(replay, df.schema)
 
 
 class SeenKeys:
