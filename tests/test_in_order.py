@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowloom.operators.dedupe import keep_bounded
+from rowloom.streaming.pacing import cap_captures
 
 #: Joins are planned by sorting; as they run, adaptive execution may make broadcasts of them.
 TURNED = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
@@ -51,3 +52,17 @@ def test_bounded_memory(spark, rows):
         assert deals_before_replay(kept)
         got = [r.id for r in kept.collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_capture_caps(spark, rows):
+    want, used = set(), {}
+    for r in rows.orderBy("id").collect():
+        n, size = used.get(r.user, (0, 0))
+        if n < 40 and size + r.size <= 300:
+            want.add(r.id)
+            used[r.user] = n + 1, size + r.size
+    with settings(spark, TURNED):
+        kept = cap_captures(rows, "user", "id", "size", most=40, most_bytes=300)
+        assert deals_before_replay(kept)
+        got = [r.id for r in kept.collect()]
+    assert sorted(got) == sorted(want)
