@@ -17,6 +17,8 @@ from rowloom.html.tree import parse
 from rowloom.session import ship_package
 
 BATCH_ROWS = 1000
+#: Pages of a batch whose values a task holds as Python objects at once.
+HELD_PAGES = 64
 
 
 def _per_page(df: DataFrame, build, column: str, kind: pa.DataType, spark_type: str, url: str, html: str, scope: str | None = None) -> DataFrame:
@@ -29,7 +31,7 @@ def _per_page(df: DataFrame, build, column: str, kind: pa.DataType, spark_type:
 
     def run(batches):
         known, tree = object(), None
-        for b in batches:
+        for b in (whole.slice(at, HELD_PAGES) for whole in batches for at in range(0, whole.num_rows, HELD_PAGES)):
             urls = b.column(url).to_pylist() if url in b.schema.names else [None] * b.num_rows
             more = [b.column(scope).to_pylist()] if scope is not None and scope in b.schema.names else []
             texts = b.column(FILLED).to_pylist() if FILLED in b.schema.names else None
