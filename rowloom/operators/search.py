@@ -129,8 +129,9 @@ def frame_tree(frames: DataFrame, frame: str = "frame", parent: str = "parent")
     or whose parent is not there, is a page of its own; frames that only hold each other have no page and are left out.
 
     By doubling: after k rounds each frame knows the one 2^k above it, so nesting of any depth takes its logarithm in joins.
+    What makes the frames runs twice, for the names (which are written) and for the result.
     """
-    known = frames.select(F.col(frame).alias("frame"), F.col(parent).alias("up"))
+    known = cut_lineage(frames.select(F.col(frame).alias("frame"), F.col(parent).alias("up")), "frame-names")
     there = known.select(F.col("frame").alias("up")).distinct().withColumn("__there", F.lit(True))
     tops = known.join(there, "up", "left")
     start = tops.select("frame", F.when(F.col("__there") & (F.col("up") != F.col("frame")), F.col("up")).otherwise(F.col("frame")).alias("at"))
@@ -154,5 +155,9 @@ def frame_tree(frames: DataFrame, frame: str = "frame", parent: str = "parent")
 
 def lifted(frames: DataFrame, answer: list[str] | str, frame: str = "frame", parent: str = "parent", place: str | None = None) -> DataFrame:
     """A row a page: the answer of its first frame, from the top down and then by place (or frame), that has one."""
-    order = F.struct(F.col("nesting"), F.col(place or frame))
-    return frames_first(frame_tree(frames, frame, parent).withColumn("__order", order), "page", "__order", answer).drop("__order")
+    return lifted_of(frame_tree(frames, frame, parent), answer, place or frame)
+
+
+def lifted_of(tree: DataFrame, answer: list[str] | str, place: str = "frame") -> DataFrame:
+    """The same from a frame_tree."""
+    return frames_first(tree.withColumn("__order", F.struct(F.col("nesting"), F.col(place))), "page", "__order", answer).drop("__order")

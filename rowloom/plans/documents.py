@@ -12,7 +12,7 @@ from rowloom.operators import search
 from rowloom.plans import templates
 from rowloom.plans.catalogue import query, table
 from rowloom.plans.compiler import Sources, compile_recipe, file_manifest, follow_links, paginate_until_empty, run_exports
-from rowloom.session import shared_dir
+from rowloom.session import cut_lineage, shared_dir
 from rowloom.sinks import render, runs
 from rowloom.sources import api, lists, pages, pdf
 from rowloom.streaming import pacing
@@ -501,7 +501,8 @@ def frames_of_pages(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select("page_id", "html")
     count = F.size("items").alias("items")
     frames = pages.select_all(rows, {"items": "nav li"}).select(F.col("page_id").alias("frame"), F.when(F.col("page_id") % 7 != 0, F.col("page_id") - 1).alias("parent"), count)
-    tree = search.frame_tree(frames)
+    # Pages are parsed here, once; all that follows reads numbers.
+    tree = search.frame_tree(cut_lineage(frames, "page-frames").withColumn("has", F.col("items") > 0))
     depth = tree.groupBy("page").agg(F.max("nesting").alias("depth"))
-    first = search.lifted(frames.withColumn("has", F.col("items") > 0), "has").select("page", "frame", "items")
+    first = search.lifted_of(tree, "has").select("page", "frame", "items")
     return first.join(depth, "page")

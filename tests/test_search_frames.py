@@ -49,3 +49,13 @@ def test_frame_trees(spark):
     assert all(tree[f"n{i}"] == ("n0", i) for i in range(200))
     best = {r.page: r.answer for r in search.lifted(frames, ["answer"]).collect()}
     assert best == {"top": "B", "alone": "A", "n0": "deep"}
+
+
+def test_pages_are_parsed_once_for_their_frames(spark, monkeypatch):
+    from rowloom.plans import documents
+
+    frame = type(spark.range(0))
+    ran, real = [], frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **k: ran.append(real(self, *a, **k)) or ran[-1])
+    found = documents.frames_of_pages(spark, "/root/testdata/sf0.001")
+    assert len(ran) == 1 and "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
