@@ -84,3 +84,14 @@ def test_pdf_operators(spark):
     assert got["a.pdf"].page_count == 1 and got["b.pdf"].error and got["c.pdf"].error
     pages = pdf.extract_pdf(df).select("path", F.explode("pages").alias("p")).select("path", "p.page", "p.items")
     assert [json.loads(r.record) for r in pdf.tables(pages).collect()][0] == {"Name": "Widget", "Price (x)": "", "_page": "1"}
+
+
+def test_equal_records_are_compared_once(monkeypatch):
+    """A table of many rows alike costs a comparison a shape, not a row."""
+    from rowloom.html import detect as D
+
+    calls, real = [], D.likeness
+    monkeypatch.setattr(D, "likeness", lambda a, b: calls.append(1) or real(a, b))
+    rows = "".join(f"<tr><td>{i}</td><td>c{i}</td></tr>" for i in range(200))
+    assert [len(s) for s in D.record_sets(parse(f"<table><tbody>{rows}<tr><td>x</td></tr></tbody></table>"))] == [200]
+    assert len(calls) <= 6
