@@ -54,16 +54,23 @@ def _folded(c: Column) -> Column:
 
 def postings(files: DataFrame, file: str = "file", text: str = "value") -> DataFrame:
     """(gram, file), each once: the trigrams of every file's lines. To be written, by gram, for many searches."""
+    return _each_gram(files, file, text).distinct()
+
+
+def _each_gram(files: DataFrame, file: str, text: str) -> DataFrame:
+    """(gram, file), each once for a row of files."""
     chars = F.split(_folded(F.coalesce(F.col(text), F.lit(""))), "")
     with_chars = files.select(F.col(file).alias("file"), F.filter(chars, lambda c: c != "").alias("c")).where(F.size("c") > 2)
     grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("c") - 3), lambda i: F.concat(F.col("c")[i], F.col("c")[i + 1], F.col("c")[i + 2])))
     each = with_chars.select(F.explode(grams).alias("gram"), "file")
-    return each.where(~F.rlike("gram", F.lit("[\r\n]"))).distinct()
+    return each.where(~F.rlike("gram", F.lit("[\r\n]")))
 
 
 def write_postings(files: DataFrame, path: str, file: str = "file", text: str = "value") -> None:
-    """Postings as Parquet in ranges of grams, so that a lookup reads the row groups of its own."""
-    postings(files, file, text).repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(path)
+    """Postings as Parquet, dealt by gram and sorted, so that a lookup reads the row groups of its own. One exchange serves
+    the sorting and the removal of repeated rows; ranges would take two, and a pass to find their bounds."""
+    each = _each_gram(files, file, text).repartition("gram").dropDuplicates(["gram", "file"])
+    each.sortWithinPartitions("gram").write.mode("overwrite").parquet(path)
 
 
 def required_texts(needle: str, is_regex: bool = False) -> list[str]:

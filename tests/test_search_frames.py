@@ -59,3 +59,16 @@ def test_pages_are_parsed_once_for_their_frames(spark, monkeypatch):
     monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **k: ran.append(real(self, *a, **k)) or ran[-1])
     found = documents.frames_of_pages(spark, "/root/testdata/sf0.001")
     assert len(ran) == 1 and "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_dealt_once(spark, tmp_path, monkeypatch):
+    """Repeated rows of a file give a posting once, and what is written has passed one exchange."""
+    files = spark.createDataFrame([("a", "one two"), ("a", "one two"), ("b", "two")], "file string, value string")
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, real = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or real(self, *a, **k))
+    search.write_postings(files, f"{tmp_path}/once")
+    rows = [(r.gram, r.file) for r in spark.read.parquet(f"{tmp_path}/once").collect()]
+    assert sorted(rows) == sorted((r.gram, r.file) for r in search.postings(files).collect()) and len(rows) == len(set(rows)) == 6
+    assert plans[0].count("Exchange ") == 1
