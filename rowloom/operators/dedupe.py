@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from collections import OrderedDict
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -78,14 +80,21 @@ def keep_unseen(df: DataFrame, order: str, seen: DataFrame, fields: list[str] |
 NOTHING = object()
 
 
+def matching(df: DataFrame, other: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """A semi or anti join in which nulls match each other, as they do in groupBy."""
+    there = other.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(columns)))
+    return df.join(there, reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(columns))), how)
+
+
 def in_order(df: DataFrame, partition: str, order: str, replay) -> DataFrame:
     """replay over Arrow batches in which each partition value's rows stand together, in order: a task holds a batch, not a group.
 
-    Rows are dealt by a hash of the value. By the value itself, the exchange would be left out after a join on it, and a
-    join's rows may be dealt anew when it runs (skewed keys are split, broadcasts read locally).
+    A null is a value like any other; rows without a place come last. Rows are dealt by a hash of the value. By the value
+    itself, the exchange would be left out after a join on it, and a join's rows may be dealt anew when it runs (skewed keys
+    are split, broadcasts read locally).
     """
     ship_package(df.sparkSession)
-    return df.repartition(F.xxhash64(partition)).sortWithinPartitions(partition, order).mapInArrow(replay, df.schema)
+    return df.repartition(F.xxhash64(partition)).sortWithinPartitions(F.col(partition), F.col(order).asc_nulls_last()).mapInArrow(replay, df.schema)
 
 
 class SeenKeys:
@@ -115,7 +124,8 @@ def keep_bounded(df: DataFrame, order: str, fields: list[str], limit: int, parti
     keyed = df.withColumn("__key", F.sha2(row_key(df.select(*[c for c in fields if c in df.columns]), fields), 256))
     distinct = keyed.groupBy(partition, "__key").agg(F.min(order).alias("__first"))
     crowded = distinct.groupBy(partition).count().where(F.col("count") > limit).select(partition)
-    free = keyed.join(crowded, partition, "left_anti").join(distinct.withColumnRenamed("__first", order), [partition, "__key", order], "left_semi")
+    firsts = distinct.withColumnRenamed("__first", order)
+    free = matching(matching(keyed, crowded, [partition], "left_anti"), firsts, [partition, "__key", order], "left_semi")
 
     def replay(batches):
         memory, at = SeenKeys(limit), NOTHING
@@ -127,7 +137,7 @@ def keep_bounded(df: DataFrame, order: str, fields: list[str], limit: int, parti
                 kept.append(memory.add(key))
             yield b.filter(pa.array(kept, pa.bool_()))
 
-    full = in_order(keyed.join(crowded, partition, "left_semi"), partition, order, replay)
+    full = in_order(matching(keyed, crowded, [partition], "left_semi"), partition, order, replay)
     return free.select(*keyed.columns).unionByName(full).drop("__key")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from rowloom.operators.dedupe import NOTHING, SeenKeys, in_order
+from rowloom.operators.dedupe import NOTHING, SeenKeys, in_order, matching
 
 #: Bucket size and refill, schedule limits and capture limits (fixed values).
 BURST, PER_SECOND = 10, 1.0
@@ -103,7 +103,8 @@ def due(schedules: DataFrame, running: DataFrame, now_ms: Column) -> DataFrame:
 def cap_captures(df: DataFrame, run: str, order: str, size: str, most: int = MOST_CAPTURES, most_bytes: int = MOST_CAPTURE_BYTES) -> DataFrame:
     """Captures that a run keeps: a capture that does not fit is skipped and uses up nothing, later ones may still fit.
 
-    Runs that fit as a whole (found by aggregates) are not touched; only the others are replayed in order.
+    Runs that fit as a whole (found by aggregates) are not touched; only the others are replayed in order. Captures of no
+    run (null) are one run, and those without a place in the order (null) come last.
     """
     totals = df.groupBy(run).agg(F.count(F.lit(1)).alias("__n"), F.sum(size).alias("__bytes"))
     over = totals.where((F.col("__n") > most) | (F.col("__bytes") > most_bytes)).select(run)
@@ -120,8 +121,8 @@ def cap_captures(df: DataFrame, run: str, order: str, size: str, most: int = MOS
                 out.append(bool(fits))
             yield b.filter(pa.array(out, pa.bool_()))
 
-    full = in_order(df.join(over, run, "left_semi").select(*df.columns), run, order, replay)
-    return df.join(over, run, "left_anti").select(*df.columns).unionByName(full)
+    full = in_order(matching(df, over, [run], "left_semi"), run, order, replay)
+    return matching(df, over, [run], "left_anti").unionByName(full)
 
 
 def last_runs(df: DataFrame, group: str, finished: str, most: int = FINISHED_RUNS) -> DataFrame:

@@ -66,3 +66,46 @@ def test_capture_caps(spark, rows):
         assert deals_before_replay(kept)
         got = [r.id for r in kept.collect()]
     assert sorted(got) == sorted(want)
+
+
+@pytest.fixture(scope="module")
+def without_values(spark, tmp_path_factory):
+    """Rows of no user, more than any limit here, and rows without a place, which come last."""
+    path = str(tmp_path_factory.mktemp("without") / "rows")
+    ids = spark.range(0, 600, 1, 4).select(F.when(F.col("id") % 40 != 3, F.col("id")).alias("id"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("user"), F.col("id").alias("n"))
+    ids.select("id", "user", (F.xxhash64("n") % 5).cast("string").alias("kind"), F.when(F.col("id").isNull(), 1).otherwise(F.col("n") % 7).alias("size")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def in_place(rows):
+    return sorted(rows.collect(), key=lambda r: (r.id is None, r.id))
+
+
+def test_captures_of_no_run_have_caps_too(spark, without_values):
+    want, used = [], {}
+    for r in in_place(without_values):
+        n, size = used.get(r.user, (0, 0))
+        if n < 20 and size + r.size <= 50:
+            want.append((r.user, r.id, r.size))
+            used[r.user] = n + 1, size + r.size
+    got = [(r.user, r.id, r.size) for r in cap_captures(without_values, "user", "id", "size", most=20, most_bytes=50).collect()]
+    assert None in {u for u, _, _ in got} and sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_captures_without_a_place_come_last_but_stay(spark, without_values):
+    got = cap_captures(without_values, "user", "id", "size", most=198, most_bytes=10_000).collect()
+    assert len(got) == 3 * 198 and sum(r.id is not None for r in got) == without_values.where("id IS NOT NULL").count()
+
+
+def test_rows_of_no_partition_have_a_memory(spark, without_values):
+    placed = without_values.where("id IS NOT NULL")
+    for limit in (2, 100):
+        want, known = [], {}
+        for r in in_place(placed):
+            memory = known.setdefault(r.user, [])
+            if r.kind not in memory:
+                want.append((r.user, r.id))
+                memory.append(r.kind)
+                del memory[:-limit]
+        got = [(r.user, r.id) for r in keep_bounded(placed, "id", ["kind"], limit, "user").collect()]
+        assert None in {u for u, _ in got} and sorted(got, key=repr) == sorted(want, key=repr)
