@@ -436,8 +436,10 @@ def rate_grants(spark, sf_dir):
 def missed(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    w = W.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+    us = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
+    # Rounded as epoch_ms does, half away from 1970, and counted from before the year 1, as a last run at 0 stands for none.
+    ms = F.expr(f"CAST(sign({us}) AS BIGINT) * ((abs({us}) + 500) DIV 1000) + 62135596800001")
     return table(spark, sf_dir, "events").select("event_id", pacing.missed_windows(F.lag(ms).over(w), F.lit(60), ms).alias("missed"))
 
 

@@ -1,12 +1,20 @@
 """Sequential passes must see each group whole and in order, however the join before them is run."""
 
+import os
+import sys
 from contextlib import contextmanager
+from functools import reduce
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from rowloom.operators.dedupe import keep_bounded
-from rowloom.streaming.pacing import cap_captures
+sys.path[:0] = [os.path.dirname(__file__), os.path.dirname(os.path.dirname(os.path.abspath(__file__)))]
+from helpers import compare  # noqa: E402
+
+from rowloom.operators.dedupe import keep_bounded  # noqa: E402
+from rowloom.plans.catalogue import ORACLES, QUERIES  # noqa: E402
+from rowloom.streaming.pacing import cap_captures  # noqa: E402
 
 #: Joins are planned by sorting; as they run, adaptive execution may make broadcasts of them.
 TURNED = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
@@ -109,3 +117,16 @@ def test_rows_of_no_partition_have_a_memory(spark, without_values):
                 del memory[:-limit]
         got = [(r.user, r.id) for r in keep_bounded(placed, "id", ["kind"], limit, "user").collect()]
         assert None in {u for u, _ in got} and sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_missed_windows_rounds_and_orders_as_its_sql(spark, tmp_path):
+    """Runs a fraction of a millisecond from whole hours, at and before 1970, and alike in time with and without an id."""
+    start, hours = "TIMESTAMP_NTZ'{}' + make_dt_interval(0, 3 * CAST(id AS INT), 0, (id * 137 % 19 - 9) * 0.00025)", []
+    for user, at in enumerate(("2024-01-01", "1969-12-31", "1960-01-01", "9990-01-01")):
+        hours.append(spark.range(400).selectExpr(f"id + {user} * 1000 AS event_id", f"{start.format(at)} AS ts", f"CAST({user} AS LONG) AS user_id"))
+    hours.append(spark.range(9).selectExpr("id + 9000 AS event_id", "TIMESTAMP_NTZ'1969-12-31 12:00:00' + make_dt_interval(0, 6 * CAST(id AS INT)) AS ts", "9L AS user_id"))
+    hours.append(spark.range(40).selectExpr("IF(id % 2 = 0, NULL, id + 9500) AS event_id", "TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(CAST(id AS INT) DIV 2) AS ts", "10L AS user_id"))
+    reduce(lambda a, b: a.unionByName(b), hours).write.parquet(f"{tmp_path}/events.parquet")
+    os.rename(f"{tmp_path}/events.parquet", f"{tmp_path}/parts")
+    pq.write_table(pq.read_table(f"{tmp_path}/parts"), f"{tmp_path}/events.parquet")
+    assert compare(QUERIES["missed_windows"](spark, str(tmp_path)), ORACLES["missed_windows"], str(tmp_path)) == 1649
